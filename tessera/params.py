@@ -70,5 +70,7 @@ class WorldParams:
     min_room: int = 6          # rooms at least 6 x 6 get a respawn cell
     respawn_seed: int = 17
     sight_range: float = 10.0  # = max_steps * step; nothing further is drawn
+    frame_radius: float = 12.0  # > ray length / cos(fov / 2) + half a stamp
+    coverage_radius: int = 10   # coverage window is (2r+1)^2 cells per observer
     refill_interval_s: int = 3600
     quota_max: int = 3

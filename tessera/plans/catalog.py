@@ -151,3 +151,144 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return (_hits(w, spark).groupBy("id")
             .agg(F.count("*").alias("rays_hit"), F.min("n").alias("min_n"),
                  F.max("n").alias("max_n"), q6(F.avg("dist")).alias("avg_dist")))
+
+
+# ---- C ------------------------------------------------------------------------
+
+class _Camera:
+    """The renderer's DataFrames for one world, composed lazily."""
+
+    def __init__(self, spark, sf):
+        from tessera.operators import camera
+        from tessera.sources import world as world_mod
+        self.c, self.w = camera, World(spark, sf)
+        w, vp = self.w, self.w.vp
+        self.rays = _rays(w, spark)
+        self.hits = sight.first_hit(self.rays, w.grid(), vp, grid_rows=w.n_cells)
+        self.depths = sight.ray_depth(self.rays, self.hits, vp)
+        self.heights = camera.column_height(self.depths, vp)
+        self.frame = camera.observer_frame(w.actors(), w.targets(), w.wp.frame_radius)
+        self.projected = camera.project(self.frame, vp)
+        self.lod = camera.choose_lod(self.projected, world_mod.LOD)
+        self.catalogue_rows = sum(s[2] * s[3] for s in world_mod.STAMPS)
+
+    def base(self):
+        return self.c.column_raster(self.heights, self.w.vp)
+
+    def visible(self, spark):
+        return sight.visible_cells(sight.ray_march(self.rays, self.w.grid(), self.w.vp,
+                                                   grid_rows=self.w.n_cells))
+
+    def expanded(self):
+        return self.c.stamp_expand(self.lod, self.w.stamps(), self.w.stamp_pixels(), self.w.vp,
+                                   catalogue_rows=self.catalogue_rows)
+
+    def spans(self):
+        return self.c.stamp_spans(self.expanded(), self.w.vp)
+
+    def pixels(self):
+        return self.c.span_pixels(self.spans())
+
+    def occluded(self, spark):
+        return self.c.occlude(self.pixels(), sight.ray_extent(self.visible(spark)))
+
+    def nearest(self, spark):
+        return self.c.nearest_pixel(self.occluded(spark))
+
+    def overlay(self, spark):
+        return self.c.overlay(self.base(), self.nearest(spark))
+
+    def cell_set(self, spark):
+        return sight.visible_cell_set(self.visible(spark))
+
+    def coverage(self, spark):
+        w = self.w
+        mobs = w.targets().select("x", "y", "icon").unionByName(w.actors().select("x", "y", "icon"))
+        return self.c.coverage_map(w.actors(), self.cell_set(spark), w.grid(), mobs,
+                                   w.wp.coverage_radius, grid_rows=w.n_cells)
+
+
+@query
+def q_c_observer_frame(spark, sf):
+    f = _Camera(spark, sf).frame
+    return f.select("obs_id", "target_id", q6("depth").alias("depth"), q6("horiz").alias("horiz"))
+
+
+@query
+def q_c_project(spark, sf):
+    p = _Camera(spark, sf).projected
+    return p.select("obs_id", "target_id", "screen_x", "screen_y", q6("depth").alias("depth"))
+
+
+@query
+def q_c_lod(spark, sf):
+    return _Camera(spark, sf).lod.select("obs_id", "target_id", F.col("eff_stamp").alias("stamp_id"))
+
+
+@query
+def q_c_column_height(spark, sf):
+    return _Camera(spark, sf).heights.select("id", "col", "height")
+
+
+@query
+def q_c_depth_band(spark, sf):
+    cam = _Camera(spark, sf)
+    return cam.depths.select("id", "col", cam.c.depth_band("depth", cam.w.vp).alias("band"))
+
+
+@query
+def q_c_column_raster(spark, sf):
+    return _Camera(spark, sf).base()
+
+
+@query
+def q_c_stamp_expand(spark, sf):
+    e = _Camera(spark, sf).expanded()
+    return e.select("obs_id", "target_id", "sx", "sy", "ch",
+                    q6("scale_x").alias("scale_x"), q6("scale_y").alias("scale_y"))
+
+
+@query
+def q_c_stamp_spans(spark, sf):
+    s = _Camera(spark, sf).spans()
+    return s.select("obs_id", "target_id", "sx", "sy", "ch", "x0", "x1", "y0", "y1")
+
+
+@query
+def q_c_span_pixels(spark, sf):
+    p = _Camera(spark, sf).pixels()
+    return p.select("obs_id", "target_id", "sx", "sy", "px", "py", "ch", q6("depth").alias("depth"))
+
+
+@query
+def q_c_occlusion(spark, sf):
+    p = _Camera(spark, sf).occluded(spark)
+    return p.select("obs_id", "target_id", "sx", "sy", "px", "py", "ch", q6("depth").alias("depth"))
+
+
+@query
+def q_c_nearest_pixel(spark, sf):
+    n = _Camera(spark, sf).nearest(spark)
+    return n.select("id", "px", "py", "ch", "target_id", q6("depth").alias("depth"))
+
+
+@query
+def q_c_overlay(spark, sf):
+    return _Camera(spark, sf).overlay(spark)
+
+
+@query
+def q_c_raster_rows(spark, sf):
+    cam = _Camera(spark, sf)
+    return cam.c.raster_rows(cam.overlay(spark))
+
+
+@query
+def q_c_coverage_map(spark, sf):
+    return _Camera(spark, sf).coverage(spark)
+
+
+@query
+def q_c_coverage_stats(spark, sf):
+    cam = _Camera(spark, sf)
+    return cam.c.coverage_stats(cam.cell_set(spark))

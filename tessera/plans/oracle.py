@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans.oracle_base import compose, q6
+from tessera.plans.oracle_base import _L, compose, d, q6
 
 ORACLE: dict[str, str] = {}
 
@@ -24,7 +24,7 @@ WITH w AS (
   SELECT p_partkey, string_split(p_name, ' ') AS words FROM part),
 l AS (
   SELECT p_partkey, CAST(i - 1 AS INTEGER) AS sy,
-         rpad(words[i], list_max(list_transform(words, lambda v: length(v))), '.') AS line
+         rpad(words[i], CAST(list_max(list_transform(words, lambda v: length(v))) AS INTEGER), '.') AS line
   FROM w, generate_series(1, len(words)) AS g(i))
 SELECT p_partkey AS stamp_id, CAST(j - 1 AS INTEGER) AS sx, sy,
        nullif(substr(line, CAST(j AS INTEGER), 1), '.') AS ch
@@ -48,3 +48,36 @@ SELECT id, count(*) AS rays_hit, min(n) AS min_n, max(n) AS max_n,
        {q6('avg(dist)')} AS avg_dist
 FROM (SELECT id, col, min(n) AS n, min(dist) AS dist FROM march WHERE tile = '#'
       GROUP BY id, col) h GROUP BY id""", "march")
+
+# ---- C ------------------------------------------------------------------------
+oracle("c_observer_frame",
+       f"SELECT obs_id, target_id, {q6('depth')} AS depth, {q6('horiz')} AS horiz FROM frame", "frame")
+oracle("c_project",
+       f"SELECT obs_id, target_id, screen_x, screen_y, {q6('depth')} AS depth FROM screen", "screen")
+oracle("c_lod", "SELECT obs_id, target_id, eff_stamp AS stamp_id FROM lodsel", "lodsel")
+oracle("c_column_height", "SELECT id, col, height FROM heights", "heights")
+oracle("c_depth_band", f"""
+SELECT id, col, CASE WHEN depth < {d(_L / 4)} THEN '█' WHEN depth < {d(_L * 2 / 4)} THEN '▓'
+                     WHEN depth < {d(_L * 3 / 4)} THEN '▒' ELSE '░' END AS band
+FROM depths""", "depths")
+oracle("c_column_raster", "SELECT id, x, y, ch FROM base", "base")
+oracle("c_stamp_expand", f"""
+SELECT obs_id, target_id, sx, sy, ch, {q6('scale_x')} AS scale_x, {q6('scale_y')} AS scale_y
+FROM expanded""", "expanded")
+oracle("c_stamp_spans", "SELECT obs_id, target_id, sx, sy, ch, x0, x1, y0, y1 FROM spans", "spans")
+oracle("c_span_pixels",
+       f"SELECT obs_id, target_id, sx, sy, px, py, ch, {q6('depth')} AS depth FROM pixels", "pixels")
+oracle("c_occlusion",
+       f"SELECT obs_id, target_id, sx, sy, px, py, ch, {q6('depth')} AS depth FROM vispix", "vispix")
+oracle("c_nearest_pixel",
+       f"SELECT id, px, py, ch, target_id, {q6('depth')} AS depth FROM nearest", "nearest")
+oracle("c_overlay", "SELECT id, x, y, ch FROM overlay", "overlay")
+oracle("c_raster_rows",
+       "SELECT id, y, string_agg(ch, '' ORDER BY x) AS row FROM overlay GROUP BY id, y", "overlay")
+oracle("c_coverage_map", "SELECT id, x, y, ch FROM coverage", "coverage")
+oracle("c_coverage_stats", """
+SELECT c.id, count(*) AS cells_seen, count(*) FILTER (WHERE c.tile = '#') AS walls_seen,
+       count(*) FILTER (WHERE w.n >= 2) AS shared_cells
+FROM cellset c JOIN (SELECT tile_x, tile_y, count(*) AS n FROM cellset GROUP BY 1, 2) w
+  ON w.tile_x = c.tile_x AND w.tile_y = c.tile_y
+GROUP BY c.id""", "cellset")
