@@ -49,3 +49,9 @@ def safe_seq(lo, hi) -> Column:
 def explode_range(lo, hi) -> Column:
     """Rows lo..hi inclusive; no rows when lo > hi (a NULL array explodes to nothing)."""
     return F.explode(safe_seq(lo, hi))
+
+
+def epoch_micros(c) -> Column:
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ read as a UTC wall clock,
+    independent of the session time zone."""
+    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), col(c))

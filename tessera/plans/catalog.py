@@ -292,3 +292,219 @@ def q_c_coverage_map(spark, sf):
 def q_c_coverage_stats(spark, sf):
     cam = _Camera(spark, sf)
     return cam.c.coverage_stats(cam.cell_set(spark))
+
+
+# ---- J ------------------------------------------------------------------------
+
+BULLET_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query
+def q_j_cell_join(spark, sf):
+    from tessera.operators import spatial
+    w = World(spark, sf)
+    victims = w.targets().filter(F.col("kind") == "player")
+    c = spatial.cell_join(w.projectiles(), victims)
+    return c.select(*BULLET_KEY, "owner", "victim_id", q6("victim_x").alias("victim_x"),
+                    q6("victim_y").alias("victim_y"))
+
+
+@query
+def q_j_cell_lookup(spark, sf):
+    from tessera.operators import spatial, state
+    w = World(spark, sf)
+    moved = state.advance(w.projectiles(), w.sp.projectile_speed)
+    ok = spatial.cell_lookup(moved, w.grid(), grid_rows=w.n_cells)
+    return ok.select(*BULLET_KEY, q6("x").alias("x"), q6("y").alias("y"))
+
+
+@query
+def q_j_blocked(spark, sf):
+    from tessera.operators import spatial
+    w = World(spark, sf)
+    return spatial.blocked(w.projectiles(), w.grid(), grid_rows=w.n_cells).select(*BULLET_KEY)
+
+
+@query
+def q_j_unblocked(spark, sf):
+    from tessera.operators import spatial
+    w = World(spark, sf)
+    return spatial.unblocked(w.projectiles(), w.grid(), grid_rows=w.n_cells).select(*BULLET_KEY)
+
+
+@query
+def q_j_out_of_bounds(spark, sf):
+    from tessera.operators import spatial, state
+    w = World(spark, sf)
+    moved = state.advance(w.projectiles(), w.sp.projectile_speed).withColumn("kind", F.lit("bullet"))
+    oob = spatial.out_of_bounds(moved, w.grid(), "kind", "bullet")
+    return oob.select(*BULLET_KEY, q6("x").alias("x"), q6("y").alias("y"))
+
+
+# ---- M ------------------------------------------------------------------------
+
+REFILL_NOW = 1704067200 + 7200.5
+REFILL_INTERVAL = 900
+CLEAR_CUTOFF = "2024-01-15 00:00:00"
+
+
+class _Tick:
+    """One batch of the state machine over the fixture world: inputs -> moves ->
+    turns -> spawn -> quota -> advance -> bounds -> walls -> hits -> credit ->
+    expire -> respawn -> reset -> refill.  Collisions are computed once from the
+    post-move state and passed on."""
+
+    def __init__(self, spark, sf):
+        from tessera.operators import spatial, state
+        self.s, self.w = state, World(spark, sf)
+        w, s = self.w, state
+        grid = w.grid()
+        self.latest = s.latest_action(w.actions())
+        self.a1 = s.moves(w.actors(), self.latest, grid, w.sp, grid_rows=w.n_cells)
+        self.a2 = s.turns(self.a1, self.latest, w.sp)
+        self.spawned = s.spawn(self.a2, self.latest, w.sp)
+        self.a3 = s.consume_quota(self.a2, self.latest)
+        self.adv = s.advance(w.projectiles(), w.sp.projectile_speed)
+        inside = spatial.out_of_bounds(self.adv, grid, inside=True)
+        self.live = spatial.unblocked(inside, grid, grid_rows=w.n_cells)
+        self.coll = spatial.cell_join(self.live, self.a3)
+        self.a4 = s.apply_hits(self.a3, self.coll, w.sp.damage)
+        self.a5 = s.credit(self.a4, self.coll)
+        self.remaining = s.expire_hits(self.live, self.coll, BULLET_KEY)
+        self.a6 = s.respawn(self.a5, grid, w.wp.respawn_seed)
+        self.a7 = s.reset(self.a6, w.sp)
+        self.a8 = s.refill(self.a7, REFILL_NOW, REFILL_INTERVAL, w.sp.ammo_max)
+
+
+@query
+def q_m_latest_action(spark, sf):
+    return _Tick(spark, sf).latest
+
+
+@query
+def q_m_moves(spark, sf):
+    return _Tick(spark, sf).a1.select("id", q6("x").alias("x"), q6("y").alias("y"))
+
+
+@query
+def q_m_turns(spark, sf):
+    return _Tick(spark, sf).a2.select("id", q6("dir").alias("dir"))
+
+
+@query
+def q_m_spawn(spark, sf):
+    s = _Tick(spark, sf).spawned
+    return s.select("owner", q6("x").alias("x"), q6("y").alias("y"), q6("dir").alias("dir"),
+                    "kind", "stamp_id", "icon", "world_w")
+
+
+@query
+def q_m_assign_ids(spark, sf):
+    t = _Tick(spark, sf)
+    base = t.w.actors().agg(F.max("id")).scalar()
+    return t.s.assign_ids(t.spawned, ["owner"], base).select("id", "owner")
+
+
+@query
+def q_m_consume_quota(spark, sf):
+    return _Tick(spark, sf).a3.select("id", "ammo")
+
+
+@query
+def q_m_advance(spark, sf):
+    return _Tick(spark, sf).adv.select(*BULLET_KEY, q6("x").alias("x"), q6("y").alias("y"))
+
+
+@query
+def q_m_apply_hits(spark, sf):
+    return _Tick(spark, sf).a4.select("id", "hp")
+
+
+@query
+def q_m_credit(spark, sf):
+    return _Tick(spark, sf).a5.select("id", "score")
+
+
+@query
+def q_m_expire_hits(spark, sf):
+    return _Tick(spark, sf).remaining.select(*BULLET_KEY)
+
+
+@query
+def q_m_respawn(spark, sf):
+    a = _Tick(spark, sf).a6
+    return a.select("id", q6("x").alias("x"), q6("y").alias("y"), q6("dir").alias("dir"))
+
+
+@query
+def q_m_reset(spark, sf):
+    return _Tick(spark, sf).a7.select("id", "hp", "ammo")
+
+
+@query
+def q_m_refill(spark, sf):
+    return _Tick(spark, sf).a8.select("id", "ammo", "last_refill")
+
+
+@query
+def q_m_clear_actions(spark, sf):
+    from tessera.operators import state
+    w = World(spark, sf)
+    acts = w.actions()
+    done = state.latest_action(acts.filter(F.col("ts") < F.lit(CLEAR_CUTOFF).cast("timestamp_ntz")))
+    return state.pending_actions(acts, done).select("key", "seq", "action")
+
+
+@query
+def q_m_get_or_create(spark, sf):
+    from tessera.operators import state
+    w = World(spark, sf)
+    names = w.table("events").select(
+        F.concat(F.lit("Supplier#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("name"))
+    return state.get_or_create(w.actors().select("id", "name"), names)
+
+
+@query
+def q_m_constraint_violations(spark, sf):
+    from tessera.operators import state as s
+    w = World(spark, sf)
+    li, o, ev = w.table("lineitem"), w.table("orders"), w.table("events")
+    parts = [
+        s.pk_violations(li, ["l_orderkey", "l_linenumber"], "pk_lineitem"),
+        s.pk_violations(ev, ["event_id"], "pk_events"),
+        s.pk_violations(w.table("supplier"), ["s_name"], "unique_supplier_name"),
+        s.not_null_violations(ev, ["user_id", "ts", "event_type"], ["event_id"], "not_null_events"),
+        s.fk_violations(li, ["l_partkey"], w.table("part"), ["p_partkey"], "fk_lineitem_part"),
+        s.fk_violations(li, ["l_suppkey"], w.table("supplier"), ["s_suppkey"], "fk_lineitem_supplier"),
+        s.fk_violations(li, ["l_orderkey"], o, ["o_orderkey"], "fk_lineitem_orders"),
+        s.fk_violations(o, ["o_custkey"], w.table("customer"), ["c_custkey"], "fk_orders_customer"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumnRenamed("check", "rule")
+
+
+@query
+def q_m_keyed_state(spark, sf):
+    from tessera.operators import state
+    w = World(spark, sf)
+    shooters = w.actions().filter(F.col("action") == "x").select(F.col("key").alias("id"))
+    k = state.keyed_state(w.actors(), shooters)
+    return k.select("id", "name", q6("x").alias("x"), q6("y").alias("y"), q6("dir").alias("dir"))
+
+
+@query
+def q_m_trajectory(spark, sf):
+    from tessera.operators import state
+    w = World(spark, sf)
+    t = state.trajectory(w.actors(), w.actions(), w.sp)
+    return t.select("key", "seq", q6("x").alias("x"), q6("y").alias("y"), q6("dir").alias("dir"))
+
+
+@query
+def q_m_token_bucket(spark, sf):
+    from tessera.operators import state
+    w = World(spark, sf)
+    t = state.token_bucket(w.actions(), w.wp.quota_max, w.wp.refill_interval_s)
+    return t.select("key", "seq", "allowed", "tokens")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans.oracle_base import _L, compose, d, q6
+from tessera.plans.oracle_base import _L, SP, WP, compose, d, q6
 
 ORACLE: dict[str, str] = {}
 
@@ -81,3 +81,140 @@ SELECT c.id, count(*) AS cells_seen, count(*) FILTER (WHERE c.tile = '#') AS wal
 FROM cellset c JOIN (SELECT tile_x, tile_y, count(*) AS n FROM cellset GROUP BY 1, 2) w
   ON w.tile_x = c.tile_x AND w.tile_y = c.tile_y
 GROUP BY c.id""", "cellset")
+
+# ---- J ------------------------------------------------------------------------
+_BK = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+oracle("j_cell_join", f"""
+SELECT p.l_orderkey, p.l_linenumber, p.l_partkey, p.l_suppkey, p.owner, t.id AS victim_id,
+       {q6('t.x')} AS victim_x, {q6('t.y')} AS victim_y
+FROM proj p, targets t
+WHERE t.kind = 'player' AND CAST(p.x AS INTEGER) = CAST(t.x AS INTEGER)
+  AND CAST(p.y AS INTEGER) = CAST(t.y AS INTEGER) AND p.owner <> t.id""", "proj", "targets")
+oracle("j_cell_lookup", f"""
+SELECT {_BK}, {q6('a.x')} AS x, {q6('a.y')} AS y
+FROM adv a JOIN grid g ON g.x = CAST(a.x AS INTEGER) AND g.y = CAST(a.y AS INTEGER)
+WHERE g.tile <> '#'""", "adv", "grid")
+oracle("j_blocked", f"""
+SELECT {_BK} FROM proj p WHERE EXISTS (SELECT 1 FROM grid g WHERE g.x = CAST(p.x AS INTEGER)
+  AND g.y = CAST(p.y AS INTEGER) AND g.tile = '#')""", "proj", "grid")
+oracle("j_unblocked", f"""
+SELECT {_BK} FROM proj p WHERE NOT EXISTS (SELECT 1 FROM grid g WHERE g.x = CAST(p.x AS INTEGER)
+  AND g.y = CAST(p.y AS INTEGER) AND g.tile = '#')""", "proj", "grid")
+oracle("j_out_of_bounds", f"""
+SELECT {_BK}, {q6('x')} AS x, {q6('y')} AS y FROM adv
+WHERE x < 0 OR x >= (SELECT mx FROM gext) OR y < 0 OR y >= (SELECT my FROM gext)""", "adv", "gext")
+
+# ---- M ------------------------------------------------------------------------
+_NOW, _IV = 1704067200 + 7200.5, 900
+oracle("m_latest_action", "SELECT key, action, ts, seq FROM latest", "latest")
+oracle("m_moves", f"SELECT id, {q6('x')} AS x, {q6('y')} AS y FROM a1", "a1")
+oracle("m_turns", f"SELECT id, {q6('dir')} AS dir FROM a2", "a2")
+oracle("m_spawn", f"""
+SELECT owner, {q6('x')} AS x, {q6('y')} AS y, {q6('dir')} AS dir, kind, stamp_id, icon, world_w
+FROM spawned""", "spawned")
+oracle("m_assign_ids", """
+SELECT (SELECT max(id) FROM actors) + row_number() OVER (ORDER BY owner) AS id, owner
+FROM spawned""", "spawned", "actors")
+oracle("m_consume_quota", "SELECT id, ammo FROM a3", "a3")
+oracle("m_advance", f"SELECT {_BK}, {q6('x')} AS x, {q6('y')} AS y FROM adv", "adv")
+oracle("m_apply_hits", "SELECT id, hp FROM a4", "a4")
+oracle("m_credit", "SELECT id, score FROM a5", "a5")
+oracle("m_expire_hits", f"SELECT {_BK} FROM remaining", "remaining")
+oracle("m_respawn", f"SELECT id, {q6('x')} AS x, {q6('y')} AS y, {q6('dir')} AS dir FROM a6", "a6")
+oracle("m_reset", "SELECT id, hp, ammo FROM a7", "a7")
+oracle("m_refill", f"""
+SELECT id,
+  CASE WHEN ammo <> {SP.ammo_max} AND floor(({d(_NOW)} - last_refill) / {_IV}) > 0
+       THEN CAST(greatest(0, least({SP.ammo_max}, ammo + floor(({d(_NOW)} - last_refill) / {_IV}))) AS INTEGER)
+       ELSE ammo END AS ammo,
+  CASE WHEN ammo <> {SP.ammo_max} AND floor(({d(_NOW)} - last_refill) / {_IV}) > 0
+       THEN CAST(round({d(_NOW)}) AS BIGINT) ELSE last_refill END AS last_refill
+FROM a7""", "a7")
+oracle("m_clear_actions", """
+SELECT a.key, a.seq, a.action FROM actions a
+LEFT JOIN (SELECT key, arg_max(seq, (ts, seq)) AS off FROM actions
+           WHERE ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY key) o ON o.key = a.key
+WHERE o.off IS NULL OR a.seq > o.off""", "actions")
+oracle("m_get_or_create", """
+SELECT r.name, e.id, false AS created
+FROM (SELECT DISTINCT 'Supplier#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS name FROM events) r
+JOIN (SELECT name, min(id) AS id FROM actors GROUP BY name) e ON e.name = r.name
+UNION ALL
+SELECT name, (SELECT max(id) FROM actors) + row_number() OVER (ORDER BY name) AS id, true AS created
+FROM (SELECT DISTINCT 'Supplier#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS name FROM events) r
+WHERE NOT EXISTS (SELECT 1 FROM actors a WHERE a.name = r.name)""", "actors")
+oracle("m_constraint_violations", """
+SELECT 'pk_lineitem' AS rule, CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) AS key,
+       count(*) AS n
+FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
+UNION ALL
+SELECT 'pk_events', CAST(event_id AS VARCHAR), count(*) FROM events GROUP BY event_id HAVING count(*) > 1
+UNION ALL
+SELECT 'unique_supplier_name', s_name, count(*) FROM supplier GROUP BY s_name HAVING count(*) > 1
+UNION ALL
+SELECT 'not_null_events', CAST(event_id AS VARCHAR), count(*) FROM events
+WHERE user_id IS NULL OR ts IS NULL OR event_type IS NULL GROUP BY event_id
+UNION ALL
+SELECT 'fk_lineitem_part', CAST(l_partkey AS VARCHAR), count(*) FROM lineitem l
+WHERE l_partkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey)
+GROUP BY l_partkey
+UNION ALL
+SELECT 'fk_lineitem_supplier', CAST(l_suppkey AS VARCHAR), count(*) FROM lineitem l
+WHERE l_suppkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = l.l_suppkey)
+GROUP BY l_suppkey
+UNION ALL
+SELECT 'fk_lineitem_orders', CAST(l_orderkey AS VARCHAR), count(*) FROM lineitem l
+WHERE l_orderkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)
+GROUP BY l_orderkey
+UNION ALL
+SELECT 'fk_orders_customer', CAST(o_custkey AS VARCHAR), count(*) FROM orders o
+WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)
+GROUP BY o_custkey""")
+oracle("m_keyed_state", f"""
+SELECT id, name, {q6('x')} AS x, {q6('y')} AS y, {q6('dir')} AS dir FROM actors
+WHERE id IN (SELECT key FROM actions WHERE action = 'x')""", "actors", "actions")
+oracle("m_trajectory", f"""
+SELECT key, seq, {q6('x0 + sx / 1e9')} AS x, {q6('y0 + sy / 1e9')} AS y, {q6('dir')} AS dir
+FROM (
+  SELECT *,
+    sum(CAST(round(sgn * cos(dir) * {d(SP.move_speed)} * 1000000000) AS BIGINT))
+      OVER (PARTITION BY key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS sx,
+    sum(CAST(round(sgn * sin(dir) * {d(SP.move_speed)} * 1000000000) AS BIGINT))
+      OVER (PARTITION BY key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS sy
+  FROM (
+    SELECT t.*, coalesce(a.x, {d(SP.spawn_x)}) AS x0, coalesce(a.y, {d(SP.spawn_y)}) AS y0,
+      coalesce(a.dir, {d(SP.spawn_dir)}) + t.net * {d(SP.turn_speed)} AS dir,
+      CASE t.action WHEN 'w' THEN 1.0::DOUBLE WHEN 's' THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS sgn
+    FROM (SELECT *, sum(CASE action WHEN 'd' THEN 1 WHEN 'a' THEN -1 ELSE 0 END)
+                      OVER (PARTITION BY key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS net
+          FROM actions) t
+    LEFT JOIN actors a ON a.id = t.key) u) v""", "actions", "actors")
+_CAP, _TIV = WP.quota_max, WP.refill_interval_s * 1000000
+oracle("m_token_bucket", f"""
+WITH RECURSIVE ev AS (
+  SELECT key, seq, action, epoch_us(ts) AS us,
+         row_number() OVER (PARTITION BY key ORDER BY ts, seq) AS i
+  FROM actions),
+tb(key, i, seq, allowed, tokens, last) AS (
+  SELECT key, i, seq, allowed,
+    CASE WHEN t1 <> {_CAP} AND (us - last0) // {_TIV} > 0 THEN least({_CAP}, t1 + (us - last0) // {_TIV})
+         ELSE t1 END,
+    CASE WHEN t1 <> {_CAP} AND (us - last0) // {_TIV} > 0 THEN (us + 500000) // 1000000 * 1000000
+         ELSE last0 END
+  FROM (SELECT e.*, CASE WHEN action = 'x' THEN 1 ELSE 0 END AS allowed,
+               {_CAP} - CASE WHEN action = 'x' THEN 1 ELSE 0 END AS t1,
+               (us + 500000) // 1000000 * 1000000 AS last0
+        FROM ev e WHERE i = 1) f
+  UNION ALL
+  SELECT key, i, seq, allowed,
+    CASE WHEN t1 <> {_CAP} AND (us - last0) // {_TIV} > 0 THEN least({_CAP}, t1 + (us - last0) // {_TIV})
+         ELSE t1 END,
+    CASE WHEN t1 <> {_CAP} AND (us - last0) // {_TIV} > 0 THEN (us + 500000) // 1000000 * 1000000
+         ELSE last0 END
+  FROM (SELECT e.key, e.i, e.seq, e.us,
+               CASE WHEN e.action = 'x' AND p.tokens > 0 THEN 1 ELSE 0 END AS allowed,
+               p.tokens - CASE WHEN e.action = 'x' AND p.tokens > 0 THEN 1 ELSE 0 END AS t1,
+               p.last AS last0
+        FROM tb p JOIN ev e ON e.key = p.key AND e.i = p.i + 1) r)
+SELECT key, seq, CAST(allowed AS INTEGER) AS allowed, CAST(tokens AS INTEGER) AS tokens FROM tb""",
+       "actions")
