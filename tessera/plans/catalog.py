@@ -508,3 +508,88 @@ def q_m_token_bucket(spark, sf):
     w = World(spark, sf)
     t = state.token_bucket(w.actions(), w.wp.quota_max, w.wp.refill_interval_s)
     return t.select("key", "seq", "allowed", "tokens")
+
+
+# ---- X ------------------------------------------------------------------------
+
+LEADERBOARD_ROWS = 10
+
+
+def _status(spark, sf) -> DataFrame:
+    from tessera.operators import report
+    t = _Tick(spark, sf)
+    return t.a8.select("id", "team", "score", report.status_line().alias("line"))
+
+
+def _minimap_rows(spark, sf, cam: "_Camera | None" = None) -> DataFrame:
+    """Coverage window rows, y relative to the window (0 .. 2r)."""
+    from tessera.functions.num import floor_cell
+    cam = cam or _Camera(spark, sf)
+    r = cam.w.wp.coverage_radius
+    org = cam.w.actors().select("id", (floor_cell("x") - r).alias("x0"), (floor_cell("y") - r).alias("y0"))
+    cells = cam.coverage(spark).join(org, "id").select(
+        "id", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).cast("int").alias("y"), "ch")
+    return cam.c.raster_rows(cells)
+
+
+def _framed_minimap(spark, sf, cam=None):
+    from tessera.operators import report
+    rows = _minimap_rows(spark, sf, cam)
+    width = rows.agg(F.max(F.length("row"))).scalar()
+    return report.framed(rows, width), width
+
+
+@query
+def q_x_status_bars(spark, sf):
+    return _status(spark, sf).select("id", "line")
+
+
+@query
+def q_x_ranked_lines(spark, sf):
+    from tessera.operators import report
+    return report.ranked_lines(_status(spark, sf), ["team"], ["id"]).select("team", "id", "y", "line")
+
+
+@query
+def q_x_framed_union(spark, sf):
+    return _framed_minimap(spark, sf)[0]
+
+
+@query
+def q_x_panel_zip(spark, sf):
+    from pyspark.sql import Window
+    from tessera.operators import report
+    cam = _Camera(spark, sf)
+    view = report.framed(cam.c.raster_rows(cam.overlay(spark)), cam.w.vp.view_w)
+    mini, mini_w = _framed_minimap(spark, sf, cam)
+    top = _status(spark, sf).orderBy(F.desc("score"), "id").limit(LEADERBOARD_ROWS)
+    board = top.select((F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).alias("y"), "line")
+    return report.panel_zip(view, cam.w.vp.view_w, mini, mini_w, board, LEADERBOARD_ROWS)
+
+
+# ---- S ------------------------------------------------------------------------
+
+@query
+def q_s_latest_action(spark, sf):
+    from tessera.streaming import jobs
+    out = jobs.run_to_parquet(jobs.latest_action_windows(jobs.action_stream(spark, sf)), "s_latest_action")
+    return out.select("key", "window_start", "window_end", "action", "ts", "seq")
+
+
+@query
+def q_s_token_bucket(spark, sf):
+    from tessera.streaming import jobs
+    w = World(spark, sf)
+    st = jobs.token_bucket_stream(jobs.action_stream(spark, sf), w.wp.quota_max, w.wp.refill_interval_s)
+    return jobs.run_to_parquet(st, "s_token_bucket").select("key", "seq", "allowed", "tokens")
+
+
+@query
+def q_s_held_action(spark, sf):
+    from tessera.functions.num import epoch_micros
+    from tessera.streaming import jobs
+    w = World(spark, sf)
+    ticks = w.table("events").select(
+        F.col("event_id").alias("tick_id"), F.col("user_id").alias("key"),
+        (epoch_micros("ts") + (F.col("event_id") % 4) * 50_000).alias("tick_us"))
+    return jobs.held_action(ticks, w.actions()).select("tick_id", "key", "tick_us", "action")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans.oracle_base import _L, SP, WP, compose, d, q6
+from tessera.plans.oracle_base import _L, SP, VP, WP, compose, d, q6
 
 ORACLE: dict[str, str] = {}
 
@@ -122,14 +122,7 @@ oracle("m_credit", "SELECT id, score FROM a5", "a5")
 oracle("m_expire_hits", f"SELECT {_BK} FROM remaining", "remaining")
 oracle("m_respawn", f"SELECT id, {q6('x')} AS x, {q6('y')} AS y, {q6('dir')} AS dir FROM a6", "a6")
 oracle("m_reset", "SELECT id, hp, ammo FROM a7", "a7")
-oracle("m_refill", f"""
-SELECT id,
-  CASE WHEN ammo <> {SP.ammo_max} AND floor(({d(_NOW)} - last_refill) / {_IV}) > 0
-       THEN CAST(greatest(0, least({SP.ammo_max}, ammo + floor(({d(_NOW)} - last_refill) / {_IV}))) AS INTEGER)
-       ELSE ammo END AS ammo,
-  CASE WHEN ammo <> {SP.ammo_max} AND floor(({d(_NOW)} - last_refill) / {_IV}) > 0
-       THEN CAST(round({d(_NOW)}) AS BIGINT) ELSE last_refill END AS last_refill
-FROM a7""", "a7")
+oracle("m_refill", "SELECT id, ammo, last_refill FROM a8", "a8")
 oracle("m_clear_actions", """
 SELECT a.key, a.seq, a.action FROM actions a
 LEFT JOIN (SELECT key, arg_max(seq, (ts, seq)) AS off FROM actions
@@ -218,3 +211,36 @@ tb(key, i, seq, allowed, tokens, last) AS (
         FROM tb p JOIN ev e ON e.key = p.key AND e.i = p.i + 1) r)
 SELECT key, seq, CAST(allowed AS INTEGER) AS allowed, CAST(tokens AS INTEGER) AS tokens FROM tb""",
        "actions")
+
+# ---- X ------------------------------------------------------------------------
+oracle("x_status_bars", "SELECT id, line FROM status", "status")
+oracle("x_ranked_lines", """
+SELECT team, id, CAST(row_number() OVER (PARTITION BY team ORDER BY id) - 1 AS INTEGER) AS y, line
+FROM status""", "status")
+oracle("x_framed_union", "SELECT id, CAST(y AS INTEGER) AS y, line FROM mmf", "mmf")
+oracle("x_panel_zip", f"""
+SELECT i.id, CAST(i.y AS INTEGER) AS y,
+  coalesce(a.line, repeat(' ', {VP.view_w + 2})) || '   ' ||
+  coalesce(b.line, repeat(' ', (SELECT w FROM mmw) + 2)) || '   ' || coalesce(l.line, '') AS full_row
+FROM (SELECT t.id, g.y
+      FROM (SELECT id, max(y) AS top FROM (SELECT id, y FROM gvf UNION ALL SELECT id, y FROM mmf) u
+            GROUP BY id) t,
+           generate_series(-1, greatest(t.top, coalesce((SELECT max(y) FROM board), -1))) AS g(y)) i
+LEFT JOIN gvf a ON a.id = i.id AND a.y = i.y
+LEFT JOIN mmf b ON b.id = i.id AND b.y = i.y
+LEFT JOIN board l ON l.y = i.y""", "gvf", "mmf", "mmw", "board")
+
+# ---- S ------------------------------------------------------------------------
+oracle("s_latest_action", """
+SELECT key, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+       arg_max(action, (ts, seq)) AS action, max(ts) AS ts, arg_max(seq, (ts, seq)) AS seq
+FROM actions GROUP BY key, date_trunc('day', ts)
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM actions) - INTERVAL 1 HOUR""",
+       "actions")
+ORACLE["s_token_bucket"] = ORACLE["m_token_bucket"]
+oracle("s_held_action", """
+WITH t AS (SELECT event_id AS tick_id, user_id AS key,
+                  epoch_us(ts) + (event_id % 4) * 50000 AS tick_us FROM events),
+a AS (SELECT key, epoch_us(ts) AS us, seq, action FROM actions)
+SELECT t.tick_id, t.key, t.tick_us, CASE WHEN t.tick_us - a.us <= 100000 THEN a.action END AS action
+FROM t ASOF LEFT JOIN a ON t.key = a.key AND t.tick_us >= a.us""", "actions")
