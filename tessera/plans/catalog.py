@@ -9,6 +9,7 @@ oracle in ``plans/oracle.py``; doubles that pass through trig are quantised to
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -352,28 +353,72 @@ class _Tick:
     """One batch of the state machine over the fixture world: inputs -> moves ->
     turns -> spawn -> quota -> advance -> bounds -> walls -> hits -> credit ->
     expire -> respawn -> reset -> refill.  Collisions are computed once from the
-    post-move state and passed on."""
+    post-move state and passed on.  Stages are built on first use only."""
 
     def __init__(self, spark, sf):
         from tessera.operators import spatial, state
-        self.s, self.w = state, World(spark, sf)
-        w, s = self.w, state
-        grid = w.grid()
-        self.latest = s.latest_action(w.actions())
-        self.a1 = s.moves(w.actors(), self.latest, grid, w.sp, grid_rows=w.n_cells)
-        self.a2 = s.turns(self.a1, self.latest, w.sp)
-        self.spawned = s.spawn(self.a2, self.latest, w.sp)
-        self.a3 = s.consume_quota(self.a2, self.latest)
-        self.adv = s.advance(w.projectiles(), w.sp.projectile_speed)
-        inside = spatial.out_of_bounds(self.adv, grid, inside=True)
-        self.live = spatial.unblocked(inside, grid, grid_rows=w.n_cells)
-        self.coll = spatial.cell_join(self.live, self.a3)
-        self.a4 = s.apply_hits(self.a3, self.coll, w.sp.damage)
-        self.a5 = s.credit(self.a4, self.coll)
-        self.remaining = s.expire_hits(self.live, self.coll, BULLET_KEY)
-        self.a6 = s.respawn(self.a5, grid, w.wp.respawn_seed)
-        self.a7 = s.reset(self.a6, w.sp)
-        self.a8 = s.refill(self.a7, REFILL_NOW, REFILL_INTERVAL, w.sp.ammo_max)
+        self.s, self.j, self.w = state, spatial, World(spark, sf)
+
+    @cached_property
+    def grid(self):
+        return self.w.grid()
+
+    @cached_property
+    def latest(self):
+        return self.s.latest_action(self.w.actions())
+
+    @cached_property
+    def a1(self):
+        return self.s.moves(self.w.actors(), self.latest, self.grid, self.w.sp, grid_rows=self.w.n_cells)
+
+    @cached_property
+    def a2(self):
+        return self.s.turns(self.a1, self.latest, self.w.sp)
+
+    @cached_property
+    def spawned(self):
+        return self.s.spawn(self.a2, self.latest, self.w.sp)
+
+    @cached_property
+    def a3(self):
+        return self.s.consume_quota(self.a2, self.latest)
+
+    @cached_property
+    def adv(self):
+        return self.s.advance(self.w.projectiles(), self.w.sp.projectile_speed)
+
+    @cached_property
+    def live(self):
+        inside = self.j.out_of_bounds(self.adv, self.grid, inside=True)
+        return self.j.unblocked(inside, self.grid, grid_rows=self.w.n_cells)
+
+    @cached_property
+    def coll(self):
+        return self.j.cell_join(self.live, self.a3)
+
+    @cached_property
+    def a4(self):
+        return self.s.apply_hits(self.a3, self.coll, self.w.sp.damage)
+
+    @cached_property
+    def a5(self):
+        return self.s.credit(self.a4, self.coll)
+
+    @cached_property
+    def remaining(self):
+        return self.s.expire_hits(self.live, self.coll, BULLET_KEY)
+
+    @cached_property
+    def a6(self):
+        return self.s.respawn(self.a5, self.grid, self.w.wp.respawn_seed)
+
+    @cached_property
+    def a7(self):
+        return self.s.reset(self.a6, self.w.sp)
+
+    @cached_property
+    def a8(self):
+        return self.s.refill(self.a7, REFILL_NOW, REFILL_INTERVAL, self.w.sp.ammo_max)
 
 
 @query
