@@ -25,3 +25,4 @@ def bounded_broadcast(df: DataFrame, known_rows: int | None = None,
     if known_rows is not None:
         return F.broadcast(df) if known_rows <= max_rows else df
     return F.broadcast(df) if size_at_most(df, max_rows) else df
+

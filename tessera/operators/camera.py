@@ -186,14 +186,18 @@ def coverage_map(observers: DataFrame, cell_set: DataFrame, grid: DataFrame,
     win = (observers.select("id", floor_cell("x").alias("ox"), floor_cell("y").alias("oy"))
            .select("id", "oy", F.explode(F.sequence(F.col("ox") - radius, F.col("ox") + radius)).alias("x"))
            .select("id", "x", F.explode(F.sequence(F.col("oy") - radius, F.col("oy") + radius)).alias("y")))
-    base = bounded_broadcast(grid.select("x", "y", F.col("tile").alias("base")), known_rows=grid_rows)
+    from tessera.operators.raster import PackedGrid
     seen = cell_set.select("id", F.col("tile_x").alias("x"), F.col("tile_y").alias("y"),
                            F.col("tile").alias("seen"))
     icons = (mobs.select(floor_cell("x").alias("x"), floor_cell("y").alias("y"),
                          F.coalesce(F.col("icon"), F.lit("?")).alias("icon"))
              .groupBy("x", "y").agg(F.min("icon").alias("icon")))
-    j = (win.join(base, ["x", "y"], "left").join(seen, ["id", "x", "y"], "left")
-         .join(icons, ["x", "y"], "left"))
+    if isinstance(grid, PackedGrid):
+        j = grid.lookup(win, x="x", y="y", out="base")
+    else:
+        base = bounded_broadcast(grid.select("x", "y", F.col("tile").alias("base")), known_rows=grid_rows)
+        j = win.join(base, ["x", "y"], "left")
+    j = j.join(seen, ["id", "x", "y"], "left").join(icons, ["x", "y"], "left")
     ch = F.coalesce(
         F.when(F.col("seen").isNotNull(), F.col("icon")),
         F.when(F.col("seen") == "R", F.lit(".")).otherwise(F.col("seen")),

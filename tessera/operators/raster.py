@@ -92,3 +92,59 @@ def glyph_cells(stamps: DataFrame, id_col: str, lines_col: str,
     return chars.select("stamp_id", F.col("sx").cast("int").alias("sx"),
                         F.col("sy").cast("int").alias("sy"),
                         F.nullif(F.col("ch"), F.lit(transparent)).alias("ch"))
+
+
+
+class PackedGrid:
+    """A dense ``width x height`` grid packed as 64-cell words: one row per
+    (y, word) with one bit mask per priority layer.  A cell set in no layer holds
+    the default tile; cells outside [0, width) x [0, height) do not exist.
+
+    Built by ``bit_or`` aggregates over the covered cells only (no lattice, no
+    lambdas), so the whole grid costs height x ceil(width/64) small rows.  A point
+    finds its tile by an equi-join on (row, word) and a bit test, which is a
+    broadcast hash join while the rows stay under the bound (past it, a shuffle
+    join on the row and word)."""
+
+    WORD = 64
+
+    def __init__(self, masks: DataFrame, tiles: list[str], default: str, width: int, height: int):
+        self.masks, self.tiles, self.default = masks, tiles, default
+        self.width, self.height = width, height
+
+    @property
+    def n_rows(self) -> int:
+        return self.height * ((self.width + self.WORD - 1) // self.WORD)
+
+    @classmethod
+    def from_layers(cls, layers: list[tuple[DataFrame, str]], width: int, height: int,
+                    default: str = WALL) -> "PackedGrid":
+        marked = None
+        for i, (layer, _tile) in enumerate(layers):
+            part = layer.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"),
+                                F.lit(i).alias("li"))
+            marked = part if marked is None else marked.unionByName(part)
+        inside = (F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height)
+        bit = F.expr(f"shiftleft(CAST(1 AS BIGINT), x % {cls.WORD})")
+        masks = (marked.filter(inside)
+                 .groupBy("y", idiv("x", cls.WORD).cast("int").alias("w"))
+                 .agg(*[F.bit_or(F.when(F.col("li") == i, bit)).alias(f"m{i}") for i in range(len(layers))]))
+        return cls(masks, [t for _, t in layers], default, width, height)
+
+    def lookup(self, points: DataFrame, x: str = "cx", y: str = "cy", out: str = "tile") -> DataFrame:
+        from tessera.functions.joins import bounded_broadcast
+        side = self.masks.select(F.col("y").alias("_gy"), F.col("w").alias("_gw"),
+                                 *[F.col(f"m{i}").alias(f"_m{i}") for i in range(len(self.tiles))])
+        side = bounded_broadcast(side, known_rows=self.n_rows)
+        px, py = F.col(x), F.col(y)
+        j = points.withColumn("_pw", F.floor(px / self.WORD).cast("int")).join(
+            side, (py == F.col("_gy")) & (F.col("_pw") == F.col("_gw")), "left")
+        tile = None
+        for i, t in enumerate(self.tiles):
+            bit = F.expr(f"(shiftrightunsigned(_m{i}, {x} % {self.WORD}) & 1) = 1")
+            hit = F.coalesce(bit, F.lit(False))
+            tile = F.when(hit, F.lit(t)) if tile is None else tile.when(hit, F.lit(t))
+        tile = F.lit(self.default) if tile is None else tile.otherwise(F.lit(self.default))
+        inside = (px >= 0) & (px < self.width) & (py >= 0) & (py < self.height)
+        return (j.withColumn(out, F.when(inside, tile))
+                .drop("_pw", "_gy", "_gw", *[f"_m{i}" for i in range(len(self.tiles))]))

@@ -10,8 +10,10 @@ fish-eye corrected.  Off-grid points never stop a ray.
 Plan notes: rays are hash-partitioned on (id, col) before the explode so the
 12,900-rows-per-observer fan-out runs on every core, and the window that finds the
 first blocking row then needs no further exchange when the grid side is broadcast.
-The grid is broadcast only behind a size bound (``grid_rows`` from parameters, or
-a counted check); past it the join is a shuffle join on the cell.
+The grid is either a long (x, y, tile) DataFrame, broadcast only behind a size
+bound (``grid_rows``) and otherwise shuffle-joined on the cell, or a
+``raster.PackedGrid`` (64 cells per row), whose lookup never shuffles the points
+while its rows fit the broadcast bound.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.joins import bounded_broadcast
 from tessera.functions.num import cell
+from tessera.operators.raster import PackedGrid
 from tessera.params import ViewParams
 
 WALL = "#"
@@ -56,11 +59,19 @@ def _grid_side(grid: DataFrame, grid_rows: int | None) -> DataFrame:
     return bounded_broadcast(g, known_rows=grid_rows)
 
 
-def ray_march(rays: DataFrame, grid: DataFrame, vp: ViewParams = ViewParams(),
+def with_tiles(pts: DataFrame, grid, grid_rows: int | None = None) -> DataFrame:
+    """Adds ``tile`` (NULL off the grid) to points with cell columns (cx, cy);
+    ``grid`` is a long (x, y, tile) DataFrame or a ``PackedGrid``."""
+    if isinstance(grid, PackedGrid):
+        return grid.lookup(pts)
+    return pts.join(_grid_side(grid, grid_rows), ["cx", "cy"], "left")
+
+
+def ray_march(rays: DataFrame, grid, vp: ViewParams = ViewParams(),
               grid_rows: int | None = None) -> DataFrame:
     """(id, col, n, cx, cy, dist, tile): the march rows each ray really visits;
     ``tile`` is NULL off the grid."""
-    pts = march_points(rays, vp).join(_grid_side(grid, grid_rows), ["cx", "cy"], "left")
+    pts = with_tiles(march_points(rays, vp), grid, grid_rows)
     ray = Window.partitionBy("id", "col")
     h = F.min(F.when(F.col("tile") == WALL, F.col("n"))).over(ray)
     return (pts.withColumn("h", h)
@@ -76,17 +87,20 @@ def visible_cells(march: DataFrame) -> DataFrame:
             .agg(F.min("dist").alias("dist")))
 
 
-def first_hit(rays: DataFrame, grid: DataFrame, vp: ViewParams = ViewParams(),
+def first_hit(rays: DataFrame, grid, vp: ViewParams = ViewParams(),
               grid_rows: int | None = None) -> DataFrame:
     """(id, col, n, dist): nearest blocking march row per ray; rays without a hit are
     absent.  Direct route - no window: min(n) over blocked rows (the march never
     passes its first wall, so this equals the wall row of ``ray_march``).
     Needs fov < pi so that dist grows with n."""
     assert vp.fov < 3.141592653589793
-    walls = grid.filter(F.col("tile") == WALL).select(
-        F.col("x").alias("cx"), F.col("y").alias("cy"))
-    pts = march_points(rays, vp).join(
-        bounded_broadcast(walls, known_rows=grid_rows), ["cx", "cy"], "left_semi")
+    if isinstance(grid, PackedGrid):
+        pts = grid.lookup(march_points(rays, vp)).filter(F.col("tile") == WALL)
+    else:
+        walls = grid.filter(F.col("tile") == WALL).select(
+            F.col("x").alias("cx"), F.col("y").alias("cy"))
+        pts = march_points(rays, vp).join(
+            bounded_broadcast(walls, known_rows=grid_rows), ["cx", "cy"], "left_semi")
     return pts.groupBy("id", "col").agg(F.min("n").alias("n"),
                                         F.min_by("dist", "n").alias("dist"))
 

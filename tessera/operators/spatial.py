@@ -31,6 +31,11 @@ def cell_join(projectiles: DataFrame, actors: DataFrame, owner: str = "owner") -
             .filter(F.col(owner) != F.col("victim_id")))
 
 
+def _lines(grid):
+    from tessera.operators.raster import PackedGrid
+    return grid if isinstance(grid, PackedGrid) else None
+
+
 def _walls(grid: DataFrame, grid_rows: int | None) -> DataFrame:
     w = grid.filter(F.col("tile") == WALL).select(F.col("x").alias("cx"), F.col("y").alias("cy"))
     return bounded_broadcast(w, known_rows=grid_rows)
@@ -39,6 +44,9 @@ def _walls(grid: DataFrame, grid_rows: int | None) -> DataFrame:
 def cell_lookup(points: DataFrame, grid: DataFrame, x: str = "x", y: str = "y",
                 grid_rows: int | None = None) -> DataFrame:
     """Points whose cell exists in the grid and is not blocking (off-grid = rejected)."""
+    if _lines(grid):
+        t = grid.lookup(with_cell(points, x, y))
+        return t.filter(F.col("tile").isNotNull() & (F.col("tile") != WALL)).drop("cx", "cy", "tile")
     g = bounded_broadcast(grid.select(F.col("x").alias("cx"), F.col("y").alias("cy"), "tile"),
                           known_rows=grid_rows)
     return (with_cell(points, x, y).join(g, ["cx", "cy"])
@@ -47,11 +55,17 @@ def cell_lookup(points: DataFrame, grid: DataFrame, x: str = "x", y: str = "y",
 
 def blocked(points: DataFrame, grid: DataFrame, grid_rows: int | None = None) -> DataFrame:
     """Points whose cell is blocking (EXISTS)."""
+    if _lines(grid):
+        return (grid.lookup(with_cell(points)).filter(F.col("tile") == WALL)
+                .drop("cx", "cy", "tile"))
     return with_cell(points).join(_walls(grid, grid_rows), ["cx", "cy"], "left_semi").drop("cx", "cy")
 
 
 def unblocked(points: DataFrame, grid: DataFrame, grid_rows: int | None = None) -> DataFrame:
     """The complement of ``blocked``: off-grid points survive here."""
+    if _lines(grid):
+        return (grid.lookup(with_cell(points))
+                .filter(F.col("tile").isNull() | (F.col("tile") != WALL)).drop("cx", "cy", "tile"))
     return with_cell(points).join(_walls(grid, grid_rows), ["cx", "cy"], "left_anti").drop("cx", "cy")
 
 
@@ -65,8 +79,11 @@ def out_of_bounds(points: DataFrame, grid: DataFrame, kind_col: str | None = Non
     the last test is restricted to ``kind``); the default applies the kind filter to
     the whole disjunction, which is what the reference intends.  ``inside=True``
     returns the complement (the rows a DELETE would keep)."""
-    mx = grid.agg(F.max("x")).scalar()
-    my = grid.agg(F.max("y")).scalar()
+    if _lines(grid):
+        mx, my = F.lit(grid.width - 1), F.lit(grid.height - 1)
+    else:
+        mx = grid.agg(F.max("x")).scalar()
+        my = grid.agg(F.max("y")).scalar()
     x, y = F.col("x"), F.col("y")
     is_kind = F.lit(True) if kind_col is None else (F.col(kind_col) == kind)
     if as_written:

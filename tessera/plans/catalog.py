@@ -90,7 +90,7 @@ def _rays(w: World, spark) -> DataFrame:
 
 
 def _march(w: World, spark) -> DataFrame:
-    return sight.ray_march(_rays(w, spark), w.grid(), w.vp, grid_rows=w.n_cells)
+    return sight.ray_march(_rays(w, spark), w.packed(), w.vp)
 
 
 def _visible(w: World, spark) -> DataFrame:
@@ -98,7 +98,7 @@ def _visible(w: World, spark) -> DataFrame:
 
 
 def _hits(w: World, spark) -> DataFrame:
-    return sight.first_hit(_rays(w, spark), w.grid(), w.vp, grid_rows=w.n_cells)
+    return sight.first_hit(_rays(w, spark), w.packed(), w.vp)
 
 
 @query
@@ -165,7 +165,8 @@ class _Camera:
         self.c, self.w = camera, World(spark, sf)
         w, vp = self.w, self.w.vp
         self.rays = _rays(w, spark)
-        self.hits = sight.first_hit(self.rays, w.grid(), vp, grid_rows=w.n_cells)
+        self.lines = w.packed()
+        self.hits = sight.first_hit(self.rays, self.lines, vp)
         self.depths = sight.ray_depth(self.rays, self.hits, vp)
         self.heights = camera.column_height(self.depths, vp)
         self.frame = camera.observer_frame(w.actors(), w.targets(), w.wp.frame_radius)
@@ -177,8 +178,7 @@ class _Camera:
         return self.c.column_raster(self.heights, self.w.vp)
 
     def visible(self, spark):
-        return sight.visible_cells(sight.ray_march(self.rays, self.w.grid(), self.w.vp,
-                                                   grid_rows=self.w.n_cells))
+        return sight.visible_cells(sight.ray_march(self.rays, self.lines, self.w.vp))
 
     def expanded(self):
         return self.c.stamp_expand(self.lod, self.w.stamps(), self.w.stamp_pixels(), self.w.vp,
@@ -205,8 +205,8 @@ class _Camera:
     def coverage(self, spark):
         w = self.w
         mobs = w.targets().select("x", "y", "icon").unionByName(w.actors().select("x", "y", "icon"))
-        return self.c.coverage_map(w.actors(), self.cell_set(spark), w.grid(), mobs,
-                                   w.wp.coverage_radius, grid_rows=w.n_cells)
+        return self.c.coverage_map(w.actors(), self.cell_set(spark), self.lines, mobs,
+                                   w.wp.coverage_radius)
 
 
 @query
@@ -315,7 +315,7 @@ def q_j_cell_lookup(spark, sf):
     from tessera.operators import spatial, state
     w = World(spark, sf)
     moved = state.advance(w.projectiles(), w.sp.projectile_speed)
-    ok = spatial.cell_lookup(moved, w.grid(), grid_rows=w.n_cells)
+    ok = spatial.cell_lookup(moved, w.packed())
     return ok.select(*BULLET_KEY, q6("x").alias("x"), q6("y").alias("y"))
 
 
@@ -323,14 +323,14 @@ def q_j_cell_lookup(spark, sf):
 def q_j_blocked(spark, sf):
     from tessera.operators import spatial
     w = World(spark, sf)
-    return spatial.blocked(w.projectiles(), w.grid(), grid_rows=w.n_cells).select(*BULLET_KEY)
+    return spatial.blocked(w.projectiles(), w.packed()).select(*BULLET_KEY)
 
 
 @query
 def q_j_unblocked(spark, sf):
     from tessera.operators import spatial
     w = World(spark, sf)
-    return spatial.unblocked(w.projectiles(), w.grid(), grid_rows=w.n_cells).select(*BULLET_KEY)
+    return spatial.unblocked(w.projectiles(), w.packed()).select(*BULLET_KEY)
 
 
 @query
@@ -338,7 +338,7 @@ def q_j_out_of_bounds(spark, sf):
     from tessera.operators import spatial, state
     w = World(spark, sf)
     moved = state.advance(w.projectiles(), w.sp.projectile_speed).withColumn("kind", F.lit("bullet"))
-    oob = spatial.out_of_bounds(moved, w.grid(), "kind", "bullet")
+    oob = spatial.out_of_bounds(moved, w.packed(), "kind", "bullet")
     return oob.select(*BULLET_KEY, q6("x").alias("x"), q6("y").alias("y"))
 
 
@@ -361,7 +361,7 @@ class _Tick:
 
     @cached_property
     def grid(self):
-        return self.w.grid()
+        return self.w.packed()
 
     @cached_property
     def latest(self):
@@ -369,7 +369,7 @@ class _Tick:
 
     @cached_property
     def a1(self):
-        return self.s.moves(self.w.actors(), self.latest, self.grid, self.w.sp, grid_rows=self.w.n_cells)
+        return self.s.moves(self.w.actors(), self.latest, self.grid, self.w.sp)
 
     @cached_property
     def a2(self):
@@ -390,7 +390,7 @@ class _Tick:
     @cached_property
     def live(self):
         inside = self.j.out_of_bounds(self.adv, self.grid, inside=True)
-        return self.j.unblocked(inside, self.grid, grid_rows=self.w.n_cells)
+        return self.j.unblocked(inside, self.grid)
 
     @cached_property
     def coll(self):
@@ -410,7 +410,8 @@ class _Tick:
 
     @cached_property
     def a6(self):
-        return self.s.respawn(self.a5, self.grid, self.w.wp.respawn_seed)
+        spawns = self.w.respawns().withColumn("tile", F.lit("R"))
+        return self.s.respawn(self.a5, spawns, self.w.wp.respawn_seed)
 
     @cached_property
     def a7(self):

@@ -113,6 +113,13 @@ class World:
         return raster.classify_cells(
             self.lattice(), [(self.respawns(), raster.RESPAWN), (self.floors(), raster.FLOOR)])
 
+    def packed(self) -> raster.PackedGrid:
+        """The same grid packed 64 cells per row (see ``raster.PackedGrid``), built
+        from the layers without materialising the lattice."""
+        return raster.PackedGrid.from_layers(
+            [(self.respawns(), raster.RESPAWN), (self.floors(), raster.FLOOR)],
+            self.width, self.height)
+
     # ---- points ---------------------------------------------------------------
     def actors(self) -> DataFrame:
         """id, name, team, x, y, dir, hp, ammo, score, last_refill, kind, world_w,

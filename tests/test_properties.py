@@ -88,3 +88,24 @@ def test_overlay_keeps_base_rows(world, spark):
     from tessera.plans.catalog import _Camera
     cam = _Camera(spark, SF_SMALL)
     assert cam.overlay(spark).count() == cam.base().count()
+
+
+def test_packed_grid_equals_long_grid(world, spark):
+    """Every lattice cell and a ring of off-grid cells: same tile (NULL off the grid)."""
+    g = world.grid()
+    probe = (spark.range(-1, world.width + 1).select(F.col("id").cast("int").alias("cx"))
+             .crossJoin(spark.range(-1, world.height + 1).select(F.col("id").cast("int").alias("cy"))))
+    packed = world.packed().lookup(probe)
+    want = probe.join(g.select(F.col("x").alias("cx"), F.col("y").alias("cy"), "tile"), ["cx", "cy"], "left")
+    assert packed.select("cx", "cy", "tile").exceptAll(want.select("cx", "cy", "tile")).count() == 0
+    assert packed.count() == want.count()
+
+
+def test_packed_grid_high_bits(spark):
+    """Cells at bit 0 and bit 63 of a word whose mask is negative."""
+    from tessera.operators.raster import PackedGrid
+    cells = spark.createDataFrame([(0, 0), (63, 0), (64, 0), (127, 0)], "x int, y int")
+    pg = PackedGrid.from_layers([(cells, ".")], 128, 1)
+    probe = spark.createDataFrame([(x, 0) for x in (0, 1, 62, 63, 64, 65, 126, 127, 128)], "cx int, cy int")
+    got = {r.cx: r.tile for r in pg.lookup(probe).collect()}
+    assert got == {0: ".", 1: "#", 62: "#", 63: ".", 64: ".", 65: "#", 126: "#", 127: ".", 128: None}
