@@ -177,6 +177,19 @@ def raster_rows(cells: DataFrame, key: str = "id", x: str = "x", y: str = "y",
     return cells.groupBy(key, y).agg(row.alias("row"))
 
 
+def overlay_rows(base: DataFrame, top: DataFrame) -> DataFrame:
+    """``raster_rows(overlay(base, top))`` in one aggregation instead of a pixel join
+    followed by a second shuffle: base and top pixels are unioned with a priority,
+    grouped per (id, y), sorted by (x, priority) and the first entry of every x is
+    kept.  Top pixels always lie on the base screen (spans are clamped to it)."""
+    b = base.select("id", "x", "y", F.lit(1).alias("p"), "ch")
+    t = top.select("id", F.col("px").alias("x"), F.col("py").alias("y"), F.lit(0).alias("p"), "ch")
+    g = (b.unionByName(t).groupBy("id", "y")
+         .agg(F.array_sort(F.collect_list(F.struct("x", "p", "ch"))).alias("_px")))
+    first = F.filter("_px", lambda e, i: (i == 0) | (F.col("_px")[i - 1]["x"] != e["x"]))
+    return g.select("id", "y", F.array_join(F.transform(first, lambda e: e["ch"]), "").alias("row"))
+
+
 def coverage_map(observers: DataFrame, cell_set: DataFrame, grid: DataFrame,
                  mobs: DataFrame, radius: int, grid_rows: int | None = None) -> DataFrame:
     """(id, x, y, ch) over a (2r+1)^2 window around each observer (floor-binned):

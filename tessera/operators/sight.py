@@ -44,14 +44,29 @@ def ray_fan(observers: DataFrame, vp: ViewParams = ViewParams(),
 
 
 def march_points(rays: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
-    """Every candidate march row n = 1..max_steps of every ray (no stopping yet)."""
+    """Every candidate march row n = 1..max_steps of every ray (no stopping yet).
+
+    ``entry`` marks the first row of the ray in its cell (n = 1, or row n - 1, in the
+    same closed form, lies in another cell).  The samples of a straight ray that
+    round to one cell are contiguous in n (a cell is convex and the rounding is
+    monotone), and ``dist`` grows with n, so the entry row of a cell carries the
+    cell's smallest distance and the first blocking row is always an entry row."""
     pts = rays.select("id", "col", "angle", "dir", "x", "y",
                       F.explode(F.sequence(F.lit(1), F.lit(vp.max_steps))).alias("n"))
-    fx = F.col("x") + F.col("n") * (F.lit(vp.step) * F.cos("angle"))
-    fy = F.col("y") + F.col("n") * (F.lit(vp.step) * F.sin("angle"))
+    dx, dy = F.lit(vp.step) * F.cos("angle"), F.lit(vp.step) * F.sin("angle")
+    cx, cy = cell(F.col("x") + F.col("n") * dx), cell(F.col("y") + F.col("n") * dy)
+    px, py = cell(F.col("x") + (F.col("n") - 1) * dx), cell(F.col("y") + (F.col("n") - 1) * dy)
     dist = (F.col("n") - 1) * F.lit(vp.step) * F.cos(F.col("angle") - F.col("dir"))
-    return pts.select("id", "col", "n", cell(fx).alias("cx"), cell(fy).alias("cy"),
-                      dist.alias("dist"))
+    return (pts.select("id", "col", "n", cx.alias("cx"), cy.alias("cy"), dist.alias("dist"),
+                       px.alias("_px"), py.alias("_py"))
+            .withColumn("entry", (F.col("n") == 1) | (F.col("cx") != F.col("_px"))
+                        | (F.col("cy") != F.col("_py")))
+            .drop("_px", "_py"))
+
+
+def entry_points(rays: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
+    """The entry rows of ``march_points`` only (about one row per cell crossed)."""
+    return march_points(rays, vp).filter(F.col("entry")).drop("entry")
 
 
 def _grid_side(grid: DataFrame, grid_rows: int | None) -> DataFrame:
@@ -71,7 +86,11 @@ def ray_march(rays: DataFrame, grid, vp: ViewParams = ViewParams(),
               grid_rows: int | None = None) -> DataFrame:
     """(id, col, n, cx, cy, dist, tile): the march rows each ray really visits;
     ``tile`` is NULL off the grid."""
-    pts = with_tiles(march_points(rays, vp), grid, grid_rows)
+    pts = with_tiles(march_points(rays, vp).drop("entry"), grid, grid_rows)
+    return _stop_at_first_wall(pts)
+
+
+def _stop_at_first_wall(pts: DataFrame) -> DataFrame:
     ray = Window.partitionBy("id", "col")
     h = F.min(F.when(F.col("tile") == WALL, F.col("n"))).over(ray)
     return (pts.withColumn("h", h)
@@ -81,25 +100,38 @@ def ray_march(rays: DataFrame, grid, vp: ViewParams = ViewParams(),
 
 def visible_cells(march: DataFrame) -> DataFrame:
     """(id, col, tile_x, tile_y, tile, dist): marched rows on the grid, nearest entry
-    per (observer, column, cell)."""
+    per (observer, column, cell).  The definition; ``visible_entries`` is the same
+    table computed from entry rows only."""
     return (march.filter(F.col("tile").isNotNull())
             .groupBy("id", "col", F.col("cx").alias("tile_x"), F.col("cy").alias("tile_y"), "tile")
             .agg(F.min("dist").alias("dist")))
 
 
+def visible_entries(rays: DataFrame, grid, vp: ViewParams = ViewParams(),
+                    grid_rows: int | None = None, keep_n: bool = False) -> DataFrame:
+    """``visible_cells(ray_march(rays, grid))`` without the full march: each visited
+    cell is its entry row (which holds the cell's smallest distance), and the
+    first wall is an entry row too, so the stop window runs over entry rows only and
+    no aggregate is needed.  About 10x fewer rows are looked up and sorted."""
+    pts = with_tiles(entry_points(rays, vp), grid, grid_rows)
+    vis = _stop_at_first_wall(pts).filter(F.col("tile").isNotNull())
+    cols = ["id", "col", F.col("cx").alias("tile_x"), F.col("cy").alias("tile_y"), "tile", "dist"]
+    return vis.select(*cols, *(["n"] if keep_n else []))
+
+
 def first_hit(rays: DataFrame, grid, vp: ViewParams = ViewParams(),
               grid_rows: int | None = None) -> DataFrame:
     """(id, col, n, dist): nearest blocking march row per ray; rays without a hit are
-    absent.  Direct route - no window: min(n) over blocked rows (the march never
+    absent.  Direct route - no window: min(n) over blocked entry rows (the march never
     passes its first wall, so this equals the wall row of ``ray_march``).
     Needs fov < pi so that dist grows with n."""
     assert vp.fov < 3.141592653589793
     if isinstance(grid, PackedGrid):
-        pts = grid.lookup(march_points(rays, vp)).filter(F.col("tile") == WALL)
+        pts = grid.lookup(entry_points(rays, vp)).filter(F.col("tile") == WALL)
     else:
         walls = grid.filter(F.col("tile") == WALL).select(
             F.col("x").alias("cx"), F.col("y").alias("cy"))
-        pts = march_points(rays, vp).join(
+        pts = entry_points(rays, vp).join(
             bounded_broadcast(walls, known_rows=grid_rows), ["cx", "cy"], "left_semi")
     return pts.groupBy("id", "col").agg(F.min("n").alias("n"),
                                         F.min_by("dist", "n").alias("dist"))

@@ -94,7 +94,7 @@ def _march(w: World, spark) -> DataFrame:
 
 
 def _visible(w: World, spark) -> DataFrame:
-    return sight.visible_cells(_march(w, spark))
+    return sight.visible_entries(_rays(w, spark), w.packed(), w.vp)
 
 
 def _hits(w: World, spark) -> DataFrame:
@@ -178,7 +178,7 @@ class _Camera:
         return self.c.column_raster(self.heights, self.w.vp)
 
     def visible(self, spark):
-        return sight.visible_cells(sight.ray_march(self.rays, self.lines, self.w.vp))
+        return sight.visible_entries(self.rays, self.lines, self.w.vp)
 
     def expanded(self):
         return self.c.stamp_expand(self.lod, self.w.stamps(), self.w.stamp_pixels(), self.w.vp,
@@ -199,6 +199,9 @@ class _Camera:
     def overlay(self, spark):
         return self.c.overlay(self.base(), self.nearest(spark))
 
+    def rows(self, spark):
+        return self.c.overlay_rows(self.base(), self.nearest(spark))
+
     def cell_set(self, spark):
         return sight.visible_cell_set(self.visible(spark))
 
@@ -280,8 +283,7 @@ def q_c_overlay(spark, sf):
 
 @query
 def q_c_raster_rows(spark, sf):
-    cam = _Camera(spark, sf)
-    return cam.c.raster_rows(cam.overlay(spark))
+    return _Camera(spark, sf).rows(spark)
 
 
 @query
@@ -580,8 +582,11 @@ def _minimap_rows(spark, sf, cam: "_Camera | None" = None) -> DataFrame:
 
 def _framed_minimap(spark, sf, cam=None):
     from tessera.operators import report
+    cam = cam or _Camera(spark, sf)
     rows = _minimap_rows(spark, sf, cam)
-    width = rows.agg(F.max(F.length("row"))).scalar()
+    # every minimap row holds one character per cell of the (2r+1)-wide window, so
+    # the widest row is known from the parameter (no second pass over the rows)
+    width = 2 * cam.w.wp.coverage_radius + 1
     return report.framed(rows, width), width
 
 
@@ -606,7 +611,7 @@ def q_x_panel_zip(spark, sf):
     from pyspark.sql import Window
     from tessera.operators import report
     cam = _Camera(spark, sf)
-    view = report.framed(cam.c.raster_rows(cam.overlay(spark)), cam.w.vp.view_w)
+    view = report.framed(cam.rows(spark), cam.w.vp.view_w)
     mini, mini_w = _framed_minimap(spark, sf, cam)
     top = _status(spark, sf).orderBy(F.desc("score"), "id").limit(LEADERBOARD_ROWS)
     board = top.select((F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).alias("y"), "line")

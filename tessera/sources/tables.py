@@ -3,6 +3,8 @@ filters into the scan."""
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -14,5 +16,21 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+_READS: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
+
+
+def session_memo(store: weakref.WeakKeyDictionary, spark: SparkSession) -> dict:
+    """A dict that lives as long as the session object does."""
+    d = store.get(spark)
+    if d is None:
+        d = store[spark] = {}
+    return d
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    """One DataFrame per (session, table): the file listing happens once, and plans
+    that read a table twice share one relation."""
+    memo, path = session_memo(_READS, spark), table_path(sf_dir, name)
+    if path not in memo:
+        memo[path] = spark.read.parquet(path)
+    return memo[path]

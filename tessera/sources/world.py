@@ -19,6 +19,7 @@ The same formulas are written independently in DuckDB SQL in ``plans/oracle.py``
 
 from __future__ import annotations
 
+import weakref
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.functions.num import idiv
 from tessera.operators import raster
 from tessera.params import StateParams, ViewParams, WorldParams
-from tessera.sources.tables import read_table
+from tessera.sources.tables import read_table, session_memo
 
 # Event type -> action letter of the reference's input table
 # (w forward, s back, a left turn, d right turn, x shoot).
@@ -45,6 +46,8 @@ STAMPS = [
 # Level-of-detail table (kind, strict min depth, stamp id).
 LOD = [("bullet", 4.0, 4), ("player", 6.0, 2), ("player", 3.0, 1)]
 
+_BANDS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
 BASE_EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -61,9 +64,13 @@ class World:
     # ---- extent ---------------------------------------------------------------
     @cached_property
     def n_bands(self) -> int:
-        """Bands in the world: one scalar aggregate over part keys."""
-        mx = self.table("part").agg(F.max("p_partkey")).first()[0]
-        return int(mx) // self.wp.parts_per_band + 1 if mx is not None else 1
+        """Bands in the world: one scalar aggregate over part keys (run once per
+        session and table directory)."""
+        memo, key = session_memo(_BANDS, self.spark), (self.sf_dir, self.wp.parts_per_band)
+        if key not in memo:
+            mx = self.table("part").agg(F.max("p_partkey")).first()[0]
+            memo[key] = int(mx) // self.wp.parts_per_band + 1 if mx is not None else 1
+        return memo[key]
 
     @property
     def width(self) -> int:

@@ -32,6 +32,34 @@ def test_visible_cells_are_grid_cells(world):
     assert vis.join(g, ["tile_x", "tile_y", "tile"], "left_anti").count() == 0
 
 
+def _same_rows(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_entry_rows_give_the_visible_cells_of_the_full_march(world, packed):
+    """The fast path (entry rows only, no aggregate) equals the definition
+    (every march row, grouped per cell) on the whole fixture world."""
+    rays = sight.ray_fan(world.actors(), world.vp)
+    grid = world.packed() if packed else world.grid()
+    full = sight.visible_cells(sight.ray_march(rays, grid, world.vp))
+    fast = sight.visible_entries(rays, grid, world.vp)
+    assert _same_rows(full, fast)
+
+
+def test_first_hit_is_the_wall_row_of_the_full_march(world):
+    rays = sight.ray_fan(world.actors(), world.vp)
+    m = sight.ray_march(rays, world.grid(), world.vp)
+    walls = m.filter(F.col("tile") == "#").select("id", "col", "n", "dist")
+    assert _same_rows(walls, sight.first_hit(rays, world.packed(), world.vp))
+
+
+def test_fused_overlay_rows_equal_overlay_then_rows(spark):
+    from tessera.plans.catalog import _Camera
+    cam = _Camera(spark, SF_SMALL)
+    assert _same_rows(cam.c.raster_rows(cam.overlay(spark)), cam.rows(spark))
+
+
 def test_blocked_plus_unblocked_is_input(world):
     p = world.projectiles()
     assert (spatial.blocked(p, world.grid()).count() + spatial.unblocked(p, world.grid()).count()
