@@ -171,23 +171,26 @@ def overlay(base: DataFrame, top: DataFrame) -> DataFrame:
 def raster_rows(cells: DataFrame, key: str = "id", x: str = "x", y: str = "y",
                 ch: str = "ch") -> DataFrame:
     """One string per (key, y), characters ordered by x.  A group is one raster row,
-    bounded by the view width, not by the data."""
-    row = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(x, ch))),
-                                   lambda s: s[ch]), "")
+    bounded by the view width, not by the data.  No lambdas: the (x, ch) structs
+    sort by their natural order and the characters are read off as one field."""
+    row = F.array_join(F.sort_array(F.collect_list(F.struct(x, ch)))[ch], "")
     return cells.groupBy(key, y).agg(row.alias("row"))
 
 
 def overlay_rows(base: DataFrame, top: DataFrame) -> DataFrame:
-    """``raster_rows(overlay(base, top))`` in one aggregation instead of a pixel join
-    followed by a second shuffle: base and top pixels are unioned with a priority,
-    grouped per (id, y), sorted by (x, priority) and the first entry of every x is
-    kept.  Top pixels always lie on the base screen (spans are clamped to it)."""
-    b = base.select("id", "x", "y", F.lit(1).alias("p"), "ch")
-    t = top.select("id", F.col("px").alias("x"), F.col("py").alias("y"), F.lit(0).alias("p"), "ch")
-    g = (b.unionByName(t).groupBy("id", "y")
-         .agg(F.array_sort(F.collect_list(F.struct("x", "p", "ch"))).alias("_px")))
-    first = F.filter("_px", lambda e, i: (i == 0) | (F.col("_px")[i - 1]["x"] != e["x"]))
-    return g.select("id", "y", F.array_join(F.transform(first, lambda e: e["ch"]), "").alias("row"))
+    """``raster_rows(overlay(base, top))`` without a join of every base pixel: the
+    base rows are assembled first, the (sparse) top pixels are grouped per (id, y)
+    and written into their row with ``overlay`` at position x + 1.  Both sides are
+    one row per (id, y), so the join is small.  Needs full base rows (every x from
+    0), which the column raster has by construction; top pixels always lie on the
+    base screen (spans are clamped to it)."""
+    rows = raster_rows(base)
+    t = (top.groupBy("id", F.col("py").alias("y"))
+         .agg(F.collect_list(F.struct("px", "ch")).alias("_top")))
+    patch = F.aggregate("_top", F.col("row"),
+                        lambda acc, p: F.overlay(acc, p["ch"], p["px"] + 1, F.lit(1)))
+    return (rows.join(t, ["id", "y"], "left")
+            .select("id", "y", F.when(F.col("_top").isNull(), F.col("row")).otherwise(patch).alias("row")))
 
 
 def coverage_map(observers: DataFrame, cell_set: DataFrame, grid: DataFrame,
