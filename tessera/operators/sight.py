@@ -152,5 +152,7 @@ def ray_extent(visible: DataFrame) -> DataFrame:
 
 
 def visible_cell_set(visible: DataFrame) -> DataFrame:
-    """(id, tile_x, tile_y, tile): cells an observer sees over all its rays."""
-    return visible.groupBy("id", "tile_x", "tile_y").agg(F.min("tile").alias("tile"))
+    """(id, tile_x, tile_y, tile): cells an observer sees over all its rays.  A cell
+    has one tile, so this is a distinct on the four columns (a hash aggregate with
+    no buffer, where ``min(tile)`` would need a sort-based one)."""
+    return visible.select("id", "tile_x", "tile_y", "tile").distinct()
