@@ -67,14 +67,19 @@ def classify_cells(cells: DataFrame, layers: list[tuple[DataFrame, str]],
     """
     n = len(layers)
     marked = None
-    for i, (layer, tile) in enumerate(layers):
+    for i, (layer, _tile) in enumerate(layers):
         part = layer.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"),
-                            F.lit(n - i).alias("prio"), F.lit(tile).alias("tile"))
+                            F.lit(n - i).alias("prio"))
         marked = part if marked is None else marked.unionByName(part)
-    best = (marked.groupBy("x", "y")
-            .agg(F.max_by("tile", "prio").alias("tile")))
-    return (cells.join(best, ["x", "y"], "left")
-            .select("x", "y", F.coalesce(F.col("tile"), F.lit(default)).alias("tile")))
+    # max(prio) is a fixed-width hash aggregate; the winning priority maps back to
+    # its tile by a CASE (max_by over a string would need a sort-based aggregate)
+    best = marked.groupBy("x", "y").agg(F.max("prio").alias("prio"))
+    tile = None
+    for i, (_layer, t) in enumerate(layers):
+        hit = F.col("prio") == n - i
+        tile = F.when(hit, F.lit(t)) if tile is None else tile.when(hit, F.lit(t))
+    tile = F.lit(default) if tile is None else tile.otherwise(F.lit(default))
+    return cells.join(best, ["x", "y"], "left").select("x", "y", tile.alias("tile"))
 
 
 def grid_extent(grid: DataFrame) -> DataFrame:

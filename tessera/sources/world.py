@@ -116,16 +116,24 @@ class World:
         return raster.rect_centroids(
             raster.filter_rects(self.norm_rects(), self.wp.min_room, self.wp.min_room))
 
+    def layers(self) -> list[tuple[DataFrame, str]]:
+        """Priority layers of the grid, highest first: respawn > floor (> wall)."""
+        return [(self.respawns(), raster.RESPAWN), (self.floors(), raster.FLOOR)]
+
+    def grid_by_overlay(self) -> DataFrame:
+        """The grid as the plain priority overlay joined to the lattice (definition)."""
+        return raster.classify_cells(self.lattice(), self.layers())
+
     def grid(self) -> DataFrame:
-        return raster.classify_cells(
-            self.lattice(), [(self.respawns(), raster.RESPAWN), (self.floors(), raster.FLOOR)])
+        """(x, y, tile) for every lattice cell: the lattice (a distributed range, never
+        shuffled) probes the packed grid, which is broadcast while its
+        height x ceil(width/64) rows fit the bound."""
+        return self.packed().lookup(self.lattice(), x="x", y="y", out="tile")
 
     def packed(self) -> raster.PackedGrid:
         """The same grid packed 64 cells per row (see ``raster.PackedGrid``), built
         from the layers without materialising the lattice."""
-        return raster.PackedGrid.from_layers(
-            [(self.respawns(), raster.RESPAWN), (self.floors(), raster.FLOOR)],
-            self.width, self.height)
+        return raster.PackedGrid.from_layers(self.layers(), self.width, self.height)
 
     # ---- points ---------------------------------------------------------------
     def actors(self) -> DataFrame:

@@ -119,8 +119,9 @@ def test_overlay_keeps_base_rows(world, spark):
 
 
 def test_packed_grid_equals_long_grid(world, spark):
-    """Every lattice cell and a ring of off-grid cells: same tile (NULL off the grid)."""
-    g = world.grid()
+    """Every lattice cell and a ring of off-grid cells: same tile (NULL off the grid)
+    as the plain priority overlay joined to the lattice."""
+    g = world.grid_by_overlay()
     probe = (spark.range(-1, world.width + 1).select(F.col("id").cast("int").alias("cx"))
              .crossJoin(spark.range(-1, world.height + 1).select(F.col("id").cast("int").alias("cy"))))
     packed = world.packed().lookup(probe)

@@ -18,8 +18,13 @@ def _split_events(n_files: int = 4) -> str:
     d = tempfile.mkdtemp(prefix="tessera-events-")
     t = pq.read_table(f"{SF_SMALL}/events.parquet").sort_by("ts")
     step = (t.num_rows + n_files - 1) // n_files
+    base = 1_700_000_000
     for i in range(n_files):
-        pq.write_table(t.slice(i * step, step), os.path.join(d, f"events-{i}.parquet"))
+        f = os.path.join(d, f"events-{i}.parquet")
+        pq.write_table(t.slice(i * step, step), f)
+        # the file source takes files oldest first by modification time (ms); files
+        # written within one millisecond would tie, so give the log its time order
+        os.utime(f, (base + i, base + i))
     return d
 
 
