@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tessera.functions.asof import asof_backward
 from tessera.functions.num import epoch_micros
 from tessera.session import scratch_path
 from tessera.sources.world import ACTION_OF_EVENT
@@ -111,17 +112,13 @@ def token_bucket_stream(actions: DataFrame, capacity: int, interval_s: int) -> D
 
 def held_action(ticks: DataFrame, actions: DataFrame, tolerance_us: int = 100_000) -> DataFrame:
     """As-of with tolerance: the action held at each tick is the latest action of
-    the key at or before the tick and at most ``tolerance_us`` older (exactly the
-    tolerance still counts).  Both sides are bucketed by the tolerance; a tick
-    probes its own and the previous bucket, an equi-join on (key, bucket), so a hot
-    key is spread over its buckets instead of one window partition."""
-    b = tolerance_us
-    a = actions.select("key", epoch_micros("ts").alias("us"), "seq", "action") \
-               .withColumn("bucket", F.floor(F.col("us") / b))
-    t = ticks.select("tick_id", "key", "tick_us",
-                     F.explode(F.array(F.floor(F.col("tick_us") / b),
-                                       F.floor(F.col("tick_us") / b) - 1)).alias("bucket"))
-    cand = (t.join(a, ["key", "bucket"])
-            .filter((F.col("us") <= F.col("tick_us")) & (F.col("tick_us") - F.col("us") <= tolerance_us)))
-    best = cand.groupBy("tick_id").agg(F.max_by("action", F.struct("us", "seq")).alias("action"))
-    return ticks.select("tick_id", "key", "tick_us").join(best, "tick_id", "left")
+    the key at or before the tick (by time, then seq) when it is at most
+    ``tolerance_us`` older (exactly the tolerance still counts), else NULL.
+
+    A backward as-of lookup (``functions.asof.asof_backward``): actions and ticks
+    meet in (key, tolerance bucket) groups and a running max picks the latest
+    action - no tick x action pairs, and a hot key is spread over its buckets."""
+    a = actions.select("key", epoch_micros("ts").alias("us"), "seq", "action")
+    t = ticks.select("tick_id", "key", "tick_us")
+    m = asof_backward(t, a, "key", "tick_us", "us", ["seq"], ["action"], tolerance_us, out="_m")
+    return m.select("tick_id", "key", "tick_us", F.col("_m.action").alias("action"))

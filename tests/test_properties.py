@@ -138,3 +138,22 @@ def test_packed_grid_high_bits(spark):
     probe = spark.createDataFrame([(x, 0) for x in (0, 1, 62, 63, 64, 65, 126, 127, 128)], "cx int, cy int")
     got = {r.cx: r.tile for r in pg.lookup(probe).collect()}
     assert got == {0: ".", 1: "#", 62: "#", 63: ".", 64: ".", 65: "#", 126: "#", 127: ".", 128: None}
+
+
+def test_asof_on_one_hot_key_equals_brute_force(world):
+    """All events on one key: the bucketed running max equals the plain pair join
+    (every action of the key within the tolerance), which is fine at this size."""
+    from tessera.functions.num import epoch_micros
+    from tessera.streaming.jobs import held_action
+    tol = 100_000
+    ev = world.table("events")
+    ticks = ev.select(F.col("event_id").alias("tick_id"), F.lit(1).cast("long").alias("key"),
+                      (epoch_micros("ts") + (F.col("event_id") % 4) * 50_000).alias("tick_us"))
+    acts = world.actions().withColumn("key", F.lit(1).cast("long"))
+    got = held_action(ticks, acts, tol)
+    a = acts.select("key", epoch_micros("ts").alias("us"), "seq", "action")
+    pairs = (ticks.join(a, "key")
+             .filter((F.col("us") <= F.col("tick_us")) & (F.col("tick_us") - F.col("us") <= tol)))
+    best = pairs.groupBy("tick_id").agg(F.max_by("action", F.struct("us", "seq")).alias("action"))
+    want = ticks.join(best, "tick_id", "left").select("tick_id", "key", "tick_us", "action")
+    assert _same_rows(got, want)
