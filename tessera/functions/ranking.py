@@ -2,7 +2,7 @@
 
 ``number_rows``: 1-based rank of every row in a total order (optionally within a
 group), computed as  offset(partition) + rank inside the partition  over a range
-partitioning of the order.  Only the per-partition counts (at most
+partitioning of the order (checkpointed once, so both passes see one partitioning).  Only the per-partition counts (at most
 #partitions x #groups-per-partition rows) are summed by a small window.  The order
 must be unique for the numbering to be repeatable.
 
@@ -18,12 +18,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import ensure_checkpoint_dir
+
 
 def number_rows(df: DataFrame, order: list[str], group: list[str] | None = None,
                 out: str = "rn", num_partitions: int | None = None) -> DataFrame:
     group = group or []
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *group, *order).withColumn("_pid", F.spark_partition_id())
+    # The range partitioner samples with a seed that depends on the RDD, so two
+    # evaluations of the same plan may cut different bounds.  The numbering reads the
+    # partition ids twice (local ranks and per-partition counts), so the partitioned
+    # rows are checkpointed once to the shared checkpoint folder: both reads then see
+    # the same partitions, and a lost executor re-reads them instead of re-sampling.
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(n, *group, *order).checkpoint(eager=True)
+              .withColumn("_pid", F.spark_partition_id()))
     local = ranged.withColumn(
         "_lrn", F.row_number().over(Window.partitionBy("_pid", *group).orderBy(*order)))
     counts = ranged.groupBy("_pid", *group).agg(F.count("*").alias("_n"))
