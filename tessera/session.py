@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -31,24 +30,31 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and only read here.  Only when it is
-    unset (local runs and tests) do we pick a fresh scratch folder of our own.
+    On a cluster the deployment must set it: a machine-local folder would leave every
+    executor with its own part of the files.  Only a local master without the setting
+    (tests, the benchmark) gets a folder of its own.
     """
-    d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir()
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TESSERA_SCRATCH", "/tmp"))
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+        if not _one_process(sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on master {sc.master!r}")
+        d = tempfile.mkdtemp(prefix="tessera-ckpt-")
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
+
+
+def _one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

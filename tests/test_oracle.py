@@ -7,14 +7,15 @@ import __spark_entry__ as entry
 from tools.check_oracle import rows_of
 
 from conftest import SF_SMALL
-
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+from tessera.plans.catalog import QUERIES
+from tessera.plans.oracle import ORACLE
 
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
     assert len(QUERIES) == 61
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
