@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import line_dedup, quality, simhash
 from .common import doc_id_of, documents
 
 
@@ -15,6 +15,64 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLE: dict[str, str] = {}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "cut_words", "kept")
 
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1, keep="none")
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup}
+
+_UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+_WS = r"[\x20\x09-\x0D]"
+_KEY = rf"translate(regexp_replace(line, '^{_WS}+|{_WS}+$', '', 'g'), {_UP}, {_LOW})"
+_NORM = rf"regexp_replace(regexp_replace({_KEY}, '{_WS}+', ' ', 'g'), '[0-9]+', '0', 'g')"
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE: dict[str, str] = {
+    "op6_quality": rf"""
+with d as (select doc_id, source, text, {_WORDS} as w from documents),
+ win as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as g
+         from (select doc_id, w, unnest(generate_series(1, len(w) - 7)) as i from d)),
+ twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from win) where n > 1),
+ rep as (select doc_id, count(distinct i + j) as n_repeat_words
+         from twice, (select unnest(generate_series(0, 7)) as j) group by doc_id),
+ ln as (select doc_id, source, text, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents),
+ dup as (select doc_id, count(*) - count(distinct line) as n_dup_lines
+         from ln where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+ short as (select doc_id, source, text, {_NORM} as k,
+                  len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from ln),
+ often as (select k, s.source from (select k, source, count(distinct text) as n from short
+                                    where k <> '' and length(k) <= 100 group by all) s
+           join (select source, count(*) as rows from documents group by source) h on h.source is not distinct from s.source
+           where n > 5 and 100 * n > 1.0 * rows),
+ cut as (select doc_id, sum(words) as cut_words from short s join often o
+         on o.k = s.k and o.source is not distinct from s.source group by doc_id),
+ b as (select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+              len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) as n_symbols,
+              coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+              coalesce(cut_words, 0) as cut_words
+       from d left join rep using (doc_id) left join dup using (doc_id) left join cut using (doc_id)),
+ f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from b)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
+       n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+       cut_words::bigint as cut_words,
+       not (base_failed or (cut_words > 0 and (n_words - cut_words < 20
+                            or 100 * (n_words - cut_words) < 30 * n_words))) as kept
+from f""",
+    "op7_line_dedup": rf"""
+with x as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+ ln as (select doc_id, unnest(ls) as line, unnest(generate_series(1, len(ls))) as i from x),
+ k as (select doc_id, i, line, {_KEY} as key from ln),
+ hot as (select key from k where key <> '' group by key having count(distinct doc_id) >= 10),
+ m as (select doc_id, i, line, k.key in (select key from hot) as gone from k)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from m group by doc_id""",
+}
