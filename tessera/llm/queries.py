@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality, simhash
+from . import line_dedup, mixing, quality, simhash
 from .common import doc_id_of, documents
 
 
@@ -27,7 +27,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = mixing.mix(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, max_repeat=2.0)
+    return mixing.with_doc_id(rows)
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup,
+           "op8_mixing": op8_mixing}
 
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 _WS = r"[\x20\x09-\x0D]"
@@ -75,4 +81,23 @@ with x as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from d
 select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
 from m group by doc_id""",
+    "op8_mixing": rf"""
+with d as (select doc_id, source, len({_WORDS})::bigint as size from documents),
+ s as (select source, sum(size)::bigint as source_size,
+              ([3.0, 1.0, 2.0])[(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as weight
+       from d group by source),
+ l as (select *, 2.0 * source_size as cap, 1.5 * sum(source_size) over () as total,
+              sum(weight) over (order by 2.0 * source_size / weight, source nulls last
+                                rows between current row and unbounded following) as rest,
+              coalesce(sum(2.0 * source_size) over (order by 2.0 * source_size / weight, source nulls last
+                                rows between unbounded preceding and 1 preceding), 0) as used from s),
+ lev as (select arg_min((total - used) / rest, cap / weight) as x from l where weight * (total - used) / rest < cap),
+ t as (select source, source_size, least(cap, weight * coalesce(x, 1e300))::double as target from l, lev),
+ p as (select d.*, source_size, target, floor(target + 0.5) as words,
+              sum(size) over (partition by d.source order by substr(sha256('mix|' || doc_id), 1, 15))- size as a
+       from d join t on t.source is not distinct from d.source)
+select doc_id, size, source_size, target,
+       (greatest(0, least(a + size, words) - a)
+        + greatest(0, least(source_size + a + size, words) - source_size - a))::bigint as taken
+from p""",
 }
