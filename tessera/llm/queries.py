@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing, quality, simhash
+from . import chat, line_dedup, mixing, quality, simhash, token_counts, url_filter
 from .common import doc_id_of, documents
 
 
@@ -15,6 +15,29 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Terms whose hosts are labelled blocked; the model is fitted on these labels.
+SEED_TERMS = ("adult", "ads", "bet", "bets", "casino", "malware", "phish", "poker", "porn", "sex", "spam", "track",
+              "tracker", "warez", "xxx")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = documents(spark, sf_dir, "pages").select("page_id", "url")
+    stats, model = url_filter.fit(url_filter.seed_labels(pages, SEED_TERMS))
+    out = url_filter.judge(pages, stats, model, block=("net/", "example.com/de/"), allow=("example.net/en/", "org/fr/"))
+    return out.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"),
+                      F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"))
+
+
+#: A public byte-level vocabulary (word-initial pieces begin with a space).
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    automaton = token_counts.LongestMatch(token_counts.rank_file(vocabulary))
+    out = token_counts.token_counts(documents(spark, sf_dir), automaton, prefix=b" ")
+    return out.select(doc_id_of(F.col("id")).alias("doc_id"), "n_words", "n_tokens", "n_unknown")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -44,7 +67,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "loss_sha256", "formatted_chars")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup,
+QUERIES = {"op1_simhash": op1_simhash, "op2_url_filter": op2_url_filter, "op3_token_counts": op3_token_counts,
+           "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup,
            "op8_mixing": op8_mixing, "op10_chat": op10_chat}
 
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
