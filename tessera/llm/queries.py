@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, license_scan, line_dedup, mixing, quality, simhash, token_counts, url_filter
+from . import chat, decontam, license_scan, line_dedup, mixing, quality, simhash, substring, token_counts, url_filter
 from .common import doc_id_of, documents
 
 
@@ -43,6 +43,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(doc_id_of(F.col("id")).alias("doc_id"), F.col("item").alias("item_id"), "start", "n_words", "n_equal")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup_substrings(documents(spark, sf_dir), window=50)
+    return out.select(doc_id_of(F.col("id")).alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -105,7 +110,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_simhash": op1_simhash, "op2_url_filter": op2_url_filter, "op3_token_counts": op3_token_counts,
-           "op4_decontaminate": op4_decontaminate,
+           "op4_decontaminate": op4_decontaminate, "op5_substring_dedup": op5_substring_dedup,
            "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup,
            "op8_mixing": op8_mixing, "op9_license_scan": op9_license_scan,
            "op10_chat": op10_chat}
@@ -117,6 +122,19 @@ _NORM = rf"regexp_replace(regexp_replace({_KEY}, '{_WS}+', ' ', 'g'), '[0-9]+',
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE: dict[str, str] = {
+    "op5_substring_dedup": rf"""
+with d as (select doc_id, {_WORDS} as w from documents),
+ win as (select doc_id, i, array_to_string(w[i:i + 49], ' ') as g
+         from (select doc_id, w, unnest(generate_series(1, len(w) - 49)) as i from d)),
+ low as (select g, min(doc_id) as m from win group by g having min(doc_id) < max(doc_id)),
+ rep as (select doc_id, i from win join low using (g) where m < doc_id),
+ cov as (select distinct doc_id, i + j as p from rep, (select unnest(generate_series(0, 49)) as j)),
+ pos as (select doc_id, unnest(w) as x, unnest(generate_series(1, len(w))) as p from d),
+ kept as (select doc_id, string_agg(x, ' ' order by p) as t, count(*) as n
+          from pos anti join cov using (doc_id, p) group by doc_id)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed,
+       sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)""",
     "op6_quality": rf"""
 with d as (select doc_id, source, text, {_WORDS} as w from documents),
  win as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as g
