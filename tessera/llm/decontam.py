@@ -157,3 +157,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, sim
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similarity: float = 0.8,
+                  block_bytes: int = 4 << 20, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """``docs`` without the documents that overlap with a benchmark item: the decision is
+    taken where a document is read, so no row is shuffled or joined back."""
+    at = docs.columns.index(text_col)
+    for block in item_blocks(benchmark, block_bytes, item_col, "text"):
+        shared = docs.sparkSession.sparkContext.broadcast(Items(block).tables)
+
+        def run(batches, shared=shared):
+            for b in batches:
+                clean = [not t or not overlaps(t.encode(), shared.value, min_words, similarity)
+                         for t in b.column(at).to_pylist()]
+                yield b.filter(pa.array(clean, pa.bool_()))
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -315,7 +315,8 @@ def links(fps: DataFrame, max_bits: int = 3, bucket_rows: int = 4096) -> DataFra
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """One row per input row: (id, th, fp, component_id).
+    """One row per input row: (id, th, fp, root, component_id); root is the smallest
+    fingerprint of the component.
 
     Null or wordless text has fingerprint zero and is linked like any other.  A null id
     keeps its row but is never the smallest id of a component (which is null if no
@@ -327,5 +328,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col
     roots = components(links(by_fp.select("fp"), max_bits))
     label = by_fp.join(roots, by_fp.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = label.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = label.select("fp", "root").join(lows, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("id", "th", "fp", "component_id")
+    of_fp = label.select("fp", "root").join(lows, "root").select("fp", "root", "component_id")
+    return rows.join(of_fp, "fp").select("id", "th", "fp", "root", "component_id")
