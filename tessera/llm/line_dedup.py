@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import WS_CHARS, fresh, key_id, key_text, with_keys, written
+from .common import WS_CHARS, cut, fresh, key_id, key_text, with_keys, written
 from .lines import line_key, split_lines, without
 
 _WS = WS_CHARS.encode()
@@ -168,7 +168,8 @@ def confirmed(docs: DataFrame, min_docs: int, min_chars: int, id_col: str, text_
     repeated = (per_doc.groupBy("key").agg(F.count(F.lit(1)).alias("docs"),
                                            F.min(F.struct(no_id.alias("none"), "id", "th")).alias("first"))
                 .filter(F.col("docs") >= min_docs))
-    return sus, repeated
+    # cut, so the join that follows has a shuffle of its own that Spark can split at a hot key
+    return sus, cut(repeated)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", id_col: str = "doc_id",
