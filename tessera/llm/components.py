@@ -31,13 +31,13 @@ def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step.  The minimum of a node's neighbours is a partial aggregate joined back,
-    so the rows of a hub are never together in one task."""
+    and cut before that, so the join's shuffle is its own and Spark can split a hub."""
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = (both.groupBy("u").agg(F.min("v").alias("m"))
-           .select("u", F.least("u", "m").alias("m")))
+    low = cut(both.groupBy("u").agg(F.min("v").alias("m"))
+              .select("u", F.least("u", "m").alias("m")))
     near = both.join(low, "u")
     if large:
         out = near.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from .common import key_id, map_batches, with_keys, written
+from .common import cut, key_id, map_batches, with_keys, written
 from .fm_index import FMIndex
 
 _ODD = 0x9E3779B97F4A7C15
@@ -126,8 +126,8 @@ def _strip(hot: DataFrame, window: int) -> DataFrame:
                 [pa.array(h, pa.binary()), pa.array(ids[row]), pa.array(ths[row]), pa.array(firsts[row]),
                  pa.array(off, pa.int32())], ["h", "id", "th", "first", "k"])
     win = written(hot.mapInArrow(hashes, "h binary, id long, th long, first int, k int"), "hot-windows")
-    twice = (win.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-             .filter("lo < hi").select("h"))
+    twice = cut(win.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+                .filter("lo < hi").select("h"))
     kept = (win.join(twice, "h").groupBy("id", "th", "first")
             .agg(F.sort_array(F.collect_set("k")).alias("ks")))
 
@@ -191,8 +191,9 @@ def repeats(rows: DataFrame, window: int, gram: int, hot_rows: int, shard_words:
     """rows (id, th, text) -> (id, th, spans): per document with repeats, the word ranges
     [a, b) that repeated windows cover."""
     marks = written(rows.mapInArrow(_mark(window, gram), "id long, th long, first int, n int, anchor long"), "anchors")
-    shared = (marks.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("rows"))
-              .filter("lo < hi").select("anchor", (F.col("rows") > hot_rows).alias("hot")))
+    # cut: the joins' shuffles are then their own, and Spark can split a hot anchor
+    shared = cut(marks.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("rows"))
+                 .filter("lo < hi").select("anchor", (F.col("rows") > hot_rows).alias("hot")))
     of_doc = (marks.join(shared, "anchor").groupBy("id", "th")
               .agg(F.collect_set(F.struct("first", "n", "anchor", "hot")).alias("marks")))
     segs = written(rows.join(of_doc, ["id", "th"]).dropDuplicates(["id", "th"]).select("id", "th", "text", "marks")
