@@ -20,6 +20,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fresh
 
@@ -80,7 +81,7 @@ def lexical(url: str | None) -> tuple:
             max(map(len, host.split("."))), sum(c in "aeiou" for c in host) / max(letters, 1))
 
 
-@F.pandas_udf(", ".join(f"{n} double" for n in LEXICAL))
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in LEXICAL]))
 def lexical_udf(urls: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([tuple(map(float, lexical(u))) for u in urls], columns=list(LEXICAL))
 
