@@ -29,6 +29,7 @@ from .quality import n_words_of
 
 GOLDEN = (1 + 5 ** 0.5) / 2
 _MAX_SLOTS = 1 << 31              # slot * multiplier stays below 2**63
+_MAX_BUCKETS = 1 << 16            # offsets per source; past it buckets grow
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max_repeat: float) -> DataFrame:
@@ -71,7 +72,7 @@ def _bucketed(df: DataFrame, group: str, bucket: Column, value: Column, order: l
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_repeat: float = 2.0,
-        block_tokens: int = 2048, bucket_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text",
+        block_tokens: int = 2048, bucket_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """-> (documents, schedule).
 
@@ -106,7 +107,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     # a document's place in its stream: by hash of its keys; buckets are ranges of the hash
     own = F.when(F.col("id") == key_id(F.lit(None)), F.col("th"))       # nulls are skipped by concat_ws
     pick = F.sha2(F.concat_ws("|", F.lit(seed), F.col("id"), own), 256)
-    buckets = max(1, rows.count() // bucket_rows)
+    buckets = max(1, min(rows.count() // bucket_rows, _MAX_BUCKETS))
     d = d.withColumn("place", F.conv(F.substring(pick, 1, 15), 16, 10).cast("long")).withColumn(
         "span", F.col("size") * F.col("copies"))
     d = _bucketed(d, "sid", F.floor(F.col("place") / F.lit(-(-(1 << 60) // buckets))), F.col("span"),
@@ -137,10 +138,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     return documents, placed.select("slot", F.col("piece_source").alias("source"), "id", "th", "first_word", "n_words")
 
 
-def schedule(spark, t: DataFrame, n: int, per_bucket: int = 1 << 16) -> DataFrame:
+def schedule(spark, t: DataFrame, n: int) -> DataFrame:
     """(slot, sid, rank) for the n slots."""
     if n == 0:
         return spark.createDataFrame([], "slot long, sid int, rank long")
+    per_bucket = max(2048, n // _MAX_BUCKETS)
     g = max(1, round(n / GOLDEN))
     while gcd(g, n) != 1:
         g += 1
