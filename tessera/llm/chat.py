@@ -68,10 +68,10 @@ def best_paths(nodes: DataFrame, top_k: int = 1) -> DataFrame:
         jumps.append(live.select("tree", "node", "anc"))
         up = state.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("anc").alias("anc2"),
                           F.col("total").alias("total2"), F.col("len").alias("len2"))
-        state = (state.join(up, (F.col("tree") == F.col("t2")) & (F.col("anc") == F.col("n2")), "left")
-                 .select("tree", "node", F.col("anc2").alias("anc"),
-                         (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
-                         (F.col("len") + F.coalesce("len2", F.lit(0))).alias("len")))
+        far = (live.join(up, (F.col("tree") == F.col("t2")) & (F.col("anc") == F.col("n2")))
+               .select("tree", "node", F.col("anc2").alias("anc"), (F.col("total") + F.col("total2")).alias("total"),
+                       (F.col("len") + F.col("len2")).alias("len")))
+        state = state.filter("anc is null").unionByName(far)        # nodes that reached a root rest
         rounds += 1
     parents = base.filter("parent is not null").select(F.col("tree").alias("t2"), F.col("parent").alias("n2")).distinct()
     leaves = (state.filter("anc is null")
