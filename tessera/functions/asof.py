@@ -28,7 +28,8 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, r
     lhs = left.select(F.col(key).alias("_k"), F.floor(lt / tolerance).alias("_b"), lt.alias("_t"),
                       F.lit(1).alias("_side"), *[F.col(c).alias(f"_l_{c}") for c in lcols])
     rb = F.floor(rt / tolerance)
-    rhs = right.select(F.col(key).alias("_k"), F.explode(F.array(rb, rb + 1)).alias("_b"), rt.alias("_t"),
+    # a NULL key matches nothing, as in an equi-join
+    rhs = right.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.explode(F.array(rb, rb + 1)).alias("_b"), rt.alias("_t"),
                        F.lit(0).alias("_side"),
                        F.struct(rt.alias("t"), *order, *values).alias("_r"))
     running = (Window.partitionBy("_k", "_b").orderBy("_t", "_side")

@@ -1,28 +1,14 @@
-"""Join-side helpers.
-
-``broadcast`` is only applied behind a bound: either a bound that follows from
-parameters (a lattice of w x h cells, a catalogue of stamps) and is passed in as
-``known_rows``, or a counted check that stops after ``max_rows + 1`` rows.  Past the
-bound the side is returned unchanged and Spark plans a shuffle join (AQE may still
-convert it at run time from real shuffle sizes).
-"""
+"""Join-side helper: ``broadcast`` is only applied behind a bound that follows from
+parameters (a catalogue of stamps).  Any other side is left to Spark, which plans a
+shuffle join and lets AQE convert it from the sizes it measures."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-
-
-def size_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads at most max_rows + 1."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
+MAX_BROADCAST_ROWS = 200_000
 
-def bounded_broadcast(df: DataFrame, known_rows: int | None = None,
-                      max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    if known_rows is not None:
-        return F.broadcast(df) if known_rows <= max_rows else df
-    return F.broadcast(df) if size_at_most(df, max_rows) else df
 
+def bounded_broadcast(df: DataFrame, known_rows: int | None = None) -> DataFrame:
+    return F.broadcast(df) if known_rows is not None and known_rows <= MAX_BROADCAST_ROWS else df

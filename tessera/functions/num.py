@@ -25,11 +25,12 @@ def col(c) -> Column:
 
 
 def cell(c) -> Column:
-    return F.rint(col(c)).cast("int")
+    """Grid coordinates are LONG: the world grows with the largest key of a table."""
+    return F.rint(col(c)).cast("long")
 
 
 def floor_cell(c) -> Column:
-    return F.floor(col(c)).cast("int")
+    return F.floor(col(c)).cast("long")
 
 
 def idiv(a, b) -> Column:

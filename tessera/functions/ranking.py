@@ -1,16 +1,20 @@
 """Row numbering and running sums that never pull a whole key into one task.
 
 ``number_rows``: 1-based rank of every row in a total order (optionally within a
-group), computed as  offset(partition) + rank inside the partition  over a range
-partitioning of the order (checkpointed once, so both passes see one partitioning).  Only the per-partition counts (at most
-#partitions x #groups-per-partition rows) are summed by a small window.  The order
-must be unique for the numbering to be repeatable.
+group), computed as  offset(bucket) + rank inside the bucket.  Buckets are ranges of
+the order between bounds taken from the rows with the smallest hashes, so two
+evaluations of the plan cut the same bounds and nothing runs before the result is
+asked for.  Only the per-bucket counts are summed by a small window.  The order must
+be unique for the numbering to be repeatable.
 
 ``prefix_sums``: running sums per key over an order, split by a time bucket.
 Phase 1 sums inside each (key, bucket) - a hot key spreads over its buckets;
 phase 2 turns the per-bucket totals (one row per key and bucket) into offsets;
 phase 3 adds the offset back.  Exact for integer inputs (use fixed point for
 fractional values), so the split never changes the result.
+
+NULL keys, groups and order values are values of their own: keys are compared as
+structs, which hold NULL equal to NULL.
 """
 
 from __future__ import annotations
@@ -18,42 +22,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import ensure_checkpoint_dir
+BUCKETS = 128
+SAMPLE = 4096
 
 
-def number_rows(df: DataFrame, order: list[str], group: list[str] | None = None,
-                out: str = "rn", num_partitions: int | None = None) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], group: list[str] | None = None, out: str = "rn") -> DataFrame:
     group = group or []
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The range partitioner samples with a seed that depends on the RDD, so two
-    # evaluations of the same plan may cut different bounds.  The numbering reads the
-    # partition ids twice (local ranks and per-partition counts), so the partitioned
-    # rows are checkpointed once to the shared checkpoint folder: both reads then see
-    # the same partitions, and a lost executor re-reads them instead of re-sampling.
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.repartitionByRange(n, *group, *order).checkpoint(eager=True)
-              .withColumn("_pid", F.spark_partition_id()))
-    local = ranged.withColumn(
-        "_lrn", F.row_number().over(Window.partitionBy("_pid", *group).orderBy(*order)))
-    counts = ranged.groupBy("_pid", *group).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", *group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (local.join(offsets, ["_pid", *group])
-            .withColumn(out, F.col("_off") + F.col("_lrn"))
-            .drop("_pid", "_lrn", "_off"))
+    key, g = F.struct(*group, *order), F.struct(F.lit(0).alias("_z"), *group)
+    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
+    # an array of at most SAMPLE keys as a scalar subquery; every n-th of them is a bound
+    bounds = sample.agg(F.sort_array(F.collect_list("k")).alias("b")).select(
+        F.filter("b", lambda _, i: i % F.greatest(F.lit(1), F.size("b") / F.lit(BUCKETS)).cast("int") == 0)).scalar()
+    b = df.withColumns({"_g": g, "_k": key})
+    # the bucket of a row: how many bounds are smaller
+    b = b.withColumn("_b", F.array_position(F.sort_array(F.array_append(bounds, F.col("_k"))), F.col("_k")))
+    local = b.withColumn("_lrn", F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_k")))
+    before = Window.partitionBy("_g2").orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (b.groupBy(F.col("_g").alias("_g2"), F.col("_b").alias("_b2")).agg(F.count(F.lit(1)).alias("_n"))
+               .select("_g2", "_b2", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    return (local.join(offsets, (F.col("_g") == F.col("_g2")) & (F.col("_b") == F.col("_b2")))
+            .select(*df.columns, (F.col("_off") + F.col("_lrn")).alias(out)))
 
 
 def prefix_sums(df: DataFrame, key: str, bucket: Column, order: list[str],
                 values: dict[str, Column]) -> DataFrame:
     """Adds one running-sum column per entry of ``values`` (name -> integer column),
     inclusive of the current row, per ``key`` in ``order``."""
+    return add_prefix_sums(with_bucket(df, key, bucket), order, values).drop("_k", "_b")
+
+
+def with_bucket(df: DataFrame, key: str, bucket: Column) -> DataFrame:
+    """``df`` with the partitioning columns of ``add_prefix_sums``."""
+    return df.withColumns({"_k": F.struct(key), "_b": F.coalesce(bucket, F.lit(-2 ** 62))})
+
+
+def add_prefix_sums(src: DataFrame, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Stacked passes keep ``_k`` and ``_b``, and so the exchange of the first one."""
     names = list(values)
-    src = df.withColumn("_b", bucket).withColumns({f"_v_{k}": v for k, v in values.items()})
-    inside = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = src.withColumns({f"_l_{k}": F.sum(f"_v_{k}").over(inside) for k in names})
-    totals = src.groupBy(key, "_b").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in names])
-    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(key, "_b", *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_o_{k}")
-                                         for k in names])
-    out = local.join(offsets, [key, "_b"])
-    return out.select(*df.columns, *[(F.col(f"_o_{k}") + F.col(f"_l_{k}")).alias(k) for k in names])
+    v = src.withColumns({f"_v_{k}": x for k, x in values.items()})
+    inside = Window.partitionBy("_k", "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = v.withColumns({f"_l_{k}": F.sum(f"_v_{k}").over(inside) for k in names})
+    earlier = Window.partitionBy("_k2").orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (v.groupBy(F.col("_k").alias("_k2"), F.col("_b").alias("_b2"))
+               .agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in names])
+               .select("_k2", "_b2", *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_o_{k}") for k in names]))
+    out = local.join(offsets, (F.col("_k") == F.col("_k2")) & (F.col("_b") == F.col("_b2")))
+    return out.select(*src.columns, *[(F.col(f"_o_{k}") + F.col(f"_l_{k}")).alias(k) for k in names])

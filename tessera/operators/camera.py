@@ -3,27 +3,35 @@
 Frame
   The reference rotates *every* target into *every* observer's frame (a cross
   join).  Here the frame is range-bounded: targets are binned into square bins of
-  side >= ``radius`` and each observer probes the 3 x 3 bins around its own, an
-  equi-join on the bin followed by an exact distance filter.  Targets farther than
-  ``radius`` are never drawn (nothing beyond the ray length survives occlusion), so
-  the picture is the same while the work stays linear in the data.  A hot bin is
-  split by AQE's skew-join handling.
+  side >= the draw radius and each observer probes the 3 x 3 bins around its own, an
+  equi-join on the bin followed by an exact distance filter.  The radius follows from
+  the view and the widest target (``ViewParams.frame_radius``).  Rule: nothing beyond
+  the ray length is drawn.  On the grid this is what occlusion does anyway; a column
+  that sees no cell (an observer off the grid) shows targets up to the ray length, where
+  the reference shows them at any distance.
 
 Pixels
   Every per-observer expansion (129 columns x 65 rows, stamp spans clamped to the
   screen, a coverage window of (2r+1)^2 cells) is bounded by parameters, never by
   data, so no group grows with the tables.
+
+Views
+  ``observer_view`` gathers one march into one row per observer: its columns and the set
+  of cells it sees.  Raster rows and coverage rows are built from that row, so only
+  sparse things are joined to it by id: the nearest target pixel per screen cell, and
+  the icons around the observer.  The nearest pixel may be chosen before occlusion:
+  occlusion compares a pixel's depth with one number per column, so if the nearest is
+  hidden all are.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.joins import bounded_broadcast
 from tessera.functions.num import cell, explode_range, floor_cell, idiv
+from tessera.operators import sight
 from tessera.params import ViewParams
 
 # Fixed depth-band glyphs of the reference renderer, nearest first, then sky/ground.
@@ -31,10 +39,12 @@ BAND_GLYPHS = ("█", "▓", "▒", "░")
 SKY, GROUND = " ", "."
 
 
-def observer_frame(observers: DataFrame, targets: DataFrame, radius: float,
+def observer_frame(observers: DataFrame, targets: DataFrame, vp: ViewParams = ViewParams(),
                    keep: tuple[str, ...] = ("kind", "world_w", "world_h", "stamp_id", "icon")) -> DataFrame:
-    """(obs_id, target_id, *keep, depth, horiz) for targets within ``radius``."""
-    b = float(math.ceil(radius))
+    """(obs_id, target_id, *keep, depth, horiz) for targets within the draw radius."""
+    widest = F.coalesce(targets.agg(F.max("world_w")).scalar(), F.lit(0.0))
+    radius = vp.frame_radius(widest)
+    b = F.ceil(radius)
     t = targets.select(F.col("id").alias("target_id"), F.col("x").alias("tx"),
                        F.col("y").alias("ty"), *keep,
                        F.floor(F.col("x") / b).alias("bx"), F.floor(F.col("y") / b).alias("by"))
@@ -47,7 +57,7 @@ def observer_frame(observers: DataFrame, targets: DataFrame, radius: float,
                  (F.floor(F.col("ox") / b) + F.col("dbx")).alias("bx"),
                  (F.floor(F.col("oy") / b) + F.col("dby")).alias("by")))
     dx, dy = F.col("tx") - F.col("ox"), F.col("ty") - F.col("oy")
-    j = o.join(t, ["bx", "by"]).filter(dx * dx + dy * dy <= F.lit(radius * radius))
+    j = o.join(t, ["bx", "by"]).filter(dx * dx + dy * dy <= radius * radius)
     a = -F.col("odir")
     return j.select("obs_id", "target_id", *keep,
                     (dx * F.cos(a) - dy * F.sin(a)).alias("depth"),
@@ -58,7 +68,7 @@ def project(frame: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
     """Keep depth > 0.1; screen_x = round_half_even(view_w/2 + horiz/depth * pf)."""
     pf = vp.projection_factor
     return (frame.filter(F.col("depth") > F.lit(0.1))
-            .withColumn("screen_x", cell(F.lit(vp.view_w // 2) + (F.col("horiz") / F.col("depth")) * F.lit(pf)))
+            .withColumn("screen_x", cell(F.lit(vp.view_w // 2) + (F.col("horiz") / F.col("depth")) * F.lit(pf)).cast("int"))
             .withColumn("screen_y", F.lit(vp.view_h // 2)))
 
 
@@ -145,11 +155,12 @@ def span_pixels(spans: DataFrame, keep=("obs_id", "target_id", "sx", "sy", "ch",
             .select(*keep, "px", explode_range("y0", "y1").alias("py")))
 
 
-def occlude(pixels: DataFrame, extent: DataFrame, far: float = 1e9) -> DataFrame:
-    """Keep a pixel when its depth is in front of the column's occluder depth."""
+def occlude(pixels: DataFrame, extent: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
+    """Keep a pixel when its depth is in front of the column's occluder depth (of the ray
+    length where the column sees no cell)."""
     ext = extent.select(F.col("id").alias("obs_id"), F.col("col").alias("px"), "extent")
     return (pixels.join(ext, ["obs_id", "px"], "left")
-            .filter(F.col("depth") < F.coalesce(F.col("extent"), F.lit(far)))
+            .filter(F.col("depth") < F.coalesce(F.col("extent"), F.lit(vp.ray_length)))
             .drop("extent"))
 
 
@@ -177,50 +188,94 @@ def raster_rows(cells: DataFrame, key: str = "id", x: str = "x", y: str = "y",
     return cells.groupBy(key, y).agg(row.alias("row"))
 
 
-def overlay_rows(base: DataFrame, top: DataFrame) -> DataFrame:
-    """``raster_rows(overlay(base, top))`` without a join of every base pixel: the
-    base rows are assembled first, the (sparse) top pixels are grouped per (id, y)
-    and written into their row with ``overlay`` at position x + 1.  Both sides are
-    one row per (id, y), so the join is small.  Needs full base rows (every x from
-    0), which the column raster has by construction; top pixels always lie on the
-    base screen (spans are clamped to it)."""
-    rows = raster_rows(base)
-    t = (top.groupBy("id", F.col("py").alias("y"))
-         .agg(F.collect_list(F.struct("px", "ch")).alias("_top")))
-    patch = F.aggregate("_top", F.col("row"),
-                        lambda acc, p: F.overlay(acc, p["ch"], p["px"] + 1, F.lit(1)))
-    return (rows.join(t, ["id", "y"], "left")
-            .select("id", "y", F.when(F.col("_top").isNull(), F.col("row")).otherwise(patch).alias("row")))
-
-
-def coverage_map(observers: DataFrame, cell_set: DataFrame, grid: DataFrame,
-                 mobs: DataFrame, radius: int, grid_rows: int | None = None) -> DataFrame:
-    """(id, x, y, ch) over a (2r+1)^2 window around each observer (floor-binned):
-    icon of a mob in a cell the observer sees > seen tile (R shown as .) >
-    remembered wall (floor shown blank) > blank.  Two mobs in one cell show the
-    smallest icon."""
-    win = (observers.select("id", floor_cell("x").alias("ox"), floor_cell("y").alias("oy"))
-           .select("id", "oy", F.explode(F.sequence(F.col("ox") - radius, F.col("ox") + radius)).alias("x"))
-           .select("id", "x", F.explode(F.sequence(F.col("oy") - radius, F.col("oy") + radius)).alias("y")))
-    from tessera.operators.raster import PackedGrid
-    seen = cell_set.select("id", F.col("tile_x").alias("x"), F.col("tile_y").alias("y"),
-                           F.col("tile").alias("seen"))
-    icons = (mobs.select(floor_cell("x").alias("x"), floor_cell("y").alias("y"),
-                         F.coalesce(F.col("icon"), F.lit("?")).alias("icon"))
-             .groupBy("x", "y").agg(F.min("icon").alias("icon")))
-    if isinstance(grid, PackedGrid):
-        j = grid.lookup(win, x="x", y="y", out="base")
-    else:
-        base = bounded_broadcast(grid.select("x", "y", F.col("tile").alias("base")), known_rows=grid_rows)
-        j = win.join(base, ["x", "y"], "left")
-    j = j.join(seen, ["id", "x", "y"], "left").join(icons, ["x", "y"], "left")
-    ch = F.coalesce(
-        F.when(F.col("seen").isNotNull(), F.col("icon")),
-        F.when(F.col("seen") == "R", F.lit(".")).otherwise(F.col("seen")),
-        F.when(F.col("base").isin(".", "R"), F.lit(" ")).otherwise(F.col("base")),
-        F.lit(" "))
-    return j.select("id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"),
-                    ch.alias("ch"))
+def observer_view(observers: DataFrame, grid, vp: ViewParams = ViewParams()) -> DataFrame:
+    """One row per observer: (id, ox, oy, cols, seen): ``cols`` has height, glyph and occluder
+    depth by column, ``seen`` the distinct visible cells (x, y, tile)."""
+    rays = sight.ray_summary(observers.select("id", "x", "y", "dir"), grid, vp, cells=True)
+    h = column_height(rays.withColumn("depth", F.coalesce("dist", F.lit(vp.ray_length))), vp)
+    one = F.struct("col", "height", depth_band("depth", vp).alias("band"), F.coalesce("extent", F.lit(vp.ray_length)).alias("extent"))
+    v = h.groupBy("id").agg(F.sort_array(F.collect_list(one)).alias("cols"),
+                            F.array_distinct(F.flatten(F.collect_list("cells"))).alias("seen"))
+    return v
+
+
+def top_pixels(nearest: DataFrame) -> DataFrame:
+    """(id, top): the nearest target pixels of an observer (at most one per screen cell)."""
+    return nearest.groupBy("id").agg(F.collect_list(F.struct("px", "py", "ch", "depth")).alias("top"))
+
+
+def view_rows(cols: Column, top: Column, vp: ViewParams = ViewParams()) -> Column:
+    """The raster rows of a view, top to bottom, as an array of strings."""
+    last = vp.view_h if vp.inclusive_edge else vp.view_h - 1
+    half = vp.view_h
+
+    def pixel(c, y):
+        return (F.when(y < F.floor((half - c["height"]) / 2), F.lit(SKY))
+                .when(y >= F.floor((half + c["height"]) / 2), F.lit(GROUND)).otherwise(c["band"]))
+
+    def row(y):
+        base = F.array_join(F.transform(cols, lambda c: pixel(c, y)), "")
+        on_row = F.filter(top, lambda p: (p["py"] == y) & (p["depth"] < F.get(cols, p["px"])["extent"]))
+        return F.aggregate(on_row, base, lambda acc, p: F.overlay(acc, p["ch"], p["px"] + 1, F.lit(1)))
+    return F.transform(F.sequence(F.lit(0), F.lit(last)), row)
+
+
+def near_icons(observers: DataFrame, mobs: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
+    """(id, icons): (x, y, icon) of the cells with a mob in the coverage window; two mobs in
+    one cell give the smallest icon, a NULL icon is ?."""
+    r = vp.reach
+    b = 2 * r + 1
+    icons = (mobs.select(floor_cell("x").alias("x"), floor_cell("y").alias("y"), F.coalesce(F.col("icon"), F.lit("?")).alias("icon"))
+             .groupBy("x", "y").agg(F.min("icon").alias("icon"))
+             .withColumns({"bx": F.floor(F.col("x") / b), "by": F.floor(F.col("y") / b)}))
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    o = (observers.select("id", floor_cell("x").alias("ox"), floor_cell("y").alias("oy"))
+         .select("*", F.explode(near).alias("dx")).select("*", F.explode(near).alias("dy"))
+         .withColumns({"bx": F.floor(F.col("ox") / b) + F.col("dx"), "by": F.floor(F.col("oy") / b) + F.col("dy")}))
+    j = o.join(icons, ["bx", "by"]).filter((F.abs(F.col("x") - F.col("ox")) <= r) & (F.abs(F.col("y") - F.col("oy")) <= r))
+    return j.groupBy("id").agg(F.collect_list(F.struct("x", "y", "icon")).alias("icons"))
+
+
+def coverage_rows(vp: ViewParams = ViewParams()) -> tuple[Column, Column]:
+    """The (2r+1)^2 window around an observer, row by row (over a column ``_flat``), and that
+    column, all its characters in one array: the icon of a mob in a seen cell > seen tile (R shown as .) > remembered
+    wall (floor shown blank) > blank.  Needs columns ox, oy, seen, icons and the masks of
+    ``sight.neighbourhood``."""
+    r, side = vp.reach, 2 * vp.reach + 1
+
+    def places(cells):                     # of cells in the window, row by row
+        return F.transform(cells, lambda c: (c["y"] - F.col("oy") + r) * side + (c["x"] - F.col("ox") + r))
+
+    def chars(at):
+        def char(k):
+            tile = F.get(F.col("seen.tile"), (F.array_position(at["s"], k) - 1).cast("int"))
+            icon = F.get(F.col("icons.icon"), (F.array_position(at["i"], k) - 1).cast("int"))
+            wall = sight.bit_at("_solid", F.col("ox") - r + k % side, F.col("oy") - r + F.floor(k / side), vp)
+            return (F.when(tile.isNotNull(), F.coalesce(icon, F.nullif(tile, F.lit("R")), F.lit(".")))
+                    .when(wall, F.lit("#")).otherwise(F.lit(" ")))
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(side * side - 1).cast("long")), char)
+    once = F.array(F.struct(places(F.col("seen")).alias("s"), places(F.col("icons")).alias("i")))
+    flat = F.element_at(F.transform(once, chars), 1)
+    return F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda y: F.slice(F.col("_flat"), y * side + 1, side)), flat
+
+
+def coverage(observers: DataFrame, grid, mobs: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
+    """(id, ox, oy, cover, cols): ``cover`` as in ``coverage_rows``, ``cols`` as in
+    ``observer_view``."""
+    near = sight.neighbourhood(observers, grid, vp).select(
+        "id", floor_cell("x").alias("ox"), floor_cell("y").alias("oy"), "_y0", "_w0", "_solid")
+    v = observer_view(observers, grid, vp).join(near, "id").join(near_icons(observers, mobs, vp), "id", "left")
+    v = v.withColumn("icons", F.coalesce("icons", F.array().cast("array<struct<x:bigint,y:bigint,icon:string>>")))
+    rows, flat = coverage_rows(vp)
+    return v.withColumn("_flat", flat).select("id", "ox", "oy", rows.alias("cover"), "cols")
+
+
+def coverage_map(cover: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
+    """(id, x, y, ch): the cells of ``coverage``."""
+    rows = cover.select("id", "ox", "oy", F.posexplode("cover").alias("_dy", "_row"))
+    cells = rows.select("id", "ox", "oy", "_dy", F.posexplode("_row").alias("_dx", "ch"))
+    return cells.select("id", (F.col("ox") - vp.reach + F.col("_dx")).alias("x"),
+                        (F.col("oy") - vp.reach + F.col("_dy")).alias("y"), "ch")
 
 
 def coverage_stats(cell_set: DataFrame) -> DataFrame:

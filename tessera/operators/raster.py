@@ -1,12 +1,12 @@
 """R - grid and raster construction.
 
-A grid is a long DataFrame ``(x INT, y INT, tile STRING)``, one row per cell.
+A grid is a long DataFrame ``(x LONG, y LONG, tile STRING)``, one row per cell.
 Rectangles are ``(x1, y1, x2, y2)`` inclusive integer corners.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.num import explode_range, idiv
@@ -20,10 +20,14 @@ def lattice(spark: SparkSession, x0: int, x1: int, y0: int, y1: int,
     """Dense grid of inclusive bounds as one distributed range (no cross join)."""
     w, h = x1 - x0 + 1, y1 - y0 + 1
     if w <= 0 or h <= 0:
-        return spark.range(0).select(F.lit(0).alias("x"), F.lit(0).alias("y")).limit(0)
+        return spark.range(0).select(F.col("id").alias("x"), F.col("id").alias("y"))
     ids = spark.range(0, w * h, numPartitions=num_partitions)
-    return ids.select((F.lit(x0) + F.col("id") % w).cast("int").alias("x"),
-                      (F.lit(y0) + idiv("id", w)).cast("int").alias("y"))
+    return ids.select((F.lit(x0) + F.col("id") % w).alias("x"), (F.lit(y0) + idiv("id", w)).alias("y"))
+
+
+def band_lattice(rows: DataFrame, width: int) -> DataFrame:
+    """Every cell (x, y) of the given rows (y)."""
+    return rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("x"), "y")
 
 
 def normalize_rects(rects: DataFrame, x1="x1", y1="y1", x2="x2", y2="y2") -> DataFrame:
@@ -43,8 +47,8 @@ def filter_rects(rects: DataFrame, min_w: int = 6, min_h: int = 6) -> DataFrame:
 def rect_centroids(rects: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """floor((x1+x2)/2.0), floor((y1+y2)/2.0) as INT."""
     return rects.select(*keep,
-                        F.floor((F.col("x1") + F.col("x2")) / 2.0).cast("int").alias("x"),
-                        F.floor((F.col("y1") + F.col("y2")) / 2.0).cast("int").alias("y"))
+                        F.floor((F.col("x1") + F.col("x2")) / 2.0).cast("long").alias("x"),
+                        F.floor((F.col("y1") + F.col("y2")) / 2.0).cast("long").alias("y"))
 
 
 def rasterize_rects(rects: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -68,7 +72,7 @@ def classify_cells(cells: DataFrame, layers: list[tuple[DataFrame, str]],
     n = len(layers)
     marked = None
     for i, (layer, _tile) in enumerate(layers):
-        part = layer.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"),
+        part = layer.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"),
                             F.lit(n - i).alias("prio"))
         marked = part if marked is None else marked.unionByName(part)
     # max(prio) is a fixed-width hash aggregate; the winning priority maps back to
@@ -101,55 +105,64 @@ def glyph_cells(stamps: DataFrame, id_col: str, lines_col: str,
 
 
 class PackedGrid:
-    """A dense ``width x height`` grid packed as 64-cell words: one row per
-    (y, word) with one bit mask per priority layer.  A cell set in no layer holds
-    the default tile; cells outside [0, width) x [0, height) do not exist.
+    """A grid of given rows, each ``width`` cells wide, packed as 64-cell words: one
+    row per (y, word) with one bit mask per priority layer.  A cell set in no layer
+    holds the default tile; cells of other rows, or beyond the width, do not exist.
 
     Built by ``bit_or`` aggregates over the covered cells only (no lattice, no
-    lambdas), so the whole grid costs height x ceil(width/64) small rows.  A point
-    finds its tile by an equi-join on (row, word) and a bit test, which is a
-    broadcast hash join while the rows stay under the bound (past it, a shuffle
-    join on the row and word)."""
+    lambdas), so the whole grid costs rows x ceil(width/64) small rows.  A point
+    finds its tile by an equi-join on (row, word) and a bit test; Spark broadcasts
+    the packed side or shuffles both from the sizes it measures."""
 
     WORD = 64
 
-    def __init__(self, masks: DataFrame, tiles: list[str], default: str, width: int, height: int):
+    def __init__(self, masks: DataFrame, tiles: list[str], default: str, width: int, max_y: Column):
         self.masks, self.tiles, self.default = masks, tiles, default
-        self.width, self.height = width, height
-
-    @property
-    def n_rows(self) -> int:
-        return self.height * ((self.width + self.WORD - 1) // self.WORD)
+        self.width, self.max_y = width, max_y
 
     @classmethod
-    def from_layers(cls, layers: list[tuple[DataFrame, str]], width: int, height: int,
-                    default: str = WALL) -> "PackedGrid":
-        marked = None
+    def from_layers(cls, layers: list[tuple[DataFrame, str]], width: int, rows: DataFrame,
+                    default: str = WALL, max_y: Column | None = None) -> "PackedGrid":
+        """``rows``: (y) of the rows that exist; ``max_y``: the last of them, if it is known
+        as a scalar."""
+        words = F.sequence(F.lit(0).cast("long"), F.lit((width - 1) // cls.WORD).cast("long"))
+        marked = rows.select("y", F.explode(words).alias("w"), F.lit(-1).alias("li"), F.lit(0).cast("long").alias("bit"))
         for i, (layer, _tile) in enumerate(layers):
-            part = layer.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"),
-                                F.lit(i).alias("li"))
-            marked = part if marked is None else marked.unionByName(part)
-        inside = (F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height)
-        bit = F.expr(f"shiftleft(CAST(1 AS BIGINT), x % {cls.WORD})")
-        masks = (marked.filter(inside)
-                 .groupBy("y", idiv("x", cls.WORD).cast("int").alias("w"))
-                 .agg(*[F.bit_or(F.when(F.col("li") == i, bit)).alias(f"m{i}") for i in range(len(layers))]))
-        return cls(masks, [t for _, t in layers], default, width, height)
+            x = F.col("x").cast("long")
+            part = layer.filter((x >= 0) & (x < width)).select(
+                F.col("y").cast("long").alias("y"), idiv(x, cls.WORD).alias("w"), F.lit(i).alias("li"),
+                F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST(x % {cls.WORD} AS INT))").alias("bit"))
+            marked = marked.unionByName(part)
+        masks = (marked.groupBy("y", "w")
+                 .agg(F.min("li").alias("li"),
+                      *[F.coalesce(F.bit_or(F.when(F.col("li") == i, F.col("bit"))), F.lit(0)).alias(f"m{i}")
+                        for i in range(len(layers))])
+                 .filter("li = -1").drop("li"))
+        if max_y is None:
+            max_y = rows.agg(F.max("y")).scalar()
+        return cls(masks, [t for _, t in layers], default, width, max_y)
+
+    def _tile(self, bit: Column, mask) -> Column:
+        """The tile at place ``bit`` of the words ``mask(i)``."""
+        tile = None
+        for i, t in enumerate(self.tiles):
+            hit = F.call_function("shiftrightunsigned", mask(i), bit.cast("int")).bitwiseAND(F.lit(1)) == 1
+            tile = F.when(hit, F.lit(t)) if tile is None else tile.when(hit, F.lit(t))
+        return F.lit(self.default) if tile is None else tile.otherwise(F.lit(self.default))
+
+    def cells(self) -> DataFrame:
+        """(x, y, tile) of every cell."""
+        out = self.masks.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(self.WORD - 1))))
+        out = out.withColumn("x", F.col("w") * self.WORD + F.col("_i")).filter(F.col("x") < self.width)
+        return out.select("x", "y", self._tile(F.col("_i"), lambda i: F.col(f"m{i}")).alias("tile"))
 
     def lookup(self, points: DataFrame, x: str = "cx", y: str = "cy", out: str = "tile") -> DataFrame:
-        from tessera.functions.joins import bounded_broadcast
         side = self.masks.select(F.col("y").alias("_gy"), F.col("w").alias("_gw"),
                                  *[F.col(f"m{i}").alias(f"_m{i}") for i in range(len(self.tiles))])
-        side = bounded_broadcast(side, known_rows=self.n_rows)
-        px, py = F.col(x), F.col(y)
-        j = points.withColumn("_pw", F.floor(px / self.WORD).cast("int")).join(
+        px, py = F.col(x).cast("long"), F.col(y).cast("long")
+        j = points.withColumn("_pw", F.floor(px / self.WORD)).join(
             side, (py == F.col("_gy")) & (F.col("_pw") == F.col("_gw")), "left")
-        tile = None
-        for i, t in enumerate(self.tiles):
-            bit = F.expr(f"(shiftrightunsigned(_m{i}, {x} % {self.WORD}) & 1) = 1")
-            hit = F.coalesce(bit, F.lit(False))
-            tile = F.when(hit, F.lit(t)) if tile is None else tile.when(hit, F.lit(t))
-        tile = F.lit(self.default) if tile is None else tile.otherwise(F.lit(self.default))
-        inside = (px >= 0) & (px < self.width) & (py >= 0) & (py < self.height)
+        tile = self._tile(F.pmod(px, F.lit(self.WORD)), lambda i: F.col(f"_m{i}"))
+        inside = F.col("_gy").isNotNull() & (px >= 0) & (px < self.width)
         return (j.withColumn(out, F.when(inside, tile))
                 .drop("_pw", "_gy", "_gw", *[f"_m{i}" for i in range(len(self.tiles))]))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.joins import bounded_broadcast
 from tessera.functions.ranking import number_rows
 
 # Fixed glyphs of the reference's HUD and frames.
@@ -29,10 +28,6 @@ def status_line(bar_cells: int = 20, name_width: int = 10) -> Column:
         F.lit("AMMO: "), F.repeat(F.lit(AMMO_DOT), F.coalesce(F.col("ammo"), F.lit(0))))
 
 
-def status_bars(actors: DataFrame) -> DataFrame:
-    return actors.select("id", status_line().alias("line"))
-
-
 def ranked_lines(lines: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """0-based line number per group in ``order``, without a single-partition window:
     numbering runs over a range partitioning of (group, order)."""
@@ -40,52 +35,27 @@ def ranked_lines(lines: DataFrame, group: list[str], order: list[str]) -> DataFr
         "y", (F.col("_rn") - 1).cast("int")).drop("_rn")
 
 
-def framed(rows: DataFrame, width: Column | int, key: str = "id") -> DataFrame:
-    """Header at y = -1, body rows padded (and cut) to ``width`` between borders,
-    footer one below the key's last body row.  The header and footer are emitted
-    next to the key's last body row (a window over the key's rows, bounded by the
-    panel height), so ``rows`` is read once."""
-    w = F.lit(width) if isinstance(width, int) else width
-    rule = F.repeat(F.lit(H), w)
-    last = F.col("_last")
-    y = F.col("y").cast("int")
-    body = F.struct(y.alias("y"), F.concat(F.lit(V), F.rpad(F.col("row"), w, " "), F.lit(V)).alias("line"))
-    head = F.struct(F.lit(-1).alias("y"), F.concat(F.lit(TL), rule, F.lit(TR)).alias("line"))
-    foot = F.struct((y + 1).alias("y"), F.concat(F.lit(BL), rule, F.lit(BR)).alias("line"))
-    lines = F.when(last, F.array(body, head, foot)).otherwise(F.array(body))
-    ranked = rows.withColumn("_last", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("y"))) == 1)
-    return ranked.select(key, F.explode(lines).alias("_l")).select(key, "_l.y", "_l.line")
+def framed(rows: Column, width: int) -> Column:
+    """The lines of a panel from its rows (an array): a header, each row padded (and cut) to
+    ``width`` between borders, and a footer below the last row."""
+    rule = F.repeat(F.lit(H), F.lit(width))
+    body = F.transform(rows, lambda r: F.concat(F.lit(V), F.rpad(r, width, " "), F.lit(V)))
+    return F.concat(F.array(F.concat(F.lit(TL), rule, F.lit(TR))), body, F.array(F.concat(F.lit(BL), rule, F.lit(BR))))
+
+
+def panel_zip(a: Column, a_width: int, b: Column, b_width: int, side: Column, gap: str = "   ") -> Column:
+    """Two framed panels (arrays of lines) and a list side by side, line by line, blanks
+    where a panel has no line.  The list starts beside the first row inside the frames.
+    Everything is on the key's own row, so nothing is joined or sorted by line."""
+    n = F.greatest(F.size(a), F.size(b), F.size(side) + 1)
 
+    def line(i):
+        return F.concat(F.coalesce(F.get(a, i), F.repeat(F.lit(" "), F.lit(a_width + 2))), F.lit(gap),
+                        F.coalesce(F.get(b, i), F.repeat(F.lit(" "), F.lit(b_width + 2))), F.lit(gap),
+                        F.coalesce(F.get(side, i - 1), F.lit("")))
+    return F.transform(F.sequence(F.lit(0), n - 1), line)
 
-def panel_zip(a: DataFrame, a_width: int, b: DataFrame, b_width: Column, shared: DataFrame,
-              shared_rows: int, key: str = "id", gap: str = "   ") -> DataFrame:
-    """Per key, line index -1..top (top = last line of either panel or of the shared
-    list), panel A, panel B and the keyless shared list side by side, blanks where a
-    panel has no line.
 
-    Each panel is read once: a full outer join on (key, y), then a window per key
-    (bounded by the panel height) finds the next line, and every line also emits
-    the blank indices up to it (from -1 for the key's first line, up to the top for
-    its last).  The shared list is broadcast behind its row bound."""
-    shared_top = F.coalesce(shared.agg(F.max("y")).scalar(), F.lit(-1))
-    ab = (a.select(key, F.col("y").cast("int").alias("y"), F.col("line").alias("_a"))
-          .join(b.select(key, F.col("y").cast("int").alias("y"), F.col("line").alias("_b")),
-                [key, "y"], "full"))
-    by_y = Window.partitionBy(key).orderBy("y")
-    ab = ab.withColumns({"_top": F.greatest(F.max("y").over(Window.partitionBy(key)), shared_top),
-                         "_nxt": F.lead("y").over(by_y),
-                         "_first": F.row_number().over(by_y) == 1})
-    lo = F.when(F.col("_first"), F.least(F.col("y"), F.lit(-1))).otherwise(F.col("y"))
-    hi = F.when(F.col("_nxt").isNull(), F.col("_top")).otherwise(F.col("_nxt") - 1)
-    idx = (ab.select(key, "y", "_a", "_b", F.explode(F.sequence(lo, hi)).alias("_y"))
-           .filter((F.col("_y") >= -1))
-           .select(key, F.col("_y").alias("y"),
-                   F.when(F.col("_y") == F.col("y"), F.col("_a")).alias("_a"),
-                   F.when(F.col("_y") == F.col("y"), F.col("_b")).alias("_b")))
-    ls = bounded_broadcast(shared.select(F.col("y").cast("int").alias("y"), F.col("line").alias("_s")),
-                           known_rows=shared_rows)
-    j = idx.join(ls, "y", "left")
-    row = F.concat(F.coalesce(F.col("_a"), F.repeat(F.lit(" "), F.lit(a_width + 2))), F.lit(gap),
-                   F.coalesce(F.col("_b"), F.repeat(F.lit(" "), b_width + 2)), F.lit(gap),
-                   F.coalesce(F.col("_s"), F.lit("")))
-    return j.select(key, "y", row.alias("full_row"))
+def lines(df: DataFrame, array: Column, key: str = "id", out: str = "line", first: int = -1) -> DataFrame:
+    """(key, y, out): the lines of an array, numbered from ``first``."""
+    return df.select(key, F.posexplode(array).alias("_p", out)).select(key, (F.col("_p") + first).alias("y"), out)

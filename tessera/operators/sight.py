@@ -7,43 +7,85 @@ instead of repeated addition (a documented deviation: identical cells except on
 .5 ties).  ``dist`` of row n is ``(n - 1) * step * cos(angle - dir)``, i.e. already
 fish-eye corrected.  Off-grid points never stop a ray.
 
-Plan notes: rays are hash-partitioned on (id, col) before the explode so the
-12,900-rows-per-observer fan-out runs on every core, and the window that finds the
-first blocking row then needs no further exchange when the grid side is broadcast.
-The grid is either a long (x, y, tile) DataFrame, broadcast only behind a size
-bound (``grid_rows``) and otherwise shuffle-joined on the cell, or a
-``raster.PackedGrid`` (64 cells per row), whose lookup never shuffles the points
-while its rows fit the broadcast bound.
+Plan notes: ``neighbourhood`` joins each observer once to the packed grid rows within
+reach and keeps them on the observer as short arrays of 64-cell words, whose length
+follows from the view.  Its one exchange is by observer id; the fan, the march, the
+stop at the first wall and every aggregate per ray or observer then stay in the same
+partition, and a cell's tile is a bit test.  No step or cell row is ever shuffled and
+the plan does not change with the size of the world.  ``ray_march`` also takes a long
+(x, y, tile) grid and joins it by cell: that is the definition the tests compare with.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.joins import bounded_broadcast
-from tessera.functions.num import cell
+from tessera.functions.num import cell, floor_cell
 from tessera.operators.raster import PackedGrid
 from tessera.params import ViewParams
 
 WALL = "#"
-
-
-def ray_fan(observers: DataFrame, vp: ViewParams = ViewParams(),
-            num_partitions: int | None = None) -> DataFrame:
-    """(id, x, y, dir, col, angle): angle = dir - fov/2 + fov * col / (view_w - 1)."""
+WORD = PackedGrid.WORD
+_NEAR = ("_y0", "_w0", "_on", "_solid", "_mark")
+
+
+def words_per_row(vp: ViewParams) -> int:
+    """64-cell words that 2 * reach + 1 neighbouring cells can touch."""
+    return (2 * vp.reach) // WORD + 2
+
+
+def neighbourhood(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewParams(),
+                  keep: tuple[str, ...] = ()) -> DataFrame:
+    """Observers (id, x, y, dir, *keep) with the grid within reach: first row ``_y0`` and
+    word ``_w0``, and per (row, word) three 64-bit masks: cells that exist (``_on``), cells
+    that block (``_solid``), cells of the first layer (``_mark``).  ``id`` is unique."""
+    r, nw, rows = vp.reach, words_per_row(vp), 2 * vp.reach + 1
+    cols = ["x", "y", "dir", *keep]
+    first_word = F.floor((floor_cell("x") - r) / WORD)
+    o = observers.select("id", *cols, (floor_cell("y") - r).alias("_y0"), first_word.alias("_w0"))
+    slots = o.select("id", *cols, "_y0", "_w0", F.explode(F.sequence(F.lit(0), F.lit(rows * nw - 1))).alias("_i"))
+    slots = slots.withColumns({"_gy": F.col("_y0") + F.expr(f"_i div {nw}"), "_gw": F.col("_w0") + F.col("_i") % nw})
+    masks = grid.masks.select(F.col("y").alias("_my"), F.col("w").alias("_mw"), *[f"m{i}" for i in range(len(grid.tiles))])
+    j = slots.join(masks, (F.col("_gy") == F.col("_my")) & (F.col("_gw") == F.col("_mw")), "left")
+    # bits of a row's last word past the width are no cells
+    tail = grid.width % WORD
+    full = F.when(F.col("_my").isNull(), F.lit(0).cast("long"))
+    if tail:
+        full = full.when(F.col("_mw") == grid.width // WORD, F.lit((1 << tail) - 1).cast("long"))
+    on = full.otherwise(F.lit(-1).cast("long"))
+    open_ = F.lit(0).cast("long")
+    for i, t in enumerate(grid.tiles):
+        if t != WALL:
+            open_ = open_.bitwiseOR(F.coalesce(F.col(f"m{i}"), F.lit(0).cast("long")))
+    j = j.withColumns({"_o": on, "_s": on.bitwiseAND(F.bitwise_not(open_)),
+                       "_m": F.coalesce(F.col("m0"), F.lit(0).cast("long"))})
+    arr = F.sort_array(F.collect_list(F.struct("_i", "_o", "_s", "_m")))
+    out = (j.groupBy("id").agg(*[F.first(c).alias(c) for c in cols], F.first("_y0").alias("_y0"),
+                               F.first("_w0").alias("_w0"), arr.alias("_a")))
+    return out.select("id", *cols, "_y0", "_w0", F.col("_a._o").alias("_on"), F.col("_a._s").alias("_solid"),
+                      F.col("_a._m").alias("_mark"))
+
+
+def bit_at(mask: str, x, y, vp: ViewParams = ViewParams()) -> Column:
+    """Whether cell (x, y) near the observer is set in one of its masks."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    i = (y - F.col("_y0")) * words_per_row(vp) + (F.floor(x / WORD) - F.col("_w0"))
+    word = F.get(F.col(mask), i.cast("int"))
+    return F.call_function("shiftrightunsigned", word, F.pmod(x, F.lit(WORD)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def ray_fan(observers: DataFrame, vp: ViewParams = ViewParams(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, x, y, dir, *keep, col, angle): angle = dir - fov/2 + fov * col / (view_w - 1)."""
     last = vp.view_w if vp.inclusive_edge else vp.view_w - 1
-    rays = observers.select("id", "x", "y", "dir",
+    rays = observers.select("id", "x", "y", "dir", *keep,
                             F.explode(F.sequence(F.lit(0), F.lit(last))).alias("col"))
-    rays = rays.withColumn(
+    return rays.withColumn(
         "angle", F.col("dir") - F.lit(vp.fov / 2.0)
         + F.lit(vp.fov) * (F.col("col").cast("double") / F.lit(float(vp.view_w - 1))))
-    if num_partitions:
-        rays = rays.repartition(num_partitions, "id", "col")
-    return rays
 
 
-def march_points(rays: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
+def march_points(rays: DataFrame, vp: ViewParams = ViewParams(), keep: tuple[str, ...] = ()) -> DataFrame:
     """Every candidate march row n = 1..max_steps of every ray (no stopping yet).
 
     ``entry`` marks the first row of the ray in its cell (n = 1, or row n - 1, in the
@@ -51,43 +93,50 @@ def march_points(rays: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
     round to one cell are contiguous in n (a cell is convex and the rounding is
     monotone), and ``dist`` grows with n, so the entry row of a cell carries the
     cell's smallest distance and the first blocking row is always an entry row."""
-    pts = rays.select("id", "col", "angle", "dir", "x", "y",
+    # the step of a ray is computed once per ray, below the explode
+    pts = rays.select("id", "col", "angle", "dir", "x", "y", *keep,
+                      (F.lit(vp.step) * F.cos("angle")).alias("_dx"), (F.lit(vp.step) * F.sin("angle")).alias("_dy"),
+                      F.cos(F.col("angle") - F.col("dir")).alias("_c"),
                       F.explode(F.sequence(F.lit(1), F.lit(vp.max_steps))).alias("n"))
-    dx, dy = F.lit(vp.step) * F.cos("angle"), F.lit(vp.step) * F.sin("angle")
-    cx, cy = cell(F.col("x") + F.col("n") * dx), cell(F.col("y") + F.col("n") * dy)
-    px, py = cell(F.col("x") + (F.col("n") - 1) * dx), cell(F.col("y") + (F.col("n") - 1) * dy)
-    dist = (F.col("n") - 1) * F.lit(vp.step) * F.cos(F.col("angle") - F.col("dir"))
-    return (pts.select("id", "col", "n", cx.alias("cx"), cy.alias("cy"), dist.alias("dist"),
-                       px.alias("_px"), py.alias("_py"))
-            .withColumn("entry", (F.col("n") == 1) | (F.col("cx") != F.col("_px"))
-                        | (F.col("cy") != F.col("_py")))
-            .drop("_px", "_py"))
+    n, dx, dy = F.col("n"), F.col("_dx"), F.col("_dy")
+    cx, cy = cell(F.col("x") + n * dx), cell(F.col("y") + n * dy)
+    px, py = cell(F.col("x") + (n - 1) * dx), cell(F.col("y") + (n - 1) * dy)
+    return pts.select("id", "col", "angle", "dir", *keep, "n", cx.alias("cx"), cy.alias("cy"),
+                      ((n - 1) * F.lit(vp.step) * F.col("_c")).alias("dist"),
+                      ((n == 1) | (cx != px) | (cy != py)).alias("entry"))
 
 
-def entry_points(rays: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
-    """The entry rows of ``march_points`` only (about one row per cell crossed)."""
-    return march_points(rays, vp).filter(F.col("entry")).drop("entry")
+def with_tiles(pts: DataFrame, grid: DataFrame) -> DataFrame:
+    """Adds ``tile`` (NULL off the grid) to points with cell columns (cx, cy)."""
+    return pts.join(grid.select(F.col("x").alias("cx"), F.col("y").alias("cy"), "tile"), ["cx", "cy"], "left")
 
 
-def _grid_side(grid: DataFrame, grid_rows: int | None) -> DataFrame:
-    g = grid.select(F.col("x").alias("cx"), F.col("y").alias("cy"), "tile")
-    return bounded_broadcast(g, known_rows=grid_rows)
+def _near_rays(observers: DataFrame, grid: PackedGrid, vp: ViewParams) -> DataFrame:
+    return ray_fan(neighbourhood(observers, grid, vp), vp, keep=_NEAR)
 
 
-def with_tiles(pts: DataFrame, grid, grid_rows: int | None = None) -> DataFrame:
-    """Adds ``tile`` (NULL off the grid) to points with cell columns (cx, cy);
-    ``grid`` is a long (x, y, tile) DataFrame or a ``PackedGrid``."""
-    if isinstance(grid, PackedGrid):
-        return grid.lookup(pts)
-    return pts.join(_grid_side(grid, grid_rows), ["cx", "cy"], "left")
+def _tile(grid: PackedGrid, vp: ViewParams) -> Column:
+    """The tile of a march row from the observer's masks (a grid of two layers at most)."""
+    free = grid.tiles[1] if len(grid.tiles) > 1 else grid.tiles[0]
+    return F.when(bit_at("_on", "cx", "cy", vp),
+                  F.when(bit_at("_solid", "cx", "cy", vp), F.lit(WALL))
+                  .when(bit_at("_mark", "cx", "cy", vp), F.lit(grid.tiles[0])).otherwise(F.lit(free)))
 
 
-def ray_march(rays: DataFrame, grid, vp: ViewParams = ViewParams(),
-              grid_rows: int | None = None) -> DataFrame:
+def entry_points(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewParams()) -> DataFrame:
+    """The entry rows of the march (about one row per cell crossed) with their tile."""
+    pts = march_points(_near_rays(observers, grid, vp), vp, keep=_NEAR).filter("entry")
+    return pts.select("id", "col", "angle", "dir", "n", "cx", "cy", "dist", _tile(grid, vp).alias("tile"))
+
+
+def ray_march(observers: DataFrame, grid, vp: ViewParams = ViewParams()) -> DataFrame:
     """(id, col, n, cx, cy, dist, tile): the march rows each ray really visits;
-    ``tile`` is NULL off the grid."""
-    pts = with_tiles(march_points(rays, vp).drop("entry"), grid, grid_rows)
-    return _stop_at_first_wall(pts)
+    ``tile`` is NULL off the grid.  ``grid``: packed, or long (x, y, tile)."""
+    if isinstance(grid, PackedGrid):
+        pts = march_points(_near_rays(observers, grid, vp), vp, keep=_NEAR).withColumn("tile", _tile(grid, vp))
+    else:
+        pts = with_tiles(march_points(ray_fan(observers, vp), vp), grid)
+    return _stop_at_first_wall(pts.select("id", "col", "n", "cx", "cy", "dist", "tile"))
 
 
 def _stop_at_first_wall(pts: DataFrame) -> DataFrame:
@@ -107,48 +156,57 @@ def visible_cells(march: DataFrame) -> DataFrame:
             .agg(F.min("dist").alias("dist")))
 
 
-def visible_entries(rays: DataFrame, grid, vp: ViewParams = ViewParams(),
-                    grid_rows: int | None = None, keep_n: bool = False) -> DataFrame:
-    """``visible_cells(ray_march(rays, grid))`` without the full march: each visited
+def visible_entries(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewParams()) -> DataFrame:
+    """``visible_cells(ray_march(observers, grid))`` without the full march: each visited
     cell is its entry row (which holds the cell's smallest distance), and the
     first wall is an entry row too, so the stop window runs over entry rows only and
-    no aggregate is needed.  About 10x fewer rows are looked up and sorted."""
-    pts = with_tiles(entry_points(rays, vp), grid, grid_rows)
-    vis = _stop_at_first_wall(pts).filter(F.col("tile").isNotNull())
-    cols = ["id", "col", F.col("cx").alias("tile_x"), F.col("cy").alias("tile_y"), "tile", "dist"]
-    return vis.select(*cols, *(["n"] if keep_n else []))
+    no aggregate is needed."""
+    vis = _stop_at_first_wall(entry_points(observers, grid, vp)).filter(F.col("tile").isNotNull())
+    return vis.select("id", "col", F.col("cx").alias("tile_x"), F.col("cy").alias("tile_y"), "tile", "dist")
+
 
+def ray_summary(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewParams(), cells: bool = False) -> DataFrame:
+    """One row per ray from one march: id, col, angle, dir, n and dist of the first blocking
+    row (NULL without a hit), extent (the farthest visible entry, NULL if none), and with
+    ``cells`` the visible cells as an array of (x, y, tile).
 
-def first_hit(rays: DataFrame, grid, vp: ViewParams = ViewParams(),
-              grid_rows: int | None = None) -> DataFrame:
+    The march never passes its first wall, so the hit is the smallest blocked n; ``dist``
+    grows with n (needs fov < pi), so the extent is the hit, or else the last cell."""
+    assert vp.fov < 3.141592653589793
+    e = entry_points(observers, grid, vp).filter(F.col("tile").isNotNull() | (F.col("n") == 1))
+    wall, on = F.col("tile") == WALL, F.col("tile").isNotNull()
+    aggs = [F.first("angle").alias("angle"), F.first("dir").alias("dir"), F.min(F.when(wall, F.col("n"))).alias("n"),
+            F.min(F.when(wall, F.col("dist"))).alias("dist"), F.max(F.when(on, F.col("dist"))).alias("_far")]
+    if cells:
+        seen = F.struct("n", F.col("cx").alias("x"), F.col("cy").alias("y"), "tile")
+        aggs.append(F.collect_list(F.when(on, seen)).alias("_cells"))
+    s = e.groupBy("id", "col").agg(*aggs)
+    out = ["id", "col", "angle", "dir", "n", "dist", F.coalesce("dist", "_far").alias("extent")]
+    if cells:
+        visible = F.filter("_cells", lambda c: F.col("n").isNull() | (c["n"] <= F.col("n")))
+        out.append(F.transform(visible, lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), c["tile"].alias("tile"))).alias("cells"))
+    return s.select(*out)
+
+
+def first_hit(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewParams()) -> DataFrame:
     """(id, col, n, dist): nearest blocking march row per ray; rays without a hit are
-    absent.  Direct route - no window: min(n) over blocked entry rows (the march never
-    passes its first wall, so this equals the wall row of ``ray_march``).
-    Needs fov < pi so that dist grows with n."""
+    absent.  Only the mask of blocking cells is carried."""
     assert vp.fov < 3.141592653589793
-    if isinstance(grid, PackedGrid):
-        pts = grid.lookup(entry_points(rays, vp)).filter(F.col("tile") == WALL)
-    else:
-        walls = grid.filter(F.col("tile") == WALL).select(
-            F.col("x").alias("cx"), F.col("y").alias("cy"))
-        pts = entry_points(rays, vp).join(
-            bounded_broadcast(walls, known_rows=grid_rows), ["cx", "cy"], "left_semi")
-    return pts.groupBy("id", "col").agg(F.min("n").alias("n"),
-                                        F.min_by("dist", "n").alias("dist"))
+    near = ("_y0", "_w0", "_solid")
+    rays = ray_fan(neighbourhood(observers, grid, vp), vp, keep=near)
+    walls = march_points(rays, vp, keep=near).filter(F.col("entry") & bit_at("_solid", "cx", "cy", vp))
+    return walls.groupBy("id", "col").agg(F.min("n").alias("n"), F.min("dist").alias("dist"))
 
 
-def ray_depth(rays: DataFrame, hits: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
-    """(id, col, angle, dir, depth): hit distance, or max_steps*step (not
-    cos-corrected) for a ray without a hit."""
-    return (rays.select("id", "col", "angle", "dir")
-            .join(hits.select("id", "col", "dist"), ["id", "col"], "left")
-            .select("id", "col", "angle", "dir",
-                    F.coalesce(F.col("dist"), F.lit(vp.max_steps * vp.step)).alias("depth")))
+def ray_depth(rays: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
+    """(id, col, angle, dir, depth) of ``ray_summary`` rows: hit distance, or
+    max_steps*step (not cos-corrected) for a ray without a hit."""
+    return rays.select("id", "col", "angle", "dir", F.coalesce(F.col("dist"), F.lit(vp.max_steps * vp.step)).alias("depth"))
 
 
-def ray_extent(visible: DataFrame) -> DataFrame:
+def ray_extent(rays: DataFrame) -> DataFrame:
     """(id, col, extent): the farthest visible cell entry of a ray (occluder depth)."""
-    return visible.groupBy("id", "col").agg(F.max("dist").alias("extent"))
+    return rays.filter("extent is not null").select("id", "col", "extent")
 
 
 def visible_cell_set(visible: DataFrame) -> DataFrame:

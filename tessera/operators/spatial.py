@@ -1,9 +1,9 @@
 """J - cell-binned spatial joins and predicates.
 
 Points are binned to the cell they round to (half even, like the reference's casts),
-so every spatial test is an equi-join on the integer cell.  The grid side is
-broadcast only behind a size bound; a skewed hot cell on the point side is split
-by AQE's skew-join handling.
+so every spatial test is an equi-join on the integer cell.  Whether the grid side
+is broadcast is Spark's choice from measured sizes; a skewed hot cell on the point
+side is split by AQE's skew-join handling.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.joins import bounded_broadcast
 from tessera.functions.num import cell
 
 WALL = "#"
@@ -36,37 +35,34 @@ def _lines(grid):
     return grid if isinstance(grid, PackedGrid) else None
 
 
-def _walls(grid: DataFrame, grid_rows: int | None) -> DataFrame:
-    w = grid.filter(F.col("tile") == WALL).select(F.col("x").alias("cx"), F.col("y").alias("cy"))
-    return bounded_broadcast(w, known_rows=grid_rows)
+def _walls(grid: DataFrame) -> DataFrame:
+    return grid.filter(F.col("tile") == WALL).select(F.col("x").alias("cx"), F.col("y").alias("cy"))
 
 
-def cell_lookup(points: DataFrame, grid: DataFrame, x: str = "x", y: str = "y",
-                grid_rows: int | None = None) -> DataFrame:
+def cell_lookup(points: DataFrame, grid: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Points whose cell exists in the grid and is not blocking (off-grid = rejected)."""
     if _lines(grid):
         t = grid.lookup(with_cell(points, x, y))
         return t.filter(F.col("tile").isNotNull() & (F.col("tile") != WALL)).drop("cx", "cy", "tile")
-    g = bounded_broadcast(grid.select(F.col("x").alias("cx"), F.col("y").alias("cy"), "tile"),
-                          known_rows=grid_rows)
+    g = grid.select(F.col("x").alias("cx"), F.col("y").alias("cy"), "tile")
     return (with_cell(points, x, y).join(g, ["cx", "cy"])
             .filter(F.col("tile") != WALL).drop("cx", "cy", "tile"))
 
 
-def blocked(points: DataFrame, grid: DataFrame, grid_rows: int | None = None) -> DataFrame:
+def blocked(points: DataFrame, grid: DataFrame) -> DataFrame:
     """Points whose cell is blocking (EXISTS)."""
     if _lines(grid):
         return (grid.lookup(with_cell(points)).filter(F.col("tile") == WALL)
                 .drop("cx", "cy", "tile"))
-    return with_cell(points).join(_walls(grid, grid_rows), ["cx", "cy"], "left_semi").drop("cx", "cy")
+    return with_cell(points).join(_walls(grid), ["cx", "cy"], "left_semi").drop("cx", "cy")
 
 
-def unblocked(points: DataFrame, grid: DataFrame, grid_rows: int | None = None) -> DataFrame:
+def unblocked(points: DataFrame, grid: DataFrame) -> DataFrame:
     """The complement of ``blocked``: off-grid points survive here."""
     if _lines(grid):
         return (grid.lookup(with_cell(points))
                 .filter(F.col("tile").isNull() | (F.col("tile") != WALL)).drop("cx", "cy", "tile"))
-    return with_cell(points).join(_walls(grid, grid_rows), ["cx", "cy"], "left_anti").drop("cx", "cy")
+    return with_cell(points).join(_walls(grid), ["cx", "cy"], "left_anti").drop("cx", "cy")
 
 
 def out_of_bounds(points: DataFrame, grid: DataFrame, kind_col: str | None = None,
@@ -80,7 +76,7 @@ def out_of_bounds(points: DataFrame, grid: DataFrame, kind_col: str | None = Non
     the whole disjunction, which is what the reference intends.  ``inside=True``
     returns the complement (the rows a DELETE would keep)."""
     if _lines(grid):
-        mx, my = F.lit(grid.width - 1), F.lit(grid.height - 1)
+        mx, my = F.lit(grid.width - 1), grid.max_y
     else:
         mx = grid.agg(F.max("x")).scalar()
         my = grid.agg(F.max("y")).scalar()

@@ -9,11 +9,11 @@ target row however many rows match, so matches are reduced to distinct keys firs
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.num import epoch_micros
-from tessera.functions.ranking import number_rows, prefix_sums
+from tessera.functions.ranking import add_prefix_sums, number_rows, with_bucket
 from tessera.operators import spatial
 from tessera.params import StateParams
 
@@ -32,8 +32,7 @@ def _inputs(latest: DataFrame, *acts: str) -> DataFrame:
             .select(F.col("key").alias("id"), F.col("action").alias("act")))
 
 
-def moves(actors: DataFrame, latest: DataFrame, grid: DataFrame, sp: StateParams = StateParams(),
-          grid_rows: int | None = None) -> DataFrame:
+def moves(actors: DataFrame, latest: DataFrame, grid: DataFrame, sp: StateParams = StateParams()) -> DataFrame:
     """'w' steps forward, 's' back by move_speed along dir; a step is kept only when
     it lands on an existing, non-blocking cell."""
     fwd = F.col("act") == "w"
@@ -41,7 +40,7 @@ def moves(actors: DataFrame, latest: DataFrame, grid: DataFrame, sp: StateParams
     prop = actors.select("id", "x", "y", "dir").join(_inputs(latest, "w", "s"), "id").select(
         "id", F.when(fwd, F.col("x") + c * v).otherwise(F.col("x") - c * v).alias("x"),
         F.when(fwd, F.col("y") + s * v).otherwise(F.col("y") - s * v).alias("y"))
-    ok = spatial.cell_lookup(prop, grid, grid_rows=grid_rows).select(
+    ok = spatial.cell_lookup(prop, grid).select(
         "id", F.col("x").alias("nx"), F.col("y").alias("ny"))
     return (actors.join(ok, "id", "left")
             .withColumns({"x": F.coalesce("nx", "x"), "y": F.coalesce("ny", "y")})
@@ -85,26 +84,50 @@ def advance(points: DataFrame, speed: float) -> DataFrame:
                                "y": F.col("y") + F.sin("dir") * F.lit(speed)})
 
 
-def apply_hits(actors: DataFrame, collisions: DataFrame, damage: int) -> DataFrame:
-    """Every actor hit at least once in the batch loses ``damage`` once."""
-    hit = collisions.select(F.col("victim_id").alias("id")).distinct().withColumn("_hit", F.lit(True))
-    j = actors.join(hit, "id", "left")
-    return j.withColumn("hp", F.when(F.col("_hit"), F.col("hp") - damage).otherwise(F.col("hp"))).drop("_hit")
-
-
-def credit(actors: DataFrame, collisions: DataFrame) -> DataFrame:
-    """An owner scores +1 once if any of its collisions has a victim at hp <= 0
-    (after damage)."""
-    dead = actors.filter(F.col("hp") <= 0).select(F.col("id").alias("victim_id"))
-    owners = (collisions.join(dead, "victim_id", "left_semi")
-              .select(F.col("owner").alias("id")).distinct().withColumn("_win", F.lit(True)))
-    j = actors.join(owners, "id", "left")
-    return j.withColumn("score", F.when(F.col("_win"), F.col("score") + 1)
-                        .otherwise(F.col("score"))).drop("_win")
-
-
-def expire_hits(projectiles: DataFrame, collisions: DataFrame, key: list[str]) -> DataFrame:
-    return projectiles.join(collisions.select(*key), key, "left_anti")
+def _differs(low: str, high: str, key: str) -> Column:
+    """Whether a set given by its smallest and largest member has another one than ``key``
+    (false for an empty set or a NULL key)."""
+    return F.coalesce((F.col(low) != F.col(key)) | (F.col(high) != F.col(key)), F.lit(False))
+
+
+def cell_hits(actors: DataFrame, projectiles: DataFrame, damage: int) -> DataFrame:
+    """(id, hit, win): per actor whether a projectile of another owner is in its cell, and
+    per owner whether one of its projectiles is in the cell of another actor whose hp is at
+    0 or below after this batch's damage.
+
+    No projectile x actor pairs: in a cell only the smallest and the largest owner, and the
+    smallest and largest dead actor, matter.  Projectiles are reduced to distinct (cell,
+    owner) before the one exchange by cell, and are read once for both answers.  A NULL
+    owner never hits."""
+    a = spatial.with_cell(actors).select("cx", "cy", "id", F.lit(None).cast("long").alias("owner"), "hp")
+    p = (spatial.with_cell(projectiles).filter("owner is not null").select("cx", "cy", "owner").distinct()
+         .select("cx", "cy", F.lit(None).cast("long").alias("id"), "owner", F.lit(None).cast("int").alias("hp")))
+    in_cell = Window.partitionBy("cx", "cy")
+    u = a.unionByName(p).withColumns({"_lo": F.min("owner").over(in_cell), "_hi": F.max("owner").over(in_cell)})
+    u = u.withColumn("hit", _differs("_lo", "_hi", "id"))
+    dead = F.when(F.col("hp") - F.when(F.col("hit"), damage).otherwise(0) <= 0, F.col("id"))
+    u = u.withColumn("_dead", dead).withColumns({"_dlo": F.min("_dead").over(in_cell), "_dhi": F.max("_dead").over(in_cell)})
+    u = u.withColumn("win", _differs("_dlo", "_dhi", "owner"))
+    return u.groupBy(F.coalesce("id", "owner").alias("id")).agg(F.max("hit").alias("hit"), F.max("win").alias("win"))
+
+
+def apply_hits(actors: DataFrame, hits: DataFrame, damage: int) -> DataFrame:
+    """Every actor hit at least once in the batch loses ``damage`` once; an owner scores +1
+    once if any of its victims ends at hp <= 0.  ``hits``: rows of ``cell_hits``."""
+    flags = hits.select(F.col("id").alias("_id"), "hit", "win")
+    j = actors.join(flags, F.col("id") == F.col("_id"), "left")
+    return (j.withColumns({"hp": F.when(F.col("hit"), F.col("hp") - damage).otherwise(F.col("hp")),
+                           "score": F.when(F.col("win"), F.col("score") + 1).otherwise(F.col("score"))})
+            .drop("_id", "hit", "win"))
+
+
+def expire_hits(projectiles: DataFrame, actors: DataFrame) -> DataFrame:
+    """Projectiles that are in no other actor's cell stay.  An actor's cell is one row with
+    its smallest and largest id; a projectile without an owner never hits and stays."""
+    cells = (spatial.with_cell(actors).groupBy(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"))
+             .agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")))
+    j = spatial.with_cell(projectiles).join(cells, (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy")), "left")
+    return j.filter(~_differs("_lo", "_hi", "owner")).select(*projectiles.columns)
 
 
 def respawn_cell(grid: DataFrame, seed: int) -> Column:
@@ -154,15 +177,22 @@ def pending_actions(actions: DataFrame, offsets: DataFrame) -> DataFrame:
             .filter(F.col("_off").isNull() | (F.col("seq") > F.col("_off"))).drop("_off"))
 
 
-def get_or_create(entities: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, id, created): look every requested name up (smallest id when a name
-    repeats), create the missing ones with ids after the current maximum."""
-    existing = entities.groupBy("name").agg(F.min("id").alias("id"))
-    req = names.select("name").distinct()
-    found = req.join(existing, "name").withColumn("created", F.lit(False))
+def get_or_create(entities: DataFrame, names: DataFrame, sp: StateParams = StateParams()) -> DataFrame:
+    """(name, id, created, x, y, dir, kind, stamp_id, icon, hp, ammo, score): every
+    requested (name, icon) is looked up (the smallest id when a name repeats); the missing
+    ones are created on the spawn cell with full hp and ammo and ids after the current
+    maximum.  A name requested with several icons is created with the smallest."""
+    cols = ["x", "y", "dir", "kind", "stamp_id", "icon", "hp", "ammo", "score"]
+    existing = entities.groupBy("name").agg(F.min_by(F.struct("id", *cols), "id").alias("e")).select("name", "e.*")
+    req = names.groupBy("name").agg(F.min("icon").alias("want"))
+    found = req.join(existing, "name").select("name", "id", F.lit(False).alias("created"), *cols)
     base = entities.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     new = assign_ids(req.join(existing, "name", "left_anti"), ["name"], base)
-    return found.unionByName(new.withColumn("created", F.lit(True)))
+    new = new.select("name", "id", F.lit(True).alias("created"), F.lit(sp.spawn_x).alias("x"), F.lit(sp.spawn_y).alias("y"),
+                     F.lit(sp.spawn_dir).alias("dir"), F.lit("player").alias("kind"), F.lit(0).alias("stamp_id"),
+                     F.col("want").alias("icon"), F.lit(sp.hp_full).alias("hp"), F.lit(sp.ammo_max).alias("ammo"),
+                     F.lit(0).alias("score"))
+    return found.unionByName(new)
 
 
 def pk_violations(df: DataFrame, cols: list[str], name: str) -> DataFrame:
@@ -183,7 +213,7 @@ def not_null_violations(df: DataFrame, cols: list[str], key: list[str], name: st
 def fk_violations(child: DataFrame, child_cols: list[str], parent: DataFrame,
                   parent_cols: list[str], name: str) -> DataFrame:
     p = parent.select(*[F.col(a).alias(b) for a, b in zip(parent_cols, child_cols)])
-    orphans = child.filter(F.lit(True)).join(p, child_cols, "left_anti")
+    orphans = child.join(p, child_cols, "left_anti")
     for c in child_cols:
         orphans = orphans.filter(F.col(c).isNotNull())
     return (orphans.groupBy(*child_cols).agg(F.count("*").alias("n"))
@@ -195,27 +225,26 @@ def keyed_state(actors: DataFrame, ids: DataFrame) -> DataFrame:
     return actors.join(ids.select("id").distinct(), "id", "left_semi").select("id", "name", "x", "y", "dir")
 
 
-def trajectory(starts: DataFrame, actions: DataFrame, sp: StateParams = StateParams(),
-               default=(4.0, 4.0, 0.0), bucket_s: int = 3600) -> DataFrame:
+def trajectory(starts: DataFrame, actions: DataFrame, sp: StateParams = StateParams(), bucket_s: int = 3600) -> DataFrame:
     """Per key, replay an action log without walls: dir = dir0 + turn_speed * (net
     right turns so far); each 'w'/'s' moves by move_speed along the dir of that
-    moment.  Two stacked running sums, both split by time bucket (``prefix_sums``);
-    positions accumulate in fixed point so the split is exact."""
-    a = actions.select("key", "ts", "seq", "action")
-    bucket = F.floor(epoch_micros("ts") / (bucket_s * 1_000_000))
+    moment.  Two stacked running sums, both split by time bucket (``ranking``) and both
+    on the one exchange by (key, bucket); each step is rounded to 1e-9, so the split is
+    exact and n steps are within n * 0.5e-9 of the unrounded sum.  A key without a start
+    begins at the spawn point."""
+    st = starts.select(F.col("id").alias("_id"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("dir").alias("dir0"))
+    a = actions.select("key", "ts", "seq", "action").join(st, F.col("key") == F.col("_id"), "left").select(
+        "key", "ts", "seq", "action", F.coalesce("x0", F.lit(sp.spawn_x)).alias("x0"),
+        F.coalesce("y0", F.lit(sp.spawn_y)).alias("y0"), F.coalesce("dir0", F.lit(sp.spawn_dir)).alias("dir0"))
     order = ["ts", "seq"]
+    a = with_bucket(a, "key", F.floor(epoch_micros("ts") / (bucket_s * 1_000_000)))
     turn = F.when(F.col("action") == "d", 1).when(F.col("action") == "a", -1).otherwise(0).cast("long")
-    t = prefix_sums(a, "key", bucket, order, {"net_turn": turn})
-    st = starts.select(F.col("id").alias("key"), F.col("x").alias("x0"), F.col("y").alias("y0"),
-                       F.col("dir").alias("dir0"))
-    t = t.join(st, "key", "left").withColumns({
-        "x0": F.coalesce("x0", F.lit(default[0])), "y0": F.coalesce("y0", F.lit(default[1])),
-        "dir0": F.coalesce("dir0", F.lit(default[2]))})
+    t = add_prefix_sums(a, order, {"net_turn": turn})
     t = t.withColumn("dir", F.col("dir0") + F.col("net_turn") * F.lit(sp.turn_speed))
     sign = F.when(F.col("action") == "w", 1.0).when(F.col("action") == "s", -1.0).otherwise(0.0)
     fx = F.round(sign * F.cos("dir") * F.lit(sp.move_speed) * FIXED_POINT).cast("long")
     fy = F.round(sign * F.sin("dir") * F.lit(sp.move_speed) * FIXED_POINT).cast("long")
-    m = prefix_sums(t, "key", bucket, order, {"sx": fx, "sy": fy})
+    m = add_prefix_sums(t, order, {"sx": fx, "sy": fy})
     return m.select("key", "ts", "seq", "action", "dir",
                     (F.col("x0") + F.col("sx") / F.lit(float(FIXED_POINT))).alias("x"),
                     (F.col("y0") + F.col("sy") / F.lit(float(FIXED_POINT))).alias("y"))

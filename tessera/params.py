@@ -27,12 +27,18 @@ class ViewParams:
         return self.view_w / (2 * math.tan(self.fov / 2))
 
     @property
-    def n_cols(self) -> int:
-        return self.view_w + 1 if self.inclusive_edge else self.view_w
+    def reach(self) -> int:
+        """Cells on each side of floor(position) that a ray can enter: it is at most
+        ``ray_length`` long and its end is rounded to a cell."""
+        return math.ceil(self.ray_length) + 1
 
-    @property
-    def n_rows(self) -> int:
-        return self.view_h + 1 if self.inclusive_edge else self.view_h
+    def frame_radius(self, world_w):
+        """Distance beyond which a target ``world_w`` wide (a number or a Column) leaves no
+        pixel: it is drawn nearer than the ray length, and its centre is at most half a
+        screen plus half its own width beside the line of sight.  Three columns are
+        allowed for rounding and for texels widened to one pixel."""
+        side = self.ray_length * (self.view_w / 2 + 3) / self.projection_factor
+        return ((side + world_w / 2) * (side + world_w / 2) + self.ray_length ** 2) ** 0.5
 
 
 @dataclass(frozen=True)
@@ -69,8 +75,5 @@ class WorldParams:
     parts_per_band: int = 200
     min_room: int = 6          # rooms at least 6 x 6 get a respawn cell
     respawn_seed: int = 17
-    sight_range: float = 10.0  # = max_steps * step; nothing further is drawn
-    frame_radius: float = 12.0  # > ray length / cos(fov / 2) + half a stamp
-    coverage_radius: int = 10   # coverage window is (2r+1)^2 cells per observer
     refill_interval_s: int = 3600
     quota_max: int = 3

@@ -27,10 +27,6 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def _parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 # ---- R ------------------------------------------------------------------------
 
 @query
@@ -85,71 +81,55 @@ def q_r_glyph_cells(spark, sf):
 
 # ---- L ------------------------------------------------------------------------
 
-def _rays(w: World, spark) -> DataFrame:
-    return sight.ray_fan(w.actors(), w.vp, num_partitions=_parallelism(spark))
-
-
-def _march(w: World, spark) -> DataFrame:
-    return sight.ray_march(_rays(w, spark), w.packed(), w.vp)
-
-
-def _visible(w: World, spark) -> DataFrame:
-    return sight.visible_entries(_rays(w, spark), w.packed(), w.vp)
-
-
-def _hits(w: World, spark) -> DataFrame:
-    return sight.first_hit(_rays(w, spark), w.packed(), w.vp)
-
-
 @query
 def q_l_ray_fan(spark, sf):
     w = World(spark, sf)
-    return _rays(w, spark).select("id", "col", q6("angle").alias("angle"))
+    return sight.ray_fan(w.actors(), w.vp).select("id", "col", q6("angle").alias("angle"))
 
 
 @query
 def q_l_ray_march(spark, sf):
     w = World(spark, sf)
-    return _march(w, spark).select("id", "col", "n", "cx", "cy", q6("dist").alias("dist"), "tile")
+    m = sight.ray_march(w.actors(), w.packed(), w.vp)
+    return m.select("id", "col", "n", "cx", "cy", q6("dist").alias("dist"), "tile")
 
 
 @query
 def q_l_visible_cells(spark, sf):
     w = World(spark, sf)
-    return _visible(w, spark).withColumn("dist", q6("dist"))
+    return sight.visible_entries(w.actors(), w.packed(), w.vp).withColumn("dist", q6("dist"))
 
 
 @query
 def q_l_first_hit(spark, sf):
     w = World(spark, sf)
-    return _hits(w, spark).select("id", "col", "n", q6("dist").alias("dist"))
+    return sight.first_hit(w.actors(), w.packed(), w.vp).select("id", "col", "n", q6("dist").alias("dist"))
 
 
 @query
 def q_l_ray_depth(spark, sf):
     w = World(spark, sf)
-    rays = _rays(w, spark)
-    return sight.ray_depth(rays, _hits(w, spark), w.vp).select(
-        "id", "col", q6("angle").alias("angle"), q6("depth").alias("depth"))
+    rays = sight.ray_summary(w.actors(), w.packed(), w.vp)
+    return sight.ray_depth(rays, w.vp).select("id", "col", q6("angle").alias("angle"), q6("depth").alias("depth"))
 
 
 @query
 def q_l_ray_extent(spark, sf):
     w = World(spark, sf)
-    return sight.ray_extent(_visible(w, spark)).withColumn("extent", q6("extent"))
+    return sight.ray_extent(sight.ray_summary(w.actors(), w.packed(), w.vp)).withColumn("extent", q6("extent"))
 
 
 @query
 def q_l_visible_cell_set(spark, sf):
     w = World(spark, sf)
-    return sight.visible_cell_set(_visible(w, spark))
+    return sight.visible_cell_set(sight.visible_entries(w.actors(), w.packed(), w.vp))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Rays with a first hit per observer: rects -> grid -> actors -> ray fan ->
     first hit, aggregated per observer."""
     w = World(spark, sf)
-    return (_hits(w, spark).groupBy("id")
+    return (sight.first_hit(w.actors(), w.packed(), w.vp).groupBy("id")
             .agg(F.count("*").alias("rays_hit"), F.min("n").alias("min_n"),
                  F.max("n").alias("max_n"), q6(F.avg("dist")).alias("avg_dist")))
 
@@ -164,12 +144,11 @@ class _Camera:
         from tessera.sources import world as world_mod
         self.c, self.w = camera, World(spark, sf)
         w, vp = self.w, self.w.vp
-        self.rays = _rays(w, spark)
-        self.lines = w.packed()
-        self.hits = sight.first_hit(self.rays, self.lines, vp)
-        self.depths = sight.ray_depth(self.rays, self.hits, vp)
+        self.grid = w.packed()
+        self.rays = sight.ray_summary(w.actors(), self.grid, vp)
+        self.depths = sight.ray_depth(self.rays, vp)
         self.heights = camera.column_height(self.depths, vp)
-        self.frame = camera.observer_frame(w.actors(), w.targets(), w.wp.frame_radius)
+        self.frame = camera.observer_frame(w.actors(), w.targets(), vp)
         self.projected = camera.project(self.frame, vp)
         self.lod = camera.choose_lod(self.projected, world_mod.LOD)
         self.catalogue_rows = sum(s[2] * s[3] for s in world_mod.STAMPS)
@@ -177,9 +156,6 @@ class _Camera:
     def base(self):
         return self.c.column_raster(self.heights, self.w.vp)
 
-    def visible(self, spark):
-        return sight.visible_entries(self.rays, self.lines, self.w.vp)
-
     def expanded(self):
         return self.c.stamp_expand(self.lod, self.w.stamps(), self.w.stamp_pixels(), self.w.vp,
                                    catalogue_rows=self.catalogue_rows)
@@ -190,26 +166,39 @@ class _Camera:
     def pixels(self):
         return self.c.span_pixels(self.spans())
 
-    def occluded(self, spark):
-        return self.c.occlude(self.pixels(), sight.ray_extent(self.visible(spark)))
+    def occluded(self):
+        return self.c.occlude(self.pixels(), sight.ray_extent(self.rays), self.w.vp)
+
+    def nearest(self):
+        return self.c.nearest_pixel(self.occluded())
+
+    def with_top(self, view):
+        """Views with their nearest target pixels; the rows of ``view_rows`` hide those
+        behind the column's occluder."""
+        none = F.array().cast("array<struct<px:int,py:int,ch:string,depth:double>>")
+        top = self.c.top_pixels(self.c.nearest_pixel(self.pixels()))
+        return view.join(top, "id", "left").withColumn("top", F.coalesce("top", none))
+
+    def view(self):
+        return self.with_top(self.c.observer_view(self.w.actors(), self.grid, self.w.vp))
 
-    def nearest(self, spark):
-        return self.c.nearest_pixel(self.occluded(spark))
+    def row_array(self):
+        return self.c.view_rows(F.col("cols"), F.col("top"), self.w.vp)
 
-    def overlay(self, spark):
-        return self.c.overlay(self.base(), self.nearest(spark))
+    def rows(self):
+        from tessera.operators import report
+        return report.lines(self.view(), self.row_array(), out="row", first=0)
 
-    def rows(self, spark):
-        return self.c.overlay_rows(self.base(), self.nearest(spark))
+    def overlay(self):
+        return self.rows().select("id", F.posexplode(F.split("row", "")).alias("x", "ch"), "y").select("id", "x", "y", "ch")
 
-    def cell_set(self, spark):
-        return sight.visible_cell_set(self.visible(spark))
+    def cell_set(self):
+        return sight.visible_cell_set(sight.visible_entries(self.w.actors(), self.grid, self.w.vp))
 
-    def coverage(self, spark):
+    def coverage(self):
         w = self.w
         mobs = w.targets().select("x", "y", "icon").unionByName(w.actors().select("x", "y", "icon"))
-        return self.c.coverage_map(w.actors(), self.cell_set(spark), self.lines, mobs,
-                                   w.wp.coverage_radius)
+        return self.c.coverage(w.actors(), self.grid, mobs, w.vp)
 
 
 @query
@@ -266,35 +255,36 @@ def q_c_span_pixels(spark, sf):
 
 @query
 def q_c_occlusion(spark, sf):
-    p = _Camera(spark, sf).occluded(spark)
+    p = _Camera(spark, sf).occluded()
     return p.select("obs_id", "target_id", "sx", "sy", "px", "py", "ch", q6("depth").alias("depth"))
 
 
 @query
 def q_c_nearest_pixel(spark, sf):
-    n = _Camera(spark, sf).nearest(spark)
+    n = _Camera(spark, sf).nearest()
     return n.select("id", "px", "py", "ch", "target_id", q6("depth").alias("depth"))
 
 
 @query
 def q_c_overlay(spark, sf):
-    return _Camera(spark, sf).overlay(spark)
+    return _Camera(spark, sf).overlay()
 
 
 @query
 def q_c_raster_rows(spark, sf):
-    return _Camera(spark, sf).rows(spark)
+    return _Camera(spark, sf).rows()
 
 
 @query
 def q_c_coverage_map(spark, sf):
-    return _Camera(spark, sf).coverage(spark)
+    cam = _Camera(spark, sf)
+    return cam.c.coverage_map(cam.coverage(), cam.w.vp)
 
 
 @query
 def q_c_coverage_stats(spark, sf):
     cam = _Camera(spark, sf)
-    return cam.c.coverage_stats(cam.cell_set(spark))
+    return cam.c.coverage_stats(cam.cell_set())
 
 
 # ---- J ------------------------------------------------------------------------
@@ -354,8 +344,7 @@ CLEAR_CUTOFF = "2024-01-15 00:00:00"
 class _Tick:
     """One batch of the state machine over the fixture world: inputs -> moves ->
     turns -> spawn -> quota -> advance -> bounds -> walls -> hits -> credit ->
-    expire -> respawn -> reset -> refill.  Collisions are computed once from the
-    post-move state and passed on.  Stages are built on first use only."""
+    expire -> respawn -> reset -> refill.  Stages are built on first use only."""
 
     def __init__(self, spark, sf):
         from tessera.operators import spatial, state
@@ -385,30 +374,32 @@ class _Tick:
     def a3(self):
         return self.s.consume_quota(self.a2, self.latest)
 
+    @cached_property
+    def bullets(self):
+        """All projectiles of this tick: those of the table, and the ones just spawned with
+        ids after the largest actor id (their table keys are NULL)."""
+        base = self.w.actors().agg(F.max("id")).scalar()
+        new = self.s.assign_ids(self.spawned.select("owner", "x", "y", "dir"), ["owner"], base)
+        old = self.w.projectiles().withColumn("id", F.lit(None).cast("long"))
+        return old.unionByName(new, allowMissingColumns=True)
+
     @cached_property
     def adv(self):
-        return self.s.advance(self.w.projectiles(), self.w.sp.projectile_speed)
+        return self.s.advance(self.bullets, self.w.sp.projectile_speed)
 
     @cached_property
     def live(self):
         inside = self.j.out_of_bounds(self.adv, self.grid, inside=True)
         return self.j.unblocked(inside, self.grid)
 
-    @cached_property
-    def coll(self):
-        return self.j.cell_join(self.live, self.a3)
-
-    @cached_property
-    def a4(self):
-        return self.s.apply_hits(self.a3, self.coll, self.w.sp.damage)
-
     @cached_property
     def a5(self):
-        return self.s.credit(self.a4, self.coll)
+        """After damage and credit."""
+        return self.s.apply_hits(self.a3, self.s.cell_hits(self.a3, self.live, self.w.sp.damage), self.w.sp.damage)
 
     @cached_property
     def remaining(self):
-        return self.s.expire_hits(self.live, self.coll, BULLET_KEY)
+        return self.s.expire_hits(self.live, self.a3)
 
     @cached_property
     def a6(self):
@@ -460,12 +451,12 @@ def q_m_consume_quota(spark, sf):
 
 @query
 def q_m_advance(spark, sf):
-    return _Tick(spark, sf).adv.select(*BULLET_KEY, q6("x").alias("x"), q6("y").alias("y"))
+    return _Tick(spark, sf).adv.select(*BULLET_KEY, "id", q6("x").alias("x"), q6("y").alias("y"))
 
 
 @query
 def q_m_apply_hits(spark, sf):
-    return _Tick(spark, sf).a4.select("id", "hp")
+    return _Tick(spark, sf).a5.select("id", "hp")
 
 
 @query
@@ -475,7 +466,7 @@ def q_m_credit(spark, sf):
 
 @query
 def q_m_expire_hits(spark, sf):
-    return _Tick(spark, sf).remaining.select(*BULLET_KEY)
+    return _Tick(spark, sf).remaining.select(*BULLET_KEY, "id")
 
 
 @query
@@ -507,9 +498,12 @@ def q_m_clear_actions(spark, sf):
 def q_m_get_or_create(spark, sf):
     from tessera.operators import state
     w = World(spark, sf)
+    k = F.col("user_id")
     names = w.table("events").select(
-        F.concat(F.lit("Supplier#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("name"))
-    return state.get_or_create(w.actors().select("id", "name"), names)
+        F.concat(F.lit("Supplier#"), F.lpad(k.cast("string"), 9, "0")).alias("name"),
+        F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (k % 26 + 1).cast("int"), 1).alias("icon"))
+    g = state.get_or_create(w.actors(), names, w.sp)
+    return g.withColumns({"x": q6("x"), "y": q6("y"), "dir": q6("dir")})
 
 
 @query
@@ -560,34 +554,17 @@ def q_m_token_bucket(spark, sf):
 
 # ---- X ------------------------------------------------------------------------
 
-LEADERBOARD_ROWS = 10
-
-
 def _status(spark, sf) -> DataFrame:
     from tessera.operators import report
     t = _Tick(spark, sf)
     return t.a8.select("id", "team", "score", report.status_line().alias("line"))
 
 
-def _minimap_rows(spark, sf, cam: "_Camera | None" = None) -> DataFrame:
-    """Coverage window rows, y relative to the window (0 .. 2r)."""
-    from tessera.functions.num import floor_cell
-    cam = cam or _Camera(spark, sf)
-    r = cam.w.wp.coverage_radius
-    org = cam.w.actors().select("id", (floor_cell("x") - r).alias("x0"), (floor_cell("y") - r).alias("y0"))
-    cells = cam.coverage(spark).join(org, "id").select(
-        "id", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).cast("int").alias("y"), "ch")
-    return cam.c.raster_rows(cells)
-
-
-def _framed_minimap(spark, sf, cam=None):
+def _minimap(cam: _Camera):
+    """(framed lines of the coverage window, their width) on the rows of ``cam.coverage()``."""
     from tessera.operators import report
-    cam = cam or _Camera(spark, sf)
-    rows = _minimap_rows(spark, sf, cam)
-    # every minimap row holds one character per cell of the (2r+1)-wide window, so
-    # the widest row is known from the parameter (no second pass over the rows)
-    width = 2 * cam.w.wp.coverage_radius + 1
-    return report.framed(rows, width), width
+    width = 2 * cam.w.vp.reach + 1
+    return report.framed(F.transform("cover", lambda r: F.array_join(r, "")), width), width
 
 
 @query
@@ -603,19 +580,24 @@ def q_x_ranked_lines(spark, sf):
 
 @query
 def q_x_framed_union(spark, sf):
-    return _framed_minimap(spark, sf)[0]
+    from tessera.operators import report
+    cam = _Camera(spark, sf)
+    return report.lines(cam.coverage(), _minimap(cam)[0])
 
 
 @query
 def q_x_panel_zip(spark, sf):
-    from pyspark.sql import Window
+    """View, minimap and the observer's own status line side by side (the list of all
+    status lines is ``x_ranked_lines``: on every screen it would be observers x actors)."""
     from tessera.operators import report
     cam = _Camera(spark, sf)
-    view = report.framed(cam.rows(spark), cam.w.vp.view_w)
-    mini, mini_w = _framed_minimap(spark, sf, cam)
-    top = _status(spark, sf).orderBy(F.desc("score"), "id").limit(LEADERBOARD_ROWS)
-    board = top.select((F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).alias("y"), "line")
-    return report.panel_zip(view, cam.w.vp.view_w, mini, mini_w, board, LEADERBOARD_ROWS)
+    mini, mini_w = _minimap(cam)
+    row = cam.with_top(cam.coverage()).join(_status(spark, sf).select("id", "line"), "id", "left")
+    view = report.framed(cam.row_array(), cam.w.vp.view_w)
+    own = F.array_compact(F.array("line"))
+    # the three arrays are made once per observer, before they are read line by line
+    panels = row.select("id", F.inline(F.array(F.struct(view.alias("a"), mini.alias("b"), own.alias("c")))))
+    return report.lines(panels, report.panel_zip(F.col("a"), cam.w.vp.view_w, F.col("b"), mini_w, F.col("c")), out="full_row")
 
 
 # ---- S ------------------------------------------------------------------------

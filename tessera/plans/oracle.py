@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans.oracle_base import _L, SP, VP, WP, compose, d, q6
+from tessera.plans.oracle_base import SP, VP, WP, compose, d, q6
 
 ORACLE: dict[str, str] = {}
 
@@ -56,10 +56,8 @@ oracle("c_project",
        f"SELECT obs_id, target_id, screen_x, screen_y, {q6('depth')} AS depth FROM screen", "screen")
 oracle("c_lod", "SELECT obs_id, target_id, eff_stamp AS stamp_id FROM lodsel", "lodsel")
 oracle("c_column_height", "SELECT id, col, height FROM heights", "heights")
-oracle("c_depth_band", f"""
-SELECT id, col, CASE WHEN depth < {d(_L / 4)} THEN '█' WHEN depth < {d(_L * 2 / 4)} THEN '▓'
-                     WHEN depth < {d(_L * 3 / 4)} THEN '▒' ELSE '░' END AS band
-FROM depths""", "depths")
+oracle("c_depth_band", """
+SELECT d.id, d.col, g.glyph AS band FROM depths d JOIN glyphs g ON d.depth >= g.lo AND d.depth < g.hi""", "depths", "glyphs")
 oracle("c_column_raster", "SELECT id, x, y, ch FROM base", "base")
 oracle("c_stamp_expand", f"""
 SELECT obs_id, target_id, sx, sy, ch, {q6('scale_x')} AS scale_x, {q6('scale_y')} AS scale_y
@@ -92,8 +90,8 @@ WHERE t.kind = 'player' AND CAST(p.x AS INTEGER) = CAST(t.x AS INTEGER)
   AND CAST(p.y AS INTEGER) = CAST(t.y AS INTEGER) AND p.owner <> t.id""", "proj", "targets")
 oracle("j_cell_lookup", f"""
 SELECT {_BK}, {q6('a.x')} AS x, {q6('a.y')} AS y
-FROM adv a JOIN grid g ON g.x = CAST(a.x AS INTEGER) AND g.y = CAST(a.y AS INTEGER)
-WHERE g.tile <> '#'""", "adv", "grid")
+FROM moved a JOIN grid g ON g.x = CAST(a.x AS BIGINT) AND g.y = CAST(a.y AS BIGINT)
+WHERE g.tile <> '#'""", "moved", "grid")
 oracle("j_blocked", f"""
 SELECT {_BK} FROM proj p WHERE EXISTS (SELECT 1 FROM grid g WHERE g.x = CAST(p.x AS INTEGER)
   AND g.y = CAST(p.y AS INTEGER) AND g.tile = '#')""", "proj", "grid")
@@ -101,8 +99,8 @@ oracle("j_unblocked", f"""
 SELECT {_BK} FROM proj p WHERE NOT EXISTS (SELECT 1 FROM grid g WHERE g.x = CAST(p.x AS INTEGER)
   AND g.y = CAST(p.y AS INTEGER) AND g.tile = '#')""", "proj", "grid")
 oracle("j_out_of_bounds", f"""
-SELECT {_BK}, {q6('x')} AS x, {q6('y')} AS y FROM adv
-WHERE x < 0 OR x >= (SELECT mx FROM gext) OR y < 0 OR y >= (SELECT my FROM gext)""", "adv", "gext")
+SELECT {_BK}, {q6('x')} AS x, {q6('y')} AS y FROM moved
+WHERE x < 0 OR x >= (SELECT mx FROM gext) OR y < 0 OR y >= (SELECT my FROM gext)""", "moved", "gext")
 
 # ---- M ------------------------------------------------------------------------
 _NOW, _IV = 1704067200 + 7200.5, 900
@@ -116,10 +114,10 @@ oracle("m_assign_ids", """
 SELECT (SELECT max(id) FROM actors) + row_number() OVER (ORDER BY owner) AS id, owner
 FROM spawned""", "spawned", "actors")
 oracle("m_consume_quota", "SELECT id, ammo FROM a3", "a3")
-oracle("m_advance", f"SELECT {_BK}, {q6('x')} AS x, {q6('y')} AS y FROM adv", "adv")
+oracle("m_advance", f"SELECT {_BK}, id, {q6('x')} AS x, {q6('y')} AS y FROM adv", "adv")
 oracle("m_apply_hits", "SELECT id, hp FROM a4", "a4")
 oracle("m_credit", "SELECT id, score FROM a5", "a5")
-oracle("m_expire_hits", f"SELECT {_BK} FROM remaining", "remaining")
+oracle("m_expire_hits", f"SELECT {_BK}, id FROM remaining", "remaining")
 oracle("m_respawn", f"SELECT id, {q6('x')} AS x, {q6('y')} AS y, {q6('dir')} AS dir FROM a6", "a6")
 oracle("m_reset", "SELECT id, hp, ammo FROM a7", "a7")
 oracle("m_refill", "SELECT id, ammo, last_refill FROM a8", "a8")
@@ -128,14 +126,19 @@ SELECT a.key, a.seq, a.action FROM actions a
 LEFT JOIN (SELECT key, arg_max(seq, (ts, seq)) AS off FROM actions
            WHERE ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY key) o ON o.key = a.key
 WHERE o.off IS NULL OR a.seq > o.off""", "actions")
-oracle("m_get_or_create", """
-SELECT r.name, e.id, false AS created
-FROM (SELECT DISTINCT 'Supplier#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS name FROM events) r
-JOIN (SELECT name, min(id) AS id FROM actors GROUP BY name) e ON e.name = r.name
+oracle("m_get_or_create", f"""
+WITH r AS (
+  SELECT name, min(icon) AS icon FROM (
+    SELECT 'Supplier#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS name,
+           chr(CAST(65 + user_id % 26 AS INTEGER)) AS icon FROM events) q GROUP BY name),
+e AS (SELECT * FROM actors QUALIFY row_number() OVER (PARTITION BY name ORDER BY id) = 1)
+SELECT e.name, e.id, false AS created, {q6('e.x')} AS x, {q6('e.y')} AS y, {q6('e.dir')} AS dir, e.kind, e.stamp_id,
+       e.icon, e.hp, e.ammo, e.score
+FROM r JOIN e ON e.name = r.name
 UNION ALL
-SELECT name, (SELECT max(id) FROM actors) + row_number() OVER (ORDER BY name) AS id, true AS created
-FROM (SELECT DISTINCT 'Supplier#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS name FROM events) r
-WHERE NOT EXISTS (SELECT 1 FROM actors a WHERE a.name = r.name)""", "actors")
+SELECT r.name, (SELECT max(id) FROM actors) + row_number() OVER (ORDER BY r.name), true, {d(SP.spawn_x)}, {d(SP.spawn_y)},
+       {d(SP.spawn_dir)}, 'player', 0, r.icon, {SP.hp_full}, {SP.ammo_max}, 0
+FROM r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.name = r.name)""", "actors")
 oracle("m_constraint_violations", """
 SELECT 'pk_lineitem' AS rule, CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) AS key,
        count(*) AS n
@@ -221,14 +224,12 @@ oracle("x_framed_union", "SELECT id, CAST(y AS INTEGER) AS y, line FROM mmf", "m
 oracle("x_panel_zip", f"""
 SELECT i.id, CAST(i.y AS INTEGER) AS y,
   coalesce(a.line, repeat(' ', {VP.view_w + 2})) || '   ' ||
-  coalesce(b.line, repeat(' ', (SELECT w FROM mmw) + 2)) || '   ' || coalesce(l.line, '') AS full_row
-FROM (SELECT t.id, g.y
-      FROM (SELECT id, max(y) AS top FROM (SELECT id, y FROM gvf UNION ALL SELECT id, y FROM mmf) u
-            GROUP BY id) t,
-           generate_series(-1, greatest(t.top, coalesce((SELECT max(y) FROM board), -1))) AS g(y)) i
+  coalesce(b.line, repeat(' ', (SELECT w FROM mmw) + 2)) || '   ' ||
+  CASE WHEN i.y = 0 THEN coalesce(s.line, '') ELSE '' END AS full_row
+FROM (SELECT DISTINCT id, y FROM (SELECT id, y FROM gvf UNION ALL SELECT id, y FROM mmf) u) i
 LEFT JOIN gvf a ON a.id = i.id AND a.y = i.y
 LEFT JOIN mmf b ON b.id = i.id AND b.y = i.y
-LEFT JOIN board l ON l.y = i.y""", "gvf", "mmf", "mmw", "board")
+LEFT JOIN status s ON s.id = i.id""", "gvf", "mmf", "mmw", "status")
 
 # ---- S ------------------------------------------------------------------------
 oracle("s_latest_action", """

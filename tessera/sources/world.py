@@ -5,7 +5,8 @@ grows with the scale factor.
 
 * rects       ``part``: one rectangle per part.  Parts are laid out in bands of
               ``parts_per_band`` keys; band b owns rows [b*tile_h, (b+1)*tile_h).
-* grid        lattice tile_w x (tile_h * n_bands): respawn > floor > wall.
+* grid        tile_w x tile_h cells for each band that has a part (coordinates are
+              LONG, so sparse and large keys cost nothing): respawn > floor > wall.
 * actors      ``supplier`` k standing near the centroid of the rectangle of part k
               (a floor cell by construction), with hp / ammo / score / refill clock.
 * targets     ``customer``: points spread over the world, kind from the nation.
@@ -19,16 +20,15 @@ The same formulas are written independently in DuckDB SQL in ``plans/oracle.py``
 
 from __future__ import annotations
 
-import weakref
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.num import idiv
 from tessera.operators import raster
 from tessera.params import StateParams, ViewParams, WorldParams
-from tessera.sources.tables import read_table, session_memo
+from tessera.sources.tables import read_table
 
 # Event type -> action letter of the reference's input table
 # (w forward, s back, a left turn, d right turn, x shoot).
@@ -46,8 +46,6 @@ STAMPS = [
 # Level-of-detail table (kind, strict min depth, stamp id).
 LOD = [("bullet", 4.0, 4), ("player", 6.0, 2), ("player", 3.0, 1)]
 
-_BANDS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-
 BASE_EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -57,32 +55,36 @@ class World:
                  vp: ViewParams | None = None, sp: StateParams | None = None):
         self.spark, self.sf_dir = spark, sf_dir
         self.wp, self.vp, self.sp = wp or WorldParams(), vp or ViewParams(), sp or StateParams()
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name)
+        """One relation per table and query, so the files are listed once."""
+        if name not in self._tables:
+            self._tables[name] = read_table(self.spark, self.sf_dir, name)
+        return self._tables[name]
 
     # ---- extent ---------------------------------------------------------------
     @cached_property
-    def n_bands(self) -> int:
-        """Bands in the world: one scalar aggregate over part keys (run once per
-        session and table directory)."""
-        memo, key = session_memo(_BANDS, self.spark), (self.sf_dir, self.wp.parts_per_band)
-        if key not in memo:
-            mx = self.table("part").agg(F.max("p_partkey")).first()[0]
-            memo[key] = int(mx) // self.wp.parts_per_band + 1 if mx is not None else 1
-        return memo[key]
+    def last_band(self) -> Column:
+        """The last band of the world, a scalar subquery over part keys."""
+        return F.coalesce(self.table("part").agg(idiv(F.max("p_partkey"), self.wp.parts_per_band)).scalar(), F.lit(0))
+
+    def bands(self) -> DataFrame:
+        return self.table("part").filter("p_partkey is not null").select(
+            idiv("p_partkey", self.wp.parts_per_band).alias("band")).distinct()
+
+    def grid_rows(self) -> DataFrame:
+        """(y): every row of cells that exists."""
+        h = self.wp.tile_h
+        return self.bands().select(F.explode(F.sequence(F.col("band") * h, F.col("band") * h + (h - 1))).alias("y"))
 
     @property
     def width(self) -> int:
         return self.wp.tile_w
 
     @property
-    def height(self) -> int:
-        return self.wp.tile_h * self.n_bands
-
-    @property
-    def n_cells(self) -> int:
-        return self.width * self.height
+    def max_y(self) -> Column:
+        return (self.last_band + 1) * self.wp.tile_h - 1
 
     # ---- rectangles and grid --------------------------------------------------
     def rects(self) -> DataFrame:
@@ -98,16 +100,17 @@ class World:
         odd = (k % 2) == 1
         return self.table("part").select(
             k.alias("k"),
-            F.when(odd, bx).otherwise(ax).cast("int").alias("x1"),
-            F.when(odd, by).otherwise(ay).cast("int").alias("y1"),
-            F.when(odd, ax).otherwise(bx).cast("int").alias("x2"),
-            F.when(odd, ay).otherwise(by).cast("int").alias("y2"))
+            F.when(odd, bx).otherwise(ax).cast("long").alias("x1"),
+            F.when(odd, by).otherwise(ay).cast("long").alias("y1"),
+            F.when(odd, ax).otherwise(bx).cast("long").alias("x2"),
+            F.when(odd, ay).otherwise(by).cast("long").alias("y2"))
 
     def norm_rects(self) -> DataFrame:
         return raster.normalize_rects(self.rects())
 
     def lattice(self) -> DataFrame:
-        return raster.lattice(self.spark, 0, self.width - 1, 0, self.height - 1)
+        """(x, y) of every cell, from the bands of the parts."""
+        return raster.band_lattice(self.grid_rows(), self.width)
 
     def floors(self) -> DataFrame:
         return raster.rasterize_rects(self.norm_rects())
@@ -125,15 +128,13 @@ class World:
         return raster.classify_cells(self.lattice(), self.layers())
 
     def grid(self) -> DataFrame:
-        """(x, y, tile) for every lattice cell: the lattice (a distributed range, never
-        shuffled) probes the packed grid, which is broadcast while its
-        height x ceil(width/64) rows fit the bound."""
-        return self.packed().lookup(self.lattice(), x="x", y="y", out="tile")
+        """(x, y, tile) for every cell: the packed rows, unpacked (no join)."""
+        return self.packed().cells()
 
     def packed(self) -> raster.PackedGrid:
         """The same grid packed 64 cells per row (see ``raster.PackedGrid``), built
         from the layers without materialising the lattice."""
-        return raster.PackedGrid.from_layers(self.layers(), self.width, self.height)
+        return raster.PackedGrid.from_layers(self.layers(), self.width, self.grid_rows(), max_y=self.max_y)
 
     # ---- points ---------------------------------------------------------------
     def actors(self) -> DataFrame:
@@ -143,7 +144,10 @@ class World:
         r = raster.rect_centroids(self.norm_rects(), keep=("k",)) \
             .withColumnRenamed("x", "cx").withColumnRenamed("y", "cy")
         k = F.col("s_suppkey")
-        return s.join(r, s.s_suppkey == r.k).select(
+        # a supplier without such a part stands on the spawn cell
+        r = s.join(r, s.s_suppkey == r.k, "left").withColumns({
+            "cx": F.coalesce("cx", F.lit(int(self.sp.spawn_x))), "cy": F.coalesce("cy", F.lit(int(self.sp.spawn_y)))})
+        return r.select(
             k.alias("id"), F.col("s_name").alias("name"),
             F.col("s_nationkey").alias("team"),
             (F.col("cx") + ((k * 13) % 7 - 3) * F.lit(0.031)).alias("x"),
@@ -161,7 +165,7 @@ class World:
     def targets(self) -> DataFrame:
         """id, name, kind, x, y, world_w, world_h, stamp_id, icon."""
         k = F.col("c_custkey")
-        world_y = self.wp.tile_h * 100 * self.n_bands
+        world_y = (self.last_band + 1) * (self.wp.tile_h * 100)
         player = (F.col("c_nationkey") % 2) == 0
         return self.table("customer").select(
             k.alias("id"), F.col("c_name").alias("name"),
@@ -177,7 +181,7 @@ class World:
     def projectiles(self) -> DataFrame:
         """Bullet key (l_orderkey, l_linenumber, l_partkey, l_suppkey), owner, x, y, dir."""
         li = self.table("lineitem")
-        world_y = self.wp.tile_h * 100 * self.n_bands
+        world_y = (self.last_band + 1) * (self.wp.tile_h * 100)
         return li.select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
             F.col("l_suppkey").alias("owner"),

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.ranking import number_rows, prefix_sums
 from tessera.operators import camera, sight, spatial
-from tessera.sources.world import World
+from tessera.params import ViewParams
+from tessera.sources.world import LOD, World
 
 from conftest import SF_SMALL
 
@@ -20,14 +21,14 @@ def world(spark):
 
 
 def test_march_never_passes_a_wall(world, spark):
-    m = sight.ray_march(sight.ray_fan(world.actors(), world.vp), world.grid(), world.vp)
+    m = sight.ray_march(world.actors(), world.grid(), world.vp)
     bad = (m.filter(F.col("tile") == "#").groupBy("id", "col").agg(F.min("n").alias("h"))
            .join(m, ["id", "col"]).filter(F.col("n") > F.col("h")))
     assert bad.count() == 0
 
 
 def test_visible_cells_are_grid_cells(world):
-    vis = sight.visible_cells(sight.ray_march(sight.ray_fan(world.actors(), world.vp), world.grid(), world.vp))
+    vis = sight.visible_cells(sight.ray_march(world.actors(), world.grid(), world.vp))
     g = world.grid().select(F.col("x").alias("tile_x"), F.col("y").alias("tile_y"), "tile")
     assert vis.join(g, ["tile_x", "tile_y", "tile"], "left_anti").count() == 0
 
@@ -36,28 +37,52 @@ def _same_rows(a, b):
     return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-@pytest.mark.parametrize("packed", [False, True])
-def test_entry_rows_give_the_visible_cells_of_the_full_march(world, packed):
+def test_packed_march_equals_the_march_over_the_long_grid(world):
+    long = sight.ray_march(world.actors(), world.grid(), world.vp)
+    assert _same_rows(long, sight.ray_march(world.actors(), world.packed(), world.vp))
+
+
+def test_entry_rows_give_the_visible_cells_of_the_full_march(world):
     """The fast path (entry rows only, no aggregate) equals the definition
     (every march row, grouped per cell) on the whole fixture world."""
-    rays = sight.ray_fan(world.actors(), world.vp)
-    grid = world.packed() if packed else world.grid()
-    full = sight.visible_cells(sight.ray_march(rays, grid, world.vp))
-    fast = sight.visible_entries(rays, grid, world.vp)
+    full = sight.visible_cells(sight.ray_march(world.actors(), world.grid(), world.vp))
+    fast = sight.visible_entries(world.actors(), world.packed(), world.vp)
     assert _same_rows(full, fast)
+    rays = sight.ray_summary(world.actors(), world.packed(), world.vp, cells=True)
+    cells = rays.select("id", "col", F.explode("cells").alias("c")).select("id", "col", "c.*")
+    assert _same_rows(cells, full.select("id", "col", F.col("tile_x").alias("x"), F.col("tile_y").alias("y"), "tile"))
+    extent = full.groupBy("id", "col").agg(F.max("dist").alias("extent"))
+    assert _same_rows(extent, sight.ray_extent(rays))
 
 
 def test_first_hit_is_the_wall_row_of_the_full_march(world):
-    rays = sight.ray_fan(world.actors(), world.vp)
-    m = sight.ray_march(rays, world.grid(), world.vp)
+    m = sight.ray_march(world.actors(), world.grid(), world.vp)
     walls = m.filter(F.col("tile") == "#").select("id", "col", "n", "dist")
-    assert _same_rows(walls, sight.first_hit(rays, world.packed(), world.vp))
+    assert _same_rows(walls, sight.first_hit(world.actors(), world.packed(), world.vp))
+    rays = sight.ray_summary(world.actors(), world.packed(), world.vp)
+    assert _same_rows(walls, rays.filter("n is not null").select("id", "col", "n", "dist"))
+
 
+def test_first_hit_exchanges_observers_only(world):
+    """One exchange by id, below the fan-out; no step or cell row is shuffled."""
+    plan = sight.first_hit(world.actors(), world.packed(), world.vp)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(id#") == 1
+    assert not any("hashpartitioning" in line and "col#" in line for line in plan.splitlines())
 
-def test_fused_overlay_rows_equal_overlay_then_rows(spark):
+
+def test_view_rows_equal_overlay_by_pixels(spark):
+    """Rows built on the observer's own row equal the definition: base pixels with the
+    nearest of the pixels left after occlusion laid over them."""
     from tessera.plans.catalog import _Camera
     cam = _Camera(spark, SF_SMALL)
-    assert _same_rows(cam.c.raster_rows(cam.overlay(spark)), cam.rows(spark))
+    want = cam.c.raster_rows(cam.c.overlay(cam.base(), cam.nearest()))
+    assert _same_rows(want, cam.rows())
+
+
+def test_seen_cells_lie_in_the_coverage_window(world):
+    seen = sight.visible_cell_set(sight.visible_entries(world.actors(), world.packed(), world.vp))
+    far = F.greatest(F.abs(F.col("tile_x") - F.floor("x")), F.abs(F.col("tile_y") - F.floor("y")))
+    assert seen.join(world.actors().select("id", "x", "y"), "id").filter(far > world.vp.reach).count() == 0
 
 
 def test_blocked_plus_unblocked_is_input(world):
@@ -74,15 +99,28 @@ def test_normalize_is_idempotent(world):
 
 def test_grid_has_one_row_per_cell(world):
     g = world.grid()
-    assert g.count() == world.n_cells == g.select("x", "y").distinct().count()
-
-
-def test_frame_equals_all_pairs_within_radius(world, spark):
-    r = world.wp.frame_radius
-    f = camera.observer_frame(world.actors(), world.targets(), r)
-    a, t = world.actors().alias("a"), world.targets().alias("t")
-    brute = a.crossJoin(t).filter((F.col("t.x") - F.col("a.x")) ** 2 + (F.col("t.y") - F.col("a.y")) ** 2 <= r * r)
-    assert f.count() == brute.count()
+    assert g.count() == world.lattice().count() == g.select("x", "y").distinct().count()
+
+
+@pytest.mark.parametrize("vp,width", [(ViewParams(), None), (ViewParams(step=0.2), 4.0), (ViewParams(fov=2.2), 2.0)])
+def test_bounded_frame_gives_the_pixels_of_all_pairs(world, vp, width):
+    """After occlusion the range-bounded frame draws what the cross join draws, also with
+    longer rays, a wider view, and wider targets."""
+    targets = world.targets()
+    if width:
+        targets = targets.withColumn("world_w", F.lit(width))
+    extent = sight.ray_extent(sight.ray_summary(world.actors(), world.packed(), vp))
+
+    def drawn(frame):
+        lod = camera.choose_lod(camera.project(frame, vp), LOD)
+        spans = camera.stamp_spans(camera.stamp_expand(lod, world.stamps(), world.stamp_pixels(), vp), vp)
+        return camera.occlude(camera.span_pixels(spans), extent, vp)
+    a, t = world.actors().alias("a"), targets.alias("t")
+    dx, dy, turn = F.col("t.x") - F.col("a.x"), F.col("t.y") - F.col("a.y"), -F.col("a.dir")
+    every = a.crossJoin(t).select(
+        F.col("a.id").alias("obs_id"), F.col("t.id").alias("target_id"), "t.kind", "t.world_w", "t.world_h", "t.stamp_id", "t.icon",
+        (dx * F.cos(turn) - dy * F.sin(turn)).alias("depth"), (dx * F.sin(turn) + dy * F.cos(turn)).alias("horiz"))
+    assert _same_rows(drawn(camera.observer_frame(world.actors(), targets, vp)), drawn(every))
 
 
 def _skewed(spark):
@@ -105,25 +143,25 @@ def test_prefix_sums_equal_running_window(spark):
 
 def test_number_rows_equals_row_number(spark):
     df = _skewed(spark)
-    got = number_rows(df, ["seq"], group=["key"], num_partitions=7)
+    got = number_rows(df, ["seq"], group=["key"])
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("seq")))
     assert got.select("key", "seq", "rn").exceptAll(want.select("key", "seq", "rn")).count() == 0
-    glob = number_rows(df, ["key", "seq"], num_partitions=5).agg(F.min("rn"), F.max("rn"), F.countDistinct("rn"))
+    glob = number_rows(df, ["key", "seq"]).agg(F.min("rn"), F.max("rn"), F.countDistinct("rn"))
     assert tuple(glob.first()) == (1, df.count(), df.count())
 
 
 def test_overlay_keeps_base_rows(world, spark):
     from tessera.plans.catalog import _Camera
     cam = _Camera(spark, SF_SMALL)
-    assert cam.overlay(spark).count() == cam.base().count()
+    assert cam.overlay().count() == cam.base().count()
 
 
 def test_packed_grid_equals_long_grid(world, spark):
     """Every lattice cell and a ring of off-grid cells: same tile (NULL off the grid)
     as the plain priority overlay joined to the lattice."""
     g = world.grid_by_overlay()
-    probe = (spark.range(-1, world.width + 1).select(F.col("id").cast("int").alias("cx"))
-             .crossJoin(spark.range(-1, world.height + 1).select(F.col("id").cast("int").alias("cy"))))
+    probe = (spark.range(-1, world.width + 2).select(F.col("id").alias("cx"))
+             .crossJoin(spark.range(-1, g.agg(F.max("y")).first()[0] + 3).select(F.col("id").alias("cy"))))
     packed = world.packed().lookup(probe)
     want = probe.join(g.select(F.col("x").alias("cx"), F.col("y").alias("cy"), "tile"), ["cx", "cy"], "left")
     assert packed.select("cx", "cy", "tile").exceptAll(want.select("cx", "cy", "tile")).count() == 0
@@ -134,7 +172,7 @@ def test_packed_grid_high_bits(spark):
     """Cells at bit 0 and bit 63 of a word whose mask is negative."""
     from tessera.operators.raster import PackedGrid
     cells = spark.createDataFrame([(0, 0), (63, 0), (64, 0), (127, 0)], "x int, y int")
-    pg = PackedGrid.from_layers([(cells, ".")], 128, 1)
+    pg = PackedGrid.from_layers([(cells, ".")], 128, spark.createDataFrame([(0,)], "y long"))
     probe = spark.createDataFrame([(x, 0) for x in (0, 1, 62, 63, 64, 65, 126, 127, 128)], "cx int, cy int")
     got = {r.cx: r.tile for r in pg.lookup(probe).collect()}
     assert got == {0: ".", 1: "#", 62: "#", 63: ".", 64: ".", 65: "#", 126: "#", 127: ".", 128: None}
@@ -157,3 +195,89 @@ def test_asof_on_one_hot_key_equals_brute_force(world):
     best = pairs.groupBy("tick_id").agg(F.max_by("action", F.struct("us", "seq")).alias("action"))
     want = ticks.join(best, "tick_id", "left").select("tick_id", "key", "tick_us", "action")
     assert _same_rows(got, want)
+
+
+def test_numbering_and_running_sums_keep_null_rows(spark):
+    df = spark.createDataFrame([(None, None, 1, 1), (None, dt.datetime(2024, 1, 1), 2, 2), (1, None, 3, 4), (1, dt.datetime(2024, 1, 1), 4, 8),
+                                (None, dt.datetime(2024, 1, 1), 5, 16)], "key long, ts timestamp_ntz, seq long, v long")
+    rn = {r.seq: r.rn for r in number_rows(df, ["ts", "seq"], group=["key"]).collect()}
+    assert rn == {1: 1, 2: 2, 5: 3, 3: 1, 4: 2}
+    sums = {r.seq: r.s for r in prefix_sums(df, "key", F.col("ts").cast("date").cast("string").substr(9, 2).cast("long"), ["ts", "seq"], {"s": F.col("v")}).collect()}
+    assert sums == {1: 1, 2: 3, 5: 19, 3: 4, 4: 12}
+
+
+def test_numbering_runs_no_job_before_it_is_asked_for(spark):
+    """Row numbers on strings, with ties in the group, over many buckets."""
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.concat(F.lit("n"), (F.col("id") * 7919 % 3000).cast("string")).alias("name"))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    out = number_rows(df, ["name"], group=["g"])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("name")))
+    assert _same_rows(out, want)
+
+
+def test_asof_null_keys_match_nothing(spark):
+    from tessera.functions.asof import asof_backward
+    ticks = spark.createDataFrame([(None, 5), (1, 5)], "key long, t long")
+    acts = spark.createDataFrame([(None, 5, "a"), (1, 5, "b")], "key long, t2 long, act string")
+    got = {r.key: r.match and r.match.act for r in asof_backward(ticks, acts, "key", "t", "t2", [], ["act"], 10).collect()}
+    assert got == {None: None, 1: "b"}
+
+
+def test_sparse_and_large_part_keys(spark, tmp_path):
+    """A part key of 2e10 makes one more band, not an empty world up to it."""
+    spark.createDataFrame([(k, k % 40 + 5) for k in (1, 7, 20_000_000_000)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    w = World(spark, str(tmp_path))
+    assert w.grid().count() == 2 * w.wp.tile_w * w.wp.tile_h
+    assert w.grid().agg(F.max("y")).first()[0] == (20_000_000_000 // 200 + 1) * w.wp.tile_h - 1 == w.lattice().agg(F.max(w.max_y)).first()[0]
+
+
+def _brute_hits(actors, shots, damage):
+    hp = {a: h for a, _, h in actors}
+    pairs = [(o, a, p) for p, (o, c) in enumerate(shots) for a, d, _ in actors if o is not None and c == d and o != a]
+    hit = {a for _, a, _ in pairs}
+    hp = {a: h - damage if a in hit else h for a, h in hp.items()}
+    return hp, {o for o, a, _ in pairs if hp[a] <= 0}, {p for *_, p in pairs}
+
+
+def test_hits_without_pairs_equal_hits_by_pairs(spark):
+    import random
+    from tessera.operators import state
+    rnd = random.Random(3)
+    for cells, n in ((6, 25), (1, 8), (40, 30)):
+        actors = [(i, rnd.randrange(cells), rnd.choice([10, 50, 51, 100])) for i in range(n)]
+        shots = [(rnd.choice([None, *range(n + 2)]), rnd.randrange(cells)) for _ in range(2 * n)]
+        a = spark.createDataFrame([(i, float(c), 0.0, h, 0) for i, c, h in actors], "id long, x double, y double, hp int, score int")
+        p = spark.createDataFrame([(k, o, float(c), 0.0) for k, (o, c) in enumerate(shots)], "pid long, owner long, x double, y double")
+        hp, winners, gone = _brute_hits(actors, shots, 50)
+        out = state.apply_hits(a, state.cell_hits(a, p, 50), 50).collect()
+        assert {r.id: r.hp for r in out} == hp and {r.id for r in out if r.score} == winners & set(hp)
+        assert {r.pid for r in state.expire_hits(p, a).collect()} == set(range(len(shots))) - gone
+
+
+def test_hits_in_one_hot_cell(spark):
+    """10,000 projectiles and 10,000 actors in one cell: no pairs are made."""
+    from tessera.operators import state
+    a = spark.range(10_000).select("id", F.lit(1.0).alias("x"), F.lit(1.0).alias("y"), F.lit(50).alias("hp"), F.lit(0).alias("score"))
+    p = spark.range(10_000).select(F.col("id").alias("owner"), F.lit(1.2).alias("x"), F.lit(0.9).alias("y"))
+    out = state.apply_hits(a, state.cell_hits(a, p, 50), 50)
+    assert out.filter("hp = 0 and score = 1").count() == 10_000
+    assert state.expire_hits(p, a).count() == 0
+
+
+def test_credit_reads_projectiles_once(spark):
+    from tessera.plans.catalog import QUERIES
+    plan = QUERIES["m_credit"](spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
+    assert sum("lineitem.parquet" in line for line in plan.splitlines()) == 1
+
+
+def test_trajectory_drifts_less_than_stated(world):
+    """Rounded steps against the unrounded running sum: n steps are within n * 0.5e-9."""
+    from tessera.operators import state
+    t = state.trajectory(world.actors(), world.actions(), world.sp)
+    w = Window.partitionBy("key").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("action") == "w", 1.0).when(F.col("action") == "s", -1.0).otherwise(0.0) * world.sp.move_speed
+    st = world.actors().select(F.col("id").alias("key"), F.col("x").alias("x0"))
+    u = (t.join(st, "key", "left").withColumn("x0", F.coalesce("x0", F.lit(world.sp.spawn_x)))
+         .withColumns({"want": F.col("x0") + F.sum(step * F.cos("dir")).over(w), "n": F.count("*").over(w)}))
+    assert u.filter(F.abs(F.col("x") - F.col("want")) > F.col("n") * 0.5e-9 + 1e-9).count() == 0

@@ -6,7 +6,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tessera.functions.num import cell, explode_range, idiv, q6
-from tessera.operators import camera, raster, spatial, state
+from tessera.operators import camera, raster, report, sight, spatial, state
 from tessera.params import StateParams, ViewParams
 from tessera.streaming import jobs
 
@@ -74,18 +74,72 @@ def test_t10_nearest_pixel_ties_by_target_then_texel(spark):
     assert (r.ch, r.target_id) == ("c", 5)
 
 
+def small_world(spark, tiles, vp=ViewParams()):
+    """A packed grid of 128 x 128 floor cells with the given walls and one respawn cell."""
+    rows = spark.range(128).select(F.col("id").alias("y"))
+    floor = raster.band_lattice(rows, 128).join(
+        spark.createDataFrame(tiles or [(-1, -1)], "x long, y long"), ["x", "y"], "left_anti")
+    resp = spark.createDataFrame([(0, 0)], "x long, y long")
+    return raster.PackedGrid.from_layers([(resp, "R"), (floor, ".")], 128, rows)
+
+
 def test_t11_two_mobs_in_one_cell_show_one_icon(spark):
-    grid = grid3(spark)
-    obs = spark.createDataFrame([(1, 0.2, 0.2, 0.0)], "id long, x double, y double, dir double")
-    seen = spark.createDataFrame([(1, 2, 2, ".")], "id long, tile_x int, tile_y int, tile string")
-    mobs = spark.createDataFrame([(2.1, 2.2, "b"), (2.6, 2.9, "a")], "x double, y double, icon string")
-    cov = camera.coverage_map(obs, seen, grid, mobs, radius=2)
-    got = {(r.x, r.y): r.ch for r in cov.collect()}
-    assert len(cov.collect()) == 25
-    assert got[(2, 2)] == "a"          # smallest icon, only one row for the cell
-    assert got[(1, 1)] == "#"          # remembered wall
-    assert got[(0, 0)] == " "          # unseen respawn shows blank
-    assert got[(-1, -1)] == " "        # off the grid
+    grid = small_world(spark, [(30, 25), (20, 31)])
+    obs = spark.createDataFrame([(1, 25.2, 25.2, 0.0)], "id long, x double, y double, dir double")
+    mobs = spark.createDataFrame([(28.1, 25.2, "b"), (28.6, 25.9, "a"), (22.0, 25.0, "z"), (27.0, 25.0, None)],
+                                 "x double, y double, icon string")
+    vp = ViewParams()
+    got = {(r.x, r.y): r.ch for r in camera.coverage_map(camera.coverage(obs, grid, mobs, vp), vp).collect()}
+    assert len(got) == (2 * vp.reach + 1) ** 2
+    assert got[(28, 25)] == "a"          # smallest icon, only one row for the cell
+    assert got[(27, 25)] == "?"          # a mob without icon
+    assert got[(30, 25)] == "#"          # seen wall
+    assert got[(20, 31)] == "#"          # remembered wall
+    assert got[(22, 25)] == " "          # behind the observer: the mob is not seen
+    assert got[(29, 25)] == "."          # seen floor
+
+
+def test_observer_off_the_grid_and_in_a_wall(spark):
+    """Off the grid no cell is seen and nothing hits; inside a wall every ray hits at once."""
+    grid = small_world(spark, [(40, 40)])
+    obs = spark.createDataFrame([(1, -30.0, 5.0, 3.1), (2, 40.0, 40.0, 0.0), (3, 64.0, 64.0, 0.0)],
+                                "id long, x double, y double, dir double")
+    rays = sight.ray_summary(obs, grid)
+    assert rays.filter("id = 1").filter("n is not null or extent is not null").count() == 0
+    assert rays.filter("id = 2 and n = 1 and dist = 0").count() == 129
+    assert rays.filter("id = 3 and n is null").count() == 129        # nothing within reach
+    assert rays.count() == 3 * 129
+    assert camera.observer_view(obs, grid).select("id", F.size("cols").alias("n")).filter("n = 129").count() == 3
+    target = spark.createDataFrame([(9, "player", -35.0, 5.0, 1.0, 1.0, 0, "T"), (8, "player", -50.0, 5.0, 1.0, 1.0, 0, "T")],
+                                   "id long, kind string, x double, y double, world_w double, world_h double, stamp_id int, icon string")
+    px = spark.createDataFrame([(1, 9, 64, 32, 0, 0, "@", 5.0), (1, 8, 64, 32, 0, 0, "@", 20.0)],
+                               "obs_id long, target_id long, px int, py int, sx int, sy int, ch string, depth double")
+    assert [r.target_id for r in camera.occlude(px, sight.ray_extent(rays)).collect()] == [9]
+    assert {r.target_id for r in camera.observer_frame(obs, target).collect()} == {9}
+
+
+def test_t4_without_the_inclusive_edge(spark):
+    vp = ViewParams(inclusive_edge=False)
+    grid = small_world(spark, [])
+    obs = spark.createDataFrame([(1, 25.0, 25.0, 0.0)], "id long, x double, y double, dir double")
+    assert sight.ray_fan(obs, vp).count() == 128
+    view = camera.observer_view(obs, grid, vp).withColumn("top", F.array().cast("array<struct<px:int,py:int,ch:string,depth:double>>"))
+    rows = view.select(camera.view_rows(F.col("cols"), F.col("top"), vp).alias("r")).first().r
+    assert len(rows) == 64 and {len(r) for r in rows} == {128}
+
+
+def test_t5_spans_clamp_at_the_four_edges(spark):
+    e = spark.createDataFrame([(1, 1, "@", 1.0, -3, 32, 0, 0, 4, 4, 3.0, 3.0), (1, 2, "@", 1.0, 130, 32, 3, 0, 4, 4, 3.0, 3.0),
+                               (1, 3, "@", 1.0, 64, -3, 0, 0, 4, 4, 3.0, 3.0), (1, 4, "@", 1.0, 64, 70, 0, 3, 4, 4, 3.0, 3.0),
+                               (1, 5, "@", 1.0, 64, 32, 1, 1, 4, 4, 0.1, 0.1)],
+                              "obs_id long, target_id long, ch string, depth double, screen_x int, screen_y int, sx int, sy int, "
+                              "w int, h int, scale_x double, scale_y double")
+    out = {r.target_id: (r.x0, r.x1, r.y0, r.y1) for r in camera.stamp_spans(e).collect()}
+    assert out[1][:2] == (0, -7)              # left of the screen: empty
+    assert out[2][:2] == (133, 127)           # right of it: empty
+    assert out[3][2:] == (0, -7)              # above: empty
+    assert out[4][2:] == (73, 63)             # below: empty
+    assert out[5] == (64, 64, 32, 32)         # smaller than a pixel: one pixel wide
 
 
 def test_t12_out_of_bounds_precedence(spark):
@@ -121,12 +175,31 @@ def test_t16_hit_applies_once_and_credit_once(spark):
         "pid long, owner long, x double, y double")
     coll = spatial.cell_join(proj, actors)
     assert {r.pid for r in coll.collect()} == {10, 11, 12, 13}   # NULL owner and own actor drop out
-    hp = {r.id: r.hp for r in state.apply_hits(actors, coll, 50).collect()}
-    assert hp == {1: -10, 2: 50, 3: 100, 4: 100}
-    score = {r.id: r.score for r in state.credit(state.apply_hits(actors, coll, 50), coll).collect()}
-    assert score == {1: 0, 2: 0, 3: 1, 4: 1}                     # two owners, one victim
-    left = state.expire_hits(proj, coll, ["pid"])
-    assert {r.pid for r in left.collect()} == {14, 15}
+    out = state.apply_hits(actors, state.cell_hits(actors, proj, 50), 50).collect()
+    assert {r.id: r.hp for r in out} == {1: -10, 2: 50, 3: 100, 4: 100}
+    assert {r.id: r.score for r in out} == {1: 0, 2: 0, 3: 1, 4: 1}    # two owners, one victim
+    assert {r.pid for r in state.expire_hits(proj, actors).collect()} == {14, 15}
+
+
+def test_a_projectile_spawned_in_this_tick_hits(spark):
+    """It is inserted before all projectiles move, so it flies, hits and goes with the rest."""
+    actors = _actors(spark, [(1, 5.0, 5.0, 0.0, 100, 3, 0), (2, 5.6, 5.0, 0.0, 50, 0, 0)])
+    latest = spark.createDataFrame([(1, "x"), (2, "x")], "key long, action string")
+    new = state.assign_ids(state.spawn(actors, latest).select("owner", "x", "y", "dir"), ["owner"], F.lit(2))
+    assert [(r.owner, r.id) for r in new.collect()] == [(1, 3)]         # the second has no ammo
+    moved = state.advance(new, 0.5)
+    out = {r.id: (r.hp, r.score) for r in state.apply_hits(actors, state.cell_hits(actors, moved, 50), 50).collect()}
+    assert out == {1: (100, 1), 2: (0, 0)}
+    assert state.expire_hits(moved, actors).count() == 0
+
+
+def test_get_or_create_makes_whole_rows(spark):
+    have = spark.createDataFrame([(7, "a", 1.0, 2.0, 0.5, "player", 0, "A", 30, 2, 9), (4, "a", 3.0, 4.0, 0.0, "player", 0, "B", 80, 1, 0)],
+                                 "id long, name string, x double, y double, dir double, kind string, stamp_id int, icon string, hp int, ammo int, score int")
+    names = spark.createDataFrame([("a", "Z"), ("new", "Y"), ("new", "X"), ("new", "X")], "name string, icon string")
+    out = {r.name: tuple(r)[1:] for r in state.get_or_create(have, names).collect()}
+    assert out == {"a": (4, False, 3.0, 4.0, 0.0, "player", 0, "B", 80, 1, 0),
+                   "new": (8, True, 4.0, 4.0, 0.0, "player", 0, "X", 100, 10, 0)}
 
 
 def test_t17_one_respawn_cell_per_batch(spark):
@@ -199,3 +272,34 @@ def test_column_height_and_bands(spark):
     assert px.count() == 3 * 65
     col1 = {r.y: r.ch for r in px.filter("x = 1").collect()}
     assert col1[15] == " " and col1[16] == "█" and col1[47] == "█" and col1[48] == "."
+
+
+def test_panels(spark):
+    """T18: a row wider than its frame is cut, a shorter one padded; T19: the footer is one
+    line below the last row; a panel that has ended is blank."""
+    df = spark.createDataFrame([(1, ["abc", "d"], ["x"], ["hello"]), (2, [], ["x", "y", "z"], [])],
+                               "id long, a array<string>, b array<string>, c array<string>")
+    a, b = report.framed(F.col("a"), 2), report.framed(F.col("b"), 1)
+    rows = [(r.id, r.y, r.line) for r in report.lines(df, report.panel_zip(a, 2, b, 1, F.col("c"), gap="|")).collect()]
+    assert rows[:4] == [(1, -1, "╔══╗|╔═╗|"), (1, 0, "║ab║|║x║|hello"), (1, 1, "║d ║|╚═╝|"), (1, 2, "╚══╝|   |")]
+    assert rows[4:] == [(2, -1, "╔══╗|╔═╗|"), (2, 0, "╚══╝|║x║|"), (2, 1, "    |║y║|"), (2, 2, "    |║z║|"), (2, 3, "    |╚═╝|")]
+
+
+def test_t9_null_name_makes_the_line_null(spark):
+    a = spark.createDataFrame([(1, None, "A", 10, 2, 0), (2, "n", None, 10, 2, 0), (3, "n", "A", -5, None, 0)],
+                              "id long, name string, icon string, hp int, ammo int, score int")
+    out = {r.id: r.line for r in a.select("id", report.status_line().alias("line")).collect()}
+    assert out[1] is None and out[2] is None and out[3].endswith("] 0   AMMO: ")
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+    from tessera import session
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    fake = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d=None: d))
+    import pytest
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(fake)
+    sc.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError):
+        session.scratch_path(fake, "x")
