@@ -239,7 +239,7 @@ def near_icons(observers: DataFrame, mobs: DataFrame, vp: ViewParams = ViewParam
 def coverage_rows(vp: ViewParams = ViewParams()) -> tuple[Column, Column]:
     """The (2r+1)^2 window around an observer, row by row (over a column ``_flat``), and that
     column, all its characters in one array: the icon of a mob in a seen cell > seen tile (R shown as .) > remembered
-    wall (floor shown blank) > blank.  Needs columns ox, oy, seen, icons and the masks of
+    wall (floor shown blank) > blank.  Needs columns ox, oy, seen, icons and those of
     ``sight.neighbourhood``."""
     r, side = vp.reach, 2 * vp.reach + 1
 
@@ -250,7 +250,7 @@ def coverage_rows(vp: ViewParams = ViewParams()) -> tuple[Column, Column]:
         def char(k):
             tile = F.get(F.col("seen.tile"), (F.array_position(at["s"], k) - 1).cast("int"))
             icon = F.get(F.col("icons.icon"), (F.array_position(at["i"], k) - 1).cast("int"))
-            wall = sight.bit_at("_solid", F.col("ox") - r + k % side, F.col("oy") - r + F.floor(k / side), vp)
+            wall = sight.code_at(F.col("_x0") + k % side, F.col("_y0") + F.floor(k / side), vp) == sight.BLOCKED
             return (F.when(tile.isNotNull(), F.coalesce(icon, F.nullif(tile, F.lit("R")), F.lit(".")))
                     .when(wall, F.lit("#")).otherwise(F.lit(" ")))
         return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(side * side - 1).cast("long")), char)
@@ -263,7 +263,7 @@ def coverage(observers: DataFrame, grid, mobs: DataFrame, vp: ViewParams = ViewP
     """(id, ox, oy, cover, cols): ``cover`` as in ``coverage_rows``, ``cols`` as in
     ``observer_view``."""
     near = sight.neighbourhood(observers, grid, vp).select(
-        "id", floor_cell("x").alias("ox"), floor_cell("y").alias("oy"), "_y0", "_w0", "_solid")
+        "id", floor_cell("x").alias("ox"), floor_cell("y").alias("oy"), "_x0", "_y0", "_near")
     v = observer_view(observers, grid, vp).join(near, "id").join(near_icons(observers, mobs, vp), "id", "left")
     v = v.withColumn("icons", F.coalesce("icons", F.array().cast("array<struct<x:bigint,y:bigint,icon:string>>")))
     rows, flat = coverage_rows(vp)

@@ -8,8 +8,8 @@ instead of repeated addition (a documented deviation: identical cells except on
 fish-eye corrected.  Off-grid points never stop a ray.
 
 Plan notes: ``neighbourhood`` joins each observer once to the packed grid rows within
-reach and keeps them on the observer as short arrays of 64-cell words, whose length
-follows from the view.  Its one exchange is by observer id; the fan, the march, the
+reach and keeps them on the observer as a short array of two bits per cell, whose
+length follows from the view.  Its one exchange is by observer id; the fan, the march, the
 stop at the first wall and every aggregate per ray or observer then stay in the same
 partition, and a cell's tile is a bit test.  No step or cell row is ever shuffled and
 the plan does not change with the size of the world.  ``ray_march`` also takes a long
@@ -26,53 +26,71 @@ from tessera.operators.raster import PackedGrid
 from tessera.params import ViewParams
 
 WALL = "#"
-WORD = PackedGrid.WORD
-_NEAR = ("_y0", "_w0", "_on", "_solid", "_mark")
+#: Two bits per cell near an observer.
+OFF, BLOCKED, OPEN, MARKED = 0, 1, 2, 3
+_CELLS = 31                        # per LONG (its sign bit stays clear)
+_NEAR = ("_x0", "_y0", "_near")
 
 
-def words_per_row(vp: ViewParams) -> int:
-    """64-cell words that 2 * reach + 1 neighbouring cells can touch."""
-    return (2 * vp.reach) // WORD + 2
+def longs_per_row(vp: ViewParams) -> int:
+    return -(-(2 * vp.reach + 1) // _CELLS)
 
 
 def neighbourhood(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewParams(),
                   keep: tuple[str, ...] = ()) -> DataFrame:
-    """Observers (id, x, y, dir, *keep) with the grid within reach: first row ``_y0`` and
-    word ``_w0``, and per (row, word) three 64-bit masks: cells that exist (``_on``), cells
-    that block (``_solid``), cells of the first layer (``_mark``).  ``id`` is unique."""
-    r, nw, rows = vp.reach, words_per_row(vp), 2 * vp.reach + 1
+    """Observers (id, x, y, dir, *keep) with the grid within reach: the first cell (_x0, _y0)
+    and ``_near``, an array with two bits per cell, row by row: no cell, blocked, open, or
+    of the grid's first layer.  ``id`` is unique."""
+    r, word = vp.reach, PackedGrid.WORD
+    side, nw = 2 * r + 1, (2 * r) // word + 2
     cols = ["x", "y", "dir", *keep]
-    first_word = F.floor((floor_cell("x") - r) / WORD)
-    o = observers.select("id", *cols, (floor_cell("y") - r).alias("_y0"), first_word.alias("_w0"))
-    slots = o.select("id", *cols, "_y0", "_w0", F.explode(F.sequence(F.lit(0), F.lit(rows * nw - 1))).alias("_i"))
-    slots = slots.withColumns({"_gy": F.col("_y0") + F.expr(f"_i div {nw}"), "_gw": F.col("_w0") + F.col("_i") % nw})
+    o = observers.select("id", *cols, (floor_cell("x") - r).alias("_x0"), (floor_cell("y") - r).alias("_y0"))
+    slots = o.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(side * nw - 1))))
+    slots = slots.withColumns({"_gy": F.col("_y0") + F.expr(f"_i div {nw}"), "_gw": F.floor(F.col("_x0") / word) + F.col("_i") % nw})
     masks = grid.masks.select(F.col("y").alias("_my"), F.col("w").alias("_mw"), *[f"m{i}" for i in range(len(grid.tiles))])
     j = slots.join(masks, (F.col("_gy") == F.col("_my")) & (F.col("_gw") == F.col("_mw")), "left")
-    # bits of a row's last word past the width are no cells
-    tail = grid.width % WORD
-    full = F.when(F.col("_my").isNull(), F.lit(0).cast("long"))
-    if tail:
-        full = full.when(F.col("_mw") == grid.width // WORD, F.lit((1 << tail) - 1).cast("long"))
-    on = full.otherwise(F.lit(-1).cast("long"))
-    open_ = F.lit(0).cast("long")
+    # per word: cells that exist (none past the width), open cells, cells of the first layer
+    none = F.lit(0).cast("long")
+    on = F.when(F.col("_my").isNull(), none)
+    if grid.width % word:
+        on = on.when(F.col("_mw") == grid.width // word, F.lit((1 << grid.width % word) - 1).cast("long"))
+    free = none
     for i, t in enumerate(grid.tiles):
         if t != WALL:
-            open_ = open_.bitwiseOR(F.coalesce(F.col(f"m{i}"), F.lit(0).cast("long")))
-    j = j.withColumns({"_o": on, "_s": on.bitwiseAND(F.bitwise_not(open_)),
-                       "_m": F.coalesce(F.col("m0"), F.lit(0).cast("long"))})
-    arr = F.sort_array(F.collect_list(F.struct("_i", "_o", "_s", "_m")))
-    out = (j.groupBy("id").agg(*[F.first(c).alias(c) for c in cols], F.first("_y0").alias("_y0"),
-                               F.first("_w0").alias("_w0"), arr.alias("_a")))
-    return out.select("id", *cols, "_y0", "_w0", F.col("_a._o").alias("_on"), F.col("_a._s").alias("_solid"),
-                      F.col("_a._m").alias("_mark"))
-
-
-def bit_at(mask: str, x, y, vp: ViewParams = ViewParams()) -> Column:
-    """Whether cell (x, y) near the observer is set in one of its masks."""
-    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
-    i = (y - F.col("_y0")) * words_per_row(vp) + (F.floor(x / WORD) - F.col("_w0"))
-    word = F.get(F.col(mask), i.cast("int"))
-    return F.call_function("shiftrightunsigned", word, F.pmod(x, F.lit(WORD)).cast("int")).bitwiseAND(F.lit(1)) == 1
+            free = free.bitwiseOR(F.coalesce(F.col(f"m{i}"), none))
+    j = j.withColumns({"_o": on.otherwise(F.lit(-1).cast("long")), "_f": free, "_m": F.coalesce(F.col("m0"), none)})
+    arr = F.sort_array(F.collect_list(F.struct("_i", "_o", "_f", "_m")))
+    out = j.groupBy("id").agg(*[F.first(c).alias(c) for c in (*cols, "_x0", "_y0")], arr.alias("_a"))
+    # an inline of one row keeps the words of an observer from being read again per cell
+    out = out.select("id", *cols, "_x0", "_y0", F.inline(F.array(F.struct(
+        F.pmod("_x0", F.lit(word)).cast("int").alias("_s"), F.col("_a._o").alias("_o"), F.col("_a._f").alias("_f"), F.col("_a._m").alias("_m")))))
+
+    def bit(words, row, dx):
+        at = F.col("_s") + dx
+        w = F.get(F.col(words), (row * nw + F.floor(at / word)).cast("int"))
+        return F.call_function("shiftrightunsigned", w, (at % word).cast("int")).bitwiseAND(F.lit(1))
+
+    def code(row, dx):
+        return F.when(bit("_o", row, dx) == 0, OFF).when(bit("_f", row, dx) == 0, BLOCKED).otherwise(OPEN + bit("_m", row, dx))
+
+    def packed(i):                         # the i-th LONG: up to 31 cells of one row
+        row, first = F.floor(i / longs_per_row(vp)).cast("int"), (i % longs_per_row(vp)) * _CELLS
+        cells = F.sequence(F.lit(0), F.least(F.lit(_CELLS - 1), F.lit(side - 1) - first))
+        return F.aggregate(cells, none, lambda acc, k: acc.bitwiseOR(
+            F.call_function("shiftleft", code(row, first + k).cast("long"), (2 * k).cast("int"))))
+    near = F.transform(F.sequence(F.lit(0), F.lit(side * longs_per_row(vp) - 1)), packed)
+    return out.select("id", *cols, "_x0", "_y0", near.alias("_near"))
+
+
+def code_at(x: Column, y: Column, vp: ViewParams = ViewParams()) -> Column:
+    """The two bits of cell (x, y), which lies within reach of the observer."""
+    n, dx = longs_per_row(vp), x - F.col("_x0")
+    if n == 1:
+        word, at = F.get(F.col("_near"), (y - F.col("_y0")).cast("int")), dx
+    else:
+        part = F.floor(dx / _CELLS)
+        word, at = F.get(F.col("_near"), ((y - F.col("_y0")) * n + part).cast("int")), dx - part * _CELLS
+    return F.call_function("shiftrightunsigned", word, (2 * at).cast("int")).bitwiseAND(F.lit(3))
 
 
 def ray_fan(observers: DataFrame, vp: ViewParams = ViewParams(), keep: tuple[str, ...] = ()) -> DataFrame:
@@ -115,25 +133,26 @@ def _near_rays(observers: DataFrame, grid: PackedGrid, vp: ViewParams) -> DataFr
     return ray_fan(neighbourhood(observers, grid, vp), vp, keep=_NEAR)
 
 
-def _tile(grid: PackedGrid, vp: ViewParams) -> Column:
-    """The tile of a march row from the observer's masks (a grid of two layers at most)."""
+def _tile(grid: PackedGrid, code: str = "_code") -> Column:
+    """The tile of a cell code (of a grid of two layers at most)."""
     free = grid.tiles[1] if len(grid.tiles) > 1 else grid.tiles[0]
-    return F.when(bit_at("_on", "cx", "cy", vp),
-                  F.when(bit_at("_solid", "cx", "cy", vp), F.lit(WALL))
-                  .when(bit_at("_mark", "cx", "cy", vp), F.lit(grid.tiles[0])).otherwise(F.lit(free)))
+    c = F.col(code)
+    return F.when(c == BLOCKED, F.lit(WALL)).when(c == MARKED, F.lit(grid.tiles[0])).when(c == OPEN, F.lit(free))
 
 
 def entry_points(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewParams()) -> DataFrame:
     """The entry rows of the march (about one row per cell crossed) with their tile."""
     pts = march_points(_near_rays(observers, grid, vp), vp, keep=_NEAR).filter("entry")
-    return pts.select("id", "col", "angle", "dir", "n", "cx", "cy", "dist", _tile(grid, vp).alias("tile"))
+    pts = pts.select("id", "col", "angle", "dir", "n", "cx", "cy", "dist", code_at(F.col("cx"), F.col("cy"), vp).alias("_code"))
+    return pts.withColumn("tile", _tile(grid)).drop("_code")
 
 
 def ray_march(observers: DataFrame, grid, vp: ViewParams = ViewParams()) -> DataFrame:
     """(id, col, n, cx, cy, dist, tile): the march rows each ray really visits;
     ``tile`` is NULL off the grid.  ``grid``: packed, or long (x, y, tile)."""
     if isinstance(grid, PackedGrid):
-        pts = march_points(_near_rays(observers, grid, vp), vp, keep=_NEAR).withColumn("tile", _tile(grid, vp))
+        pts = march_points(_near_rays(observers, grid, vp), vp, keep=_NEAR)
+        pts = pts.withColumn("_code", code_at(F.col("cx"), F.col("cy"), vp)).withColumn("tile", _tile(grid))
     else:
         pts = with_tiles(march_points(ray_fan(observers, vp), vp), grid)
     return _stop_at_first_wall(pts.select("id", "col", "n", "cx", "cy", "dist", "tile"))
@@ -190,11 +209,10 @@ def ray_summary(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewPar
 
 def first_hit(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewParams()) -> DataFrame:
     """(id, col, n, dist): nearest blocking march row per ray; rays without a hit are
-    absent.  Only the mask of blocking cells is carried."""
+    absent."""
     assert vp.fov < 3.141592653589793
-    near = ("_y0", "_w0", "_solid")
-    rays = ray_fan(neighbourhood(observers, grid, vp), vp, keep=near)
-    walls = march_points(rays, vp, keep=near).filter(F.col("entry") & bit_at("_solid", "cx", "cy", vp))
+    pts = march_points(_near_rays(observers, grid, vp), vp, keep=_NEAR)
+    walls = pts.filter(F.col("entry") & (code_at(F.col("cx"), F.col("cy"), vp) == BLOCKED))
     return walls.groupBy("id", "col").agg(F.min("n").alias("n"), F.min("dist").alias("dist"))
 
 

@@ -8,7 +8,7 @@ target row however many rows match, so matches are reduced to distinct keys firs
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -250,53 +250,95 @@ def trajectory(starts: DataFrame, actions: DataFrame, sp: StateParams = StatePar
                     (F.col("y0") + F.col("sy") / F.lit(float(FIXED_POINT))).alias("y"))
 
 
-TOKEN_SCHEMA = "key long, seq long, ts timestamp_ntz, action string, allowed int, tokens int"
-
-
-def _bucket_fold(batches, capacity: int, interval_us: int):
-    """Fold consecutive rows of each key (rows arrive sorted by key, ts, seq); the
-    state of the current key is carried across Arrow batches, so no group is ever
-    materialised."""
-    cur, tok, last = None, 0, 0
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        keys = pdf["key"].to_numpy()
-        us = pdf["us"].to_numpy()
-        acts = pdf["action"].to_numpy()
-        allowed = [0] * len(pdf)
-        left = [0] * len(pdf)
-        for i in range(len(pdf)):
-            k, t = int(keys[i]), int(us[i])
-            if k != cur:
-                cur, tok, last = k, capacity, (t + 500_000) // 1_000_000 * 1_000_000
-            if acts[i] == "x" and tok > 0:
-                tok -= 1
-                allowed[i] = 1
-            if tok != capacity:
-                steps = (t - last) // interval_us
-                if steps > 0:
-                    tok = min(capacity, tok + steps)
-                    last = (t + 500_000) // 1_000_000 * 1_000_000
-            left[i] = tok
-        yield pd.DataFrame({"key": pdf["key"], "seq": pdf["seq"], "ts": pdf["ts"],
-                            "action": pdf["action"], "allowed": allowed, "tokens": left})
-
-
-def token_bucket(actions: DataFrame, capacity: int, interval_s: int,
-                 num_partitions: int | None = None) -> DataFrame:
+REFILL_SCHEMA = "key long, us long, seq long, k int"
+
+
+def round_second(us: int) -> int:
+    return (us + 500_000) // 1_000_000 * 1_000_000
+
+
+def _refill_fold(capacity: int, interval_us: int):
+    """Seconds of each key (sorted by key and second) -> its refills.
+
+    ``last`` is a whole second and the interval is at least one, so either every event of a
+    second is late enough for a refill or none is, and a second has one refill at most: at
+    its first event, or, with a full bucket, at its first spending event.  The state
+    carried from second to second (and from batch to batch) is three numbers."""
+    def run(batches):
+        cur, started, k, used, last = None, False, 0, 0, 0
+        for b in batches:
+            out = []
+            for key, sec, first, spend, n in zip(*(b.column(c).to_pylist() for c in ("key", "sec", "first", "spend", "n"))):
+                if not started or key != cur:
+                    cur, started, k, used, last = key, True, capacity, 0, round_second(first["us"])
+                if sec * 1_000_000 < last + interval_us:
+                    used += n
+                    continue
+                tokens, at = max(0, k - used), first
+                if first["x"]:
+                    tokens, after = max(0, tokens - 1), n - 1
+                elif tokens != capacity:
+                    after = n
+                elif n:
+                    tokens, at, after = capacity - 1, spend, n - 1
+                else:
+                    continue                      # full and nothing spent: the clock stands
+                k = min(capacity, tokens + (at["us"] - last) // interval_us)
+                last, used = round_second(at["us"]), after
+                out.append((key, at["us"], at["seq"], k))
+            if out:
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))],
+                                                 ["key", "us", "seq", "k"])
+    return run
+
+
+def token_bucket(actions: DataFrame, capacity: int, interval_s: int, bucket_s: int = 86_400) -> DataFrame:
     """Per event: allowed (a shot 'x' with a token left spends it) and tokens left
     after the event's refill.  Order per event as in the reference tick: spend,
     then refill (steps = floor((t - last) / interval) whole intervals since the last
     refill, clamp to capacity, last = t rounded to the second; no refill while full).
-    A key starts full with last = its first event.
-
-    The clamp makes the fold sequential per key: rows are hash-partitioned by key
-    and sorted inside partitions, then folded by an Arrow-batched ``mapInPandas``
-    that streams each partition (memory stays one batch, never one whole key)."""
-    n = num_partitions or int(actions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    src = (actions.select("key", "seq", "ts", "action",
-                          epoch_micros("ts").alias("us"))
-           .repartition(n, "key").sortWithinPartitions("key", "ts", "seq"))
+    A key starts full with last = its first event.  capacity >= 1, interval_s >= 1.
+
+    The clamp makes the chain of refills sequential, but between two refills the tokens are
+    max(0, k - shots since then).  So events are reduced to one row per (key, second) before
+    the exchange, and only these are folded in order, which bounds a hot key by its
+    seconds, not its events.  Every event then finds its last refill and its shot count
+    by running values inside (key, day) and carried over days, so a hot key is spread.
+
+    A NULL key is a key of its own; an event without a time spends nothing and has NULL
+    tokens."""
     cap, iv = int(capacity), int(interval_s) * 1_000_000
-    return src.mapInPandas(lambda it: _bucket_fold(it, cap, iv), TOKEN_SCHEMA)
+    is_x = F.coalesce(F.col("action") == "x", F.lit(False))
+    e = actions.filter("ts is not null").select("key", "seq", "ts", "action", epoch_micros("ts").alias("us"), is_x.alias("x"))
+    at = F.struct("us", "seq", "x")
+    seconds = (e.groupBy("key", F.floor(F.col("us") / 1_000_000).alias("sec"))
+               .agg(F.min(at).alias("first"), F.min(F.when(F.col("x"), at)).alias("spend"), F.count_if("x").alias("n")))
+    refills = seconds.repartition("key").sortWithinPartitions("key", "sec").mapInArrow(_refill_fold(cap, iv), REFILL_SCHEMA)
+
+    u = (e.withColumns({"k": F.lit(None).cast("int"), "_side": F.lit(0)})
+         .unionByName(refills.withColumns({"x": F.lit(False), "_side": F.lit(1)}), allowMissingColumns=True))
+    u = with_bucket(u, "key", F.floor(F.col("us") / (bucket_s * 1_000_000)))
+    order = Window.partitionBy("_k", "_b").orderBy("us", "seq", "_side")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    one = F.when(F.col("x"), 1).otherwise(0)
+    u = u.withColumns({"_n": F.sum(one).over(so_far), "_next": F.lead(F.struct("_side", "us", "seq", "k")).over(order)})
+    mine = F.when(F.col("_side") == 1, F.struct("k", "_n"))
+    u = u.withColumn("_r", F.last(mine, ignorenulls=True).over(so_far))
+    days = u.groupBy("_k", "_b").agg(F.sum(one).alias("_t"), F.max(F.when(F.col("_side") == 1, F.struct("us", "seq", "k", "_n"))).alias("_l"))
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_o", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+    known = F.when(F.col("_l").isNotNull(), F.struct(F.col("_l.k").alias("k"), (F.col("_l._n") + F.col("_o")).alias("n")))
+    days = days.withColumn("_p", F.last(known, ignorenulls=True).over(before)).select(
+        F.col("_k").alias("_k2"), F.col("_b").alias("_b2"), "_o", "_p")
+    j = u.filter("_side = 0").join(days, (F.col("_k") == F.col("_k2")) & (F.col("_b") == F.col("_b2")))
+    k = F.coalesce("_r.k", "_p.k", F.lit(cap))
+    since = F.col("_n") + F.col("_o") - one - F.coalesce(F.col("_r._n") + F.col("_o"), "_p.n", F.lit(0))
+    j = j.withColumn("_have", F.greatest(F.lit(0), k - since))
+    allowed = F.when(F.col("x") & (F.col("_have") > 0), 1).otherwise(0)
+    refill = (F.col("_next._side") == 1) & (F.col("_next.us") == F.col("us")) & F.col("_next.seq").eqNullSafe(F.col("seq"))
+    out = j.select("key", "seq", "ts", "action", allowed.cast("int").alias("allowed"),
+                   F.when(refill, F.col("_next.k")).otherwise(F.col("_have") - allowed).cast("int").alias("tokens"))
+    timeless = actions.filter("ts is null").select("key", "seq", "ts", "action", F.lit(0).alias("allowed"),
+                                                   F.lit(None).cast("int").alias("tokens"))
+    return out.unionByName(timeless)

@@ -8,6 +8,7 @@ lost executor) resumes from the committed offsets and state.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tessera.functions.asof import asof_backward
 from tessera.functions.num import epoch_micros
+from tessera.operators.state import round_second
 from tessera.session import scratch_path
 from tessera.sources.world import ACTION_OF_EVENT
 
@@ -26,15 +28,13 @@ def ntz_from_micros(c) -> F.Column:
 
 
 def action_stream(spark: SparkSession, sf_dir: str, table: str = "events",
-                  max_files_per_trigger: int | None = None) -> DataFrame:
+                  max_files_per_trigger: int = 8) -> DataFrame:
     """(key, ts NTZ, ets TIMESTAMP, seq, action) as a stream.  ``ets`` is the event
     time as an instant (UTC wall clock), independent of the session zone - the
-    watermark needs a zoned timestamp."""
+    watermark needs a zoned timestamp.  A micro-batch reads a bounded number of files."""
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    ev = reader.parquet(sf_dir)
+    ev = (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+          .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
     m = F.create_map(*[F.lit(x) for kv in ACTION_OF_EVENT.items() for x in kv])
     return (ev.select(F.col("user_id").alias("key"), F.col("ts"),
                       F.timestamp_micros(epoch_micros("ts")).alias("ets"),
@@ -72,39 +72,40 @@ TOKEN_OUT = "key long, seq long, allowed int, tokens int"
 TOKEN_STATE = "tokens int, last long"
 
 
+_EMIT_ROWS = 10_000
+
+
 def _token_state_fn(capacity: int, interval_us: int):
     def fn(key, pdfs, state):
-        pdf = pd.concat(list(pdfs)).sort_values(["us", "seq"])
-        if state.exists:
-            tok, last = state.get
-            tok, last = int(tok), int(last)
-        else:
-            tok, last = capacity, None
-        allowed, left = [], []
-        for us, act in zip(pdf["us"].to_numpy(), pdf["action"].to_numpy()):
-            us = int(us)
-            if last is None:
-                last = (us + 500_000) // 1_000_000 * 1_000_000
-            ok = 1 if (act == "x" and tok > 0) else 0
-            tok -= ok
-            if tok != capacity:
-                steps = (us - last) // interval_us
-                if steps > 0:
-                    tok = min(capacity, tok + steps)
-                    last = (us + 500_000) // 1_000_000 * 1_000_000
-            allowed.append(ok)
-            left.append(tok)
+        # of a key's rows in one micro-batch only three numbers each are held, to put them
+        # in order; the micro-batch is bounded by the source's files per trigger
+        parts = [(p["us"].to_numpy(), p["seq"].to_numpy(), (p["action"] == "x").to_numpy()) for p in pdfs]
+        us, seq, x = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((seq, us))
+        tok, last = map(int, state.get) if state.exists else (capacity, round_second(int(us[order[0]])))
+        for at in range(0, len(order), _EMIT_ROWS):
+            part = order[at:at + _EMIT_ROWS]
+            allowed, left = [], []
+            for t, shot in zip(us[part].tolist(), x[part].tolist()):
+                ok = 1 if shot and tok > 0 else 0
+                tok -= ok
+                if tok != capacity and t - last >= interval_us:
+                    tok, last = min(capacity, tok + (t - last) // interval_us), round_second(t)
+                allowed.append(ok)
+                left.append(tok)
+            yield pd.DataFrame({"key": pd.array([key[0]] * len(part), dtype="Int64"), "seq": seq[part],
+                                "allowed": allowed, "tokens": left})
         state.update((tok, last))
-        yield pd.DataFrame({"key": pdf["key"].to_numpy(), "seq": pdf["seq"].to_numpy(),
-                            "allowed": allowed, "tokens": left})
     return fn
 
 
 def token_bucket_stream(actions: DataFrame, capacity: int, interval_s: int) -> DataFrame:
     """The batch ``state.token_bucket`` as a stateful stream: state (tokens, last)
     per key across micro-batches, rows of a batch folded in (ts, seq) order.  Equal
-    to the batch result when input arrives in order."""
-    src = actions.select("key", "seq", "action", epoch_micros("ts").alias("us"))
+    to the batch result when input arrives in order; a late event is folded when it
+    arrives, with the state of that moment (it can't refill backwards).  Events without a
+    time are left out."""
+    src = actions.filter("ts is not null").select("key", "seq", "action", epoch_micros("ts").alias("us"))
     return src.groupBy("key").applyInPandasWithState(
         _token_state_fn(int(capacity), int(interval_s) * 1_000_000),
         TOKEN_OUT, TOKEN_STATE, "append", GroupStateTimeout.NoTimeout)

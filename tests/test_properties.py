@@ -281,3 +281,39 @@ def test_trajectory_drifts_less_than_stated(world):
     u = (t.join(st, "key", "left").withColumn("x0", F.coalesce("x0", F.lit(world.sp.spawn_x)))
          .withColumns({"want": F.col("x0") + F.sum(step * F.cos("dir")).over(w), "n": F.count("*").over(w)}))
     assert u.filter(F.abs(F.col("x") - F.col("want")) > F.col("n") * 0.5e-9 + 1e-9).count() == 0
+
+
+def _fold(events, cap, iv):
+    """The plain fold of one key's (us, seq, action), in order."""
+    out, tok, last = [], cap, None
+    for us, _, act in sorted(events):
+        last = (us + 500_000) // 1_000_000 * 1_000_000 if last is None else last
+        ok = int(act == "x" and tok > 0)
+        tok -= ok
+        if tok != cap and (us - last) // iv > 0:
+            tok, last = min(cap, tok + (us - last) // iv), (us + 500_000) // 1_000_000 * 1_000_000
+        out.append((ok, tok))
+    return out
+
+
+@pytest.mark.parametrize("cap,iv,span", [(3, 60, 900), (1, 1, 40), (2, 3, 60), (5, 600, 200_000), (3, 86_400, 2_000_000)])
+def test_token_bucket_equals_the_plain_fold(spark, cap, iv, span):
+    """Many small keys and one key with a third of all rows, dense and over several days;
+    ties in time, a NULL key, and events without a time."""
+    import random
+    from tessera.operators import state
+    rnd = random.Random(cap * iv)
+    base, rows = 1_704_067_200_000_000, []
+    for key in [0] * 400 + [None] * 40 + [rnd.randrange(1, 30) for _ in range(800)]:
+        rows.append((key, base + rnd.choice([rnd.randrange(span * 1_000_000), rnd.randrange(span) * 1_000_000, rnd.randrange(3) * 500_000]),
+                     len(rows), rnd.choice("xxw")))
+    df = spark.createDataFrame(rows, "key long, us long, seq long, action string")
+    df = df.withColumn("ts", F.timestamp_add("MICROSECOND", F.col("us"), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")))
+    timeless = df.limit(2).withColumns({"ts": F.lit(None).cast("timestamp_ntz"), "seq": F.col("seq") + 10_000})
+    got = {r.seq: (r.allowed, r.tokens) for r in state.token_bucket(df.union(timeless), cap, iv).collect()}
+    assert [got.pop(s) for s in sorted(got) if s >= 10_000] == [(0, None)] * 2
+    want = {}
+    for key in {r[0] for r in rows}:
+        mine = sorted((us, seq, act) for k, us, seq, act in rows if k == key)
+        want.update({seq: v for (_, seq, _), v in zip(mine, _fold(mine, cap, iv * 1_000_000))})
+    assert got == want
