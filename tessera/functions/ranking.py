@@ -36,9 +36,11 @@ def number_rows(df: DataFrame, order: list[str], group: list[str] | None = None,
     b = df.withColumns({"_g": g, "_k": key})
     # the bucket of a row: how many bounds are smaller
     b = b.withColumn("_b", F.array_position(F.sort_array(F.array_append(bounds, F.col("_k"))), F.col("_k")))
-    local = b.withColumn("_lrn", F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_k")))
+    part = Window.partitionBy("_g", "_b")
+    local = b.withColumns({"_lrn": F.row_number().over(part.orderBy("_k")), "_n": F.count(F.lit(1)).over(part)})
     before = Window.partitionBy("_g2").orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (b.groupBy(F.col("_g").alias("_g2"), F.col("_b").alias("_b2")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per bucket, from the same exchange as the ranks
+    offsets = (local.filter("_lrn = 1").select(F.col("_g").alias("_g2"), F.col("_b").alias("_b2"), "_n")
                .select("_g2", "_b2", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
     return (local.join(offsets, (F.col("_g") == F.col("_g2")) & (F.col("_b") == F.col("_b2")))
             .select(*df.columns, (F.col("_off") + F.col("_lrn")).alias(out)))

@@ -188,15 +188,17 @@ def raster_rows(cells: DataFrame, key: str = "id", x: str = "x", y: str = "y",
     return cells.groupBy(key, y).agg(row.alias("row"))
 
 
-def observer_view(observers: DataFrame, grid, vp: ViewParams = ViewParams()) -> DataFrame:
-    """One row per observer: (id, ox, oy, cols, seen): ``cols`` has height, glyph and occluder
-    depth by column, ``seen`` the distinct visible cells (x, y, tile)."""
-    rays = sight.ray_summary(observers.select("id", "x", "y", "dir"), grid, vp, cells=True)
+def observer_view(observers: DataFrame, grid, vp: ViewParams = ViewParams(), seen: bool = False,
+                  near: DataFrame | None = None) -> DataFrame:
+    """One row per observer: (id, cols): height, glyph and occluder depth by column; and with
+    ``seen`` the numbers of the cells it sees (see ``sight.entry_points``)."""
+    rays = sight.ray_summary(observers.select("id", "x", "y", "dir"), grid, vp, places=seen, near=near)
     h = column_height(rays.withColumn("depth", F.coalesce("dist", F.lit(vp.ray_length))), vp)
     one = F.struct("col", "height", depth_band("depth", vp).alias("band"), F.coalesce("extent", F.lit(vp.ray_length)).alias("extent"))
-    v = h.groupBy("id").agg(F.sort_array(F.collect_list(one)).alias("cols"),
-                            F.array_distinct(F.flatten(F.collect_list("cells"))).alias("seen"))
-    return v
+    aggs = [F.sort_array(F.collect_list(one)).alias("cols")]
+    if seen:
+        aggs.append(F.expr("array_distinct(flatten(collect_list(places))) AS seen"))
+    return h.groupBy("id").agg(*aggs)
 
 
 def top_pixels(nearest: DataFrame) -> DataFrame:
@@ -204,78 +206,63 @@ def top_pixels(nearest: DataFrame) -> DataFrame:
     return nearest.groupBy("id").agg(F.collect_list(F.struct("px", "py", "ch", "depth")).alias("top"))
 
 
-def view_rows(cols: Column, top: Column, vp: ViewParams = ViewParams()) -> Column:
-    """The raster rows of a view, top to bottom, as an array of strings."""
-    last = vp.view_h if vp.inclusive_edge else vp.view_h - 1
-    half = vp.view_h
-
-    def pixel(c, y):
-        return (F.when(y < F.floor((half - c["height"]) / 2), F.lit(SKY))
-                .when(y >= F.floor((half + c["height"]) / 2), F.lit(GROUND)).otherwise(c["band"]))
-
-    def row(y):
-        base = F.array_join(F.transform(cols, lambda c: pixel(c, y)), "")
-        on_row = F.filter(top, lambda p: (p["py"] == y) & (p["depth"] < F.get(cols, p["px"])["extent"]))
-        return F.aggregate(on_row, base, lambda acc, p: F.overlay(acc, p["ch"], p["px"] + 1, F.lit(1)))
-    return F.transform(F.sequence(F.lit(0), F.lit(last)), row)
+def view_rows(vp: ViewParams = ViewParams()) -> Column:
+    """The raster rows of a view (columns cols, top), top to bottom, as an array of strings."""
+    last, h = (vp.view_h if vp.inclusive_edge else vp.view_h - 1), vp.view_h
+    base = (f"array_join(transform(cols, c -> CASE WHEN y < ({h} - c.height) DIV 2 THEN '{SKY}' "
+            f"WHEN y >= ({h} + c.height) DIV 2 THEN '{GROUND}' ELSE c.band END), '')")
+    patch = "filter(top, p -> p.py = y AND p.depth < get(cols, p.px).extent)"
+    return F.expr(f"transform(sequence(0, {last}), y -> aggregate({patch}, {base}, "
+                  "(acc, p) -> overlay(acc PLACING p.ch FROM p.px + 1 FOR 1)))")
 
 
 def near_icons(observers: DataFrame, mobs: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
-    """(id, icons): (x, y, icon) of the cells with a mob in the coverage window; two mobs in
-    one cell give the smallest icon, a NULL icon is ?."""
+    """(id, icons): per observer the cells with a mob within reach, as a map from the cell's
+    number (see ``sight.entry_points``) to the icon; two mobs in one cell give the smallest
+    icon, a NULL icon is ?."""
     r = vp.reach
     b = 2 * r + 1
-    icons = (mobs.select(floor_cell("x").alias("x"), floor_cell("y").alias("y"), F.coalesce(F.col("icon"), F.lit("?")).alias("icon"))
+    icons = (mobs.selectExpr("floor(x) AS x", "floor(y) AS y", "coalesce(icon, '?') AS icon")
              .groupBy("x", "y").agg(F.min("icon").alias("icon"))
-             .withColumns({"bx": F.floor(F.col("x") / b), "by": F.floor(F.col("y") / b)}))
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    o = (observers.select("id", floor_cell("x").alias("ox"), floor_cell("y").alias("oy"))
-         .select("*", F.explode(near).alias("dx")).select("*", F.explode(near).alias("dy"))
-         .withColumns({"bx": F.floor(F.col("ox") / b) + F.col("dx"), "by": F.floor(F.col("oy") / b) + F.col("dy")}))
-    j = o.join(icons, ["bx", "by"]).filter((F.abs(F.col("x") - F.col("ox")) <= r) & (F.abs(F.col("y") - F.col("oy")) <= r))
-    return j.groupBy("id").agg(F.collect_list(F.struct("x", "y", "icon")).alias("icons"))
-
-
-def coverage_rows(vp: ViewParams = ViewParams()) -> tuple[Column, Column]:
-    """The (2r+1)^2 window around an observer, row by row (over a column ``_flat``), and that
-    column, all its characters in one array: the icon of a mob in a seen cell > seen tile (R shown as .) > remembered
-    wall (floor shown blank) > blank.  Needs columns ox, oy, seen, icons and those of
-    ``sight.neighbourhood``."""
-    r, side = vp.reach, 2 * vp.reach + 1
-
-    def places(cells):                     # of cells in the window, row by row
-        return F.transform(cells, lambda c: (c["y"] - F.col("oy") + r) * side + (c["x"] - F.col("ox") + r))
-
-    def chars(at):
-        def char(k):
-            tile = F.get(F.col("seen.tile"), (F.array_position(at["s"], k) - 1).cast("int"))
-            icon = F.get(F.col("icons.icon"), (F.array_position(at["i"], k) - 1).cast("int"))
-            wall = sight.code_at(F.col("_x0") + k % side, F.col("_y0") + F.floor(k / side), vp) == sight.BLOCKED
-            return (F.when(tile.isNotNull(), F.coalesce(icon, F.nullif(tile, F.lit("R")), F.lit(".")))
-                    .when(wall, F.lit("#")).otherwise(F.lit(" ")))
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(side * side - 1).cast("long")), char)
-    once = F.array(F.struct(places(F.col("seen")).alias("s"), places(F.col("icons")).alias("i")))
-    flat = F.element_at(F.transform(once, chars), 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda y: F.slice(F.col("_flat"), y * side + 1, side)), flat
+             .selectExpr("x", "y", "icon", f"floor(x / {b}) AS bx", f"floor(y / {b}) AS by"))
+    o = (observers.selectExpr("id", "floor(x) AS ox", "floor(y) AS oy", "explode(array(-1, 0, 1)) AS dx")
+         .selectExpr("*", "explode(array(-1, 0, 1)) AS dy")
+         .selectExpr("id", "ox", "oy", f"floor(ox / {b}) + dx AS bx", f"floor(oy / {b}) + dy AS by"))
+    j = o.join(icons, ["bx", "by"]).filter(f"abs(x - ox) <= {r} AND abs(y - oy) <= {r}")
+    return j.groupBy("id").agg(F.expr(f"map_from_entries(collect_list(struct(CAST((y - oy + {r}) * {b} + x - ox + {r} AS INT), icon))) AS icons"))
+
+
+def coverage_chars(vp: ViewParams = ViewParams()) -> Column:
+    """The (2r+1)^2 window around an observer, row by row, as an array of characters: the
+    icon of a mob in a seen cell > seen tile (R shown as .) > remembered wall (floor shown
+    blank) > blank.  Needs columns seen, icons and those of ``sight.neighbourhood``."""
+    side = 2 * vp.reach + 1
+    wall = f"{sight.code_at(f'(_x0 + k % {side})', f'(_y0 + k DIV {side})', vp)} = {sight.BLOCKED}"
+    return F.expr(f"transform(sequence(0, {side * side - 1}), k -> CASE WHEN array_contains(seen, k) THEN "
+                  f"coalesce(icons[k], CASE WHEN {wall} THEN '#' ELSE '.' END) WHEN {wall} THEN '#' ELSE ' ' END)")
 
 
 def coverage(observers: DataFrame, grid, mobs: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
-    """(id, ox, oy, cover, cols): ``cover`` as in ``coverage_rows``, ``cols`` as in
-    ``observer_view``."""
-    near = sight.neighbourhood(observers, grid, vp).select(
-        "id", floor_cell("x").alias("ox"), floor_cell("y").alias("oy"), "_x0", "_y0", "_near")
-    v = observer_view(observers, grid, vp).join(near, "id").join(near_icons(observers, mobs, vp), "id", "left")
-    v = v.withColumn("icons", F.coalesce("icons", F.array().cast("array<struct<x:bigint,y:bigint,icon:string>>")))
-    rows, flat = coverage_rows(vp)
-    return v.withColumn("_flat", flat).select("id", "ox", "oy", rows.alias("cover"), "cols")
+    """(id, x0, y0, cover, cols): ``cover`` as in ``coverage_chars``, from cell (x0, y0) on;
+    ``cols`` as in ``observer_view``."""
+    near = sight.neighbourhood(observers, grid, vp)
+    v = observer_view(observers, grid, vp, seen=True, near=near)
+    v = v.join(near.select("id", "_x0", "_y0", "_near"), "id").join(near_icons(observers, mobs, vp), "id", "left")
+    v = v.withColumn("icons", F.expr("coalesce(icons, CAST(map() AS MAP<INT, STRING>))"))
+    return v.select("id", F.col("_x0").alias("x0"), F.col("_y0").alias("y0"), coverage_chars(vp).alias("cover"), "cols")
+
+
+def coverage_rows(vp: ViewParams = ViewParams()) -> Column:
+    """The rows of ``cover`` as an array of strings."""
+    side = 2 * vp.reach + 1
+    return F.expr(f"transform(sequence(0, {side - 1}), y -> array_join(slice(cover, y * {side} + 1, {side}), ''))")
 
 
 def coverage_map(cover: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
     """(id, x, y, ch): the cells of ``coverage``."""
-    rows = cover.select("id", "ox", "oy", F.posexplode("cover").alias("_dy", "_row"))
-    cells = rows.select("id", "ox", "oy", "_dy", F.posexplode("_row").alias("_dx", "ch"))
-    return cells.select("id", (F.col("ox") - vp.reach + F.col("_dx")).alias("x"),
-                        (F.col("oy") - vp.reach + F.col("_dy")).alias("y"), "ch")
+    side = 2 * vp.reach + 1
+    return cover.selectExpr("id", "x0", "y0", "posexplode(cover) AS (k, ch)").selectExpr(
+        "id", f"x0 + k % {side} AS x", f"y0 + k DIV {side} AS y", "ch")
 
 
 def coverage_stats(cell_set: DataFrame) -> DataFrame:

@@ -21,7 +21,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.num import cell, floor_cell
 from tessera.operators.raster import PackedGrid
 from tessera.params import ViewParams
 
@@ -42,55 +41,43 @@ def neighbourhood(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewP
     and ``_near``, an array with two bits per cell, row by row: no cell, blocked, open, or
     of the grid's first layer.  ``id`` is unique."""
     r, word = vp.reach, PackedGrid.WORD
-    side, nw = 2 * r + 1, (2 * r) // word + 2
+    side, nw, n = 2 * r + 1, (2 * r) // word + 2, longs_per_row(vp)
     cols = ["x", "y", "dir", *keep]
-    o = observers.select("id", *cols, (floor_cell("x") - r).alias("_x0"), (floor_cell("y") - r).alias("_y0"))
-    slots = o.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(side * nw - 1))))
-    slots = slots.withColumns({"_gy": F.col("_y0") + F.expr(f"_i div {nw}"), "_gw": F.floor(F.col("_x0") / word) + F.col("_i") % nw})
-    masks = grid.masks.select(F.col("y").alias("_my"), F.col("w").alias("_mw"), *[f"m{i}" for i in range(len(grid.tiles))])
-    j = slots.join(masks, (F.col("_gy") == F.col("_my")) & (F.col("_gw") == F.col("_mw")), "left")
+    slots = observers.selectExpr("id", *cols, f"floor(x) - {r} AS _x0", f"floor(y) - {r} AS _y0",
+                                 f"explode(sequence(0, {side * nw - 1})) AS _i")
+    slots = slots.selectExpr("*", f"_y0 + _i div {nw} AS _gy", f"floor(_x0 / {word}) + _i % {nw} AS _gw")
+    masks = grid.masks.selectExpr("y AS _my", "w AS _mw", *[f"m{i}" for i in range(len(grid.tiles))])
+    j = slots.join(masks, F.expr("_gy = _my AND _gw = _mw"), "left")
     # per word: cells that exist (none past the width), open cells, cells of the first layer
-    none = F.lit(0).cast("long")
-    on = F.when(F.col("_my").isNull(), none)
-    if grid.width % word:
-        on = on.when(F.col("_mw") == grid.width // word, F.lit((1 << grid.width % word) - 1).cast("long"))
-    free = none
-    for i, t in enumerate(grid.tiles):
-        if t != WALL:
-            free = free.bitwiseOR(F.coalesce(F.col(f"m{i}"), none))
-    j = j.withColumns({"_o": on.otherwise(F.lit(-1).cast("long")), "_f": free, "_m": F.coalesce(F.col("m0"), none)})
-    arr = F.sort_array(F.collect_list(F.struct("_i", "_o", "_f", "_m")))
-    out = j.groupBy("id").agg(*[F.first(c).alias(c) for c in (*cols, "_x0", "_y0")], arr.alias("_a"))
+    free = " | ".join(["0L", *[f"coalesce(m{i}, 0L)" for i, t in enumerate(grid.tiles) if t != WALL]])
+    tail = f"WHEN _mw = {grid.width // word} THEN {(1 << grid.width % word) - 1}L" if grid.width % word else ""
+    j = j.selectExpr("id", *cols, "_x0", "_y0", "_i", f"CASE WHEN _my IS NULL THEN 0L {tail} ELSE -1L END AS _o",
+                     f"{free} AS _f", "coalesce(m0, 0L) AS _m")
+    out = j.groupBy("id").agg(*[F.expr(f"first({c}) AS {c}") for c in (*cols, "_x0", "_y0")],
+                              F.expr("sort_array(collect_list(struct(_i, _o, _f, _m))) AS _a"))
     # an inline of one row keeps the words of an observer from being read again per cell
-    out = out.select("id", *cols, "_x0", "_y0", F.inline(F.array(F.struct(
-        F.pmod("_x0", F.lit(word)).cast("int").alias("_s"), F.col("_a._o").alias("_o"), F.col("_a._f").alias("_f"), F.col("_a._m").alias("_m")))))
+    out = out.selectExpr("id", *cols, "_x0", "_y0", f"inline(array(struct(CAST(pmod(_x0, {word}) AS INT) AS _s, "
+                         "_a._o AS _o, _a._f AS _f, _a._m AS _m)))")
 
     def bit(words, row, dx):
-        at = F.col("_s") + dx
-        w = F.get(F.col(words), (row * nw + F.floor(at / word)).cast("int"))
-        return F.call_function("shiftrightunsigned", w, (at % word).cast("int")).bitwiseAND(F.lit(1))
-
-    def code(row, dx):
-        return F.when(bit("_o", row, dx) == 0, OFF).when(bit("_f", row, dx) == 0, BLOCKED).otherwise(OPEN + bit("_m", row, dx))
-
-    def packed(i):                         # the i-th LONG: up to 31 cells of one row
-        row, first = F.floor(i / longs_per_row(vp)).cast("int"), (i % longs_per_row(vp)) * _CELLS
-        cells = F.sequence(F.lit(0), F.least(F.lit(_CELLS - 1), F.lit(side - 1) - first))
-        return F.aggregate(cells, none, lambda acc, k: acc.bitwiseOR(
-            F.call_function("shiftleft", code(row, first + k).cast("long"), (2 * k).cast("int"))))
-    near = F.transform(F.sequence(F.lit(0), F.lit(side * longs_per_row(vp) - 1)), packed)
-    return out.select("id", *cols, "_x0", "_y0", near.alias("_near"))
-
-
-def code_at(x: Column, y: Column, vp: ViewParams = ViewParams()) -> Column:
-    """The two bits of cell (x, y), which lies within reach of the observer."""
-    n, dx = longs_per_row(vp), x - F.col("_x0")
+        return (f"(shiftrightunsigned(get({words}, CAST({row} * {nw} + (_s + {dx}) DIV {word} AS INT)), "
+                f"CAST((_s + {dx}) % {word} AS INT)) & 1L)")
+    row, dx = f"(i DIV {n})", f"((i % {n}) * {_CELLS} + k)"
+    code = (f"CASE WHEN {bit('_o', row, dx)} = 0 THEN {OFF}L WHEN {bit('_f', row, dx)} = 0 THEN {BLOCKED}L "
+            f"ELSE {OPEN}L + {bit('_m', row, dx)} END")
+    # the i-th LONG: up to 31 cells of one row
+    near = (f"transform(sequence(0, {side * n - 1}), i -> aggregate(sequence(0, least({_CELLS - 1}, {side - 1} - (i % {n}) * {_CELLS})), "
+            f"0L, (acc, k) -> acc | shiftleft({code}, 2 * k)))")
+    return out.selectExpr("id", *cols, "_x0", "_y0", f"{near} AS _near")
+
+
+def code_at(x: str, y: str, vp: ViewParams = ViewParams()) -> str:
+    """SQL for the two bits of cell (x, y), which lies within reach of the observer."""
+    n = longs_per_row(vp)
     if n == 1:
-        word, at = F.get(F.col("_near"), (y - F.col("_y0")).cast("int")), dx
-    else:
-        part = F.floor(dx / _CELLS)
-        word, at = F.get(F.col("_near"), ((y - F.col("_y0")) * n + part).cast("int")), dx - part * _CELLS
-    return F.call_function("shiftrightunsigned", word, (2 * at).cast("int")).bitwiseAND(F.lit(3))
+        return f"(shiftrightunsigned(get(_near, CAST({y} - _y0 AS INT)), CAST(2 * ({x} - _x0) AS INT)) & 3L)"
+    return (f"(shiftrightunsigned(get(_near, CAST(({y} - _y0) * {n} + ({x} - _x0) DIV {_CELLS} AS INT)), "
+            f"CAST(2 * (({x} - _x0) % {_CELLS}) AS INT)) & 3L)")
 
 
 def ray_fan(observers: DataFrame, vp: ViewParams = ViewParams(), keep: tuple[str, ...] = ()) -> DataFrame:
@@ -112,16 +99,14 @@ def march_points(rays: DataFrame, vp: ViewParams = ViewParams(), keep: tuple[str
     monotone), and ``dist`` grows with n, so the entry row of a cell carries the
     cell's smallest distance and the first blocking row is always an entry row."""
     # the step of a ray is computed once per ray, below the explode
-    pts = rays.select("id", "col", "angle", "dir", "x", "y", *keep,
-                      (F.lit(vp.step) * F.cos("angle")).alias("_dx"), (F.lit(vp.step) * F.sin("angle")).alias("_dy"),
-                      F.cos(F.col("angle") - F.col("dir")).alias("_c"),
-                      F.explode(F.sequence(F.lit(1), F.lit(vp.max_steps))).alias("n"))
-    n, dx, dy = F.col("n"), F.col("_dx"), F.col("_dy")
-    cx, cy = cell(F.col("x") + n * dx), cell(F.col("y") + n * dy)
-    px, py = cell(F.col("x") + (n - 1) * dx), cell(F.col("y") + (n - 1) * dy)
-    return pts.select("id", "col", "angle", "dir", *keep, "n", cx.alias("cx"), cy.alias("cy"),
-                      ((n - 1) * F.lit(vp.step) * F.col("_c")).alias("dist"),
-                      ((n == 1) | (cx != px) | (cy != py)).alias("entry"))
+    pts = rays.selectExpr("id", "col", "angle", "dir", "x", "y", *keep, f"{vp.step!r}D * cos(angle) AS _dx",
+                          f"{vp.step!r}D * sin(angle) AS _dy", "cos(angle - dir) AS _c",
+                          f"explode(sequence(1, {vp.max_steps})) AS n")
+    pts = pts.selectExpr("id", "col", "angle", "dir", *keep, "n", "CAST(rint(x + n * _dx) AS BIGINT) AS cx",
+                         "CAST(rint(y + n * _dy) AS BIGINT) AS cy", "CAST(rint(x + (n - 1) * _dx) AS BIGINT) AS _px",
+                         "CAST(rint(y + (n - 1) * _dy) AS BIGINT) AS _py", f"(n - 1) * {vp.step!r}D * _c AS dist")
+    return pts.selectExpr("id", "col", "angle", "dir", *keep, "n", "cx", "cy", "dist",
+                          "n = 1 OR cx <> _px OR cy <> _py AS entry")
 
 
 def with_tiles(pts: DataFrame, grid: DataFrame) -> DataFrame:
@@ -136,14 +121,17 @@ def _near_rays(observers: DataFrame, grid: PackedGrid, vp: ViewParams) -> DataFr
 def _tile(grid: PackedGrid, code: str = "_code") -> Column:
     """The tile of a cell code (of a grid of two layers at most)."""
     free = grid.tiles[1] if len(grid.tiles) > 1 else grid.tiles[0]
-    c = F.col(code)
-    return F.when(c == BLOCKED, F.lit(WALL)).when(c == MARKED, F.lit(grid.tiles[0])).when(c == OPEN, F.lit(free))
+    return F.expr(f"CASE {code} WHEN {BLOCKED} THEN '{WALL}' WHEN {MARKED} THEN '{grid.tiles[0]}' WHEN {OPEN} THEN '{free}' END")
 
 
-def entry_points(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewParams()) -> DataFrame:
-    """The entry rows of the march (about one row per cell crossed) with their tile."""
-    pts = march_points(_near_rays(observers, grid, vp), vp, keep=_NEAR).filter("entry")
-    pts = pts.select("id", "col", "angle", "dir", "n", "cx", "cy", "dist", code_at(F.col("cx"), F.col("cy"), vp).alias("_code"))
+def entry_points(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewParams(), near: DataFrame | None = None) -> DataFrame:
+    """The entry rows of the march (about one row per cell crossed) with their tile and
+    ``place``, the cell's number in the square of cells within reach, row by row.  ``near``:
+    the observers' neighbourhood, if it is at hand."""
+    near = neighbourhood(observers, grid, vp) if near is None else near
+    pts = march_points(ray_fan(near, vp, keep=_NEAR), vp, keep=_NEAR).filter("entry")
+    pts = pts.selectExpr("id", "col", "angle", "dir", "n", "cx", "cy", "dist", f"{code_at('cx', 'cy', vp)} AS _code",
+                         f"CAST((cy - _y0) * {2 * vp.reach + 1} + cx - _x0 AS INT) AS place")
     return pts.withColumn("tile", _tile(grid)).drop("_code")
 
 
@@ -152,7 +140,7 @@ def ray_march(observers: DataFrame, grid, vp: ViewParams = ViewParams()) -> Data
     ``tile`` is NULL off the grid.  ``grid``: packed, or long (x, y, tile)."""
     if isinstance(grid, PackedGrid):
         pts = march_points(_near_rays(observers, grid, vp), vp, keep=_NEAR)
-        pts = pts.withColumn("_code", code_at(F.col("cx"), F.col("cy"), vp)).withColumn("tile", _tile(grid))
+        pts = pts.withColumn("_code", F.expr(code_at("cx", "cy", vp))).withColumn("tile", _tile(grid))
     else:
         pts = with_tiles(march_points(ray_fan(observers, vp), vp), grid)
     return _stop_at_first_wall(pts.select("id", "col", "n", "cx", "cy", "dist", "tile"))
@@ -184,27 +172,24 @@ def visible_entries(observers: DataFrame, grid: PackedGrid, vp: ViewParams = Vie
     return vis.select("id", "col", F.col("cx").alias("tile_x"), F.col("cy").alias("tile_y"), "tile", "dist")
 
 
-def ray_summary(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewParams(), cells: bool = False) -> DataFrame:
+def ray_summary(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewParams(), places: bool = False,
+                near: DataFrame | None = None) -> DataFrame:
     """One row per ray from one march: id, col, angle, dir, n and dist of the first blocking
     row (NULL without a hit), extent (the farthest visible entry, NULL if none), and with
-    ``cells`` the visible cells as an array of (x, y, tile).
+    ``places`` the visible cells as an array of their numbers (see ``entry_points``).
 
     The march never passes its first wall, so the hit is the smallest blocked n; ``dist``
     grows with n (needs fov < pi), so the extent is the hit, or else the last cell."""
     assert vp.fov < 3.141592653589793
-    e = entry_points(observers, grid, vp).filter(F.col("tile").isNotNull() | (F.col("n") == 1))
-    wall, on = F.col("tile") == WALL, F.col("tile").isNotNull()
-    aggs = [F.first("angle").alias("angle"), F.first("dir").alias("dir"), F.min(F.when(wall, F.col("n"))).alias("n"),
-            F.min(F.when(wall, F.col("dist"))).alias("dist"), F.max(F.when(on, F.col("dist"))).alias("_far")]
-    if cells:
-        seen = F.struct("n", F.col("cx").alias("x"), F.col("cy").alias("y"), "tile")
-        aggs.append(F.collect_list(F.when(on, seen)).alias("_cells"))
-    s = e.groupBy("id", "col").agg(*aggs)
-    out = ["id", "col", "angle", "dir", "n", "dist", F.coalesce("dist", "_far").alias("extent")]
-    if cells:
-        visible = F.filter("_cells", lambda c: F.col("n").isNull() | (c["n"] <= F.col("n")))
-        out.append(F.transform(visible, lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), c["tile"].alias("tile"))).alias("cells"))
-    return s.select(*out)
+    e = entry_points(observers, grid, vp, near).filter("tile IS NOT NULL OR n = 1")
+    aggs = ["first(angle) AS angle", "first(dir) AS dir", f"min(CASE WHEN tile = '{WALL}' THEN n END) AS n",
+            f"min(CASE WHEN tile = '{WALL}' THEN dist END) AS dist", "max(CASE WHEN tile IS NOT NULL THEN dist END) AS _far"]
+    if places:
+        aggs.append("collect_list(CASE WHEN tile IS NOT NULL THEN struct(n AS s, place) END) AS _p")
+    out = ["id", "col", "angle", "dir", "n", "dist", "coalesce(dist, _far) AS extent"]
+    if places:
+        out.append("transform(filter(_p, p -> n IS NULL OR p.s <= n), p -> p.place) AS places")
+    return e.groupBy("id", "col").agg(*map(F.expr, aggs)).selectExpr(*out)
 
 
 def first_hit(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewParams()) -> DataFrame:
@@ -212,7 +197,7 @@ def first_hit(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewParam
     absent."""
     assert vp.fov < 3.141592653589793
     pts = march_points(_near_rays(observers, grid, vp), vp, keep=_NEAR)
-    walls = pts.filter(F.col("entry") & (code_at(F.col("cx"), F.col("cy"), vp) == BLOCKED))
+    walls = pts.filter(f"entry AND {code_at('cx', 'cy', vp)} = {BLOCKED}")
     return walls.groupBy("id", "col").agg(F.min("n").alias("n"), F.min("dist").alias("dist"))
 
 

@@ -145,14 +145,23 @@ class _Camera:
         self.c, self.w = camera, World(spark, sf)
         w, vp = self.w, self.w.vp
         self.grid = w.packed()
-        self.rays = sight.ray_summary(w.actors(), self.grid, vp)
-        self.depths = sight.ray_depth(self.rays, vp)
-        self.heights = camera.column_height(self.depths, vp)
         self.frame = camera.observer_frame(w.actors(), w.targets(), vp)
         self.projected = camera.project(self.frame, vp)
         self.lod = camera.choose_lod(self.projected, world_mod.LOD)
         self.catalogue_rows = sum(s[2] * s[3] for s in world_mod.STAMPS)
 
+    @cached_property
+    def rays(self):
+        return sight.ray_summary(self.w.actors(), self.grid, self.w.vp)
+
+    @cached_property
+    def depths(self):
+        return sight.ray_depth(self.rays, self.w.vp)
+
+    @cached_property
+    def heights(self):
+        return self.c.column_height(self.depths, self.w.vp)
+
     def base(self):
         return self.c.column_raster(self.heights, self.w.vp)
 
@@ -183,7 +192,7 @@ class _Camera:
         return self.with_top(self.c.observer_view(self.w.actors(), self.grid, self.w.vp))
 
     def row_array(self):
-        return self.c.view_rows(F.col("cols"), F.col("top"), self.w.vp)
+        return self.c.view_rows(self.w.vp)
 
     def rows(self):
         from tessera.operators import report
@@ -564,7 +573,7 @@ def _minimap(cam: _Camera):
     """(framed lines of the coverage window, their width) on the rows of ``cam.coverage()``."""
     from tessera.operators import report
     width = 2 * cam.w.vp.reach + 1
-    return report.framed(F.transform("cover", lambda r: F.array_join(r, "")), width), width
+    return report.framed(cam.c.coverage_rows(cam.w.vp), width), width
 
 
 @query

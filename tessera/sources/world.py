@@ -87,27 +87,28 @@ class World:
         return (self.last_band + 1) * self.wp.tile_h - 1
 
     # ---- rectangles and grid --------------------------------------------------
+    @cached_property
+    def _rects(self) -> DataFrame:
+        w, h, n = self.wp.tile_w, self.wp.tile_h, self.wp.parts_per_band
+        r = self.table("part").selectExpr(
+            "p_partkey AS k", f"(p_partkey * 7919) % {w} AS ax", f"(p_partkey * 6101) % {h} AS ay",
+            f"(p_partkey div {n}) * {h} AS y0", "p_size")
+        r = r.selectExpr("k", "ax", "y0 + ay AS ay", f"least({w - 1}, ax + p_size % 24) AS bx",
+                         f"y0 + least({h - 1}, ay + k % 10) AS by")
+        return r.selectExpr("k", *[f"CAST(CASE WHEN k % 2 = 1 THEN {odd} ELSE {even} END AS BIGINT) AS {c}"
+                                   for c, odd, even in (("x1", "bx", "ax"), ("y1", "by", "ay"), ("x2", "ax", "bx"), ("y2", "ay", "by"))])
+
     def rects(self) -> DataFrame:
         """(k, x1, y1, x2, y2), corners swapped for odd k (raw, not normalised)."""
-        w, h = self.wp.tile_w, self.wp.tile_h
-        k = F.col("p_partkey")
-        band = idiv(k, self.wp.parts_per_band)
-        ax = (k * 7919) % w
-        ay_in = (k * 6101) % h
-        ay = band * h + ay_in
-        bx = F.least(F.lit(w - 1), ax + F.col("p_size") % 24)
-        by = band * h + F.least(F.lit(h - 1), ay_in + k % 10)
-        odd = (k % 2) == 1
-        return self.table("part").select(
-            k.alias("k"),
-            F.when(odd, bx).otherwise(ax).cast("long").alias("x1"),
-            F.when(odd, by).otherwise(ay).cast("long").alias("y1"),
-            F.when(odd, ax).otherwise(bx).cast("long").alias("x2"),
-            F.when(odd, ay).otherwise(by).cast("long").alias("y2"))
+        return self._rects
 
-    def norm_rects(self) -> DataFrame:
+    @cached_property
+    def _norm(self) -> DataFrame:
         return raster.normalize_rects(self.rects())
 
+    def norm_rects(self) -> DataFrame:
+        return self._norm
+
     def lattice(self) -> DataFrame:
         """(x, y) of every cell, from the bands of the parts."""
         return raster.band_lattice(self.grid_rows(), self.width)
@@ -134,63 +135,62 @@ class World:
     def packed(self) -> raster.PackedGrid:
         """The same grid packed 64 cells per row (see ``raster.PackedGrid``), built
         from the layers without materialising the lattice."""
+        return self._packed
+
+    @cached_property
+    def _packed(self) -> raster.PackedGrid:
         return raster.PackedGrid.from_layers(self.layers(), self.width, self.grid_rows(), max_y=self.max_y)
 
     # ---- points ---------------------------------------------------------------
-    def actors(self) -> DataFrame:
-        """id, name, team, x, y, dir, hp, ammo, score, last_refill, kind, world_w,
-        world_h, stamp_id, icon."""
+    @cached_property
+    def _actors(self) -> DataFrame:
         s = self.table("supplier")
         r = raster.rect_centroids(self.norm_rects(), keep=("k",)) \
             .withColumnRenamed("x", "cx").withColumnRenamed("y", "cy")
-        k = F.col("s_suppkey")
         # a supplier without such a part stands on the spawn cell
-        r = s.join(r, s.s_suppkey == r.k, "left").withColumns({
-            "cx": F.coalesce("cx", F.lit(int(self.sp.spawn_x))), "cy": F.coalesce("cy", F.lit(int(self.sp.spawn_y)))})
-        return r.select(
-            k.alias("id"), F.col("s_name").alias("name"),
-            F.col("s_nationkey").alias("team"),
-            (F.col("cx") + ((k * 13) % 7 - 3) * F.lit(0.031)).alias("x"),
-            (F.col("cy") + ((k * 17) % 5 - 2) * F.lit(0.043)).alias("y"),
-            (((k * 29) % 63) * F.lit(0.1) + F.lit(0.013)).alias("dir"),
-            ((k * 37) % 100 + 1).cast("int").alias("hp"),
-            (k % 11).cast("int").alias("ammo"),
-            F.lit(0).alias("score"),
-            (F.lit(BASE_EPOCH) + (k * 977) % 7200).cast("long").alias("last_refill"),
-            F.lit("player").alias("kind"),
-            F.lit(1.0).alias("world_w"), F.lit(1.0).alias("world_h"),
-            F.lit(0).alias("stamp_id"),
-            F.substring(F.lit(ALPHABET), (k % 26 + 1).cast("int"), 1).alias("icon"))
+        return s.join(r, s.s_suppkey == r.k, "left").selectExpr(
+            "s_suppkey AS id", "s_name AS name", "s_nationkey AS team",
+            f"coalesce(cx, {int(self.sp.spawn_x)}) + ((s_suppkey * 13) % 7 - 3) * 0.031D AS x",
+            f"coalesce(cy, {int(self.sp.spawn_y)}) + ((s_suppkey * 17) % 5 - 2) * 0.043D AS y",
+            "((s_suppkey * 29) % 63) * 0.1D + 0.013D AS dir",
+            "CAST((s_suppkey * 37) % 100 + 1 AS INT) AS hp", "CAST(s_suppkey % 11 AS INT) AS ammo", "0 AS score",
+            f"CAST({BASE_EPOCH} + (s_suppkey * 977) % 7200 AS BIGINT) AS last_refill", "'player' AS kind",
+            "1.0D AS world_w", "1.0D AS world_h", "0 AS stamp_id",
+            f"substring('{ALPHABET}', CAST(s_suppkey % 26 + 1 AS INT), 1) AS icon")
+
+    def actors(self) -> DataFrame:
+        """id, name, team, x, y, dir, hp, ammo, score, last_refill, kind, world_w,
+        world_h, stamp_id, icon."""
+        return self._actors
+
+    @cached_property
+    def _world_y(self) -> Column:
+        """Height of the world in hundredths."""
+        return (self.last_band + 1) * (self.wp.tile_h * 100)
+
+    @cached_property
+    def _targets(self) -> DataFrame:
+        c = self.table("customer").select("c_custkey", "c_name", (F.col("c_nationkey") % 2 == 0).alias("p"), self._world_y.alias("h"))
+        return c.selectExpr(
+            "c_custkey AS id", "c_name AS name", "CASE WHEN p THEN 'player' ELSE 'bullet' END AS kind",
+            f"((c_custkey * 7919) % {self.wp.tile_w * 100}) / 100.0D + 0.003D AS x",
+            "((c_custkey * 6101) % h) / 100.0D + 0.007D AS y",
+            "CASE WHEN p THEN 1.0D ELSE 0.5D END AS world_w", "CASE WHEN p THEN 1.0D ELSE 0.5D END AS world_h",
+            "CASE WHEN p THEN 0 ELSE 3 END AS stamp_id",
+            f"CASE WHEN p THEN substring('{ALPHABET}', CAST(c_custkey % 26 + 1 AS INT), 1) ELSE '*' END AS icon")
 
     def targets(self) -> DataFrame:
         """id, name, kind, x, y, world_w, world_h, stamp_id, icon."""
-        k = F.col("c_custkey")
-        world_y = (self.last_band + 1) * (self.wp.tile_h * 100)
-        player = (F.col("c_nationkey") % 2) == 0
-        return self.table("customer").select(
-            k.alias("id"), F.col("c_name").alias("name"),
-            F.when(player, "player").otherwise("bullet").alias("kind"),
-            (((k * 7919) % (self.wp.tile_w * 100)) / F.lit(100.0) + F.lit(0.003)).alias("x"),
-            (((k * 6101) % world_y) / F.lit(100.0) + F.lit(0.007)).alias("y"),
-            F.when(player, 1.0).otherwise(0.5).alias("world_w"),
-            F.when(player, 1.0).otherwise(0.5).alias("world_h"),
-            F.when(player, 0).otherwise(3).alias("stamp_id"),
-            F.when(player, F.substring(F.lit(ALPHABET), (k % 26 + 1).cast("int"), 1))
-             .otherwise("*").alias("icon"))
+        return self._targets
 
     def projectiles(self) -> DataFrame:
         """Bullet key (l_orderkey, l_linenumber, l_partkey, l_suppkey), owner, x, y, dir."""
-        li = self.table("lineitem")
-        world_y = (self.last_band + 1) * (self.wp.tile_h * 100)
-        return li.select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-            F.col("l_suppkey").alias("owner"),
-            (((F.col("l_partkey") * 7919 + F.col("l_linenumber") * 131) % (self.wp.tile_w * 100))
-             / F.lit(100.0) + F.lit(0.003)).alias("x"),
-            (((F.col("l_suppkey") * 6101 + F.col("l_orderkey") * 17) % world_y)
-             / F.lit(100.0) + F.lit(0.007)).alias("y"),
-            (((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 7) % 63) * F.lit(0.1)
-             + F.lit(0.011)).alias("dir"))
+        key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+        return self.table("lineitem").select(*key, self._world_y.alias("h")).selectExpr(
+            *key, "l_suppkey AS owner",
+            f"((l_partkey * 7919 + l_linenumber * 131) % {self.wp.tile_w * 100}) / 100.0D + 0.003D AS x",
+            "((l_suppkey * 6101 + l_orderkey * 17) % h) / 100.0D + 0.007D AS y",
+            "((l_orderkey * 31 + l_linenumber * 7) % 63) * 0.1D + 0.011D AS dir")
 
     def actions(self) -> DataFrame:
         """key, ts, seq, action (events of the five mapped types)."""

@@ -48,9 +48,11 @@ def test_entry_rows_give_the_visible_cells_of_the_full_march(world):
     full = sight.visible_cells(sight.ray_march(world.actors(), world.grid(), world.vp))
     fast = sight.visible_entries(world.actors(), world.packed(), world.vp)
     assert _same_rows(full, fast)
-    rays = sight.ray_summary(world.actors(), world.packed(), world.vp, cells=True)
-    cells = rays.select("id", "col", F.explode("cells").alias("c")).select("id", "col", "c.*")
-    assert _same_rows(cells, full.select("id", "col", F.col("tile_x").alias("x"), F.col("tile_y").alias("y"), "tile"))
+    rays = sight.ray_summary(world.actors(), world.packed(), world.vp, places=True)
+    r = world.vp.reach
+    place = ((F.col("tile_y") - F.floor("y") + r) * (2 * r + 1) + F.col("tile_x") - F.floor("x") + r).cast("int")
+    want = full.join(world.actors().select("id", "x", "y"), "id").select("id", "col", place.alias("p"))
+    assert _same_rows(rays.select("id", "col", F.explode("places").alias("p")), want)
     extent = full.groupBy("id", "col").agg(F.max("dist").alias("extent"))
     assert _same_rows(extent, sight.ray_extent(rays))
 

@@ -124,7 +124,7 @@ def test_t4_without_the_inclusive_edge(spark):
     obs = spark.createDataFrame([(1, 25.0, 25.0, 0.0)], "id long, x double, y double, dir double")
     assert sight.ray_fan(obs, vp).count() == 128
     view = camera.observer_view(obs, grid, vp).withColumn("top", F.array().cast("array<struct<px:int,py:int,ch:string,depth:double>>"))
-    rows = view.select(camera.view_rows(F.col("cols"), F.col("top"), vp).alias("r")).first().r
+    rows = view.select(camera.view_rows(vp).alias("r")).first().r
     assert len(rows) == 64 and {len(r) for r in rows} == {128}
 
 
