@@ -268,24 +268,25 @@ def _refill_fold(capacity: int, interval_us: int):
         cur, started, k, used, last = None, False, 0, 0, 0
         for b in batches:
             out = []
-            for key, sec, first, spend, n in zip(*(b.column(c).to_pylist() for c in ("key", "sec", "first", "spend", "n"))):
+            names = ("key", "sec", "us", "seq", "x", "sus", "sseq", "n")
+            for key, sec, us, seq, x, sus, sseq, n in zip(*(b.column(c).to_pylist() for c in names)):
                 if not started or key != cur:
-                    cur, started, k, used, last = key, True, capacity, 0, round_second(first["us"])
+                    cur, started, k, used, last = key, True, capacity, 0, round_second(us)
                 if sec * 1_000_000 < last + interval_us:
                     used += n
                     continue
-                tokens, at = max(0, k - used), first
-                if first["x"]:
+                tokens = max(0, k - used)
+                if x:
                     tokens, after = max(0, tokens - 1), n - 1
                 elif tokens != capacity:
                     after = n
                 elif n:
-                    tokens, at, after = capacity - 1, spend, n - 1
+                    tokens, us, seq, after = capacity - 1, sus, sseq, n - 1
                 else:
                     continue                      # full and nothing spent: the clock stands
-                k = min(capacity, tokens + (at["us"] - last) // interval_us)
-                last, used = round_second(at["us"]), after
-                out.append((key, at["us"], at["seq"], k))
+                k = min(capacity, tokens + (us - last) // interval_us)
+                last, used = round_second(us), after
+                out.append((key, us, seq, k))
             if out:
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))],
@@ -313,7 +314,8 @@ def token_bucket(actions: DataFrame, capacity: int, interval_s: int, bucket_s: i
     e = actions.filter("ts is not null").select("key", "seq", "ts", "action", epoch_micros("ts").alias("us"), is_x.alias("x"))
     at = F.struct("us", "seq", "x")
     seconds = (e.groupBy("key", F.floor(F.col("us") / 1_000_000).alias("sec"))
-               .agg(F.min(at).alias("first"), F.min(F.when(F.col("x"), at)).alias("spend"), F.count_if("x").alias("n")))
+               .agg(F.min(at).alias("a"), F.min(F.when(F.col("x"), at)).alias("s"), F.count_if("x").alias("n"))
+               .select("key", "sec", "a.us", "a.seq", "a.x", F.col("s.us").alias("sus"), F.col("s.seq").alias("sseq"), "n"))
     refills = seconds.repartition("key").sortWithinPartitions("key", "sec").mapInArrow(_refill_fold(cap, iv), REFILL_SCHEMA)
 
     u = (e.withColumns({"k": F.lit(None).cast("int"), "_side": F.lit(0)})
