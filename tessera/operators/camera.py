@@ -191,7 +191,7 @@ def raster_rows(cells: DataFrame, key: str = "id", x: str = "x", y: str = "y",
 def observer_view(observers: DataFrame, grid, vp: ViewParams = ViewParams(), seen: bool = False,
                   near: DataFrame | None = None) -> DataFrame:
     """One row per observer: (id, cols): height, glyph and occluder depth by column; and with
-    ``seen`` the numbers of the cells it sees (see ``sight.entry_points``)."""
+    ``seen`` the places of the cells it sees (see ``sight.entry_points``)."""
     rays = sight.ray_summary(observers.select("id", "x", "y", "dir"), grid, vp, places=seen, near=near)
     h = column_height(rays.withColumn("depth", F.coalesce("dist", F.lit(vp.ray_length))), vp)
     one = F.struct("col", "height", depth_band("depth", vp).alias("band"), F.coalesce("extent", F.lit(vp.ray_length)).alias("extent"))
@@ -218,7 +218,7 @@ def view_rows(vp: ViewParams = ViewParams()) -> Column:
 
 def near_icons(observers: DataFrame, mobs: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
     """(id, icons): per observer the cells with a mob within reach, as a map from the cell's
-    number (see ``sight.entry_points``) to the icon; two mobs in one cell give the smallest
+    number in the square within reach to the icon; two mobs in one cell give the smallest
     icon, a NULL icon is ?."""
     r = vp.reach
     b = 2 * r + 1
@@ -237,8 +237,9 @@ def coverage_chars(vp: ViewParams = ViewParams()) -> Column:
     icon of a mob in a seen cell > seen tile (R shown as .) > remembered wall (floor shown
     blank) > blank.  Needs columns seen, icons and those of ``sight.neighbourhood``."""
     side = 2 * vp.reach + 1
-    wall = f"{sight.code_at(f'(_x0 + k % {side})', f'(_y0 + k DIV {side})', vp)} = {sight.BLOCKED}"
-    return F.expr(f"transform(sequence(0, {side * side - 1}), k -> CASE WHEN array_contains(seen, k) THEN "
+    code = sight.code_at(f"(_x0 + k % {side})", f"(_y0 + k DIV {side})", vp)
+    wall = f"{code} = {sight.BLOCKED}"
+    return F.expr(f"transform(sequence(0, {side * side - 1}), k -> CASE WHEN array_contains(seen, CAST(4 * k + {code} AS INT)) THEN "
                   f"coalesce(icons[k], CASE WHEN {wall} THEN '#' ELSE '.' END) WHEN {wall} THEN '#' ELSE ' ' END)")
 
 

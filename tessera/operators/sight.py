@@ -126,13 +126,14 @@ def _tile(grid: PackedGrid, code: str = "_code") -> Column:
 
 def entry_points(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewParams(), near: DataFrame | None = None) -> DataFrame:
     """The entry rows of the march (about one row per cell crossed) with their tile and
-    ``place``, the cell's number in the square of cells within reach, row by row.  ``near``:
-    the observers' neighbourhood, if it is at hand."""
+    ``place``: four times the cell's number in the square of cells within reach (row by row
+    from (_x0, _y0) on) plus its code.  ``near``: the observers' neighbourhood, if it is at
+    hand."""
     near = neighbourhood(observers, grid, vp) if near is None else near
     pts = march_points(ray_fan(near, vp, keep=_NEAR), vp, keep=_NEAR).filter("entry")
-    pts = pts.selectExpr("id", "col", "angle", "dir", "n", "cx", "cy", "dist", f"{code_at('cx', 'cy', vp)} AS _code",
-                         f"CAST((cy - _y0) * {2 * vp.reach + 1} + cx - _x0 AS INT) AS place")
-    return pts.withColumn("tile", _tile(grid)).drop("_code")
+    pts = pts.selectExpr("id", "col", "angle", "dir", "n", "cx", "cy", "dist", "_x0", "_y0", f"{code_at('cx', 'cy', vp)} AS _code")
+    return pts.withColumns({"tile": _tile(grid), "place": F.expr(
+        f"CAST(((cy - _y0) * {2 * vp.reach + 1} + cx - _x0) * 4 + _code AS INT)")}).drop("_code")
 
 
 def ray_march(observers: DataFrame, grid, vp: ViewParams = ViewParams()) -> DataFrame:
@@ -176,7 +177,7 @@ def ray_summary(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewPar
                 near: DataFrame | None = None) -> DataFrame:
     """One row per ray from one march: id, col, angle, dir, n and dist of the first blocking
     row (NULL without a hit), extent (the farthest visible entry, NULL if none), and with
-    ``places`` the visible cells as an array of their numbers (see ``entry_points``).
+    ``places`` the visible cells as an array (see ``entry_points``) and its origin _x0, _y0.
 
     The march never passes its first wall, so the hit is the smallest blocked n; ``dist``
     grows with n (needs fov < pi), so the extent is the hit, or else the last cell."""
@@ -185,10 +186,10 @@ def ray_summary(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewPar
     aggs = ["first(angle) AS angle", "first(dir) AS dir", f"min(CASE WHEN tile = '{WALL}' THEN n END) AS n",
             f"min(CASE WHEN tile = '{WALL}' THEN dist END) AS dist", "max(CASE WHEN tile IS NOT NULL THEN dist END) AS _far"]
     if places:
-        aggs.append("collect_list(CASE WHEN tile IS NOT NULL THEN struct(n AS s, place) END) AS _p")
+        aggs += ["collect_list(CASE WHEN tile IS NOT NULL THEN struct(n AS s, place) END) AS _p", "first(_x0) AS _x0", "first(_y0) AS _y0"]
     out = ["id", "col", "angle", "dir", "n", "dist", "coalesce(dist, _far) AS extent"]
     if places:
-        out.append("transform(filter(_p, p -> n IS NULL OR p.s <= n), p -> p.place) AS places")
+        out += ["transform(filter(_p, p -> n IS NULL OR p.s <= n), p -> p.place) AS places", "_x0", "_y0"]
     return e.groupBy("id", "col").agg(*map(F.expr, aggs)).selectExpr(*out)
 
 
@@ -212,8 +213,12 @@ def ray_extent(rays: DataFrame) -> DataFrame:
     return rays.filter("extent is not null").select("id", "col", "extent")
 
 
-def visible_cell_set(visible: DataFrame) -> DataFrame:
-    """(id, tile_x, tile_y, tile): cells an observer sees over all its rays.  A cell
-    has one tile, so this is a distinct on the four columns (a hash aggregate with
-    no buffer, where ``min(tile)`` would need a sort-based one)."""
-    return visible.select("id", "tile_x", "tile_y", "tile").distinct()
+def visible_cell_set(observers: DataFrame, grid: PackedGrid, vp: ViewParams = ViewParams()) -> DataFrame:
+    """(id, tile_x, tile_y, tile): cells an observer sees over all its rays: the distinct
+    places of its rays, gathered on the observer's row."""
+    side = 2 * vp.reach + 1
+    seen = (ray_summary(observers, grid, vp, places=True).groupBy("id")
+            .agg(F.expr("first(_x0) AS _x0"), F.expr("first(_y0) AS _y0"), F.expr("array_distinct(flatten(collect_list(places))) AS seen")))
+    cells = seen.selectExpr("id", "_x0", "_y0", "explode(seen) AS p").selectExpr(
+        "id", f"_x0 + (p DIV 4) % {side} AS tile_x", f"_y0 + p DIV {4 * side} AS tile_y", "p % 4 AS _code")
+    return cells.select("id", "tile_x", "tile_y", _tile(grid).alias("tile"))

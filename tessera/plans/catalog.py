@@ -122,7 +122,7 @@ def q_l_ray_extent(spark, sf):
 @query
 def q_l_visible_cell_set(spark, sf):
     w = World(spark, sf)
-    return sight.visible_cell_set(sight.visible_entries(w.actors(), w.packed(), w.vp))
+    return sight.visible_cell_set(w.actors(), w.packed(), w.vp)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,7 +202,7 @@ class _Camera:
         return self.rows().select("id", F.posexplode(F.split("row", "")).alias("x", "ch"), "y").select("id", "x", "y", "ch")
 
     def cell_set(self):
-        return sight.visible_cell_set(sight.visible_entries(self.w.actors(), self.grid, self.w.vp))
+        return sight.visible_cell_set(self.w.actors(), self.grid, self.w.vp)
 
     def coverage(self):
         w = self.w

@@ -50,7 +50,8 @@ def test_entry_rows_give_the_visible_cells_of_the_full_march(world):
     assert _same_rows(full, fast)
     rays = sight.ray_summary(world.actors(), world.packed(), world.vp, places=True)
     r = world.vp.reach
-    place = ((F.col("tile_y") - F.floor("y") + r) * (2 * r + 1) + F.col("tile_x") - F.floor("x") + r).cast("int")
+    code = F.when(F.col("tile") == "#", sight.BLOCKED).when(F.col("tile") == "R", sight.MARKED).otherwise(sight.OPEN)
+    place = (((F.col("tile_y") - F.floor("y") + r) * (2 * r + 1) + F.col("tile_x") - F.floor("x") + r) * 4 + code).cast("int")
     want = full.join(world.actors().select("id", "x", "y"), "id").select("id", "col", place.alias("p"))
     assert _same_rows(rays.select("id", "col", F.explode("places").alias("p")), want)
     extent = full.groupBy("id", "col").agg(F.max("dist").alias("extent"))
@@ -82,7 +83,9 @@ def test_view_rows_equal_overlay_by_pixels(spark):
 
 
 def test_seen_cells_lie_in_the_coverage_window(world):
-    seen = sight.visible_cell_set(sight.visible_entries(world.actors(), world.packed(), world.vp))
+    seen = sight.visible_cell_set(world.actors(), world.packed(), world.vp)
+    want = sight.visible_entries(world.actors(), world.packed(), world.vp).select("id", "tile_x", "tile_y", "tile").distinct()
+    assert _same_rows(seen, want)
     far = F.greatest(F.abs(F.col("tile_x") - F.floor("x")), F.abs(F.col("tile_y") - F.floor("y")))
     assert seen.join(world.actors().select("id", "x", "y"), "id").filter(far > world.vp.reach).count() == 0
 
