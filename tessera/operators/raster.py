@@ -123,15 +123,19 @@ class PackedGrid:
     @classmethod
     def from_layers(cls, layers: list[tuple[DataFrame, str]], width: int, rows: DataFrame,
                     default: str = WALL, max_y: Column | None = None) -> "PackedGrid":
-        """``rows``: (y) of the rows that exist; ``max_y``: the last of them, if it is known
-        as a scalar."""
+        """A layer is (x, y) cells or (x1, x2, y) runs of cells; ``rows``: (y) of the rows that
+        exist; ``max_y``: the last of them, if it is known as a scalar."""
         words = F.sequence(F.lit(0).cast("long"), F.lit((width - 1) // cls.WORD).cast("long"))
         marked = rows.select("y", F.explode(words).alias("w"), F.lit(-1).alias("li"), F.lit(0).cast("long").alias("bit"))
         for i, (layer, _tile) in enumerate(layers):
-            x = F.col("x").cast("long")
-            part = layer.filter((x >= 0) & (x < width)).select(
-                F.col("y").cast("long").alias("y"), idiv(x, cls.WORD).alias("w"), F.lit(i).alias("li"),
-                F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST(x % {cls.WORD} AS INT))").alias("bit"))
+            if "x" in layer.columns:
+                layer = layer.selectExpr("x AS x1", "x AS x2", "y")
+            # one row per run and word it touches: bits x1 to x2, cut to the word
+            part = (layer.selectExpr("CAST(y AS BIGINT) AS y", "greatest(CAST(x1 AS BIGINT), 0L) AS x1",
+                                     f"least(CAST(x2 AS BIGINT), {width - 1}L) AS x2").filter("x1 <= x2")
+                    .selectExpr("y", "x1", "x2", f"explode(sequence(x1 DIV {cls.WORD}, x2 DIV {cls.WORD})) AS w")
+                    .selectExpr("y", "w", f"{i} AS li", f"shiftleft(-1L, CAST(greatest(x1 - w * {cls.WORD}, 0) AS INT)) & "
+                                f"shiftrightunsigned(-1L, CAST({cls.WORD - 1} - least(x2 - w * {cls.WORD}, {cls.WORD - 1}) AS INT)) AS bit"))
             marked = marked.unionByName(part)
         masks = (marked.groupBy("y", "w")
                  .agg(F.min("li").alias("li"),

@@ -122,11 +122,15 @@ class World:
 
     def layers(self) -> list[tuple[DataFrame, str]]:
         """Priority layers of the grid, highest first: respawn > floor (> wall)."""
-        return [(self.respawns(), raster.RESPAWN), (self.floors(), raster.FLOOR)]
+        return [(self.respawns(), raster.RESPAWN), (self.floor_runs(), raster.FLOOR)]
+
+    def floor_runs(self) -> DataFrame:
+        """(x1, x2, y): the rows of the rectangles as runs of cells."""
+        return self.norm_rects().selectExpr("x1", "x2", "explode(sequence(y1, y2)) AS y")
 
     def grid_by_overlay(self) -> DataFrame:
         """The grid as the plain priority overlay joined to the lattice (definition)."""
-        return raster.classify_cells(self.lattice(), self.layers())
+        return raster.classify_cells(self.lattice(), [(self.respawns(), raster.RESPAWN), (self.floors(), raster.FLOOR)])
 
     def grid(self) -> DataFrame:
         """(x, y, tile) for every cell: the packed rows, unpacked (no join)."""
