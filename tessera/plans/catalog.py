@@ -396,15 +396,22 @@ class _Tick:
     def adv(self):
         return self.s.advance(self.bullets, self.w.sp.projectile_speed)
 
+    def _flying(self, moved):
+        inside = self.j.out_of_bounds(moved, self.grid, inside=True)
+        return self.j.unblocked(inside, self.grid)
+
     @cached_property
     def live(self):
-        inside = self.j.out_of_bounds(self.adv, self.grid, inside=True)
-        return self.j.unblocked(inside, self.grid)
+        return self._flying(self.adv)
 
     @cached_property
     def a5(self):
-        """After damage and credit."""
-        return self.s.apply_hits(self.a3, self.s.cell_hits(self.a3, self.live, self.w.sp.damage), self.w.sp.damage)
+        """After damage and credit.  Hits look at owners and places only, so the projectiles
+        are taken here before the new ones get their ids."""
+        cols = ["owner", "x", "y", "dir"]
+        shots = self.w.projectiles().select(*cols).unionByName(self.spawned.select(*cols))
+        live = self._flying(self.s.advance(shots, self.w.sp.projectile_speed))
+        return self.s.apply_hits(self.a3, self.s.cell_hits(self.a3, live, self.w.sp.damage), self.w.sp.damage)
 
     @cached_property
     def remaining(self):
