@@ -48,16 +48,16 @@ def seeds(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def longest_overlap(same: np.ndarray, similarity: float) -> tuple[int, int]:
-    """[a, b): the longest stretch with at least ``similarity`` of its places true (the
-    first of equals), trimmed to true places at both ends."""
+    """[a, b): the longest stretch with at least ``similarity`` of its places true among
+    those that begin and end on a true place (the first of equals)."""
+    ends = np.flatnonzero(same) + 1
+    if not len(ends):
+        return 0, 0
     p = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0 - similarity, -similarity))])
-    low = np.minimum.accumulate(p)
-    first = np.searchsorted(-low, -(p + 1e-9), side="left")      # earliest start not above p[b]
-    length = np.arange(len(p)) - first
-    b = int(np.argmax(length))
-    a = int(first[b])
-    on = np.flatnonzero(same[a:b])
-    return (a + int(on[0]), a + int(on[-1]) + 1) if len(on) else (0, 0)
+    low = np.minimum.accumulate(np.where(same, p[:-1], np.inf))
+    first = np.searchsorted(-low, -(p[ends] + 1e-9), side="left")   # earliest true start not above p[b]
+    j = int(np.argmax(ends - first))
+    return int(first[j]), int(ends[j])
 
 
 class Items:

@@ -244,6 +244,20 @@ def test_seeds_survive_any_one_substitution():
         assert decontam.overlaps(b"y z " + b" ".join(changed) + b" y", tables, 13, 0.8)
 
 
+def test_longest_overlap_by_brute_force():
+    """Among stretches with true ends; a longer one that would be trimmed hides none."""
+    same = [True] * 12 + [False] * 10 + [i not in (3, 8) for i in range(13)]
+    assert decontam.longest_overlap(np.array(same), 0.8) == (22, 35)
+    rnd = random.Random(13)
+    for _ in range(400):
+        similarity = rnd.choice([0.5, 0.7, 0.8, 1.0])
+        same = [rnd.random() < 0.75 for _ in range(rnd.randint(1, 40))]
+        all_ = [(a, b) for a in range(len(same)) for b in range(a + 1, len(same) + 1)
+                if same[a] and same[b - 1] and sum(same[a:b]) >= similarity * (b - a) - 1e-9]
+        want = max(all_, key=lambda x: (x[1] - x[0], -x[0]), default=(0, 0))
+        assert decontam.longest_overlap(np.array(same), similarity) == want
+
+
 # ---------------------------------------------------------------- 5 substring dedup
 
 def naive_substrings(corpus, window):
