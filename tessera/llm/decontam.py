@@ -4,8 +4,11 @@ A seed is the hash of the words at the marked places of a fixed mask; words at t
 places do not matter, so a seed survives their substitution.  Seeds of the benchmark items
 meet the same seeds of the documents.  A hit fixes an alignment (a diagonal) of item and
 document; along it equal words are counted, and the overlap is the longest stretch with at
-least ``similarity`` of its words equal.  It counts if it has ``min_words`` words, or spans
-the whole of a shorter item.
+least ``similarity`` of its words equal.  It counts if it has ``min_words`` words, or
+``similarity`` of the words of a shorter item.
+
+The seeds lose no overlap that counts (``masks_for``): k unequal words leave k + 1 runs of
+equal words, so one run has at least (n - k) / (k + 1) of them.
 
 The benchmark is the query set.  It is cut into blocks of bounded size, which is counted
 first; each block's seeds are broadcast and all documents pass by it.  Documents are never
@@ -23,10 +26,30 @@ from .common import with_keys
 from .license_scan import tokens
 
 #: Places that count (1) and places that may differ (0).
-MASKS = ("111111", "11011011", "111001011", "1010110101")
+MASKS = ("1111", "1110111")
 _BITMAP = 22                          # log2 of the bits of the quick test
+_CELLS = 1 << 20                      # words compared at once
+
+
+def words_needed(n_item: int, min_words: int, similarity: float) -> int:
+    """Words an overlap with an item of ``n_item`` words must have."""
+    return int(min(min_words, np.ceil(similarity * n_item - 1e-9)))
 
 
+def masks_for(n_item: int, min_words: int, similarity: float) -> tuple[str, ...]:
+    """Masks of which one hits in every overlap that counts with an item of ``n_item`` words.
+
+    MASKS do if n words with k unequal ones always leave a run of 4, or of 3 in no other way
+    than with all runs 3 (1110111).  If not, the shortest longest run is the mask.
+    """
+    least, enough = n_item, True
+    for n in range(max(1, words_needed(n_item, min_words, similarity)), n_item + 1):
+        k = int((1 - similarity) * n + 1e-9)
+        run = -(-(n - k) // (k + 1))
+        least = min(least, run)
+        enough &= run >= 4 or (k > 0 and n - k == 3 * (k + 1))
+    return MASKS if enough else ("1" * max(1, least),)
+
 
 def seeds(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of every place where all marked words are known (id > 0)."""
@@ -63,18 +86,22 @@ def longest_overlap(same: np.ndarray, similarity: float) -> tuple[int, int]:
 class Items:
     """Seed index of one block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, bytes]], masks=MASKS):
-        self.masks, self.vocabulary, self.item_ids, self.words = masks, {}, [], []
+    def __init__(self, items: list[tuple[int, bytes]], min_words: int = 13, similarity: float = 0.8):
+        self.vocabulary, self.item_ids, self.words = {}, [], []
         for item, text in items:
             w = tokens(text)
             self.item_ids.append(item)
             self.words.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], dtype=np.int64))
-        self.seeds = []
-        for m in masks:
-            found = [(k, *seeds(w, m)) for k, w in enumerate(self.words)]
-            h = np.concatenate([f[2] for f in found]) if found else np.empty(0, np.uint64)
-            k = np.concatenate([np.full(len(f[1]), f[0]) for f in found]) if found else np.empty(0, np.int64)
-            at = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
+        owners: dict[str, list[int]] = {}
+        for k, w in enumerate(self.words):
+            for m in masks_for(len(w), min_words, similarity) if len(w) else ():
+                owners.setdefault(m, []).append(k)
+        self.masks, self.seeds = tuple(owners), []
+        for m, own in owners.items():
+            found = [(k, *seeds(self.words[k], m)) for k in own]
+            h = np.concatenate([f[2] for f in found])
+            k = np.concatenate([np.full(len(f[1]), f[0]) for f in found])
+            at = np.concatenate([f[1] for f in found])
             order = np.argsort(h, kind="stable")
             bits = np.zeros(1 << _BITMAP, bool)
             bits[(h >> np.uint64(64 - _BITMAP)).astype(np.int64)] = True
@@ -82,15 +109,38 @@ class Items:
 
     @property
     def tables(self) -> tuple:
-        return self.masks, self.vocabulary, self.item_ids, self.words, self.seeds
+        first = np.cumsum([0, *map(len, self.words)])
+        flat = np.concatenate([np.empty(0, np.int64), *self.words])
+        return self.masks, self.vocabulary, self.item_ids, flat, first, self.seeds
+
+
+def _enough_equal(ids: np.ndarray, k: np.ndarray, shift: np.ndarray, flat: np.ndarray, first: np.ndarray,
+                  min_words: int, similarity: float) -> np.ndarray:
+    """The alignments with as many equal words as the shortest overlap that counts has."""
+    a = np.maximum(0, -shift)
+    n = np.minimum(first[k + 1] - first[k], len(ids) - shift) - a
+    need = np.ceil(similarity * np.minimum(min_words, np.ceil(similarity * (first[k + 1] - first[k]) - 1e-9)) - 1e-9)
+    ends, out, lo = np.cumsum(n), [np.empty(0, np.int64)], 0
+    while lo < len(k):
+        done = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + _CELLS, "right")))
+        of = n[lo:hi]
+        start = ends[lo:hi] - of - done
+        step = np.arange(of.sum()) - np.repeat(start, of)
+        same = (flat[np.repeat(first[k[lo:hi]] + a[lo:hi], of) + step]
+                == ids[np.repeat(shift[lo:hi] + a[lo:hi], of) + step])
+        out.append(lo + np.flatnonzero(np.add.reduceat(same, start, dtype=np.int64) >= need[lo:hi]))
+        lo = hi
+    return np.concatenate(out)
 
 
 def overlaps(text: bytes, tables: tuple, min_words: int, similarity: float) -> list[tuple]:
     """(item, start, n_words, n_equal): the best overlap of a document with each item."""
-    masks, vocabulary, item_ids, item_words, index = tables
+    masks, vocabulary, item_ids, flat, first, index = tables
     get = vocabulary.get
     w = tokens(text)
     ids = np.fromiter((get(x, 0) for x in w), dtype=np.int64, count=len(w))
+    span = len(ids) + len(flat) + 1                    # an alignment as one number: item * span + shift + len(flat)
     pairs = []
     for mask, (hashes, owner, place, bits) in zip(masks, index):
         start, h = seeds(ids, mask)
@@ -102,18 +152,21 @@ def overlaps(text: bytes, tables: tuple, min_words: int, similarity: float) -> l
         n = hi - lo
         if n.sum():
             at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pairs.append(np.stack([owner[at], np.repeat(start[maybe], n) - place[at]], axis=1))
+            pairs.append(np.unique(owner[at] * span + np.repeat(start[maybe], n) - place[at] + len(flat)))
     best: dict[int, tuple] = {}
     if pairs:
-        for k, shift in np.unique(np.concatenate(pairs), axis=0):
-            item = item_words[k]
+        owners, shifts = np.divmod(np.unique(np.concatenate(pairs)), span)
+        shifts -= len(flat)
+        for j in _enough_equal(ids, owners, shifts, flat, first, min_words, similarity):
+            k, shift = int(owners[j]), int(shifts[j])
+            item = flat[first[k]:first[k + 1]]
             a, b = max(0, -shift), min(len(item), len(ids) - shift)
             x, y = longest_overlap(item[a:b] == ids[a + shift:b + shift], similarity)
-            if y - x >= min(min_words, np.ceil(similarity * len(item) - 1e-9)):
+            if y - x >= words_needed(len(item), min_words, similarity):
                 equal = int((item[a + x:a + y] == ids[a + shift + x:a + shift + y]).sum())
                 row = (equal, -(a + shift + x), y - x)
-                if row > best.get(int(k), (0, 0, 0)):
-                    best[int(k)] = row
+                if row > best.get(k, (0, 0, 0)):
+                    best[k] = row
     return [(item_ids[k], -row[1], row[2], row[0]) for k, row in sorted(best.items())]
 
 
@@ -135,15 +188,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, sim
     overlap (most equal words, then first; start and lengths in words of the document).
 
     Words are runs of letters, digits and code points from 128 on, A-Z lower-cased.  Null
-    and empty texts overlap with nothing, nor do items with fewer words than the shortest
-    mask; items with a null id are left out.  Repeated rows are reported each, and items
+    and empty texts overlap with nothing; items with a null id are left out.  Repeated rows are reported each, and items
     repeated under one id are reported together; an empty side gives an empty result.
     """
     spark = docs.sparkSession
     schema = "id long, th long, item long, start long, n_words long, n_equal long"
     rows, out = with_keys(docs, id_col, text_col), None
     for block in item_blocks(benchmark, block_bytes, item_col, text_col):
-        shared = spark.sparkContext.broadcast(Items(block).tables)
+        shared = spark.sparkContext.broadcast(Items(block, min_words, similarity).tables)
 
         def run(batches, shared=shared):
             tables = shared.value
@@ -165,7 +217,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, si
     taken where a document is read, so no row is shuffled or joined back."""
     at = docs.columns.index(text_col)
     for block in item_blocks(benchmark, block_bytes, item_col, "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(Items(block).tables)
+        shared = docs.sparkSession.sparkContext.broadcast(Items(block, min_words, similarity).tables)
 
         def run(batches, shared=shared):
             for b in batches:

@@ -1,6 +1,7 @@
 """Every operator against a brute-force version of its rule, on one corpus of edge cases."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -244,6 +245,30 @@ def test_seeds_survive_any_one_substitution():
         assert decontam.overlaps(b"y z " + b" ".join(changed) + b" y", tables, 13, 0.8)
 
 
+@pytest.mark.parametrize("n_item", range(1, 18))
+def test_seeds_survive_any_substitutions_that_count(n_item):
+    """Every way to change words that leaves an overlap, for items of all short lengths."""
+    item = [f"a{i}" for i in range(n_item)]
+    tables = decontam.Items([(1, " ".join(item).encode())]).tables
+    for k in range(n_item // 5 + 1):
+        for places in itertools.combinations(range(n_item), k):
+            changed = [f"x{i}" if i in places else x for i, x in enumerate(item)]
+            text = ["y", *changed, "z"]
+            got = decontam.overlaps(" ".join(text).encode(), tables, 13, 0.8)
+            assert bool(got) == naive_overlaps(text, item, 13, 0.8), places
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.7, 0.8, 0.9, 1.0])
+def test_seeds_of_other_thresholds(similarity):
+    rnd = random.Random(12)
+    for _ in range(150):
+        item = [f"a{rnd.randint(0, 9)}" for _ in range(rnd.randint(1, 30))]
+        text = ["y"] * rnd.randint(0, 3) + [x if rnd.random() < similarity else "x" for x in item[rnd.randint(0, 3):]] + ["z"]
+        tables = decontam.Items([(1, " ".join(item).encode())], 8, similarity).tables
+        got = decontam.overlaps(" ".join(text).encode(), tables, 8, similarity)
+        assert bool(got) == naive_overlaps(text, item, 8, similarity)
+
+
 def test_longest_overlap_by_brute_force():
     """Among stretches with true ends; a longer one that would be trimmed hides none."""
     same = [True] * 12 + [False] * 10 + [i not in (3, 8) for i in range(13)]
