@@ -173,7 +173,7 @@ def overlaps(text: bytes, tables: tuple, min_words: int, similarity: float) -> l
 def item_blocks(benchmark: DataFrame, block_bytes: int, id_col: str, text_col: str):
     """The items, block by block of about ``block_bytes``."""
     b = benchmark.select(F.col(id_col).cast("long").alias("item"),
-                         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).filter("item is not null")
+                         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     size = b.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     for k in range(n):
@@ -194,7 +194,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, sim
     spark = docs.sparkSession
     schema = "id long, th long, item long, start long, n_words long, n_equal long"
     rows, out = with_keys(docs, id_col, text_col), None
-    for block in item_blocks(benchmark, block_bytes, item_col, text_col):
+    for block in item_blocks(benchmark.filter(F.col(item_col).isNotNull()), block_bytes, item_col, text_col):
         shared = spark.sparkContext.broadcast(Items(block, min_words, similarity).tables)
 
         def run(batches, shared=shared):
@@ -214,7 +214,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, sim
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similarity: float = 0.8,
                   block_bytes: int = 4 << 20, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``docs`` without the documents that overlap with a benchmark item: the decision is
-    taken where a document is read, so no row is shuffled or joined back."""
+    taken where a document is read, so no row is shuffled or joined back.  Items with a null
+    id count like the others."""
     at = docs.columns.index(text_col)
     for block in item_blocks(benchmark, block_bytes, item_col, "text"):
         shared = docs.sparkSession.sparkContext.broadcast(Items(block, min_words, similarity).tables)

@@ -283,6 +283,13 @@ def test_longest_overlap_by_brute_force():
         assert decontam.longest_overlap(np.array(same), similarity) == want
 
 
+def test_items_without_an_id_decontaminate(spark):
+    item = " ".join(f"a{i}" for i in range(20))
+    bench = spark.createDataFrame([(None, item), (1, "other words"), (None, None)], "item_id long, text string")
+    rows = frame(spark, [(1, f"y {item} z", "s"), (2, "y z", "s")])
+    assert [r.doc_id for r in decontam.decontaminate(rows, bench).collect()] == [2]
+
+
 # ---------------------------------------------------------------- 5 substring dedup
 
 def naive_substrings(corpus, window):
