@@ -75,7 +75,8 @@ class Templates:
 
 
 def scan(words: list[bytes], templates: Templates, block_words: int) -> list[tuple[int, int, float]]:
-    """(template, first word of the best block, containment) per template found."""
+    """(template, first word of the block, containment) of every block that meets a template,
+    by template and place."""
     if templates.prefix_words.isdisjoint(words):
         return []
     step = max(1, block_words // 2)
@@ -86,13 +87,20 @@ def scan(words: list[bytes], templates: Templates, block_words: int) -> list[tup
             blocks.update(b for b in (i // step, i // step - 1) if 0 <= b <= last)
             if i // step > last:
                 blocks.add(last)
-    best: dict[int, tuple[float, int]] = {}
-    for b in sorted(blocks):
+    found = []
+    for b in blocks:
         own = {templates.rank[w] for w in words[b * step:b * step + block_words] if w in templates.rank}
-        for t, c in templates.meets(sorted(own)):
-            if c > best.get(t, (0.0, 0))[0]:
-                best[t] = (c, b * step)
-    return [(t, at, c) for t, (c, at) in sorted(best.items())]
+        found += [(t, b * step, c) for t, c in templates.meets(sorted(own))]
+    return sorted(found)
+
+
+def best_blocks(found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Of each template's blocks the one with the largest containment (first of equals)."""
+    best: dict[int, tuple[int, int, float]] = {}
+    for t, at, c in found:
+        if t not in best or c > best[t][2]:
+            best[t] = (t, at, c)
+    return list(best.values())
 
 
 def phrase_places(words: list[bytes], phrases: list[tuple[tuple[bytes, ...], str]], starts: frozenset) -> list[tuple[int, str]]:
@@ -122,11 +130,12 @@ def word_frequency(rows: DataFrame, vocabulary: frozenset) -> dict[bytes, int]:
 
 def license_scan(docs: DataFrame, phrases: Mapping[str, str], templates: Mapping[str, str], threshold: float = 0.8,
                  block_words: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, n_words, places, notices) per input row.
+    """(id, th, n_words, places, notices, blocks) per input row.
 
     places: array of (word, label), every place of a phrase (phrase -> label); notices: array of
-    (label, word, containment), each template found with its best block (first of equals).
-    Null text is empty and has neither.  Repeated rows are scanned each; an empty table
+    (label, word, containment), each template found with its best block (first of equals);
+    blocks: the same of every block that meets a template, by label and word.
+    Null text is empty and has none.  Repeated rows are scanned each; an empty table
     gives an empty result; other columns are not read.
     """
     rows = with_keys(docs, id_col, text_col)
@@ -138,15 +147,20 @@ def license_scan(docs: DataFrame, phrases: Mapping[str, str], templates: Mapping
     index = Templates(templates, threshold, word_frequency(rows, vocabulary))
 
     def run(c):
-        n, places, notices = [], [], []
+        def rows_of(found):
+            return [{"label": index.labels[k], "word": i, "containment": x} for k, i, x in found]
+        n, places, notices, blocks = [], [], [], []
         for t in c["text"].to_pylist():
             w = tokens(t)
             n.append(len(w))
             places.append([{"word": i, "label": x} for i, x in phrase_places(w, flat, starts)])
-            notices.append([{"label": index.labels[k], "word": i, "containment": x} for k, i, x in scan(w, index, block)])
+            found = scan(w, index, block)
+            notices.append(rows_of(best_blocks(found)))
+            blocks.append(rows_of(found))
+        kind = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("containment", pa.float64())]))
         return {"id": c["id"], "th": c["th"], "n_words": pa.array(n, pa.int64()),
                 "places": pa.array(places, pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))),
-                "notices": pa.array(notices, pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()),
-                                                                ("containment", pa.float64())])))}
+                "notices": pa.array(notices, kind), "blocks": pa.array(blocks, kind)}
     return map_batches(rows, run, "id long, th long, n_words long, places array<struct<word: long, label: string>>, "
-                                  "notices array<struct<label: string, word: long, containment: double>>")
+                                  "notices array<struct<label: string, word: long, containment: double>>, "
+                                  "blocks array<struct<label: string, word: long, containment: double>>")

@@ -491,6 +491,30 @@ def test_license_scan(spark):
         assert got == want
 
 
+def test_license_scan_finds_every_notice(spark):
+    """A file with three copies of a notice, far apart, and a part of another at a block's edge."""
+    rnd = random.Random(14)
+    templates = {"a": "one two three four five", "b": "six seven eight nine ten"}
+    w = ["qux"] * 150
+    for at in (5, 60, 140):
+        w[at:at + 5] = templates["a"].split()
+    w[100:104] = "six seven eight nine".split()
+    rows = [(1, " ".join(w), "s"), (2, None, "s")]
+    rows += [(10 + i, " ".join(rnd.choice("one two three four five six seven eight nine ten qux qux".split()) for _ in range(rnd.randint(0, 80))), "s")
+             for i in range(60)]
+    got = {r.doc_id: [(x.label, x.word, round(x.containment, 9)) for x in r.blocks]
+           for r in license_scan.license_scan(frame(spark, rows), {}, templates, 0.8, block_words=12)
+           .withColumn("doc_id", doc_id_of(F.col("id"))).collect()}
+    for d, text, _ in rows:
+        v = (text or "").split()
+        last = max(0, -(-(len(v) - 12) // 6))
+        want = [(label, b * 6, round(n / 5, 9)) for label, t in templates.items() for b in range(last + 1)
+                if (n := len(set(t.split()) & set(v[b * 6:b * 6 + 12]))) >= 4]
+        assert got[d] == want
+    spots = [x for x in got[1] if x[0] == "a"]
+    assert all(any(at <= word + 12 and word <= at + 5 for _, word, _ in spots) for at in (5, 60, 140))
+
+
 # ---------------------------------------------------------------- 10 chat
 
 def test_reply_trees(spark):
