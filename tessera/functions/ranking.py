@@ -1,11 +1,12 @@
 """Row numbering and running sums that never pull a whole key into one task.
 
 ``number_rows``: 1-based rank of every row in a total order (optionally within a
-group), computed as  offset(bucket) + rank inside the bucket.  Buckets are ranges of
-the order between bounds taken from the rows with the smallest hashes, so two
-evaluations of the plan cut the same bounds and nothing runs before the result is
-asked for.  Only the per-bucket counts are summed by a small window.  The order must
-be unique for the numbering to be repeatable.
+group).  The rows are range-partitioned by the order and written once, each with its
+partition and its place in it; the rank is the number of rows of the group in earlier
+partitions plus the place.  So the number of pieces grows with the cluster's shuffle
+partitions, a hot group is spread over them, a piece is sorted by a sort that spills, and
+only one row per (group, piece) is summed by a window.  The order must be unique for the
+numbering to be repeatable.
 
 ``prefix_sums``: running sums per key over an order, split by a time bucket.
 Phase 1 sums inside each (key, bucket) - a hot key spreads over its buckets;
@@ -22,28 +23,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 128
-SAMPLE = 4096
+from tessera.session import staged
 
+_IN_PARTITION = (1 << 33) - 1      # monotonically_increasing_id: partition above bit 33, row below
 
-def number_rows(df: DataFrame, order: list[str], group: list[str] | None = None, out: str = "rn") -> DataFrame:
+
+def number_rows(df: DataFrame, order: list[str], group: list[str] | None = None, out: str = "rn",
+                pieces: int | None = None) -> DataFrame:
+    """``pieces`` range partitions; by default the session's shuffle partitions."""
     group = group or []
-    key, g = F.struct(*group, *order), F.struct(F.lit(0).alias("_z"), *group)
-    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
-    # an array of at most SAMPLE keys as a scalar subquery; every n-th of them is a bound
-    bounds = sample.agg(F.sort_array(F.collect_list("k")).alias("b")).select(
-        F.filter("b", lambda _, i: i % F.greatest(F.lit(1), F.size("b") / F.lit(BUCKETS)).cast("int") == 0)).scalar()
-    b = df.withColumns({"_g": g, "_k": key})
-    # the bucket of a row: how many bounds are smaller
-    b = b.withColumn("_b", F.array_position(F.sort_array(F.array_append(bounds, F.col("_k"))), F.col("_k")))
-    part = Window.partitionBy("_g", "_b")
-    local = b.withColumns({"_lrn": F.row_number().over(part.orderBy("_k")), "_n": F.count(F.lit(1)).over(part)})
+    n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the piece and the place are part of the written rows, so both readers see the same cut
+    rows = staged(df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order)
+                  .withColumns({"_g": F.struct(F.lit(0).alias("_z"), *group), "_b": F.spark_partition_id(),
+                                "_at": F.monotonically_increasing_id().bitwiseAND(_IN_PARTITION)}), "numbered")
     before = Window.partitionBy("_g2").orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per bucket, from the same exchange as the ranks
-    offsets = (local.filter("_lrn = 1").select(F.col("_g").alias("_g2"), F.col("_b").alias("_b2"), "_n")
-               .select("_g2", "_b2", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
-    return (local.join(offsets, (F.col("_g") == F.col("_g2")) & (F.col("_b") == F.col("_b2")))
-            .select(*df.columns, (F.col("_off") + F.col("_lrn")).alias(out)))
+    offsets = (rows.groupBy(F.col("_g").alias("_g2"), F.col("_b").alias("_b2"))
+               .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+               .select("_g2", "_b2", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off")))
+    return (rows.join(offsets, (F.col("_g") == F.col("_g2")) & (F.col("_b") == F.col("_b2")))
+            .select(*df.columns, (F.col("_off") + F.col("_at") + 1).alias(out)))
 
 
 def prefix_sums(df: DataFrame, key: str, bucket: Column, order: list[str],
