@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, license_scan, line_dedup, mixing, quality, simhash, substring, token_counts, url_filter
+from . import chat, decontam, license_scan, line_dedup, merkle, mixing, quality, simhash, substring, token_counts, url_filter
 from .common import doc_id_of, documents
 
 
@@ -109,11 +109,31 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "loss_sha256", "formatted_chars")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    row = {c: docs[c] for c in merkle.COLUMNS}
+    tampered = merkle.leaf(row | {"text": F.replace(docs.text, F.lit("\n"), F.lit(""))})
+    touched = F.coalesce(F.crc32(docs.doc_id.cast("string")) % 2 == 0, F.lit(False))
+    leaves = docs.select("source", "doc_id", merkle.leaf(row).alias("leaf"), F.when(touched, tampered).alias("tampered"))
+    manifest = merkle.build(leaves)
+    if manifest.root is None:
+        return spark.createDataFrame([], "doc_id long, leaf string, subroot string, root string, proof_sha256 string, "
+                                         "folded_root string, verified boolean")
+
+    def text(digest):
+        return F.lower(F.hex(digest))
+    proofs = merkle.prove(manifest).withColumn("candidate", F.coalesce("tampered", "digest"))
+    out = merkle.with_folded_root(proofs, "candidate", "folded")
+    return out.select("doc_id", text("digest").alias("leaf"), text("subroot").alias("subroot"),
+                      F.lit(manifest.root).alias("root"), F.sha2(text("siblings").cast("binary"), 256).alias("proof_sha256"),
+                      text("folded").alias("folded_root"), (text("folded") == manifest.root).alias("verified"))
+
+
 QUERIES = {"op1_simhash": op1_simhash, "op2_url_filter": op2_url_filter, "op3_token_counts": op3_token_counts,
            "op4_decontaminate": op4_decontaminate, "op5_substring_dedup": op5_substring_dedup,
            "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup,
            "op8_mixing": op8_mixing, "op9_license_scan": op9_license_scan,
-           "op10_chat": op10_chat}
+           "op10_chat": op10_chat, "op11_merkle": op11_merkle}
 
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 _WS = r"[\x20\x09-\x0D]"
@@ -121,6 +141,12 @@ _KEY = rf"translate(regexp_replace(line, '^{_WS}+|{_WS}+$', '', 'g'), {_UP}, {_L
 _NORM = rf"regexp_replace(regexp_replace({_KEY}, '{_WS}+', ' ', 'g'), '[0-9]+', '0', 'g')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+def _field(c: str) -> str:
+    """A column as it enters a leaf."""
+    return rf"coalesce(octet_length(encode({c}::varchar))::varchar || ':' || {c}::varchar, '-')"
+
+
 ORACLE: dict[str, str] = {
     "op5_substring_dedup": rf"""
 with d as (select doc_id, {_WORDS} as w from documents),
@@ -204,4 +230,50 @@ select conv_id, count(*)::bigint as n_turns,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
        sum(n)::bigint as formatted_chars
 from e group by conv_id""",
+    "op11_merkle": rf"""
+with recursive bits as (
+  -- table of the CRC-32 polynomial
+  select list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)),
+           lambda c, k: case when c % 2 = 1 then xor(c // 2, {0xEDB88320}) else c // 2 end)) as t),
+ d as (select row_number() over () as r, *, encode(coalesce(doc_id::varchar, '')) as b from documents),
+ crc as (select r, xor(list_reduce(list_prepend({0xFFFFFFFF}::bigint, list_transform(
+           regexp_extract_all(hex(b), '..'), lambda x: ('0x' || x)::bigint)),
+           lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), {0xFFFFFFFF}) as crc from d, bits),
+ h as (select r, doc_id, source, {_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} as head,
+              text, replace(text, chr(10), '') as short, doc_id is not null and crc % 2 = 0 as touched from d join crc using (r)),
+ lf as (select r, doc_id, source, sha256(head || {_field("text")}) as leaf,
+               case when touched then sha256(head || {_field("short")}) else sha256(head || {_field("text")}) end as cand from h),
+ ranked as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i,
+                   count(*) over (partition by source) as n from lf),
+ up as (select source, 0 as lv, i, leaf as h, n from ranked
+        union all
+        select source, lv + 1, i // 3, sha256(string_agg(h, '' order by i)), (max(n) + 2) // 3
+        from up where n > 1 group by source, lv, i // 3),
+ sub as (select source, h as subroot, row_number() over (order by source nulls first) - 1 as i, count(*) over () as n
+         from up where n = 1),
+ top as (select 0 as lv, i, subroot as h, n from sub
+         union all
+         select lv + 1, i // 3, sha256(string_agg(h, '' order by i)), (max(n) + 2) // 3 from top where n > 1 group by lv, i // 3),
+ steps as (select source, lv, i, n, h, false as high from up
+           union all select null, 1000 + lv, i, n, h, true from top),
+ walk as (select r, doc_id, source, leaf, leaf as at_h, cand as c, i, n, 0 as lv, '' as proof, false as high from ranked
+          union all
+          select w.r, any_value(w.doc_id), any_value(w.source), any_value(w.leaf), any_value(w.at_h),
+                 case when max(w.n) = 1 then any_value(w.c)
+                      else sha256(string_agg(case when s.i = w.i then w.c else s.h end, '' order by s.i)) end,
+                 case when max(w.n) = 1 then max(s2.i) else max(w.i) // 3 end,
+                 case when max(w.n) = 1 then max(s2.n) else (max(w.n) + 2) // 3 end,
+                 case when max(w.n) = 1 then 1000 else max(w.lv) + 1 end,
+                 max(w.proof) || case when max(w.n) = 1 then '' else coalesce(string_agg(s.h, '' order by s.i) filter (where s.i <> w.i), '') end,
+                 max(w.high) or max(w.n) = 1
+          from walk w
+          left join steps s on w.n > 1 and s.lv = w.lv and s.i // 3 = w.i // 3
+               and s.high = w.high
+               and (w.high or s.source is not distinct from w.source)
+          left join sub s2 on w.n = 1 and not w.high and s2.source is not distinct from w.source
+          where not (w.high and w.n = 1)
+          group by w.r)
+select w.doc_id, w.leaf, sub.subroot, top.h as root, sha256(w.proof) as proof_sha256, w.c as folded_root, w.c = top.h as verified
+from walk w join sub on sub.source is not distinct from w.source, top
+where w.high and w.n = 1 and top.n = 1""",
 }
