@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, license_scan, line_dedup, merkle, mixing, quality, simhash, substring, token_counts, url_filter
+from . import chat, decontam, license_scan, line_dedup, merkle, mixing, quality, shallot, simhash, substring, token_counts, url_filter
 from .common import doc_id_of, documents
 
 
@@ -129,11 +129,23 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                       text("folded").alias("folded_root"), (text("folded") == manifest.root).alias("verified"))
 
 
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shallot.cluster(documents(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64)
+    digests = [(c, shallot.centroid_digest(x)) for c, x in enumerate(found.centroids)]
+    # k rows: as many as there are centroids
+    final = spark.createDataFrame(digests, "of_cluster int, centroid_sha256 string")
+    sums = found.rows.groupBy(F.col("cluster").alias("of_cluster")).agg(F.sum("distance").alias("cluster_inertia"))
+    total = found.rows.agg(F.sum("distance")).scalar()
+    stats = F.broadcast(sums.join(final, "of_cluster"))
+    return found.rows.join(stats, F.col("cluster") == F.col("of_cluster")).select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", total.alias("inertia"), "centroid_sha256")
+
+
 QUERIES = {"op1_simhash": op1_simhash, "op2_url_filter": op2_url_filter, "op3_token_counts": op3_token_counts,
            "op4_decontaminate": op4_decontaminate, "op5_substring_dedup": op5_substring_dedup,
            "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup,
            "op8_mixing": op8_mixing, "op9_license_scan": op9_license_scan,
-           "op10_chat": op10_chat, "op11_merkle": op11_merkle}
+           "op10_chat": op10_chat, "op11_merkle": op11_merkle, "op12_clusters": op12_clusters}
 
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 _WS = r"[\x20\x09-\x0D]"
@@ -147,6 +159,26 @@ def _field(c: str) -> str:
     return rf"coalesce(octet_length(encode({c}::varchar))::varchar || ':' || {c}::varchar, '-')"
 
 
+def _assign(r: int) -> str:
+    """Vectors with their nearest centroid of round r: smallest [distance, number]."""
+    return f"""
+ a{r} as materialized (
+   select r, any_value(vec_id) as vec_id, any_value(p) as p,
+          min([list_sum(list_transform(list_zip(v.p, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, c]) as best
+   from v, c{r} as c group by r)"""
+
+
+def _move(r: int) -> str:
+    """Centroids of round r: the floor of the means, and those without a vector as they were."""
+    return f"""
+ s{r} as materialized (
+   select c, i, sum(x) as s, count(*) as n
+   from (select best[2] as c, unnest(p) as x, unnest(range(0, 64)) as i from a{r - 1}) group by c, i),
+ c{r} as materialized (
+   select c, coalesce(m.q, old.q) as q from c{r - 1} as old left join
+     (select c, list(((s - ((s % n + n) % n)) // n)::bigint order by i) as q from s{r} group by c) as m using (c))"""
+
+
 ORACLE: dict[str, str] = {
     "op5_substring_dedup": rf"""
 with d as (select doc_id, {_WORDS} as w from documents),
@@ -276,4 +308,16 @@ with recursive bits as (
 select w.doc_id, w.leaf, sub.subroot, top.h as root, sha256(w.proof) as proof_sha256, w.c as folded_root, w.c = top.h as verified
 from walk w join sub on sub.source is not distinct from w.source, top
 where w.high and w.n = 1 and top.n = 1""",
+    "op12_clusters": f"""
+with v as materialized (
+   select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as p
+   from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = 64),
+ c0 as materialized (
+   select row_number() over (order by h, p) - 1 as c, p as q
+   from (select *, sha256('2:' || coalesce(vec_id::varchar, '')) as h from v) order by h, p limit 40),
+{",".join(_assign(r) + "," + _move(r + 1) for r in range(5))}, {_assign(5)},
+ e as (select c, sum(best[1]) as s from (select best[2] as c, best from a5) group by c)
+select vec_id, best[2]::int as cluster, best[1]::bigint as distance, e.s::bigint as cluster_inertia,
+       (select sum(s) from e)::bigint as inertia, sha256(array_to_string(q, ',')) as centroid_sha256
+from a5 join e on e.c = best[2] join c5 on c5.c = best[2]""",
 }
