@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, license_scan, line_dedup, merkle, mixing, quality, shallot, simhash, substring, token_counts, url_filter
+from . import chat, classifier, decontam, license_scan, line_dedup, merkle, mixing, quality, shallot, simhash, substring, token_counts, url_filter
 from .common import doc_id_of, documents
 
 
@@ -141,11 +141,19 @@ def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", total.alias("inertia"), "centroid_sha256")
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    labels = documents(spark, sf_dir, "labels")
+    out, _ = classifier.quality_scores(documents(spark, sf_dir), labels, learn=~held, label="quality")
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {"op1_simhash": op1_simhash, "op2_url_filter": op2_url_filter, "op3_token_counts": op3_token_counts,
            "op4_decontaminate": op4_decontaminate, "op5_substring_dedup": op5_substring_dedup,
            "op6_quality": op6_quality, "op7_line_dedup": op7_line_dedup,
            "op8_mixing": op8_mixing, "op9_license_scan": op9_license_scan,
-           "op10_chat": op10_chat, "op11_merkle": op11_merkle, "op12_clusters": op12_clusters}
+           "op10_chat": op10_chat, "op11_merkle": op11_merkle, "op12_clusters": op12_clusters,
+           "op13_quality_classifier": op13_quality_classifier}
 
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 _WS = r"[\x20\x09-\x0D]"
