@@ -1,12 +1,18 @@
 """Row numbering and running sums that never pull a whole key into one task.
 
 ``number_rows``: 1-based rank of every row in a total order (optionally within a
-group).  The rows are range-partitioned by the order and written once, each with its
-partition and its place in it; the rank is the number of rows of the group in earlier
-partitions plus the place.  So the number of pieces grows with the cluster's shuffle
-partitions, a hot group is spread over them, a piece is sorted by a sort that spills, and
-only one row per (group, piece) is summed by a window.  The order must be unique for the
-numbering to be repeatable.
+group), computed as  offset(bucket) + rank inside the bucket.  Buckets are ranges of
+the order between bounds taken from the rows with the smallest hashes, so two
+evaluations of the plan cut the same bounds and nothing runs before the result is
+asked for.  Their number grows with the session's shuffle partitions; a row finds its
+bucket by binary search.  The rows are shuffled and sorted once; the counts per bucket
+are a partial aggregate of their own, and only they are summed by a small window.
+
+``number_rows_once``: the same numbers for an input that is dear to compute.  It is
+written once, range-partitioned by Spark and written again, each row with its partition
+and its place in it.  Runs when it is called.
+
+The order must be unique for the numbering to be repeatable.
 
 ``prefix_sums``: running sums per key over an order, split by a time bucket.
 Phase 1 sums inside each (key, bucket) - a hot key spreads over its buckets;
@@ -25,14 +31,51 @@ from pyspark.sql import functions as F
 
 from tessera.session import staged
 
+MIN_BUCKETS, MAX_BUCKETS = 128, 1 << 15
+SAMPLE_PER_BUCKET = 8
 _IN_PARTITION = (1 << 33) - 1      # monotonically_increasing_id: partition above bit 33, row below
 
 
+def bucket_count(df: DataFrame) -> int:
+    """Four buckets per shuffle partition, so that they spread evenly."""
+    return max(MIN_BUCKETS, min(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS))
+
+
+def with_smaller(df: DataFrame, bounds: Column, key: str, most: int, out: str) -> DataFrame:
+    """Adds how many entries of a sorted array of at most ``most`` entries are smaller than
+    ``key``: one projection per halving, each with one comparison."""
+    df = df.withColumn(out, F.lit(0))
+    for i in range(most.bit_length() - 1, -1, -1):
+        here = F.get(bounds, F.col(out) + F.lit((1 << i) - 1)) < F.col(key)
+        df = df.withColumn(out, F.col(out) + F.when(here, F.lit(1 << i)).otherwise(F.lit(0)))
+    return df
+
+
 def number_rows(df: DataFrame, order: list[str], group: list[str] | None = None, out: str = "rn",
-                pieces: int | None = None) -> DataFrame:
-    """``pieces`` range partitions; by default the session's shuffle partitions."""
+                buckets: int | None = None) -> DataFrame:
+    """``buckets`` ranges, by default ``bucket_count``."""
+    group, n = group or [], buckets or bucket_count(df)
+    key, g = F.struct(*group, *order), F.struct(F.lit(0).alias("_z"), *group)
+    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE_PER_BUCKET * n)
+    # a bounded array as a scalar subquery; every so many of the sampled keys is a bound
+    bounds = sample.agg(F.sort_array(F.collect_list("k")).alias("b")).select(
+        F.filter("b", lambda _, i: i % F.greatest(F.lit(1), F.ceil(F.size("b") / F.lit(n))).cast("int") == 0)).scalar()
+    b = df.withColumns({"_g": g, "_k": key})
+    b = with_smaller(b, bounds, "_k", n, "_b")
+    local = b.withColumn("_lrn", F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_k")))
+    counts = b.groupBy(F.col("_g").alias("_g2"), F.col("_b").alias("_b2")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_g2").orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_g2", "_b2", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (local.join(offsets, (F.col("_g") == F.col("_g2")) & (F.col("_b") == F.col("_b2")))
+            .select(*df.columns, (F.col("_off") + F.col("_lrn")).alias(out)))
+
+
+def number_rows_once(df: DataFrame, order: list[str], group: list[str] | None = None, out: str = "rn",
+                     pieces: int | None = None) -> DataFrame:
+    """``pieces`` range partitions, by default the session's shuffle partitions."""
     group = group or []
     n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = staged(df, "to-number")       # the range bounds are a sample: a pass of their own
     # the piece and the place are part of the written rows, so both readers see the same cut
     rows = staged(df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order)
                   .withColumns({"_g": F.struct(F.lit(0).alias("_z"), *group), "_b": F.spark_partition_id(),

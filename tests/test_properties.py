@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions.ranking import number_rows, prefix_sums
+from tessera.functions.ranking import bucket_count, number_rows, number_rows_once, prefix_sums
 from tessera.operators import camera, sight, spatial
 from tessera.params import ViewParams
 from tessera.sources.world import LOD, World
@@ -221,6 +221,40 @@ def test_numbering_runs_no_job_before_it_is_asked_for(spark):
     assert _same_rows(out, want)
 
 
+def test_numbering_buckets_grow_and_rows_are_sorted_once(spark):
+    """The number of ranges follows the cluster, the binary search cuts them evenly, and one
+    exchange and one sort carry the rows."""
+    df = spark.range(20000).select((F.col("id") * 7919 % 20000).alias("k"), F.lit("x" * 50).alias("wide"))
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    try:
+        seen = []
+        for parts in ("8", "100", "400"):
+            spark.conf.set(key, parts)
+            seen.append(bucket_count(df))
+            out = number_rows(df, ["k"])
+            assert out.filter(F.col("rn") != F.col("k") + 1).count() == 0 and out.count() == 20000
+        assert seen == sorted(set(seen))
+    finally:
+        spark.conf.set(key, before)
+    plan = number_rows(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [row_number") == 1 and plan.count("wide#") > 0
+    rows_moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(_g#" in line]
+    assert len(rows_moved) <= 2          # the rows, and the partial counts
+    for buckets in (1, 2, 7, 5000):
+        assert number_rows(df, ["k"], buckets=buckets).filter(F.col("rn") != F.col("k") + 1).count() == 0
+
+
+def test_numbering_once_equals_numbering(spark):
+    df = spark.createDataFrame([(g, i * 7 % 50, f"n{i}") for i in range(50) for g in (None, "a", "b")[:1 + i % 3]],
+                               "g string, k long, name string")
+    for group in (None, ["g"]):
+        order = ["k"] if group else ["g", "k"]
+        for pieces in (None, 1, 9):
+            assert _same_rows(number_rows_once(df, order, group, pieces=pieces), number_rows(df, order, group))
+    assert number_rows_once(df.filter("false"), ["k"]).count() == 0 and number_rows(df.filter("false"), ["k"]).count() == 0
+
+
 def test_asof_null_keys_match_nothing(spark):
     from tessera.functions.asof import asof_backward
     ticks = spark.createDataFrame([(None, 5), (1, 5)], "key long, t long")
