@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.ranking import number_rows
+from tessera.functions.ranking import number_rows_once
 
 from .common import map_batches, written
 
@@ -185,10 +185,10 @@ def build(leaves: DataFrame, levels: int = BLOCK_LEVELS) -> Manifest:
     The driver reads one count per layer and the root, nothing else."""
     extra = [c for c in leaves.columns if c not in ("source", "leaf")]
     rest = [c for c in extra if c != "doc_id"]
-    leaves = number_rows(leaves, ["doc_id", "leaf", *rest], group=["source"], out="_rank")
+    leaves = number_rows_once(leaves, ["doc_id", "leaf", *rest], group=["source"], out="_rank")
     leaves = written(leaves, "manifest-leaves")
     sizes = leaves.groupBy("source").agg(F.count(F.lit(1)).alias("total"))
-    trees = number_rows(sizes, ["source"], out="_rank").select(
+    trees = number_rows_once(sizes, ["source"], out="_rank").select(
         (F.col("_rank") - 1).alias("tree"), F.col("source").alias("of_source"), "total")
     trees = written(trees, "manifest-trees")
     count, largest = trees.agg(F.count(F.lit(1)), F.max("total")).head()
