@@ -1,7 +1,7 @@
 """Quality scores from random-indexing word vectors and a small network.
 
-**Words** are runs of letters, of digits, or of equal kinds of other signs; case is kept.  A
-word is one of ``2 ** bits`` numbers by its hash, so a vocabulary of any size has a bounded
+**Words** are runs of letters, of digits, of ``_``, or of other signs; case is kept.  A word
+is one of ``2 ** bits`` numbers by its hash, so a vocabulary of any size has a bounded
 table.
 
 **Random indexing.**  Every word number has a fixed sparse index vector: ``NONZERO`` entries
@@ -43,8 +43,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 NONZERO = 4
-_WORD = re.compile(r"[^\W\d_]+|\d+|([^\w\s]|_)\1*")
-_PIECE = 1 << 18               # words held at once
+_WORD = re.compile(r"[^\W\d_]+|\d+|_+|[^\w\s]+")
+_SPACE = re.compile(r"\s")
+_PIECE = 1 << 20               # characters of a text read at once, up to the next white space
+_ADD_AT = 1 << 17              # words whose contexts are added at once
 
 
 @dataclass(frozen=True)
@@ -66,28 +68,28 @@ def index_vectors(p: ClassifierParams) -> np.ndarray:
     return out
 
 
-class _Words:
-    """Word numbers of texts.  The memory of known words is emptied when it is full."""
+class _Words(dict):
+    """Word numbers, remembered until there are too many."""
 
     def __init__(self, bits: int):
-        self.mask, self.known = (1 << bits) - 1, {}
-
-    def __call__(self, text: str) -> Iterator[np.ndarray]:
-        part = []
-        for m in _WORD.finditer(text):
-            part.append(m[0])
-            if len(part) == _PIECE:
-                yield self.numbers(part)
-                part = []
-        if part:
-            yield self.numbers(part)
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > 1 << 20:
-            self.known.clear()
-        for w in set(words).difference(self.known):
-            self.known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) & self.mask
-        return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        super().__init__()
+        self.mask = (1 << bits) - 1
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        n = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) & self.mask
+        return n
+
+    def of(self, text: str) -> Iterator[np.ndarray]:
+        """The numbers of a text's words, a piece of the text at a time."""
+        at = 0
+        while at < len(text):
+            cut = _SPACE.search(text, at + _PIECE) if at + _PIECE < len(text) else None
+            end = cut.start() if cut else len(text)
+            words = _WORD.findall(text, at, end)
+            yield np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+            at = end
 
 
 def neighbour_sums(numbers: np.ndarray, index: np.ndarray, reach: int) -> np.ndarray:
@@ -100,26 +102,53 @@ def neighbour_sums(numbers: np.ndarray, index: np.ndarray, reach: int) -> np.nda
     return out
 
 
+class ContextSums:
+    """Occurrences and context sums of a stream of documents, whatever pieces it comes in."""
+
+    def __init__(self, p: ClassifierParams):
+        # one number more than there are words stands between documents and has no vector
+        self.gap, self.reach = np.full(p.reach, 1 << p.bits, np.int32), p.reach
+        self.index = np.concatenate([index_vectors(p), np.zeros((1, p.dims), np.int8)])
+        self.n, self.sums = np.zeros(len(self.index), np.int64), np.zeros((p.dims, len(self.index)))
+        self.waiting, self.size, self.tail = [], 0, self.gap[:0]
+
+    def add(self, numbers: np.ndarray) -> None:
+        self.waiting.append(numbers)
+        self.size += len(numbers)
+        if self.size >= _ADD_AT:
+            self.flush()
+
+    def end(self) -> None:
+        self.add(self.gap)
+
+    def flush(self) -> None:
+        tail, new = self.tail, np.concatenate([self.gap[:0], *self.waiting])
+        both = np.concatenate([tail, new])
+        rows = neighbour_sums(both, self.index, self.reach)
+        rows[:len(tail)] -= neighbour_sums(tail, self.index, self.reach)     # which they got before
+        for d in range(len(self.sums)):           # whole numbers below 2^53: exact
+            self.sums[d] += np.bincount(both, rows[:, d], len(self.n))
+        self.n += np.bincount(new, minlength=len(self.n))
+        self.waiting, self.size, self.tail = [], 0, both[len(both) - min(self.reach, len(both)):]
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        self.flush()
+        return self.n[:-1], self.sums[:, :-1]
+
+
 def word_sums(docs: DataFrame, p: ClassifierParams, text_col: str = "text") -> DataFrame:
     """(word, n, s0, s1, ...): occurrences and context sums of every word number that occurs."""
     names = [f"s{d}" for d in range(p.dims)]
     schema = "word int, n long, " + ", ".join(f"{s} long" for s in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, words = index_vectors(p), _Words(p.bits)
-        n, sums = np.zeros(1 << p.bits, np.int64), np.zeros((p.dims, 1 << p.bits))
+        words, adder = _Words(p.bits), ContextSums(p)
         for b in batches:
             for text in b.column(0):
-                # the last words of a piece are context of the next one
-                tail = np.zeros(0, np.int32)
-                for part in words(text.as_py()):
-                    near = neighbour_sums(np.concatenate([tail, part]), index, p.reach)
-                    if len(tail):          # what the piece before could not see of this one
-                        seen = neighbour_sums(tail, index, p.reach)
-                        _add(sums, tail, near[:len(tail)] - seen)
-                    _add(sums, part, near[len(tail):])
-                    n += np.bincount(part, minlength=len(n))
-                    tail = np.concatenate([tail, part])[-p.reach:] if p.reach else tail
+                for part in words.of(text.as_py()):
+                    adder.add(part)
+                adder.end()
+        n, sums = adder.result()
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays(
             [pa.array(some.astype(np.int32)), pa.array(n[some]), *[pa.array(s[some].astype(np.int64)) for s in sums]],
@@ -128,12 +157,6 @@ def word_sums(docs: DataFrame, p: ClassifierParams, text_col: str = "text") -> D
     return parts.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in names])
 
 
-def _add(sums: np.ndarray, words: np.ndarray, rows: np.ndarray) -> None:
-    """Whole numbers below 2^53, so the float sums are exact."""
-    for d in range(len(sums)):
-        sums[d] += np.bincount(words, rows[:, d], sums.shape[1])
-
-
 def word_vectors(docs: DataFrame, p: ClassifierParams, text_col: str = "text") -> np.ndarray:
     """(2^bits, dims) vectors of length one (zero for a number that does not occur)."""
     out, n = np.zeros((1 << p.bits, p.dims)), np.zeros(1 << p.bits)
@@ -145,7 +168,7 @@ def word_vectors(docs: DataFrame, p: ClassifierParams, text_col: str = "text") -
     centre = out.sum(axis=0) / max(1.0, n.sum())
     out -= n[:, None] * centre
     length = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, length, out=np.zeros_like(out), where=length > 0).astype(np.float32)
+    return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 
 
 def n_features(p: ClassifierParams) -> int:
@@ -158,14 +181,15 @@ def pool(parts: Iterator[np.ndarray], vectors: np.ndarray, reach: int) -> np.nda
     tail = np.zeros((0, dims), vectors.dtype)
     for numbers in parts:
         v = vectors[numbers]
-        total += v.sum(axis=0, dtype=np.float64)
-        square += np.einsum("ij,ij->j", v, v, dtype=np.float64)
+        total += v.sum(axis=0)
+        square += np.einsum("ij,ij->j", v, v)
         n += len(numbers)
         v = np.concatenate([tail, v])
         for d in range(1, reach + 1):          # pairs that end in this piece
             later = v[max(len(tail), d):]
-            dot = np.einsum("ij,ij->i", v[len(v) - len(later) - d:len(v) - d], later, dtype=np.float64)
-            near[d - 1] += dot.sum(), (dot ** 4).sum()
+            dot = np.einsum("ij,ij->i", v[len(v) - len(later) - d:len(v) - d], later)
+            square_dot = dot * dot
+            near[d - 1] += dot.sum(), square_dot @ square_dot
         tail = v[-reach:] if reach else tail
     m = max(1, n)
     return np.concatenate([total / m, square / m, (near / m).ravel(), [np.log1p(n)]])
@@ -179,7 +203,7 @@ def pooled(docs: DataFrame, p: ClassifierParams, vectors: np.ndarray, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(p.bits)
         for b in batches:
-            x = [pool(words(t.as_py()), shared.value, p.reach) for t in b.column(1)]
+            x = [pool(words.of(t.as_py()), shared.value, p.reach) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
     src = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     return src.mapInArrow(run, f"doc_id {kind}, x array<double>")

@@ -1,6 +1,5 @@
 """The quality classifier: its parts by brute force, its verdicts by held-out labels."""
 
-import random
 import zlib
 from collections import defaultdict
 
@@ -21,7 +20,7 @@ def naive_words(text):
     out, run = [], ""
 
     def kind(c):
-        return "d" if c.isdigit() else "a" if c.isalpha() else "s" if c.isspace() else c
+        return "d" if c.isdigit() else "a" if c.isalpha() else "s" if c.isspace() else "_" if c == "_" else "p"
     for c in text or "":
         if run and kind(c) == kind(run[-1]) and kind(c) != "s":
             run += c
@@ -43,42 +42,35 @@ def naive_sums(texts, p):
     return sums, n
 
 
-@pytest.mark.parametrize("piece", [1 << 18, 5, 2])
-def test_word_sums_by_brute_force(spark, docs, corpus, piece, monkeypatch):
-    """Also when texts are read in pieces of five or two words (the tasks' pieces are whole)."""
+def test_word_sums_by_brute_force(spark, docs, corpus):
     want, n = naive_sums([t for _, t, _ in corpus], P)
     got = {r.word: (r.n, [r[f"s{d}"] for d in range(P.dims)]) for r in classifier.word_sums(docs, P).collect()}
     assert got == {w: (n[w], want[w].tolist()) for w in n}
+
+
+@pytest.mark.parametrize("piece,add_at", [(1 << 20, 1 << 17), (9, 3), (2, 1), (40, 7)])
+def test_pieces_change_nothing(corpus, piece, add_at, monkeypatch):
+    """Texts read in pieces of a few characters, contexts added a few words at a time."""
     monkeypatch.setattr(classifier, "_PIECE", piece)
-    words, vectors = classifier._Words(P.bits), np.random.default_rng(0).normal(size=(64, 8)).astype(np.float32)
-    for t in ("", "one", "a b c d e f g h i j k", "x x, y! 12 12 ..", corpus[2][1]):
-        v = vectors[[x for part in words(t) for x in part]].reshape(-1, 8)
+    monkeypatch.setattr(classifier, "_ADD_AT", add_at)
+    texts = ["", "one", "a b c d e f g h i j k", "x x, y! 12_12 ..", " \t\n", "in\u2003between" * 9, corpus[2][1], corpus[9][1]]
+    words, adder = classifier._Words(P.bits), classifier.ContextSums(P)
+    vectors = np.random.default_rng(0).normal(size=(64, 8))
+    for t in texts:
+        assert [x for part in words.of(t) for x in part] == [zlib.crc32(w.encode()) & 63 for w in naive_words(t)]
+        for part in words.of(t):
+            adder.add(part)
+        adder.end()
+        v = vectors[[x for part in words.of(t) for x in part]].reshape(-1, 8)
         m = max(1, len(v))
         dots = [[float(a @ b) for a, b in zip(v, v[d:])] for d in (1, 2)]
         near = [f for d in dots for f in (sum(d) / m, sum(x ** 4 for x in d) / m)]
         want_x = np.concatenate([v.sum(axis=0) / m, (v ** 2).sum(axis=0) / m, near, [np.log1p(len(v))]])
-        assert classifier.pool(words(t), vectors, 2) == pytest.approx(want_x, rel=1e-4, abs=1e-5)
-
-
-def test_pieces_do_not_change_the_sums(monkeypatch):
-    index = classifier.index_vectors(P)
-    numbers = np.random.default_rng(1).integers(0, 64, 40)
-    whole = classifier.neighbour_sums(numbers, index, 2)
-    for i in range(40):
-        near = [j for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < 40]
-        assert (whole[i] == index[numbers[near]].sum(axis=0)).all()
-
-
-def test_pieces_in_tasks(spark):
-    """A text of more words than a piece holds, against one pass over all of it."""
-    n = classifier._PIECE + 7
-    rnd = random.Random(2)
-    text = " ".join(rnd.choice("abcdefgh") for _ in range(n))
-    got = {r.word: [r[f"s{d}"] for d in range(P.dims)] for r in
-           classifier.word_sums(spark.createDataFrame([(text,)], "text string"), P).collect()}
-    numbers = np.array([zlib.crc32(x.encode()) & 63 for x in text.split(" ")])
-    sums = classifier.neighbour_sums(numbers, classifier.index_vectors(P), P.reach).astype(int)
-    assert got == {int(w): sums[numbers == w].sum(axis=0).tolist() for w in np.unique(numbers)}
+        assert classifier.pool(words.of(t), vectors, 2) == pytest.approx(want_x)
+    want, n = naive_sums(texts, P)
+    count, sums = adder.result()
+    assert dict(enumerate(count.tolist())) == {w: n[w] for w in range(64)}
+    assert all(sums[:, w].tolist() == want[w].tolist() for w in range(64))
 
 
 def test_temperature_calibrates_and_fit_learns():
