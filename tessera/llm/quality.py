@@ -1,13 +1,13 @@
 """Quality rules with cross-document line frequency, in built-in functions only.
 
-Base rules look at one document.  The corpus rule hashes normalised short lines, counts
-in how many distinct documents of a host each stands, removes the lines above the limit
-and rejects a document that has too little left.
-
-Exact copies count as one document, and only lines of at most ``max_line_chars`` code
-points are looked at: a menu entry or a footer repeats on its own, while a long line
-that repeats means a copied passage, which is the duplicate operators' business.  So a
-clean document is not rejected for having copies.
+Base rules look at one document.  The corpus rule hashes every normalised line, whatever its
+length, counts in how many distinct documents of a host each stands, removes the lines above
+the limit and rejects a document that has too little left.
+
+Exact copies count as one document, on every host and at every size: a page that a host has
+ten thousand times says no more about its lines than the page once.  The limit is a number
+of documents and does not grow with the host, so the verdict on a set of pages is the same
+wherever they stand.
 """
 
 from __future__ import annotations
@@ -28,9 +28,7 @@ class QualityParams:
     min_words: int = 20
     window: int = 8
     max_repeat_pct: int = 30
-    max_line_chars: int = 100      # longer lines are not counted as boilerplate
-    min_docs: int = 5              # a line may stand in so many documents of a host ...
-    max_host_pct: float = 1.0      # ... or in this share of the host's rows, if that is more
+    max_docs: int = 5              # a line may stand in so many documents of a host
     min_left_pct: int = 30         # of its words a document must keep, and min_words
 
 
@@ -100,18 +98,15 @@ def frequent_lines(docs: DataFrame, p: QualityParams, id_col: str, text_col: str
     lines = docs.select(key_id(docs[id_col]).alias("id"), key_text(docs[id_col], docs[text_col]).alias("th"),
                         F.xxhash64(docs[text_col]).alias("content"), host.alias("host"),
                         F.posexplode(split_lines(docs[text_col])).alias("pos", "line"))
-    # a line that is short once normalised may be long before, but only by white space and digits
-    lines = (lines.withColumn("line", norm_line(F.col("line")))
-             .filter((F.col("line") != "") & (F.length("line") <= p.max_line_chars))
-             .select("id", "th", "content", "host", "pos", F.xxhash64("line").alias("h"),
-                     n_words_of(F.col("line")).alias("words")))
-    lines = written(lines, "short-lines")
-    rows = docs.groupBy(host.alias("of_host")).agg(F.count(F.lit(1)).alias("host_rows"))
+    line = F.col("line")
+    # a normalised line has one space between words
+    words = F.length(line) - F.length(F.translate(line, " ", "")) + 1
+    lines = (lines.withColumn("line", norm_line(line)).filter(line != "")
+             .select("id", "th", "content", "host", "pos", F.xxhash64(line).alias("h"), words.alias("words")))
+    lines = written(lines, "line-hashes")
     often = (lines.groupBy("host", "h", "content").agg(F.lit(1).alias("one"))
              .groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
-             .filter(F.col("n") > p.min_docs))
-    often = (often.join(rows, F.col("host").eqNullSafe(F.col("of_host")))
-             .filter(100 * F.col("n") > p.max_host_pct * F.col("host_rows"))
+             .filter(F.col("n") > p.max_docs)
              .select(F.col("host").alias("often_host"), F.col("h").alias("often_h")))
     hit = lines.join(often, (F.col("h") == F.col("often_h")) & F.col("host").eqNullSafe(F.col("often_host")), "left_semi")
     # repeated rows give the same (id, th, pos) again
@@ -124,10 +119,10 @@ def quality(docs: DataFrame, p: QualityParams = QualityParams(), id_col: str = "
     """One row per input row: id, th, the base figures, base_failed, cut_words (words in
     lines above the limit), cut_lines (their hashes, null if none) and kept.
 
-    Null text is empty and fails (no words).  Rows without a host form one host, rows
-    without an id are told apart by their text.  Repeated rows are one document: they
-    count once and get equal verdicts.  An empty table gives an empty result; other
-    columns are not read.
+    Null text is empty and fails (no words).  Texts and lines of any length are read whole.
+    Rows without a host form one host, rows without an id are told apart by their text.
+    Repeated rows are one document: they count once and get equal verdicts.  An empty table
+    gives an empty result; other columns are not read.
     """
     base = base_rules(docs, p, id_col, text_col)
     cuts = frequent_lines(docs, p, id_col, text_col, host_col)
@@ -142,7 +137,8 @@ def quality(docs: DataFrame, p: QualityParams = QualityParams(), id_col: str = "
 
 def apply_quality(docs: DataFrame, p: QualityParams = QualityParams(), id_col: str = "doc_id", text_col: str = "text",
                   host_col: str = "source") -> DataFrame:
-    """The documents that are kept, without their lines above the limit."""
+    """The documents that are kept, without their lines above the limit, and with all their
+    columns.  Nulls, long texts, repeated rows and an empty table as in ``quality``."""
     verdict = (quality(docs, p, id_col, text_col, host_col).filter("kept").select("id", "th", "cut_lines")
                .dropDuplicates(["id", "th"]).select(F.col("id").alias("v_id"), F.col("th").alias("v_th"),
                                                     F.col("cut_lines").alias("v_cut")))
@@ -153,6 +149,6 @@ def apply_quality(docs: DataFrame, p: QualityParams = QualityParams(), id_col: s
 
     def stays(line):
         n = norm_line(line)
-        return (n == "") | (F.length(n) > p.max_line_chars) | ~F.array_contains(F.col("v.v_cut"), F.xxhash64(n))
+        return (n == "") | ~F.array_contains(F.col("v.v_cut"), F.xxhash64(n))
     new = F.when(F.col("v.v_cut").isNull(), text).otherwise(F.array_join(F.filter(split_lines(text), stays), "\n"))
     return rows.select(*[new.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns])

@@ -211,13 +211,10 @@ with d as (select doc_id, source, text, {_WORDS} as w from documents),
  ln as (select doc_id, source, text, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents),
  dup as (select doc_id, count(*) - count(distinct line) as n_dup_lines
          from ln where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
- short as (select doc_id, source, text, {_NORM} as k,
-                  len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from ln),
- often as (select k, s.source from (select k, source, count(distinct text) as n from short
-                                    where k <> '' and length(k) <= 100 group by all) s
-           join (select source, count(*) as rows from documents group by source) h on h.source is not distinct from s.source
-           where n > 5 and 100 * n > 1.0 * rows),
- cut as (select doc_id, sum(words) as cut_words from short s join often o
+ norm as (select doc_id, source, text, {_NORM} as k,
+                 len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from ln),
+ often as (select k, source from norm where k <> '' group by all having count(distinct text) > 5),
+ cut as (select doc_id, sum(words) as cut_words from norm s join often o
          on o.k = s.k and o.source is not distinct from s.source group by doc_id),
  b as (select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
               len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) as n_symbols,

@@ -339,16 +339,16 @@ def test_fm_index_by_brute_force():
 # ---------------------------------------------------------------- 6 quality rules
 
 def naive_quality(corpus, p):
-    seen, counted, hosts = defaultdict(set), set(), Counter(s for _, _, s in corpus)
+    seen = defaultdict(set)
 
     def norm(line):
         line = line.strip(WS).translate(A_Z)
         return re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", line))
     for _, t, s in corpus:
         for line in (t.split("\n") if t is not None else []):
-            if 0 < len(norm(line)) <= p.max_line_chars:
+            if norm(line):
                 seen[s, norm(line)].add(t)
-    often = {k for k, v in seen.items() if len(v) > p.min_docs and 100 * len(v) > p.max_host_pct * hosts[k[0]]}
+    often = {k for k, v in seen.items() if len(v) > p.max_docs}
     out = Counter()
     for d, t, s in corpus:
         w, lines = words(t), [x for x in (t or "").split("\n") if words(x)]
@@ -374,6 +374,43 @@ def test_quality(docs, corpus):
     assert out.filter("lower(text) like '%home%'").count() == 0
 
 
+def letters(rnd, n):
+    """n invented words without digits, which the line rule would take as equal."""
+    return " ".join("".join(rnd.choice("abcdefghij") for _ in range(9)) for _ in range(n))
+
+
+def verdicts(spark, rows):
+    return {r.doc_id: (r.cut_words, r.kept) for r in quality.quality(frame(spark, rows)).collect()}
+
+
+def test_long_lines_count(spark):
+    """A banner of 223 code points in all documents of a host, and a document of nothing else."""
+    rnd = random.Random(1)
+    banner = letters(rnd, 30)[:222] + "!"
+    rows = [(i, f"{banner}\n{letters(rnd, 40)}", "h") for i in range(300)] + [(300, f"{banner}\n" * 3, "h")]
+    got = verdicts(spark, rows)
+    n = len(words(banner))
+    assert len(banner) == 223
+    assert {got[i] for i in range(300)} == {(n, True)} and got[300] == (3 * n, False)
+    out = quality.apply_quality(frame(spark, rows)).collect()
+    assert len(out) == 300 and not any(banner in r.text for r in out)
+
+
+def test_copies_and_the_size_of_a_host_change_nothing(spark):
+    """The same 80 pages alone, among 9,920 copies of one of them, and in a host of 9,920 other pages."""
+    rnd = random.Random(2)
+    pages = [(i, f"{letters(rnd, 30)}\nall about us and more", "h") for i in range(80)]
+    copies = [(100 + i, pages[0][1], "h") for i in range(9920)]
+    others = [(20000 + i, letters(rnd, 30), "h") for i in range(9920)]
+    alone = verdicts(spark, pages)
+    assert set(alone.values()) == {(5, True)}
+    for more in (copies, others):
+        got = verdicts(spark, pages + more)
+        assert {i: got[i] for i in alone} == alone
+    few = verdicts(spark, pages[:5] + copies)
+    assert set(few.values()) == {(0, True)}          # a line of five documents stays, however often they are copied
+
+
 # ---------------------------------------------------------------- 7 line dedup
 
 def line_keys(t):

@@ -43,15 +43,15 @@ def test_query(key, spark, duck):
 def naive_pipeline(corpus, items):
     p = QualityParams()
     kept = {k[:2]: k for k in naive_quality(corpus, p) if k[-1]}
-    seen, hosts = defaultdict(set), Counter(s for _, _, s in corpus)
+    seen = defaultdict(set)
 
     def norm(line):
         return re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", line.strip(WS).translate(A_Z)))
     for _, t, s in corpus:
         for line in (t or "").split("\n"):
-            if 0 < len(norm(line)) <= p.max_line_chars:
+            if norm(line):
                 seen[s, norm(line)].add(t)
-    often = {k for k, v in seen.items() if len(v) > p.min_docs and 100 * len(v) > p.max_host_pct * hosts[k[0]]}
+    often = {k for k, v in seen.items() if len(v) > p.max_docs}
     docs = []
     for d, t, s in corpus:
         one = naive_quality_row(corpus, d, t, s, often)
