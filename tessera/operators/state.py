@@ -96,19 +96,29 @@ def cell_hits(actors: DataFrame, projectiles: DataFrame, damage: int) -> DataFra
     0 or below after this batch's damage.
 
     No projectile x actor pairs: in a cell only the smallest and the largest owner, and the
-    smallest and largest dead actor, matter.  Projectiles are reduced to distinct (cell,
-    owner) before the one exchange by cell, and are read once for both answers.  A NULL
-    owner never hits."""
-    a = spatial.with_cell(actors).select("cx", "cy", "id", F.lit(None).cast("long").alias("owner"), "hp")
-    p = (spatial.with_cell(projectiles).filter("owner is not null").select("cx", "cy", "owner").distinct()
-         .select("cx", "cy", F.lit(None).cast("long").alias("id"), "owner", F.lit(None).cast("int").alias("hp")))
-    in_cell = Window.partitionBy("cx", "cy")
-    u = a.unionByName(p).withColumns({"_lo": F.min("owner").over(in_cell), "_hi": F.max("owner").over(in_cell)})
-    u = u.withColumn("hit", _differs("_lo", "_hi", "id"))
-    dead = F.when(F.col("hp") - F.when(F.col("hit"), damage).otherwise(0) <= 0, F.col("id"))
-    u = u.withColumn("_dead", dead).withColumns({"_dlo": F.min("_dead").over(in_cell), "_dhi": F.max("_dead").over(in_cell)})
-    u = u.withColumn("win", _differs("_dlo", "_dhi", "owner"))
-    return u.groupBy(F.coalesce("id", "owner").alias("id")).agg(F.max("hit").alias("hit"), F.max("win").alias("win"))
+    smallest and largest dead actor, matter.  Projectiles become one row per (cell, owner),
+    and both extremes are partial aggregates per cell, joined back to the rows, so a cell
+    that holds a third of all actors is no group in one task: its rows are reduced before
+    the exchange and the join of its one row can be split.  A NULL owner never hits."""
+    p = spatial.with_cell(projectiles).filter("owner is not null").select("cx", "cy", "owner").distinct()
+    a = spatial.with_cell(actors).select("cx", "cy", "id", "hp")
+    owners = _extremes(p, "owner")
+    shot = _differs("_lo", "_hi", "id")
+    a = _with_cells(a, owners).select("cx", "cy", "id", "hp", shot.alias("hit"))
+    dead = _extremes(a.filter(F.col("hp") - F.when(F.col("hit"), damage).otherwise(0) <= 0), "id")
+    wins = _with_cells(p, dead, "inner").filter(_differs("_lo", "_hi", "owner")).select(
+        F.col("owner").alias("id"), F.lit(False).alias("hit"), F.lit(True).alias("win"))
+    return (a.select("id", "hit", F.lit(False).alias("win")).unionByName(wins)
+            .groupBy("id").agg(F.max("hit").alias("hit"), F.max("win").alias("win")))
+
+
+def _extremes(rows: DataFrame, key: str) -> DataFrame:
+    """(_cx, _cy, _lo, _hi): smallest and largest ``key`` of a cell."""
+    return rows.groupBy(F.col("cx").alias("_cx"), F.col("cy").alias("_cy")).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+
+
+def _with_cells(rows: DataFrame, cells: DataFrame, how: str = "left") -> DataFrame:
+    return rows.join(cells, (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy")), how)
 
 
 def apply_hits(actors: DataFrame, hits: DataFrame, damage: int) -> DataFrame:
@@ -124,9 +134,7 @@ def apply_hits(actors: DataFrame, hits: DataFrame, damage: int) -> DataFrame:
 def expire_hits(projectiles: DataFrame, actors: DataFrame) -> DataFrame:
     """Projectiles that are in no other actor's cell stay.  An actor's cell is one row with
     its smallest and largest id; a projectile without an owner never hits and stays."""
-    cells = (spatial.with_cell(actors).groupBy(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"))
-             .agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")))
-    j = spatial.with_cell(projectiles).join(cells, (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy")), "left")
+    j = _with_cells(spatial.with_cell(projectiles), _extremes(spatial.with_cell(actors), "id"))
     return j.filter(~_differs("_lo", "_hi", "owner")).select(*projectiles.columns)
 
 

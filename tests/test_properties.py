@@ -294,6 +294,15 @@ def test_hits_without_pairs_equal_hits_by_pairs(spark):
         assert {r.pid for r in state.expire_hits(p, a).collect()} == set(range(len(shots))) - gone
 
 
+def test_hits_have_no_window_by_cell(spark):
+    from tessera.operators import state
+    a = spark.range(9).select("id", F.lit(1.0).alias("x"), F.lit(1.0).alias("y"), F.lit(50).alias("hp"), F.lit(0).alias("score"))
+    p = spark.range(9).select(F.col("id").alias("owner"), F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+    for df in (state.apply_hits(a, state.cell_hits(a, p, 50), 50), state.expire_hits(p, a)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Join" in plan
+
+
 def test_hits_in_one_hot_cell(spark):
     """10,000 projectiles and 10,000 actors in one cell: no pairs are made."""
     from tessera.operators import state
