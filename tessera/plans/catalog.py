@@ -560,6 +560,15 @@ def q_m_trajectory(spark, sf):
     return t.select("key", "seq", q6("x").alias("x"), q6("y").alias("y"), q6("dir").alias("dir"))
 
 
+@query
+def q_m_replay(spark, sf):
+    """The whole action log against the walls of the world (``m_trajectory`` has none)."""
+    from tessera.operators import replay
+    w = World(spark, sf)
+    t, _ = replay.replay(w.actors(), w.actions(), w.packed(), w.sp)
+    return t.select("key", "seq", q6("x").alias("x"), q6("y").alias("y"), q6("dir").alias("dir"), "moved")
+
+
 @query
 def q_m_token_bucket(spark, sf):
     from tessera.operators import state

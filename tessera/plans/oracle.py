@@ -185,6 +185,30 @@ FROM (
                       OVER (PARTITION BY key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS net
           FROM actions) t
     LEFT JOIN actors a ON a.id = t.key) u) v""", "actions", "actors")
+# one action after the other, each with the wall test of its own step
+oracle("m_replay", f"""
+WITH RECURSIVE st AS (
+  SELECT t.key, t.i, t.seq, t.action IN ('w', 's') AS is_move, t.x0, t.y0, t.dir,
+    CAST(round(sgn * cos(dir) * {d(SP.move_speed)} * 1000000000) AS BIGINT) AS vx,
+    CAST(round(sgn * sin(dir) * {d(SP.move_speed)} * 1000000000) AS BIGINT) AS vy
+  FROM (SELECT e.*, coalesce(a.x, {d(SP.spawn_x)}) AS x0, coalesce(a.y, {d(SP.spawn_y)}) AS y0,
+          coalesce(a.dir, {d(SP.spawn_dir)}) + e.net * {d(SP.turn_speed)} AS dir,
+          CASE e.action WHEN 'w' THEN 1.0::DOUBLE WHEN 's' THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS sgn
+        FROM (SELECT *, row_number() OVER w AS i,
+                     sum(CASE action WHEN 'd' THEN 1 WHEN 'a' THEN -1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS net
+              FROM actions WINDOW w AS (PARTITION BY key ORDER BY ts, seq)) e
+        LEFT JOIN actors a ON a.id = e.key) t),
+walk(key, i, seq, px, py, dir, moved) AS (
+  SELECT key, 0::BIGINT, NULL::BIGINT, CAST(round(x0 * 1000000000) AS BIGINT), CAST(round(y0 * 1000000000) AS BIGINT), dir, false
+  FROM st WHERE i = 1
+  UNION ALL
+  SELECT s.key, s.i, s.seq, CASE WHEN g.x IS NULL THEN w.px ELSE w.px + s.vx END,
+         CASE WHEN g.x IS NULL THEN w.py ELSE w.py + s.vy END, s.dir, CASE WHEN s.is_move THEN g.x IS NOT NULL END
+  FROM walk w JOIN st s ON s.key IS NOT DISTINCT FROM w.key AND s.i = w.i + 1
+  LEFT JOIN (SELECT x, y FROM grid WHERE tile <> '#') g
+    ON s.is_move AND g.x = CAST((w.px + s.vx) / 1e9 AS BIGINT) AND g.y = CAST((w.py + s.vy) / 1e9 AS BIGINT))
+SELECT key, seq, {q6('px / 1e9')} AS x, {q6('py / 1e9')} AS y, {q6('dir')} AS dir, moved FROM walk WHERE i > 0""",
+       "actions", "actors", "grid")
 _CAP, _TIV = WP.quota_max, WP.refill_interval_s * 1000000
 oracle("m_token_bucket", f"""
 WITH RECURSIVE ev AS (
