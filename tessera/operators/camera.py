@@ -26,7 +26,7 @@ Views
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.joins import bounded_broadcast
@@ -84,6 +84,39 @@ def choose_lod(projected: DataFrame, lod_rows, default_col: str = "stamp_id") ->
     return projected.withColumn("eff_stamp", eff.cast("int"))
 
 
+def choose_lod_table(projected: DataFrame, lod: DataFrame, bin_width: float = 0.25, kind: str = "kind", depth: str = "depth",
+                     default_col: str = "stamp_id", out: str = "eff_stamp") -> DataFrame:
+    """``choose_lod`` with a table (kind, min_depth, stamp_id) of any size: the entry of the
+    row's kind with the largest ``min_depth`` strictly below its depth, else the row's own
+    stamp.  Entries with equal ``min_depth`` give the largest stamp.
+
+    An interval join without a theta join.  Depths fall into bins; the rows join by (kind,
+    bin) with one row that has the bin's own thresholds and the last one of all bins before
+    (the carry).  Only bins that hold a row or a threshold exist; the carry is a running
+    value over them, a bin each.  A kind or bin with a third of all rows is a join whose rows
+    can be split, and no group.  A NULL (or NaN) threshold or kind fits nothing; a row with a
+    NULL kind or depth keeps its own stamp."""
+    def bin_of(c):
+        return F.floor(c / F.lit(bin_width)).cast("long")
+    low, row_depth = F.col("min_depth").cast("double"), F.col(depth).cast("double")
+    entries = (lod.filter(F.col("kind").isNotNull() & low.isNotNull() & ~F.isnan(low))
+               .groupBy(F.col("kind").alias("_k"), bin_of(low).alias("_b"), low.alias("min_depth"))
+               .agg(F.max("stamp_id").alias("stamp")))
+    entries = entries.groupBy("_k", "_b").agg(F.sort_array(F.collect_list(F.struct("min_depth", "stamp")), asc=False).alias("_own"))
+    known = F.col(kind).isNotNull() & row_depth.isNotNull() & ~F.isnan(row_depth)
+    rows = projected.withColumn("_b", F.when(known, bin_of(row_depth)))
+    wanted = (rows.filter(known).groupBy(F.col(kind).alias("_k"), "_b").agg(F.lit(1).alias("_one")))
+    bins = wanted.join(entries, ["_k", "_b"], "full")
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("_carry", F.last(F.get("_own", F.lit(0)), ignorenulls=True).over(before))
+    bins = bins.filter("_one IS NOT NULL").select(F.col("_k"), F.col("_b").alias("_b2"), "_own", "_carry")
+    j = rows.join(bins, (F.col(kind) == F.col("_k")) & (F.col("_b") == F.col("_b2")), "left")
+    # thresholds of the bin, the largest first
+    own = F.get(F.filter("_own", lambda e: e["min_depth"] < row_depth), F.lit(0))
+    best = F.coalesce(own["stamp"], F.col("_carry")["stamp"], F.col(default_col))
+    return j.select(*projected.columns, best.cast("int").alias(out))
+
+
 def column_height(depths: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
     """Wall height per column: view_h / (depth * cos(angle - dir)), rounded half even,
     clamped to [0, view_h]; view_h when depth <= 0.  (The cosine is applied again on

@@ -227,6 +227,13 @@ def q_c_lod(spark, sf):
     return _Camera(spark, sf).lod.select("obs_id", "target_id", F.col("eff_stamp").alias("stamp_id"))
 
 
+@query
+def q_c_lod_table(spark, sf):
+    """Stamps from a table with a threshold per part, instead of three fixed ones."""
+    cam = _Camera(spark, sf)
+    return cam.c.choose_lod_table(cam.projected, cam.w.lod_table()).select("obs_id", "target_id", F.col("eff_stamp").alias("stamp_id"))
+
+
 @query
 def q_c_column_height(spark, sf):
     return _Camera(spark, sf).heights.select("id", "col", "height")

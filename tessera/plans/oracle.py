@@ -55,6 +55,13 @@ oracle("c_observer_frame",
 oracle("c_project",
        f"SELECT obs_id, target_id, screen_x, screen_y, {q6('depth')} AS depth FROM screen", "screen")
 oracle("c_lod", "SELECT obs_id, target_id, eff_stamp AS stamp_id FROM lodsel", "lodsel")
+oracle("c_lod_table", f"""
+WITH lod AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'bullet' ELSE 'player' END AS kind,
+                    ((p_partkey * 6151) % 1200) / {d(100.0)} AS min_depth, CAST(p_partkey % 5 AS INTEGER) AS stamp_id FROM part)
+SELECT s.obs_id, s.target_id, coalesce(max(l.stamp_id), any_value(s.stamp_id)) AS stamp_id
+FROM screen s LEFT JOIN lod l ON l.kind = s.kind
+  AND l.min_depth = (SELECT max(m.min_depth) FROM lod m WHERE m.kind = s.kind AND m.min_depth < s.depth)
+GROUP BY s.obs_id, s.target_id""", "screen")
 oracle("c_column_height", "SELECT id, col, height FROM heights", "heights")
 oracle("c_depth_band", """
 SELECT d.id, d.col, g.glyph AS band FROM depths d JOIN glyphs g ON d.depth >= g.lo AND d.depth < g.hi""", "depths", "glyphs")

@@ -205,6 +205,12 @@ class World:
                           m[F.col("event_type")].alias("action"))
                 .filter(F.col("action").isNotNull()))
 
+    def lod_table(self) -> DataFrame:
+        """(kind, min_depth, stamp_id): one level-of-detail threshold per part."""
+        return self.table("part").selectExpr(
+            "CASE WHEN p_partkey % 3 = 0 THEN 'bullet' ELSE 'player' END AS kind",
+            "((p_partkey * 6151) % 1200) / 100.0D AS min_depth", "CAST(p_partkey % 5 AS INT) AS stamp_id")
+
     # ---- parameter tables -----------------------------------------------------
     def stamps(self) -> DataFrame:
         return self.spark.createDataFrame(

@@ -365,3 +365,39 @@ def test_token_bucket_equals_the_plain_fold(spark, cap, iv, span):
         mine = sorted((us, seq, act) for k, us, seq, act in rows if k == key)
         want.update({seq: v for (_, seq, _), v in zip(mine, _fold(mine, cap, iv * 1_000_000))})
     assert got == want
+
+
+def test_lod_table_by_brute_force(spark):
+    """Thresholds in one bin, in far bins, equal ones, NULL and NaN on both sides, negative and
+    huge depths, strict comparison."""
+    import random
+    from tessera.operators import camera
+    rnd = random.Random(8)
+    nan = float("nan")
+    lod = [(rnd.choice(["a", "b", None]), rnd.choice([None, nan, -3.0, 0.0, 0.25, 0.5, 1e6, round(rnd.uniform(-2, 9), 2)]), rnd.randrange(5)) for _ in range(120)]
+    lod += [("a", 2.01 + i * 1e-4, i % 5) for i in range(60)] + [("c", 4.0, 1), ("c", 4.0, 3)]
+    rows = [(i, rnd.choice(["a", "b", "c", "d", None]), rnd.choice([None, nan, -9.0, 0.0, 0.25, 0.5, 4.0, 4.0001, 1e7, rnd.uniform(-3, 10)]), 9) for i in range(400)]
+
+    def best(kind, depth):
+        fits = [(m, s) for k, m, s in lod if k is not None and k == kind and m is not None and m == m and depth is not None and depth == depth and m < depth]
+        return max(fits)[1] if fits else 9
+    df = spark.createDataFrame(rows, "id int, kind string, depth double, stamp_id int").repartition(4)
+    table = spark.createDataFrame(lod, "kind string, min_depth double, stamp_id int")
+    want = {i: best(k, x) for i, k, x, _ in rows}
+    for width in (0.25, 100.0, 0.01):
+        out = camera.choose_lod_table(df, table, width)
+        assert {r.id: r.eff_stamp for r in out.collect()} == want and out.columns == [*df.columns, "eff_stamp"]
+    assert {r.eff_stamp for r in camera.choose_lod_table(df, table.filter("false")).collect()} == {9}
+    assert camera.choose_lod_table(df.filter("false"), table).count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_lod_table_equals_the_fixed_chain(spark):
+    from tessera.operators import camera
+    from tessera.plans.catalog import _Camera
+    from tessera.sources.world import LOD
+    cam = _Camera(spark, SF_SMALL)
+    table = spark.createDataFrame(LOD, "kind string, min_depth double, stamp_id int")
+    cols = ["obs_id", "target_id", "eff_stamp"]
+    assert _same_rows(camera.choose_lod_table(cam.projected, table).select(*cols), camera.choose_lod(cam.projected, LOD).select(*cols))
