@@ -508,6 +508,22 @@ def q_m_refill(spark, sf):
     return _Tick(spark, sf).a8.select("id", "ammo", "last_refill")
 
 
+@query
+def q_m_upsert(spark, sf):
+    """A stored table of current actions: created from the log before ``CLEAR_CUTOFF``, then
+    brought up to date by the rest in one batch, in which a key whose last action is 'd'
+    leaves."""
+    from tessera.session import scratch_path
+    from tessera.sources.state_table import StateTable
+    from tessera.streaming.jobs import LATEST
+    acts = World(spark, sf).actions().withColumn("gone", F.col("action") == "d")
+    early = F.col("ts") < F.lit(CLEAR_CUTOFF).cast("timestamp_ntz")
+    table = StateTable(spark, scratch_path(spark, "current"), ["key"], LATEST)
+    table.create(acts.filter(early), order=["ts", "seq"])
+    table.merge(acts.filter(~early), batch=0, order=["ts", "seq"], delete="gone")
+    return table.read()
+
+
 @query
 def q_m_clear_actions(spark, sf):
     from tessera.operators import state
@@ -641,6 +657,18 @@ def q_s_latest_action(spark, sf):
     return out.select("key", "window_start", "window_end", "action", "ts", "seq")
 
 
+@query
+def q_s_upsert(spark, sf):
+    """The current action of every key, kept in a stored table by the stream of actions."""
+    from tessera.session import scratch_path
+    from tessera.sources.state_table import StateTable
+    from tessera.streaming import jobs
+    table = StateTable(spark, scratch_path(spark, "current"), ["key"], jobs.LATEST)
+    table.create(spark.createDataFrame([], jobs.LATEST))
+    jobs.latest_action_table(jobs.action_stream(spark, sf), table)
+    return table.read()
+
+
 @query
 def q_s_token_bucket(spark, sf):
     from tessera.streaming import jobs

@@ -128,6 +128,9 @@ oracle("m_expire_hits", f"SELECT {_BK}, id FROM remaining", "remaining")
 oracle("m_respawn", f"SELECT id, {q6('x')} AS x, {q6('y')} AS y, {q6('dir')} AS dir FROM a6", "a6")
 oracle("m_reset", "SELECT id, hp, ammo FROM a7", "a7")
 oracle("m_refill", "SELECT id, ammo, last_refill FROM a8", "a8")
+oracle("m_upsert", """
+SELECT l.key, l.action, l.ts, l.seq FROM latest l
+WHERE NOT (l.action = 'd' AND l.ts >= TIMESTAMP '2024-01-15 00:00:00')""", "latest")
 oracle("m_clear_actions", """
 SELECT a.key, a.seq, a.action FROM actions a
 LEFT JOIN (SELECT key, arg_max(seq, (ts, seq)) AS off FROM actions
@@ -269,6 +272,7 @@ SELECT key, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTER
 FROM actions GROUP BY key, date_trunc('day', ts)
 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM actions) - INTERVAL 1 HOUR""",
        "actions")
+ORACLE["s_upsert"] = ORACLE["m_latest_action"]
 ORACLE["s_token_bucket"] = ORACLE["m_token_bucket"]
 oracle("s_held_action", """
 WITH t AS (SELECT event_id AS tick_id, user_id AS key,

@@ -18,6 +18,7 @@ from tessera.functions.asof import asof_backward
 from tessera.functions.num import epoch_micros
 from tessera.operators.state import round_second
 from tessera.session import scratch_path
+from tessera.sources.state_table import StateTable
 from tessera.sources.world import ACTION_OF_EVENT
 
 EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
@@ -123,3 +124,28 @@ def held_action(ticks: DataFrame, actions: DataFrame, tolerance_us: int = 100_00
     t = ticks.select("tick_id", "key", "tick_us")
     m = asof_backward(t, a, "key", "tick_us", "us", ["seq"], ["action"], tolerance_us, out="_m")
     return m.select("tick_id", "key", "tick_us", F.col("_m.action").alias("action"))
+
+
+# ---- state kept up to date by a stream ---------------------------------------------
+
+def run_batches(df: DataFrame, name: str, apply, ckpt: str | None = None) -> str:
+    """Run a streaming DataFrame over everything available, each micro-batch through
+    ``apply(rows, batch_id)``; gives the checkpoint, from which a later call goes on."""
+    ckpt = ckpt or scratch_path(df.sparkSession, f"{name}-ckpt")
+    q = (df.writeStream.outputMode("append").foreachBatch(apply).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return ckpt
+
+
+LATEST = "key long, action string, ts timestamp_ntz, seq long"
+
+
+def latest_action_table(actions: DataFrame, table: StateTable, ckpt: str | None = None) -> str:
+    """Keeps ``table`` (columns ``LATEST``) at the newest action of every key.  Each micro-batch
+    rewrites the buckets of its keys; one that is delivered twice changes nothing."""
+    def apply(rows: DataFrame, batch: int) -> None:
+        table.merge(rows.select("key", "action", "ts", "seq"), batch, order=["ts", "seq"])
+    return run_batches(actions, "latest", apply, ckpt)
