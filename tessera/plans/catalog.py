@@ -686,3 +686,47 @@ def q_s_held_action(spark, sf):
         F.col("event_id").alias("tick_id"), F.col("user_id").alias("key"),
         (epoch_micros("ts") + (F.col("event_id") % 4) * 50_000).alias("tick_us"))
     return jobs.held_action(ticks, w.actions()).select("tick_id", "key", "tick_us", "action")
+
+
+HELD_DELAY_S, HELD_TOLERANCE_US = 3600, 100_000
+
+
+@query
+def q_s_held_join(spark, sf):
+    """Held actions from two streams; of ticks the watermark has passed for certain."""
+    from tessera.functions.num import epoch_micros
+    from tessera.streaming import jobs, keys
+    acts = jobs.action_stream(spark, sf)
+    tick_us = epoch_micros("ts") + (F.col("event_id") % 4) * 50_000
+    ticks = keys.row_stream(spark, sf, "events").select(
+        F.col("event_id").alias("tick_id"), F.col("user_id").alias("key"), tick_us.alias("tick_us"))
+    pairs = jobs.run_to_parquet(keys.held_pairs(ticks, acts, HELD_TOLERANCE_US, f"{HELD_DELAY_S} seconds"), "s_held_join")
+    last = World(spark, sf).actions().agg(F.max(epoch_micros("ts"))).scalar()
+    return keys.held_of_pairs(pairs).filter(F.col("tick_us") < last - (HELD_DELAY_S + 1) * 1_000_000)
+
+
+RELEASE_HOLD_S, RELEASE_DELAY_S = 6 * 3600, 3600
+
+
+@query
+def q_s_key_release(spark, sf):
+    """Intervals in which a key was held, each press counting for ``RELEASE_HOLD_S``."""
+    from tessera.streaming import jobs, keys
+    out = keys.release_intervals(jobs.action_stream(spark, sf), RELEASE_HOLD_S * 1_000_000, f"{RELEASE_DELAY_S} seconds")
+    return jobs.run_to_parquet(out, "s_key_release")
+
+
+@query
+def q_s_enforce_keys(spark, sf):
+    """Lineitem as a stream against its primary key, NOT NULL and three foreign keys: how many
+    rows of each key are accepted, and how many break which rule."""
+    from tessera.streaming import keys
+    w = World(spark, sf)
+    good, bad = keys.enforce_keys(
+        keys.row_stream(spark, sf, "lineitem"), "s_enforce_keys", ["l_orderkey", "l_linenumber"], "l_shipdate", "36500 days",
+        required=["l_quantity"],
+        parents=[("fk_orders", ["l_orderkey"], w.table("orders"), ["o_orderkey"]),
+                 ("fk_part", ["l_partkey"], w.table("part"), ["p_partkey"]),
+                 ("fk_supplier", ["l_suppkey"], w.table("supplier"), ["s_suppkey"])])
+    rows = good.withColumn("rule", F.lit("accepted")).unionByName(bad)
+    return rows.groupBy("rule", "l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))

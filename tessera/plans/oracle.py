@@ -280,3 +280,30 @@ WITH t AS (SELECT event_id AS tick_id, user_id AS key,
 a AS (SELECT key, epoch_us(ts) AS us, seq, action FROM actions)
 SELECT t.tick_id, t.key, t.tick_us, CASE WHEN t.tick_us - a.us <= 100000 THEN a.action END AS action
 FROM t ASOF LEFT JOIN a ON t.key = a.key AND t.tick_us >= a.us""", "actions")
+oracle("s_held_join", """
+WITH t AS (SELECT event_id AS tick_id, user_id AS key, epoch_us(ts) + (event_id % 4) * 50000 AS tick_us FROM events),
+a AS (SELECT key, epoch_us(ts) AS us, seq, action FROM actions)
+SELECT t.tick_id, t.key, t.tick_us, arg_max(a.action, (a.us, a.seq)) AS action
+FROM t LEFT JOIN a ON a.key = t.key AND a.us BETWEEN t.tick_us - 100000 AND t.tick_us
+WHERE t.tick_us < (SELECT max(us) FROM a) - 3601000000
+GROUP BY t.tick_id, t.key, t.tick_us""", "actions")
+# gaps and islands, and of these the islands that the watermark has passed
+oracle("s_key_release", """
+WITH p AS (SELECT key, action, epoch_us(ts) AS us FROM actions),
+b AS (SELECT *, coalesce(us - lag(us) OVER w > 21600000000, true) AS first FROM p WINDOW w AS (PARTITION BY key, action ORDER BY us)),
+i AS (SELECT *, sum(first::INT) OVER (PARTITION BY key, action ORDER BY us ROWS UNBOUNDED PRECEDING) AS island FROM b)
+SELECT key, action, min(us) AS pressed, max(us) + 21600000000 AS released, count(*) AS presses
+FROM i GROUP BY key, action, island
+HAVING max(us) + 21600000000 < (SELECT max(us) // 1000 * 1000 FROM p) - 3600000000""", "actions")
+oracle("s_enforce_keys", """
+WITH c AS (
+  SELECT l_orderkey, l_linenumber,
+    CASE WHEN l_orderkey IS NULL OR l_linenumber IS NULL OR l_quantity IS NULL OR l_shipdate IS NULL THEN 'not_null'
+         WHEN l_orderkey NOT IN (SELECT o_orderkey FROM orders) THEN 'fk_orders'
+         WHEN l_partkey IS NOT NULL AND l_partkey NOT IN (SELECT p_partkey FROM part) THEN 'fk_part'
+         WHEN l_suppkey IS NOT NULL AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier) THEN 'fk_supplier' END AS rule
+  FROM lineitem),
+g AS (SELECT rule, l_orderkey, l_linenumber, count(*) AS n FROM c GROUP BY ALL)
+SELECT rule, l_orderkey, l_linenumber, n FROM g WHERE rule IS NOT NULL
+UNION ALL SELECT 'accepted', l_orderkey, l_linenumber, 1 FROM g WHERE rule IS NULL
+UNION ALL SELECT 'pk', l_orderkey, l_linenumber, n - 1 FROM g WHERE rule IS NULL AND n > 1""")

@@ -43,9 +43,10 @@ def action_stream(spark: SparkSession, sf_dir: str, table: str = "events",
             .filter(F.col("action").isNotNull()))
 
 
-def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
+def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append", progress: list | None = None) -> DataFrame:
     """Run a streaming DataFrame over everything available, write it to a parquet
-    table below the checkpoint folder, and read that table back."""
+    table below the checkpoint folder, and read that table back.  ``progress`` receives
+    Spark's reports of the micro-batches."""
     spark = df.sparkSession
     sink, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
     q = (df.writeStream.format("parquet").outputMode(output_mode)
@@ -53,7 +54,9 @@ def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append") -> Dat
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(sink)
+    if progress is not None:
+        progress.extend(q.recentProgress)
+    return spark.read.schema(df.schema).parquet(sink)
 
 
 def latest_action_windows(actions: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
