@@ -33,6 +33,7 @@ from tessera.functions.joins import bounded_broadcast
 from tessera.functions.num import cell, explode_range, floor_cell, idiv
 from tessera.operators import sight
 from tessera.params import ViewParams
+from tessera.session import staged
 
 # Fixed depth-band glyphs of the reference renderer, nearest first, then sky/ground.
 BAND_GLYPHS = ("█", "▓", "▒", "░")
@@ -235,8 +236,10 @@ def observer_view(observers: DataFrame, grid, vp: ViewParams = ViewParams(), see
 
 
 def top_pixels(nearest: DataFrame) -> DataFrame:
-    """(id, top): the nearest target pixels of an observer (at most one per screen cell)."""
-    return nearest.groupBy("id").agg(F.collect_list(F.struct("px", "py", "ch", "depth")).alias("top"))
+    """(id, top): the nearest target pixels of an observer (at most one per screen cell), by
+    screen row."""
+    rows = nearest.groupBy("id", "py").agg(F.collect_list(F.struct("px", "ch", "depth")).alias("row"))
+    return rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("py", "row"))).alias("top"))
 
 
 def view_rows(vp: ViewParams = ViewParams()) -> Column:
@@ -244,7 +247,7 @@ def view_rows(vp: ViewParams = ViewParams()) -> Column:
     last, h = (vp.view_h if vp.inclusive_edge else vp.view_h - 1), vp.view_h
     base = (f"array_join(transform(cols, c -> CASE WHEN y < ({h} - c.height) DIV 2 THEN '{SKY}' "
             f"WHEN y >= ({h} + c.height) DIV 2 THEN '{GROUND}' ELSE c.band END), '')")
-    patch = "filter(top, p -> p.py = y AND p.depth < get(cols, p.px).extent)"
+    patch = "filter(coalesce(top[y], array()), p -> p.depth < get(cols, p.px).extent)"
     return F.expr(f"transform(sequence(0, {last}), y -> aggregate({patch}, {base}, "
                   "(acc, p) -> overlay(acc PLACING p.ch FROM p.px + 1 FOR 1)))")
 
@@ -301,10 +304,35 @@ def coverage_map(cover: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
 
 def coverage_stats(cell_set: DataFrame) -> DataFrame:
     """Per observer: cells seen, blocked cells seen, and seen cells that at least
-    one other observer also sees (observers per cell, pre-aggregated per cell)."""
+    one other observer also sees (observers per cell, pre-aggregated per cell).
+    The cells are computed once and written, as both counts read them."""
+    cell_set = staged(cell_set, "cells-seen")
     per_cell = cell_set.groupBy("tile_x", "tile_y").agg(F.count("*").alias("watchers"))
     return (cell_set.join(per_cell, ["tile_x", "tile_y"])
             .groupBy("id")
             .agg(F.count("*").alias("cells_seen"),
                  F.count_if(F.col("tile") == "#").alias("walls_seen"),
                  F.count_if(F.col("watchers") >= 2).alias("shared_cells")))
+
+
+def coverage_bitmaps(cell_set: DataFrame, width: int) -> DataFrame:
+    """(id, block, bits): the cells an observer sees, a bitmap of 32,768 cells a block.  Cells
+    are numbered row by row, so what is near lies in one or two blocks."""
+    number = F.col("tile_y") * F.lit(width).cast("long") + F.col("tile_x")
+    return (cell_set.groupBy("id", F.bitmap_bucket_number(number).alias("block"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits")))
+
+
+def coverage_rollup(bitmaps: DataFrame, teams: DataFrame) -> DataFrame:
+    """(level, team, id, cells_seen): cells seen by every observer, by all observers of a team
+    together, and by all of the world; ``teams``: (id, team), a NULL team is one.
+
+    Each level is the union of the bitmaps of the one below (``bitmap_or_agg``, reduced in
+    every task before the exchange), so no cell row is counted distinct again and the march
+    that made the bitmaps runs once for all three."""
+    t = teams.select(F.col("id").alias("t_id"), "team")
+    b = bitmaps.join(t, F.col("id") == F.col("t_id"), "left").select("id", "team", "block", "bits")
+    sets = b.groupingSets([("block", "team", "id"), ("block", "team"), ("block",)], "block", "team", "id")
+    level = F.when(F.grouping_id() == 0, "observer").when(F.grouping_id() == 1, "team").otherwise("world")
+    united = sets.agg(level.alias("level"), F.bitmap_or_agg("bits").alias("bits"))
+    return (united.groupBy("level", "team", "id").agg(F.sum(F.bitmap_count("bits")).alias("cells_seen")))

@@ -6,10 +6,11 @@ Rectangles are ``(x1, y1, x2, y2)`` inclusive integer corners.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.num import explode_range, idiv
+from tessera.functions.ranking import add_prefix_sums, with_bucket
 
 # Fixed tile values of the reference's map.
 WALL, FLOOR, RESPAWN = "#", ".", "R"
@@ -59,6 +60,33 @@ def rasterize_rects(rects: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             .select(*keep, "x", explode_range("y1", "y2").alias("y")))
 
 
+def overlap_runs(rects: DataFrame, weight: str | None = None, bucket: int = 4096) -> DataFrame:
+    """(y, x1, x2, n): the runs of cells of a row that ``n`` rectangles cover, n other than 0.
+
+    A rectangle costs two signed events per row, where it begins and behind its end, and not
+    its area; equal places are added up before the exchange, and the running sum of a row
+    is split by pieces of ``bucket`` columns, so one row may hold a third of all events.
+    ``weight`` (1 by default) is what a rectangle counts: -1 takes away one that was counted
+    before.  Reversed rectangles, and those with a NULL corner or weight, cover nothing."""
+    w = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    rows = rects.filter("x1 <= x2").select(F.col("x1").cast("long"), F.col("x2").cast("long"), w.alias("w"), explode_range("y1", "y2").alias("y"))
+    ends = F.array(F.struct(F.col("x1").alias("x"), F.col("w").alias("d")), F.struct((F.col("x2") + 1).alias("x"), (-F.col("w")).alias("d")))
+    events = (rows.select(F.col("y").cast("long").alias("y"), F.inline(ends)).groupBy("y", "x").agg(F.sum("d").alias("d")).filter("d <> 0"))
+    e = add_prefix_sums(with_bucket(events, "y", F.floor(F.col("x") / bucket)), ["x"], {"n": F.col("d")})
+    # a run ends before the next event of its row, which may lie in a later piece
+    e = e.withColumn("_next", F.lead("x").over(Window.partitionBy("_k", "_b").orderBy("x")))
+    later = Window.partitionBy("_k2").orderBy("_b2")
+    pieces = (events.groupBy(F.struct("y").alias("_k2"), F.floor(F.col("x") / bucket).alias("_b2")).agg(F.min("x").alias("_first"))
+              .withColumn("_after", F.lead("_first").over(later)))
+    j = e.join(pieces, (F.col("_k") == F.col("_k2")) & (F.col("_b") == F.col("_b2")))
+    return j.filter("n <> 0").select("y", F.col("x").alias("x1"), (F.coalesce("_next", "_after") - 1).alias("x2"), "n")
+
+
+def overlap_counts(rects: DataFrame, weight: str | None = None) -> DataFrame:
+    """(x, y, n): how many rectangles cover each cell that any covers."""
+    return overlap_runs(rects, weight).select(explode_range("x1", "x2").alias("x"), "y", "n")
+
+
 def classify_cells(cells: DataFrame, layers: list[tuple[DataFrame, str]],
                    default: str = WALL) -> DataFrame:
     """Priority overlay on a lattice: ``layers`` is highest priority first, each a

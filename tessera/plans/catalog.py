@@ -57,6 +57,14 @@ def q_r_rasterize_rects(spark, sf):
     return raster.rasterize_rects(World(spark, sf).norm_rects(), keep=("k",))
 
 
+@query
+def q_r_overlap_counts(spark, sf):
+    """How many rectangles cover each cell, after every seventh was taken away again."""
+    rects = World(spark, sf).norm_rects()
+    gone = rects.filter(F.col("k") % 7 == 0).withColumn("weight", F.lit(-1))
+    return raster.overlap_counts(rects.withColumn("weight", F.lit(1)).unionByName(gone), "weight")
+
+
 @query
 def q_r_classify_cells(spark, sf):
     return World(spark, sf).grid()
@@ -184,7 +192,7 @@ class _Camera:
     def with_top(self, view):
         """Views with their nearest target pixels; the rows of ``view_rows`` hide those
         behind the column's occluder."""
-        none = F.array().cast("array<struct<px:int,py:int,ch:string,depth:double>>")
+        none = F.create_map().cast("map<int,array<struct<px:int,ch:string,depth:double>>>")
         top = self.c.top_pixels(self.c.nearest_pixel(self.pixels()))
         return view.join(top, "id", "left").withColumn("top", F.coalesce("top", none))
 
@@ -303,6 +311,13 @@ def q_c_coverage_stats(spark, sf):
     return cam.c.coverage_stats(cam.cell_set())
 
 
+@query
+def q_c_coverage_bitmaps(spark, sf):
+    """Cells seen by each observer, by each team and by all, from bitmaps of one march."""
+    cam = _Camera(spark, sf)
+    return cam.c.coverage_rollup(cam.c.coverage_bitmaps(cam.cell_set(), cam.w.width), cam.w.actors().select("id", "team"))
+
+
 # ---- J ------------------------------------------------------------------------
 
 BULLET_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]

@@ -17,6 +17,7 @@ oracle("r_normalize_rects", "SELECT k, x1, y1, x2, y2 FROM norm", "norm")
 oracle("r_filter_rects", "SELECT k, x1, y1, x2, y2 FROM rooms", "rooms")
 oracle("r_rect_centroids", "SELECT k, x, y FROM centroids", "centroids")
 oracle("r_rasterize_rects", "SELECT k, x, y FROM floors", "floors")
+oracle("r_overlap_counts", "SELECT x, y, count(*) AS n FROM floors WHERE k % 7 <> 0 GROUP BY x, y", "floors")
 oracle("r_classify_cells", "SELECT x, y, tile FROM grid", "grid")
 oracle("r_grid_extent", "SELECT max(x) AS max_x, max(y) AS max_y FROM grid", "grid")
 oracle("r_glyph_cells", """
@@ -87,6 +88,12 @@ FROM cellset c JOIN (SELECT tile_x, tile_y, count(*) AS n FROM cellset GROUP BY
   ON w.tile_x = c.tile_x AND w.tile_y = c.tile_y
 GROUP BY c.id""", "cellset")
 
+oracle("c_coverage_bitmaps", """
+WITH c AS (SELECT s.*, a.team FROM cellset s JOIN actors a ON a.id = s.id)
+SELECT 'observer' AS level, team, id, count(*) AS cells_seen FROM c GROUP BY team, id
+UNION ALL SELECT 'team', team, NULL, count(DISTINCT (tile_x, tile_y)) FROM c GROUP BY team
+UNION ALL SELECT 'world', NULL, NULL, n FROM (SELECT count(DISTINCT (tile_x, tile_y)) AS n FROM c) t WHERE n > 0""", "cellset", "actors")
+
 # ---- J ------------------------------------------------------------------------
 _BK = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 oracle("j_cell_join", f"""

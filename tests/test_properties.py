@@ -401,3 +401,68 @@ def test_lod_table_equals_the_fixed_chain(spark):
     table = spark.createDataFrame(LOD, "kind string, min_depth double, stamp_id int")
     cols = ["obs_id", "target_id", "eff_stamp"]
     assert _same_rows(camera.choose_lod_table(cam.projected, table).select(*cols), camera.choose_lod(cam.projected, LOD).select(*cols))
+
+
+def test_overlap_counts_by_brute_force(spark):
+    """Overlaps, touching and equal rectangles, removed ones, pieces cut anywhere, a row that all share,
+    reversed and NULL corners, negative places."""
+    import random
+    from collections import Counter
+    from tessera.operators import raster
+    rnd = random.Random(2)
+    rects = []
+    for _ in range(60):
+        x, y = rnd.randrange(-20, 60), rnd.randrange(-5, 12)
+        rects.append((x, y, x + rnd.randrange(-1, 25), y + rnd.randrange(-1, 4), rnd.choice([1, 1, 1, 2, -1])))
+    rects += [(3, 0, 40, 0, 1)] * 30 + [(None, 1, 2, 2, 1), (0, None, 2, 2, 1), (0, 0, 5, 1, None), (7, 3, 7, 3, 0)]
+    want = Counter()
+    for x1, y1, x2, y2, w in rects:
+        if None not in (x1, y1, x2, y2, w):
+            for x in range(x1, x2 + 1):
+                for y in range(y1, y2 + 1):
+                    want[x, y] += w
+    want = {c: n for c, n in want.items() if n}
+    df = spark.createDataFrame(rects, "x1 int, y1 int, x2 int, y2 int, w int").repartition(4)
+    for bucket in (4096, 7, 1):
+        runs = raster.overlap_runs(df, "w", bucket).collect()
+        cells = [((x, r.y), r.n) for r in runs for x in range(r.x1, r.x2 + 1)]
+        assert dict(cells) == want and len(cells) == len(want)
+    assert {(r.x, r.y): r.n for r in raster.overlap_counts(df, "w").collect()} == want
+    assert raster.overlap_runs(df.filter("false")).count() == 0
+
+
+def test_a_large_rectangle_costs_its_height(spark):
+    from tessera.operators import raster
+    big = spark.createDataFrame([(0, 0, 9999, 9999, 1), (100, 100, 199, 149, 1), (100, 100, 199, 149, -1), (5000, 9000, 20000, 9001, 1)],
+                                "x1 long, y1 long, x2 long, y2 long, w int")
+    runs = raster.overlap_runs(big, "w")
+    got = runs.groupBy("x1", "x2", "n").agg(F.count("*").alias("rows"), F.min("y").alias("y0"), F.max("y").alias("y1")).collect()
+    assert {tuple(r) for r in got} == {(0, 9999, 1, 9998, 0, 9999), (0, 4999, 1, 2, 9000, 9001), (5000, 9999, 2, 2, 9000, 9001),
+                                       (10000, 20000, 1, 2, 9000, 9001)}
+
+
+def test_coverage_bitmaps_by_brute_force(spark):
+    """Blocks of 32,768 cells and their borders, observers without a team or a cell, one cell that all see."""
+    import random
+    from tessera.operators import camera
+    rnd = random.Random(3)
+    width = 1000
+    seen = {(i, rnd.randrange(width), rnd.randrange(200)) for i in range(30) for _ in range(rnd.randrange(40))}
+    seen |= {(i, 768, 32) for i in range(30)} | {(i, 767, 32) for i in range(0, 30, 2)} | {(31, 0, 0), (31, 999, 10 ** 9)}
+    teams = {i: rnd.choice([None, 1, 2]) for i in range(33)}
+    cells = spark.createDataFrame(sorted(seen), "id long, tile_x long, tile_y long").repartition(5)
+    out = camera.coverage_rollup(camera.coverage_bitmaps(cells, width), spark.createDataFrame(list(teams.items()), "id long, team int")).collect()
+    want = {("world", None, None): len({c[1:] for c in seen})}
+    for i in {c[0] for c in seen}:
+        want["observer", teams[i], i] = len([c for c in seen if c[0] == i])
+    for t in {teams[c[0]] for c in seen}:
+        want["team", t, None] = len({c[1:] for c in seen if teams[c[0]] == t})
+    assert {(r.level, r.team, r.id): r.cells_seen for r in out} == want and len(out) == len(want)
+
+
+def test_one_march_feeds_all_coverage_counts(spark):
+    from tessera.plans.catalog import QUERIES
+    import re
+    for key, marches in (("l_first_hit", 1), ("c_coverage_bitmaps", 1), ("c_coverage_stats", 0)):      # 0: read back
+        plan = QUERIES[key](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"Generate .*\[n#\d+\]", plan)) == marches, key
