@@ -114,6 +114,14 @@ def q_l_first_hit(spark, sf):
     return sight.first_hit(w.actors(), w.packed(), w.vp).select("id", "col", "n", q6("dist").alias("dist"))
 
 
+@query
+def q_l_skip_hits(spark, sf):
+    """First hits by jumps over empty space."""
+    from tessera.operators import skip
+    w = World(spark, sf)
+    return skip.skip_hits(w.actors(), w.packed(), w.vp).select("id", "col", "n", q6("dist").alias("dist"))
+
+
 @query
 def q_l_ray_depth(spark, sf):
     w = World(spark, sf)

@@ -39,6 +39,7 @@ oracle("l_visible_cells",
 oracle("l_first_hit", f"""
 SELECT id, col, min(n) AS n, {q6('min(dist)')} AS dist
 FROM march WHERE tile = '#' GROUP BY id, col""", "march")
+ORACLE["l_skip_hits"] = ORACLE["l_first_hit"]
 oracle("l_ray_depth",
        f"SELECT id, col, {q6('angle')} AS angle, {q6('depth')} AS depth FROM depths", "depths")
 oracle("l_ray_extent", f"SELECT id, col, {q6('extent')} AS extent FROM extent", "extent")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions.num import q6
 from tessera.functions.ranking import bucket_count, number_rows, number_rows_once, prefix_sums
 from tessera.operators import camera, sight, spatial
 from tessera.params import ViewParams
@@ -466,3 +467,48 @@ def test_one_march_feeds_all_coverage_counts(spark):
     for key, marches in (("l_first_hit", 1), ("c_coverage_bitmaps", 1), ("c_coverage_stats", 0)):      # 0: read back
         plan = QUERIES[key](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert len(re.findall(r"Generate .*\[n#\d+\]", plan)) == marches, key
+
+
+@pytest.mark.parametrize("cells,words", [(20, 1), (40, 2), (75, 3)])
+def test_distance_field_by_brute_force(cells, words):
+    """Also across the words of a row."""
+    import numpy as np
+    from tessera.operators import sight, skip
+    rnd = np.random.default_rng(cells)
+    code = rnd.choice([sight.OFF, sight.OPEN, sight.MARKED, sight.BLOCKED], size=(3, 17, cells), p=[.3, .4, .28, .02])
+    near = np.zeros((3, 17, words), np.uint64)
+    for x in range(cells):
+        near[:, :, x // 31] |= code[:, :, x].astype(np.uint64) << np.uint64(2 * (x % 31))
+    field = skip.distance_field(near)
+    for o in range(3):
+        walls = np.argwhere(code[o] == sight.BLOCKED)
+        for y in range(17):
+            for x in range(cells):
+                got = sum(int(field[k, o, y, x // 31] >> np.uint64(2 * (x % 31)) & np.uint64(1)) << k for k in range(3))
+                far = min((max(abs(y - v), abs(x - u)) for v, u in walls), default=99)
+                assert got == min(far, skip.FAR)
+
+
+def test_skipped_hits_equal_marched_hits(world, spark):
+    """In the world, and in a large empty one with a long view, axis-parallel rays and observers off
+    the grid; at most a third of the samples, and no step is shuffled."""
+    from tessera.operators import sight, skip
+    from tessera.operators.raster import PackedGrid
+    got = skip.skip_hits(world.actors(), world.packed(), world.vp)
+    assert _same_rows(got.select("id", "col", "n", q6("dist").alias("d")), sight.first_hit(world.actors(), world.packed(), world.vp).select("id", "col", "n", q6("dist").alias("d")))
+    samples = world.actors().count() * (world.vp.view_w + 1) * world.vp.max_steps
+    assert 0 < got.agg(F.sum("probes")).first()[0] * 3 <= samples
+    rnd = __import__("random").Random(5)
+    open_ = [(x, y) for x in range(150) for y in range(90) if rnd.random() > 0.01]
+    grid = PackedGrid.from_layers([(spark.createDataFrame(open_, "x long, y long"), ".")], 150, spark.range(90).selectExpr("id AS y"))
+    obs = [(i, rnd.uniform(-5, 155), rnd.uniform(-5, 95), rnd.uniform(-7, 7)) for i in range(30)]
+    obs += [(40 + i, 75.013, 45.017, i * 3.141592653589793 / 2) for i in range(4)] + [(50, None, 1.0, 1.0), (51, 1.0, 1.0, None)]
+    df = spark.createDataFrame(obs, "id long, x double, y double, dir double")
+    view = ViewParams(max_steps=350, view_w=33)
+    want = sight.first_hit(df.filter("x is not null and dir is not null"), grid, view).select("id", "col", "n", q6("dist").alias("d"))
+    out = skip.skip_hits(df, grid, view)
+    assert want.count() > 100 and _same_rows(out.select("id", "col", "n", q6("dist").alias("d")), want)
+    assert out.agg(F.sum("probes")).first()[0] * 3 <= 34 * 34 * 350
+    plan = skip.skip_hits(world.actors(), world.packed(), world.vp)._jdf.queryExecution().executedPlan().toString()
+    head = plan[:plan.index("MapInArrow")] + plan[plan.index("MapInArrow"):].split("SortAggregate")[0].split("ObjectHashAggregate")[0]
+    assert "Exchange" not in head
