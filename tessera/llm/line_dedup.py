@@ -180,22 +180,24 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     A key found in at least ``min_docs`` documents loses all its lines (``keep="none"``), or
     all but those in its first document (``keep="first"``: smallest id, null last, then text
     hash).  Null text is one empty line; an empty key is never dropped.  Rows sharing an id
-    are one document; rows without an id are told apart by their text.
+    are one document; rows without an id are told apart by their text.  Texts and lines of any
+    length are read whole; other columns, whatever their names, come back as they were; an
+    empty table gives an empty result.
     """
     sus, repeated = confirmed(docs, min_docs, min_chars, id_col, text_col, broadcast_bytes)
     hit = sus.join(repeated, "key")
     if keep == "first":
         hit = hit.filter((F.col("first.id") != F.col("id")) | (F.col("first.th") != F.col("th")))
-    drops = (hit.groupBy(F.col("id").alias("drop_id"), F.col("th").alias("drop_th"))
-             .agg(F.collect_set(F.col("key").cast("string")).alias("drop_keys")))
+    drops = hit.groupBy("id", "th").agg(F.collect_set(F.col("key").cast("string")).alias("keys")).alias("x")
     n_lines, n_dropped = out_names(docs)
     d = docs.alias("d")
     text = F.col(f"d.`{text_col}`")
     i, t = key_id(F.col(f"d.`{id_col}`")), key_text(F.col(f"d.`{id_col}`"), text)
-    joined = d.join(drops, (i == F.col("drop_id")) & (t == F.col("drop_th")), "left")
-    new = without(text, F.col("drop_keys"), line_key)
-    count = F.when(F.col("drop_keys").isNull(), F.lit(0)).otherwise(F.size(F.filter(
-        split_lines(text), lambda line: F.array_contains(F.col("drop_keys"), line_key(line)))))
+    joined = d.join(drops, (i == F.col("x.id")) & (t == F.col("x.th")), "left")
+    drop = F.col("x.keys")
+    new = without(text, drop, line_key)
+    count = F.when(drop.isNull(), F.lit(0)).otherwise(F.size(F.filter(
+        split_lines(text), lambda line: F.array_contains(drop, line_key(line)))))
     keep_cols = [new.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns]
     return joined.select(*keep_cols, F.size(split_lines(text)).cast("long").alias(n_lines),
                          count.cast("long").alias(n_dropped))

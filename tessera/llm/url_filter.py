@@ -94,16 +94,16 @@ def suffix_statistics(labelled: DataFrame) -> DataFrame:
                     ((F.col("b") + 1.0) / (F.col("n") + 2.0)).alias("suffix_blocked")))
 
 
-def with_features(urls: DataFrame, stats: DataFrame, url: str) -> DataFrame:
-    """``urls`` with a ``features`` vector column; a suffix without statistics is neutral."""
-    s = stats.select(F.col("suffix").alias("_suffix"), *[F.col(c).alias("_" + c) for c in SUFFIX])
-    out = urls.withColumn("_lex", lexical_udf(F.coalesce(F.col(url), F.lit(""))))
-    out = out.join(s, suffix_of(host_of(F.col(url))) == F.col("_suffix"), "left")
-    out = out.select(*urls.columns, *[F.col(f"_lex.{n}").alias(f"_x_{n}") for n in LEXICAL],
-                     F.coalesce("_suffix_urls", F.lit(0.0)).alias("_x_suffix_urls"),
-                     F.coalesce("_suffix_blocked", F.lit(0.5)).alias("_x_suffix_blocked"))
-    xs = [f"_x_{n}" for n in (*LEXICAL, *SUFFIX)]
-    return VectorAssembler(inputCols=xs, outputCol="features").transform(out).drop(*xs)
+def with_features(urls: DataFrame, stats: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(*keep, url, features): the columns ``keep`` of ``urls``, which has no others but ``url``
+    that a step here could meet; a suffix without statistics is neutral."""
+    s = stats.select(F.col("suffix").alias("of_suffix"), *SUFFIX)
+    out = urls.select(*keep, "url", lexical_udf(F.coalesce("url", F.lit(""))).alias("lex"))
+    out = out.join(s, suffix_of(host_of(F.col("url"))) == F.col("of_suffix"), "left")
+    out = out.select(*keep, "url", *[F.col(f"lex.{n}") for n in LEXICAL],
+                     F.coalesce("suffix_urls", F.lit(0.0)).alias("suffix_urls"),
+                     F.coalesce("suffix_blocked", F.lit(0.5)).alias("suffix_blocked"))
+    return VectorAssembler(inputCols=[*LEXICAL, *SUFFIX], outputCol="features").transform(out).select(*keep, "url", "features")
 
 
 def fit(labelled: DataFrame, per_class: int = 5000, trees: int = 15, depth: int = 4, seed: int = 7):
@@ -117,7 +117,7 @@ def fit(labelled: DataFrame, per_class: int = 5000, trees: int = 15, depth: int
     if not all(sizes):
         return stats, 1.0 if sizes[0] else 0.0
     # one sorted partition: sums in a fixed order, so reruns give the same trees
-    train = (with_features(few[0].union(few[1]), stats, "url")
+    train = (with_features(few[0].union(few[1]), stats, ["blocked"])
              .select("url", "features", F.col("blocked").cast("double").alias("label"))
              .coalesce(1).sortWithinPartitions(F.xxhash64("url"), "url").select("features", "label"))
     gbt = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, subsamplingRate=1.0, seed=seed,
@@ -132,23 +132,25 @@ def judge(pages: DataFrame, stats: DataFrame, model, block: Sequence[str], allow
     where ``pages`` has such columns already: see ``names``.
 
     A null URL, or one without ://, has empty host and path; no rule fits it and the model
-    judges it like any other.  Every row of the table gets its verdict, repeated ones too."""
+    judges it like any other.  Every row of the table gets its verdict, repeated ones too, and
+    URLs of any length are read whole.  Other columns come back as they were, whatever their
+    names; an empty table gives an empty result."""
     n = names(pages)
-    u = fresh(pages, "judged_url")
-    base = pages.withColumn(u, F.col(f"`{url_col}`"))
+    # the row travels as one value, so no column of it can meet one of a step
+    src = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), F.col(f"`{url_col}`").alias("url"))
     if isinstance(model, float):
-        out = base.withColumn(n["url_score"], F.lit(model))
+        out = src.withColumn("score", F.lit(model))
     else:
-        out = model.transform(with_features(base, stats, u))
-        out = out.withColumn(n["url_score"], vector_to_array("probability")[1]).drop(
-            "features", "rawPrediction", "probability", "prediction")
-    host, path = host_of(F.col(u)), path_of(F.col(u))
-    out = out.withColumns({n["url_host"]: F.coalesce(host, F.lit("")), n["url_path"]: F.coalesce(path, F.lit(""))})
-    out = out.withColumn(n["url_rule"], best_rule(F.col(n["url_host"]), F.col(n["url_path"]), [*block, *allow]))
-    rule = F.col(n["url_rule"])
+        out = model.transform(with_features(src, stats, ["page"])).withColumn("score", vector_to_array("probability")[1])
+    out = out.select("page", "score", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"),
+                     F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"))
+    out = out.withColumn("rule", best_rule(F.col("host"), F.col("path"), [*block, *allow]))
+    rule = F.col("rule")
     verdict = (F.when(rule.isin(list(block)), "block").when(rule.isNotNull(), "allow")
-               .when(F.col(n["url_score"]) >= threshold, "block").otherwise("allow"))
-    return out.withColumn(n["url_verdict"], verdict).drop(u)
+               .when(F.col("score") >= threshold, "block").otherwise("allow"))
+    return out.select(*[F.col("page")[c].alias(c) for c in pages.columns], F.col("host").alias(n["url_host"]),
+                      F.col("path").alias(n["url_path"]), rule.alias(n["url_rule"]), F.col("score").alias(n["url_score"]),
+                      verdict.alias(n["url_verdict"]))
 
 
 def names(pages: DataFrame) -> dict[str, str]:
