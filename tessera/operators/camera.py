@@ -163,6 +163,23 @@ def stamp_expand(lod: DataFrame, stamps: DataFrame, pixels: DataFrame,
     })
 
 
+def unhidden(lod: DataFrame, stamps: DataFrame, view: DataFrame, vp: ViewParams = ViewParams(),
+             catalogue_rows: int | None = None) -> DataFrame:
+    """The projected targets that may show a pixel: in front of the occluder of one of the
+    columns that their stamp spans at least.  ``view``: rows of ``observer_view``.  A target
+    behind a wall is dropped here, as one row, before it becomes its stamp's pixels."""
+    s = stamps.select(F.col("stamp_id").alias("_stamp"), F.col("w").alias("_w"))
+    j = lod.join(bounded_broadcast(s, known_rows=catalogue_rows), F.col("eff_stamp") == F.col("_stamp"))
+    j = j.join(view.select(F.col("id").alias("_id"), F.col("cols.extent").alias("_depths")), F.col("obs_id") == F.col("_id"))
+    # as in ``stamp_spans``, a column wider on the right
+    scale = (F.lit(vp.projection_factor) * F.col("world_w") / F.col("depth")) / F.col("_w")
+    left = F.col("screen_x") - F.rint((F.col("_w") / 2.0) * scale)
+    lo = F.greatest(left, F.lit(0)).cast("int")
+    hi = F.least(left + F.ceil(F.col("_w") * scale) + 1, F.lit(vp.view_w - 1)).cast("int")
+    farthest = F.array_max(F.slice("_depths", lo + 1, hi - lo + 1))
+    return j.filter((lo <= hi) & (F.col("depth") < F.when(lo <= hi, farthest))).select(*lod.columns)
+
+
 def stamp_spans(expanded: DataFrame, vp: ViewParams = ViewParams()) -> DataFrame:
     """Screen span of every texel: anchor = centre - round(size/2 * scale); texel
     [a + floor(s*scale), a + floor((s+1)*scale) - 1], widened to at least one pixel,
@@ -268,14 +285,29 @@ def near_icons(observers: DataFrame, mobs: DataFrame, vp: ViewParams = ViewParam
     return j.groupBy("id").agg(F.expr(f"map_from_entries(collect_list(struct(CAST((y - oy + {r}) * {b} + x - ox + {r} AS INT), icon))) AS icons"))
 
 
+_SEEN_BITS = 62                    # cells per LONG of the seen plane
+
+
+def seen_plane(vp: ViewParams = ViewParams()) -> Column:
+    """The cells of column ``seen`` (places) as bits, row by row of the square within reach."""
+    side = 2 * vp.reach + 1
+    n = -(-side // _SEEN_BITS)
+    inside = f"filter(seen, p -> p DIV {4 * side} = i DIV {n} AND ((p DIV 4) % {side}) DIV {_SEEN_BITS} = i % {n})"
+    return F.expr(f"transform(sequence(0, {side * n - 1}), i -> aggregate({inside}, 0L, "
+                  f"(acc, p) -> acc | shiftleft(1L, CAST(((p DIV 4) % {side}) % {_SEEN_BITS} AS INT))))")
+
+
 def coverage_chars(vp: ViewParams = ViewParams()) -> Column:
     """The (2r+1)^2 window around an observer, row by row, as an array of characters: the
     icon of a mob in a seen cell > seen tile (R shown as .) > remembered wall (floor shown
-    blank) > blank.  Needs columns seen, icons and those of ``sight.neighbourhood``."""
+    blank) > blank.  Needs columns plane (``seen_plane``), icons and those of
+    ``sight.neighbourhood``."""
     side = 2 * vp.reach + 1
-    code = sight.code_at(f"(_x0 + k % {side})", f"(_y0 + k DIV {side})", vp)
-    wall = f"{code} = {sight.BLOCKED}"
-    return F.expr(f"transform(sequence(0, {side * side - 1}), k -> CASE WHEN array_contains(seen, CAST(4 * k + {code} AS INT)) THEN "
+    n = -(-side // _SEEN_BITS)
+    wall = f"{sight.code_at(f'(_x0 + k % {side})', f'(_y0 + k DIV {side})', vp)} = {sight.BLOCKED}"
+    seen = (f"shiftrightunsigned(get(plane, CAST((k DIV {side}) * {n} + (k % {side}) DIV {_SEEN_BITS} AS INT)), "
+            f"CAST((k % {side}) % {_SEEN_BITS} AS INT)) & 1L = 1L")
+    return F.expr(f"transform(sequence(0, {side * side - 1}), k -> CASE WHEN {seen} THEN "
                   f"coalesce(icons[k], CASE WHEN {wall} THEN '#' ELSE '.' END) WHEN {wall} THEN '#' ELSE ' ' END)")
 
 
@@ -285,7 +317,9 @@ def coverage(observers: DataFrame, grid, mobs: DataFrame, vp: ViewParams = ViewP
     near = sight.neighbourhood(observers, grid, vp)
     v = observer_view(observers, grid, vp, seen=True, near=near)
     v = v.join(near.select("id", "_x0", "_y0", "_near"), "id").join(near_icons(observers, mobs, vp), "id", "left")
-    v = v.withColumn("icons", F.expr("coalesce(icons, CAST(map() AS MAP<INT, STRING>))"))
+    # an inline of one row keeps the plane from being made again per cell
+    v = v.select("id", "_x0", "_y0", "_near", "cols", F.expr("coalesce(icons, CAST(map() AS MAP<INT, STRING>)) AS icons"),
+                 F.inline(F.array(F.struct(seen_plane(vp).alias("plane")))))
     return v.select("id", F.col("_x0").alias("x0"), F.col("_y0").alias("y0"), coverage_chars(vp).alias("cover"), "cols")
 
 

@@ -8,6 +8,7 @@ target row however many rows match, so matches are reduced to distinct keys firs
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -271,33 +272,56 @@ def _refill_fold(capacity: int, interval_us: int):
     ``last`` is a whole second and the interval is at least one, so either every event of a
     second is late enough for a refill or none is, and a second has one refill at most: at
     its first event, or, with a full bucket, at its first spending event.  The state
-    carried from second to second (and from batch to batch) is three numbers."""
+    carried from second to second (and from batch to batch) is three numbers.  The loop goes
+    from refill to refill: what lies between is a binary search and a difference of sums."""
+    def of_key(c, state, out):
+        started, k, used, last = state
+        sec, spent = c["sec"], np.concatenate([[0], np.cumsum(c["n"])])
+        if not started:
+            k, used, last = capacity, 0, round_second(int(c["us"][0]))
+        i, m = 0, len(sec)
+        while i < m:
+            late = max(i, int(np.searchsorted(sec, -(-(last + interval_us) // 1_000_000))))
+            used += int(spent[late] - spent[i])
+            if late == m:
+                break
+            i, tokens, n = late, max(0, k - used), int(c["n"][late])
+            if tokens == capacity and not n:
+                # full and nothing spent: the clock stands up to the next second with a shot
+                i = int(np.searchsorted(spent, spent[i] + 1)) - 1
+                continue
+            us, seq, after = int(c["us"][i]), c["seq"][i], n
+            if c["x"][i]:
+                tokens, after = max(0, tokens - 1), n - 1
+            elif tokens == capacity:
+                tokens, us, seq, after = capacity - 1, int(c["sus"][i]), c["sseq"][i], n - 1
+            k = min(capacity, tokens + (us - last) // interval_us)
+            last, used = round_second(us), after
+            out.append((us, seq, k))
+            i += 1
+        return True, k, used, last
+
     def run(batches):
-        cur, started, k, used, last = None, False, 0, 0, 0
+        cur, state = None, (False, capacity, 0, 0)
         for b in batches:
-            out = []
-            names = ("key", "sec", "us", "seq", "x", "sus", "sseq", "n")
-            for key, sec, us, seq, x, sus, sseq, n in zip(*(b.column(c).to_pylist() for c in names)):
-                if not started or key != cur:
-                    cur, started, k, used, last = key, True, capacity, 0, round_second(us)
-                if sec * 1_000_000 < last + interval_us:
-                    used += n
-                    continue
-                tokens = max(0, k - used)
-                if x:
-                    tokens, after = max(0, tokens - 1), n - 1
-                elif tokens != capacity:
-                    after = n
-                elif n:
-                    tokens, us, seq, after = capacity - 1, sus, sseq, n - 1
-                else:
-                    continue                      # full and nothing spent: the clock stands
-                k = min(capacity, tokens + (us - last) // interval_us)
-                last, used = round_second(us), after
-                out.append((key, us, seq, k))
-            if out:
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))],
+            c = {n: b.column(n).to_numpy(zero_copy_only=False) for n in ("sec", "us", "x", "n")}
+            c["sus"] = b.column("sus").fill_null(0).to_numpy()          # null without a shot
+            keys, seqs = b.column("key").to_pylist(), {n: b.column(n).to_pylist() for n in ("seq", "sseq")}
+            rows, at = [], 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if not (state[0] and keys[at] == cur):
+                    cur, state = keys[at], (False, capacity, 0, 0)
+                part = {n: v[at:end] for n, v in {**c, **seqs}.items()}
+                found = []
+                state = of_key(part, state, found)
+                rows += [(cur, *f) for f in found]
+                at = end
+            if rows:
+                cols = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))],
                                                  ["key", "us", "seq", "k"])
     return run
 

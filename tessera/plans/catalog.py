@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.num import q6
 from tessera.operators import raster, sight
+from tessera.session import staged
 from tessera.sources.world import World
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,15 +182,15 @@ class _Camera:
     def base(self):
         return self.c.column_raster(self.heights, self.w.vp)
 
-    def expanded(self):
-        return self.c.stamp_expand(self.lod, self.w.stamps(), self.w.stamp_pixels(), self.w.vp,
+    def expanded(self, lod=None):
+        return self.c.stamp_expand(lod or self.lod, self.w.stamps(), self.w.stamp_pixels(), self.w.vp,
                                    catalogue_rows=self.catalogue_rows)
 
-    def spans(self):
-        return self.c.stamp_spans(self.expanded(), self.w.vp)
+    def spans(self, lod=None):
+        return self.c.stamp_spans(self.expanded(lod), self.w.vp)
 
-    def pixels(self):
-        return self.c.span_pixels(self.spans())
+    def pixels(self, lod=None):
+        return self.c.span_pixels(self.spans(lod))
 
     def occluded(self):
         return self.c.occlude(self.pixels(), sight.ray_extent(self.rays), self.w.vp)
@@ -199,9 +200,12 @@ class _Camera:
 
     def with_top(self, view):
         """Views with their nearest target pixels; the rows of ``view_rows`` hide those
-        behind the column's occluder."""
+        behind the column's occluder.  The views are computed once and written, as they also
+        tell which targets stand behind walls and need no pixels."""
+        view = staged(view, "views")
+        shown = self.c.unhidden(self.lod, self.w.stamps(), view, self.w.vp, catalogue_rows=self.catalogue_rows)
         none = F.create_map().cast("map<int,array<struct<px:int,ch:string,depth:double>>>")
-        top = self.c.top_pixels(self.c.nearest_pixel(self.pixels()))
+        top = self.c.top_pixels(self.c.nearest_pixel(self.pixels(shown)))
         return view.join(top, "id", "left").withColumn("top", F.coalesce("top", none))
 
     def view(self):

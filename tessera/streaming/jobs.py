@@ -76,7 +76,30 @@ TOKEN_OUT = "key long, seq long, allowed int, tokens int"
 TOKEN_STATE = "tokens int, last long"
 
 
-_EMIT_ROWS = 10_000
+def fold_shots(us: np.ndarray, x: np.ndarray, tokens: int, last: int, capacity: int, interval_us: int):
+    """(allowed, tokens left) per event in order, and the state after the last one.  The loop
+    goes from refill to refill: between two, the first ``tokens`` shots are allowed."""
+    allowed, left = np.zeros(len(us), np.int32), np.zeros(len(us), np.int32)
+    shots = np.concatenate([[0], np.cumsum(x)])
+    i, m = 0, len(us)
+    while i < m:
+        late = max(i, int(np.searchsorted(us, last + interval_us)))
+        if late > i:
+            spent = shots[i + 1:late + 1] - shots[i]
+            allowed[i:late] = x[i:late] & (spent <= tokens)
+            left[i:late] = tokens - np.minimum(spent, tokens)
+            tokens, i = int(left[late - 1]), late
+            continue
+        if tokens == capacity and not x[i]:          # full: the clock stands up to the next shot
+            shot = int(np.searchsorted(shots, shots[i] + 1)) - 1
+            left[i:shot] = capacity
+            i = shot
+            continue
+        t, ok = int(us[i]), bool(x[i]) and tokens > 0
+        tokens = min(capacity, tokens - ok + (t - last) // interval_us)
+        allowed[i], left[i], last = ok, tokens, round_second(t)
+        i += 1
+    return allowed, left, tokens, last
 
 
 def _token_state_fn(capacity: int, interval_us: int):
@@ -86,20 +109,11 @@ def _token_state_fn(capacity: int, interval_us: int):
         parts = [(p["us"].to_numpy(), p["seq"].to_numpy(), (p["action"] == "x").to_numpy()) for p in pdfs]
         us, seq, x = (np.concatenate(c) for c in zip(*parts))
         order = np.lexsort((seq, us))
-        tok, last = map(int, state.get) if state.exists else (capacity, round_second(int(us[order[0]])))
-        for at in range(0, len(order), _EMIT_ROWS):
-            part = order[at:at + _EMIT_ROWS]
-            allowed, left = [], []
-            for t, shot in zip(us[part].tolist(), x[part].tolist()):
-                ok = 1 if shot and tok > 0 else 0
-                tok -= ok
-                if tok != capacity and t - last >= interval_us:
-                    tok, last = min(capacity, tok + (t - last) // interval_us), round_second(t)
-                allowed.append(ok)
-                left.append(tok)
-            yield pd.DataFrame({"key": pd.array([key[0]] * len(part), dtype="Int64"), "seq": seq[part],
-                                "allowed": allowed, "tokens": left})
-        state.update((tok, last))
+        us, seq, x = us[order], seq[order], x[order]
+        tokens, last = map(int, state.get) if state.exists else (capacity, round_second(int(us[0])))
+        allowed, left, tokens, last = fold_shots(us, x, tokens, last, capacity, interval_us)
+        state.update((tokens, last))
+        yield pd.DataFrame({"key": pd.array([key[0]] * len(us), dtype="Int64"), "seq": seq, "allowed": allowed, "tokens": left})
     return fn
 
 

@@ -512,3 +512,37 @@ def test_skipped_hits_equal_marched_hits(world, spark):
     plan = skip.skip_hits(world.actors(), world.packed(), world.vp)._jdf.queryExecution().executedPlan().toString()
     head = plan[:plan.index("MapInArrow")] + plan[plan.index("MapInArrow"):].split("SortAggregate")[0].split("ObjectHashAggregate")[0]
     assert "Exchange" not in head
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_fold_of_shots_equals_one_event_at_a_time(seed):
+    import random
+    import numpy as np
+    from tessera.operators.state import round_second
+    from tessera.streaming.jobs import fold_shots
+    rnd = random.Random(seed)
+    cap, iv = rnd.choice([1, 2, 5]), rnd.choice([1, 3, 10]) * 1_000_000
+    us = np.sort(np.array([rnd.randrange(60_000_000) for _ in range(rnd.choice([1, 5, 80, 400]))]))
+    x = np.array([rnd.random() < rnd.choice([0.1, 0.5, 0.9]) for _ in us])
+    tok, last = rnd.choice([(cap, round_second(int(us[0]))), (0, round_second(int(us[0])) - 5_000_000), (cap, 70_000_000)])
+    allowed, left, tokens, clock = fold_shots(us, x, tok, last, cap, iv)
+    want = []
+    for t, shot in zip(us.tolist(), x.tolist()):
+        ok = int(shot and tok > 0)
+        tok -= ok
+        if tok != cap and t - last >= iv:
+            tok, last = min(cap, tok + (t - last) // iv), round_second(t)
+        want.append((ok, tok))
+    assert list(zip(allowed.tolist(), left.tolist())) == want and (tokens, clock) == (tok, last)
+
+
+def test_targets_behind_walls_become_no_pixels(spark):
+    """The picture is the same without them, and they are gone before the stamps."""
+    from tessera.plans.catalog import _Camera
+    cam = _Camera(spark, SF_SMALL)
+    view = cam.c.observer_view(cam.w.actors(), cam.grid, cam.w.vp)
+    shown = cam.c.unhidden(cam.lod, cam.w.stamps(), view, cam.w.vp)
+    top = cam.occluded()
+    assert _same_rows(cam.c.occlude(cam.pixels(shown), sight.ray_extent(cam.rays), cam.w.vp).select(*top.columns), top)
+    assert top.select("obs_id", "target_id").distinct().exceptAll(shown.select("obs_id", "target_id")).count() == 0
+    assert shown.count() < cam.lod.count()
