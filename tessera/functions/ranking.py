@@ -12,6 +12,8 @@ are a partial aggregate of their own, and only they are summed by a small window
 written once, range-partitioned by Spark and written again, each row with its partition
 and its place in it.  Runs when it is called.
 
+``sums_before_once``: likewise the sum of a value over all rows before a row.
+
 The order must be unique for the numbering to be repeatable.
 
 ``prefix_sums``: running sums per key over an order, split by a time bucket.
@@ -70,22 +72,47 @@ def number_rows(df: DataFrame, order: list[str], group: list[str] | None = None,
             .select(*df.columns, (F.col("_off") + F.col("_lrn")).alias(out)))
 
 
-def number_rows_once(df: DataFrame, order: list[str], group: list[str] | None = None, out: str = "rn",
-                     pieces: int | None = None) -> DataFrame:
-    """``pieces`` range partitions, by default the session's shuffle partitions."""
-    group = group or []
+def _pieces(df: DataFrame, order: list[str], group: list[str], pieces: int | None) -> DataFrame:
+    """The rows, written in ``pieces`` range partitions (by default the session's shuffle
+    partitions), with their group ``_g``, piece ``_b`` and place in the piece ``_at``."""
     n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = staged(df, "to-number")       # the range bounds are a sample: a pass of their own
-    # the piece and the place are part of the written rows, so both readers see the same cut
-    rows = staged(df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order)
+    # the piece and the place are part of the written rows, so all readers see the same cut
+    return staged(df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order)
                   .withColumns({"_g": F.struct(F.lit(0).alias("_z"), *group), "_b": F.spark_partition_id(),
                                 "_at": F.monotonically_increasing_id().bitwiseAND(_IN_PARTITION)}), "numbered")
-    before = Window.partitionBy("_g2").orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _with_offsets(rows: DataFrame, offsets: DataFrame) -> DataFrame:
+    return rows.join(offsets, (F.col("_g") == F.col("_g2")) & (F.col("_b") == F.col("_b2")))
+
+
+def _before(value: str) -> Column:
+    """The sum of ``value`` over the earlier pieces of the group."""
+    w = Window.partitionBy("_g2").orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(w), F.lit(0))
+
+
+def number_rows_once(df: DataFrame, order: list[str], group: list[str] | None = None, out: str = "rn",
+                     pieces: int | None = None) -> DataFrame:
+    """``number_rows`` in ``pieces`` range partitions."""
+    rows = _pieces(df, order, group or [], pieces)
     offsets = (rows.groupBy(F.col("_g").alias("_g2"), F.col("_b").alias("_b2"))
                .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-               .select("_g2", "_b2", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off")))
-    return (rows.join(offsets, (F.col("_g") == F.col("_g2")) & (F.col("_b") == F.col("_b2")))
-            .select(*df.columns, (F.col("_off") + F.col("_at") + 1).alias(out)))
+               .select("_g2", "_b2", (_before("_n") - F.col("_first")).alias("_off")))
+    return _with_offsets(rows, offsets).select(*df.columns, (F.col("_off") + F.col("_at") + 1).alias(out))
+
+
+def sums_before_once(df: DataFrame, order: list[str], values: dict[str, str], group: list[str] | None = None,
+                     pieces: int | None = None) -> DataFrame:
+    """Adds a column per entry of ``values`` (name -> column): its sum over the rows before
+    this one, in the order, of the group.  Sums of whole numbers are exact."""
+    rows = _pieces(df, order, group or [], pieces)
+    inside = Window.partitionBy("_g", "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumns({f"_l_{k}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in values.items()})
+    offsets = (rows.groupBy(F.col("_g").alias("_g2"), F.col("_b").alias("_b2")).agg(*[F.sum(v).alias(f"_t_{k}") for k, v in values.items()])
+               .select("_g2", "_b2", *[_before(f"_t_{k}").alias(f"_o_{k}") for k in values]))
+    return _with_offsets(local, offsets).select(*df.columns, *[(F.col(f"_o_{k}") + F.col(f"_l_{k}")).alias(k) for k in values])
 
 
 def prefix_sums(df: DataFrame, key: str, bucket: Column, order: list[str],

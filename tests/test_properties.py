@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.num import q6
-from tessera.functions.ranking import bucket_count, number_rows, number_rows_once, prefix_sums
+from tessera.functions.ranking import bucket_count, number_rows, number_rows_once, prefix_sums, sums_before_once
 from tessera.operators import camera, sight, spatial
 from tessera.params import ViewParams
 from tessera.sources.world import LOD, World
@@ -546,3 +546,17 @@ def test_targets_behind_walls_become_no_pixels(spark):
     assert _same_rows(cam.c.occlude(cam.pixels(shown), sight.ray_extent(cam.rays), cam.w.vp).select(*top.columns), top)
     assert top.select("obs_id", "target_id").distinct().exceptAll(shown.select("obs_id", "target_id")).count() == 0
     assert shown.count() < cam.lod.count()
+
+
+def test_sums_before_once(spark):
+    rows = [(g, i * 7 % 40, (i * 13) % 9 if i % 5 else None) for i in range(40) for g in (None, "a")]
+    df = spark.createDataFrame(rows, "g string, k long, v long")
+    for group in ([], ["g"]):
+        order = ["k"] if group else ["g", "k"]
+        key = (lambda r: (r[0] is not None, r[0] or "", r[1]))
+        for pieces in (None, 1, 11):
+            out = sums_before_once(df, order, {"s": "v"}, group, pieces).collect()
+            for r in out:
+                before = [v or 0 for g, k, v in rows if (not group or g == r.g) and key((g, k)) < key((r.g, r.k))]
+                assert r.s == sum(before)
+            assert len(out) == len(rows)
