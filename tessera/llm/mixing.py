@@ -12,77 +12,67 @@
   its number of slots, spread evenly over the mix.
 * Slots are ranked per source, and the r-th slot of a source takes its r-th block.
 
-Nothing is ordered in one task: positions in a stream and ranks of slots are sums inside
-hash or slot buckets of bounded size plus the offsets of the buckets.
+Nothing is ordered in one task and nothing but totals reaches the driver, however many
+sources there are: places in a stream, ranks of slots and sums over sources are running sums
+over range partitions (``sums_before_once``).  The slot of a cell is the cell times the
+inverse of g, so a source's cells, which follow each other, give its slots directly.
 """
 
 from __future__ import annotations
 
 from math import gcd
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_id_of, key_id, key_text, map_batches
+from tessera.functions.ranking import number_rows_once, sums_before_once
+
+from .common import cut, doc_id_of, key_id, key_text, written
 from .quality import n_words_of
 
 GOLDEN = (1 + 5 ** 0.5) / 2
-_MAX_SLOTS = 1 << 31              # slot * multiplier stays below 2**63
-_MAX_BUCKETS = 1 << 16            # offsets per source; past it buckets grow
+_CELLS = 1 << 16                  # cells of a source that one row expands to
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max_repeat: float) -> DataFrame:
-    """sizes: (source, source_size), one row per source.  -> source, source_size, weight,
-    target.  Sources are a handful of names, so they are ranked in one window.
+    """sizes: (source, source_size), one row per source.  -> source, source_size, sid, weight,
+    target; sid numbers the sources from 1.
 
     The repeated resharing ends at one level x with target = min(cap, weight * x): sources
     are capped in the order of cap / weight, so the first k are capped for the smallest k
     at which the next one's cap holds the rest."""
-    order = Window.orderBy(F.col("source").isNull(), "source")
+    t = sizes.withColumn("last", F.col("source").isNull())
+    t = number_rows_once(t, ["last", "source"], out="sid")
     n = len(weights)
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % n + 1).cast("int"))
-    t = sizes.withColumn("weight", w).withColumn("cap", F.col("source_size") * F.lit(float(max_repeat)))
-    by_level = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    t = (t.withColumn("total", F.sum("source_size").over(every) * F.lit(float(share)))
-         .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward)))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("sid") - 1) % n + 1).cast("int"))
+    t = t.withColumn("weight", w).withColumn("cap", F.col("source_size") * F.lit(float(max_repeat)))
+    t = t.withColumn("at", F.col("cap") / F.col("weight"))
+    t = written(sums_before_once(t, ["at", "sid"], {"cap_before": "cap", "weight_before": "weight"}), "sources")
+    size, weight = t.agg(F.sum("source_size"), F.sum("weight")).head()
+    total, weight = (size or 0) * float(share), weight or 1.0
+    t = t.withColumn("level", (F.lit(float(total)) - F.col("cap_before")) / (F.lit(float(weight)) - F.col("weight_before")))
     # the level at the first source that stays below its cap; capped sources keep their cap
-    free = F.col("weight") * F.col("level") < F.col("cap")
-    t = t.withColumn("at", F.min(F.when(free, F.struct(F.col("cap") / F.col("weight"), F.col("level").alias("x")))).over(every)["x"])
-    target = F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * F.col("at")))
-    return t.select("source", "source_size", "weight", target.alias("target"))
-
-
-def _bucketed(df: DataFrame, group: str, bucket: Column, value: Column, order: list, name: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows before this one in its group, where
-    buckets are ordered and rows inside a bucket by ``order``."""
-    b = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    inner = Window.partitionBy(group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = b.groupBy(group, "_bucket").agg(F.sum("_value").alias("_sum"))
-    over = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sums.select(F.col(group).alias("_g"), F.col("_bucket").alias("_b"),
-                       F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_off"))
-    return (b.withColumn("_in", F.coalesce(F.sum("_value").over(inner), F.lit(0)))
-            .join(offs, (F.col(group) == F.col("_g")) & (F.col("_bucket") == F.col("_b")))
-            .withColumn(name, F.col("_off") + F.col("_in"))
-            .drop("_bucket", "_value", "_in", "_g", "_b", "_off"))
+    free = t.filter(F.col("weight") * F.col("level") < F.col("cap")).agg(F.min(F.struct("at", "sid", "level")).alias("f")).head().f
+    target = F.col("cap") if free is None else F.least(F.col("cap"), F.col("weight") * F.lit(free.level))
+    return t.select("source", "source_size", "sid", "weight", target.alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_repeat: float = 2.0,
-        block_tokens: int = 2048, bucket_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text",
+        block_tokens: int = 2048, pieces: int | None = None, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """-> (documents, schedule).
 
-    documents: one row per input row: id, th, size, source, source_size, target, taken.
+    documents: one row per input row: id, th, size, source, source_size, target, taken, and
+    n_slots, the slots of the mix that hold words of it, and first_slot, the first of them
+    (null if none does).
     schedule: (slot, source, id, th, first_word, n_words): what each slot of the mix takes,
     in order of first position.
 
     Null text has size 0 and is never taken; null source is a source of its own, ranked
-    last.  Repeated rows are documents of their own (numbered apart).  A corpus without
-    words, or an empty table, gives targets of 0 and an empty schedule.
+    last.  Repeated rows are documents of their own; they share the words that their common
+    place gets, and its slots.  Texts of any length are counted whole; other columns are not
+    read.  A corpus without words, or an empty table, gives targets of 0 and an empty schedule.
+    ``pieces``: range partitions of the streams, by default the session's shuffle partitions.
     """
     size = n_words_of(F.coalesce(docs[text_col], F.lit(""))).cast("long")
     rows = docs.select(key_id(docs[id_col]).alias("id"), key_text(docs[id_col], docs[text_col]).alias("th"),
@@ -90,28 +80,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     # repeated rows are one row with a count here, so equal rows need no order
     rows = cut(rows.groupBy("id", "th", "source", "size").agg(F.count(F.lit(1)).alias("copies")))
     t = targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), weights, share, max_repeat)
-    total = t.agg(F.sum("target")).first()[0] or 0.0
-    block = max(block_tokens, int(-(-total // (_MAX_SLOTS - 1))))
     # whole words are taken: the target rounded to a number of words
-    t = (t.withColumn("words", F.floor(F.col("target") + 0.5))
-         .withColumn("n_blocks", F.ceil(F.col("words") / block).cast("long")))
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    t = cut(t.withColumn("sid", F.row_number().over(order))
-            .withColumn("upto", F.sum("n_blocks").over(order.rowsBetween(Window.unboundedPreceding, 0))))
-    n = t.agg(F.max("upto")).first()[0] or 0
+    t = t.withColumn("words", F.floor(F.col("target") + 0.5)).withColumn("n_blocks", F.ceil(F.col("words") / block_tokens).cast("long"))
+    t = written(sums_before_once(t, ["sid"], {"first_cell": "n_blocks"}), "targets")
+    n = t.agg(F.sum("n_blocks")).first()[0] or 0
 
     by_source = t.select(F.col("source").alias("t_source"), "sid", "source_size", "target", "words")
-    if t.count() <= 100_000:
-        by_source = F.broadcast(by_source)
     d = rows.join(by_source, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    # a document's place in its stream: by hash of its keys; buckets are ranges of the hash
+    # a document's place in its stream: by hash of its keys
     own = F.when(F.col("id") == key_id(F.lit(None)), F.col("th"))       # nulls are skipped by concat_ws
     pick = F.sha2(F.concat_ws("|", F.lit(seed), F.col("id"), own), 256)
-    buckets = max(1, min(rows.count() // bucket_rows, _MAX_BUCKETS))
     d = d.withColumn("place", F.conv(F.substring(pick, 1, 15), 16, 10).cast("long")).withColumn(
         "span", F.col("size") * F.col("copies"))
-    d = _bucketed(d, "sid", F.floor(F.col("place") / F.lit(-(-(1 << 60) // buckets))), F.col("span"),
-                  ["place", "id", "th"], "start")
+    d = written(sums_before_once(d, ["place", "id", "th"], {"start": "span"}, group=["sid"], pieces=pieces), "places")
 
     # pieces: the stream goes round max_repeat times at most; a piece is a document's words in one block
     rounds = int(-(-max_repeat // 1))
@@ -120,40 +101,51 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
              .withColumn("lo", F.col("start") + F.col("round") * F.col("source_size"))
              .withColumn("hi", F.least(F.col("lo") + F.col("span"), F.col("words")))
              .filter("lo < hi")
-             .withColumn("rank", F.explode(F.expr(f"sequence(lo div {block}, (hi - 1) div {block})")))
-             .withColumn("from", F.greatest("lo", F.col("rank") * block))
-             .withColumn("n_words", F.least("hi", (F.col("rank") + 1) * block) - F.col("from"))
+             .withColumn("rank", F.explode(F.expr(f"sequence(lo div {block_tokens}, (hi - 1) div {block_tokens})")))
+             .withColumn("from", F.greatest("lo", F.col("rank") * block_tokens))
+             .withColumn("n_words", F.least("hi", (F.col("rank") + 1) * block_tokens) - F.col("from"))
              .select("sid", "rank", "id", "th", F.col("source").alias("piece_source"),
                      ((F.col("from") - F.col("lo")) % F.col("size")).alias("first_word"), "n_words"))
-    slots = schedule(d.sparkSession, t, n)
-    placed = piece.join(slots, ["sid", "rank"])
-    taken = placed.groupBy("id", "th", "sid").agg(F.sum("n_words").alias("got"))
+    placed = piece.join(schedule(t, n), ["sid", "rank"])
+    taken = (placed.groupBy("id", "th", "sid", "slot").agg(F.sum("n_words").alias("n_words"))
+             .groupBy("id", "th", "sid").agg(F.sum("n_words").alias("got"), F.count(F.lit(1)).alias("n_slots"),
+                                             F.min("slot").alias("first_slot")))
     per = (d.join(taken, ["id", "th", "sid"], "left")
            .withColumn("got", F.coalesce("got", F.lit(0)))
            # equal rows share what their common place got, the first ones a word more
            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
            .withColumn("taken", F.floor(F.col("got") / F.col("copies"))
                        + F.when(F.col("copy") <= F.col("got") % F.col("copies"), 1).otherwise(0)))
-    documents = per.select("id", "th", "size", "source", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    documents = per.select("id", "th", "size", "source", "source_size", "target", F.col("taken").cast("long").alias("taken"),
+                           F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), "first_slot")
     return documents, placed.select("slot", F.col("piece_source").alias("source"), "id", "th", "first_word", "n_words")
 
 
-def schedule(spark, t: DataFrame, n: int) -> DataFrame:
-    """(slot, sid, rank) for the n slots."""
-    if n == 0:
-        return spark.createDataFrame([], "slot long, sid int, rank long")
-    per_bucket = max(2048, n // _MAX_BUCKETS)
+def multiplier(n: int) -> int:
+    """The integer next to n / golden ratio that shares no factor with n."""
     g = max(1, round(n / GOLDEN))
     while gcd(g, n) != 1:
         g += 1
-    slots = spark.range(n).select(F.col("id").alias("slot"), ((F.col("id") * F.lit(g)) % F.lit(n)).alias("cell"))
-    bounds = np.array([r.upto for r in t.select("sid", "upto").orderBy("sid").collect()])   # one number per source
+    return g
+
 
-    def owner(c):
-        return {"slot": c["slot"], "sid": (np.searchsorted(bounds, c["cell"].to_numpy(), side="right") + 1).astype(np.int32)}
-    s = map_batches(slots, owner, "slot long, sid int")
-    return _bucketed(s, "sid", F.expr(f"slot div {per_bucket}"), F.lit(1), ["slot"], "rank").select("slot", "sid", "rank")
+def schedule(t: DataFrame, n: int) -> DataFrame:
+    """(sid, rank, slot) for the n slots; t: (sid, first_cell, n_blocks).
+
+    Slot s has cell s * g mod n, and a source owns n_blocks cells from first_cell on."""
+    if n == 0:
+        return t.sparkSession.createDataFrame([], "sid long, rank long, slot long")
+    back = pow(multiplier(n), -1, n) if n > 1 else 0
+    parts = t.filter("n_blocks > 0").select("sid", "first_cell", "n_blocks", F.expr(
+        f"explode(CASE WHEN n_blocks > 0 THEN sequence(0L, (n_blocks - 1) div {_CELLS}) END)").alias("part"))
+    cells = parts.repartition("sid", "part").select("sid", "first_cell", F.expr(
+        f"explode(sequence(part * {_CELLS}, least(n_blocks, (part + 1) * {_CELLS}) - 1))").alias("own"))
+    cells = cells.select("sid", (F.col("first_cell") + F.col("own")).alias("cell"))
+    wide = "decimal(38,0)"                 # the product may pass 2^63
+    slot = ((F.col("cell").cast("decimal(18,0)") * F.lit(back).cast("decimal(18,0)")).cast(wide) % F.lit(n).cast(wide)).cast("long")
+    slots = cells.select("sid", slot.alias("slot"))
+    return number_rows_once(slots, ["slot"], group=["sid"], out="_n").select("sid", (F.col("_n") - 1).alias("rank"), "slot")
 
 
 def with_doc_id(documents: DataFrame) -> DataFrame:
-    return documents.select(doc_id_of(F.col("id")).alias("doc_id"), "size", "source_size", "target", "taken")
+    return documents.select(doc_id_of(F.col("id")).alias("doc_id"), "size", "source_size", "target", "taken", "n_slots", "first_slot")

@@ -249,13 +249,26 @@ with d as (select doc_id, source, len({_WORDS})::bigint as size from documents),
                                 rows between unbounded preceding and 1 preceding), 0) as used from s),
  lev as (select arg_min((total - used) / rest, cap / weight) as x from l where weight * (total - used) / rest < cap),
  t as (select source, source_size, least(cap, weight * coalesce(x, 1e300))::double as target from l, lev),
- p as (select d.*, source_size, target, floor(target + 0.5) as words,
-              sum(size) over (partition by d.source order by substr(sha256('mix|' || doc_id), 1, 15))- size as a
-       from d join t on t.source is not distinct from d.source)
-select doc_id, size, source_size, target,
+ t2 as (select *, sum(n_blocks) over (order by sid) - n_blocks as first_cell, sum(n_blocks) over () as n from (
+          select *, ceil(floor(target + 0.5) / 2048)::bigint as n_blocks, row_number() over (order by source nulls last) as sid from t)),
+ p as (select d.*, source_size, target, sid, floor(target + 0.5)::bigint as words,
+              (sum(size) over (partition by d.source order by substr(sha256('mix|' || doc_id), 1, 15)) - size)::bigint as a
+       from d join t2 on t2.source is not distinct from d.source),
+ -- the schedule: slot s has cell s * g mod n, with g next to n / golden ratio and no factor in common
+ m as (select n, (select min(k) from range(greatest(1, round(n / {mixing.GOLDEN!r}))::bigint, n::bigint + 2) r(k) where gcd(k, n::bigint) = 1) as g
+       from (select any_value(n) as n from t2)),
+ slots as (select slot, sid, row_number() over (partition by sid order by slot) - 1 as rank
+           from (select slot, (slot::hugeint * g) % n as cell from m, range(0, n::bigint) s(slot))
+           join t2 on cell >= first_cell and cell < first_cell + n_blocks),
+ pieces as (select doc_id, sid, unnest(generate_series((lo // 2048)::bigint, ((hi - 1) // 2048)::bigint)) as rank
+            from (select doc_id, sid, a + r * source_size as lo, least(a + r * source_size + size, words) as hi
+                  from p, (values (0), (1)) v(r) where size > 0) where lo < hi),
+ held as (select doc_id, count(distinct slot) as n_slots, min(slot) as first_slot from pieces join slots using (sid, rank) group by doc_id)
+select p.doc_id, size, source_size, target,
        (greatest(0, least(a + size, words) - a)
-        + greatest(0, least(source_size + a + size, words) - source_size - a))::bigint as taken
-from p""",
+        + greatest(0, least(source_size + a + size, words) - source_size - a))::bigint as taken,
+       coalesce(n_slots, 0)::bigint as n_slots, first_slot
+from p left join held on held.doc_id = p.doc_id""",
     "op10_chat": rf"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all select -1, 0, 'user', '{_FORGED}' union all select -1, 1, 'assistant', '{_FORGED}'),

@@ -467,7 +467,7 @@ def naive_targets(sizes, weights, share, most):
 
 
 def test_mixing(docs, corpus):
-    rows, placed = mixing.mix(docs, block_tokens=100, bucket_rows=7)
+    rows, placed = mixing.mix(docs, block_tokens=100, pieces=7)
     rows = rows.select(doc_id_of(F.col("id")).alias("doc_id"), "size", "source", "source_size", "target", "taken").collect()
     assert Counter((r.doc_id, r.size, r.source) for r in rows) == Counter((d, len(words(t)), s) for d, t, s in corpus)
     sizes = Counter()
@@ -492,10 +492,45 @@ def test_mixing(docs, corpus):
     for cut in range(20, len(slots), 20):
         now = Counter(source[t] for t in range(cut))
         assert all(abs(now[s] - cut * share[s] / len(slots)) < 4 for s in share)
-    again = mixing.mix(docs.repartition(5), block_tokens=100, bucket_rows=7)[0]
+    # what a document says of its slots is what the schedule says
+    of_doc = defaultdict(set)
+    for r in placed.select(doc_id_of(F.col("id")).alias("doc_id"), "th", "slot").collect():
+        of_doc[r.doc_id, r.th].add(r.slot)
+    for r in mixing.mix(docs, block_tokens=100)[0].select(doc_id_of(F.col("id")).alias("doc_id"), "th", "n_slots", "first_slot").collect():
+        own = of_doc.get((r.doc_id, r.th), set())
+        assert (r.n_slots, r.first_slot) == (len(own), min(own, default=None))
+    again = mixing.mix(docs.repartition(5), block_tokens=100, pieces=7)[0]
     assert Counter((r.doc_id, r.taken) for r in rows) == with_id(again, "taken")
 
 
+def test_many_sources_and_cells(spark, monkeypatch):
+    """300 sources, most of one document; a source's cells from several rows; every prefix of the
+    mix holds each source's share within two slots."""
+    monkeypatch.setattr(mixing, "_CELLS", 7)
+    rows = [(i, "w " * (5 + i % 40), f"s{i:03}") for i in range(300)] + [(1000 + i, "v " * 60, "hot") for i in range(150)] + [(5000, "x y", None)]
+    out, placed = mixing.mix(frame(spark, rows), block_tokens=20)
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    want, taken = naive_targets(sizes, (3, 1, 2), 1.5, 2.0), Counter()
+    for r in out.collect():
+        assert r.target == pytest.approx(want[r.source])
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    source = {r.slot: r.source for r in placed.collect()}
+    share = Counter(source.values())
+    assert sorted(source) == list(range(len(source))) and share["hot"] > 100
+    for at in range(10, len(source), 10):
+        now = Counter(source[t] for t in range(at))
+        assert all(abs(now[s] - at * share[s] / len(source)) <= 2 + (s == "hot") for s in share)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000, 2 ** 40 + 15])
+def test_multiplier_has_an_inverse(n):
+    g = mixing.multiplier(n)
+    assert n == 1 or (g * pow(g, -1, n)) % n == 1 and abs(g - n / mixing.GOLDEN) < 60
+
+
 # ---------------------------------------------------------------- 9 license scan
 
 def naive_scan(text, phrases, templates, threshold, size):
