@@ -62,9 +62,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document: doc_id, source, size, source_size, target, taken."""
+    """What the mix takes of each document, and where: doc_id, source, size, source_size, target,
+    taken, n_slots, first_slot."""
     rows, _ = mixing.mix(docs, weights=(3, 1, 2), share=1.5, max_repeat=2.0)
-    return rows.select(doc_id_of(F.col("id")).alias("doc_id"), "source", "size", "source_size", "target", "taken")
+    return rows.select(doc_id_of(F.col("id")).alias("doc_id"), "source", "size", "source_size", "target", "taken",
+                       "n_slots", "first_slot")
 
 
 STAGES = [
