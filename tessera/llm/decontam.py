@@ -7,8 +7,10 @@ document; along it equal words are counted, and the overlap is the longest stret
 least ``similarity`` of its words equal.  It counts if it has ``min_words`` words, or
 ``similarity`` of the words of a shorter item.
 
-The seeds lose no overlap that counts (``masks_for``): k unequal words leave k + 1 runs of
-equal words, so one run has at least (n - k) / (k + 1) of them.
+The seeds lose no overlap that counts: ``masks_for`` looks for a mask that fits somewhere
+between the unequal words, however they are placed, by trying all places.  For passages of
+13 words or more and a similarity of 0.8 that is ``10111``: four words, the second place
+of five free.
 
 The benchmark is the query set.  It is cut into blocks of bounded size, which is counted
 first; each block's seeds are broadcast and all documents pass by it.  Documents are never
@@ -17,6 +19,10 @@ shuffled.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations, product
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import with_keys
 from .license_scan import tokens
 
-#: Places that count (1) and places that may differ (0).
-MASKS = ("1111", "1110111")
+_MAX_SPAN, _MAX_WEIGHT = 8, 6         # masks that are tried
+_MAX_PATTERNS = 400_000               # places of unequal words that are tried
 _BITMAP = 22                          # log2 of the bits of the quick test
 _CELLS = 1 << 20                      # words compared at once
 
@@ -36,19 +42,43 @@ def words_needed(n_item: int, min_words: int, similarity: float) -> int:
     return int(min(min_words, np.ceil(similarity * n_item - 1e-9)))
 
 
-def masks_for(n_item: int, min_words: int, similarity: float) -> tuple[str, ...]:
-    """Masks of which one hits in every overlap that counts with an item of ``n_item`` words.
+def _patterns(n: int, k: int) -> np.ndarray:
+    """Every way to place k unequal words among n, as bits."""
+    rows = np.array(list(combinations(range(n), k)), np.int64).reshape(comb(n, k), k)
+    return (np.int64(1) << rows).sum(axis=1)
 
-    MASKS do if n words with k unequal ones always leave a run of 4, or of 3 in no other way
-    than with all runs 3 (1110111).  If not, the shortest longest run is the mask.
-    """
-    least, enough = n_item, True
-    for n in range(max(1, words_needed(n_item, min_words, similarity)), n_item + 1):
-        k = int((1 - similarity) * n + 1e-9)
-        run = -(-(n - k) // (k + 1))
-        least = min(least, run)
-        enough &= run >= 4 or (k > 0 and n - k == 3 * (k + 1))
-    return MASKS if enough else ("1" * max(1, least),)
+
+def _fits(mask: str, n: int, patterns: np.ndarray) -> bool:
+    """Whether the mask meets no unequal word at some place of every pattern."""
+    care = sum(1 << i for i, c in enumerate(mask) if c == "1")
+    left = patterns
+    for shift in range(n - len(mask) + 1):
+        left = left[left >> shift & care != 0]
+    return not len(left)
+
+
+@lru_cache(maxsize=256)
+def masks_for(n_item: int, min_words: int, similarity: float) -> tuple[str, ...]:
+    """Masks of which one hits in every overlap that counts with an item of ``n_item`` words:
+    the heaviest one, with a free place if there is such a one, that fits all.
+
+    Lengths from ``min_words`` to twice that stand for longer ones: cut into such lengths, one
+    part has no greater share of unequal words than the whole.  Where too many places would
+    have to be tried (a low similarity), the mask is a run: k unequal words leave k + 1 runs
+    of equal ones, the longest of at least (n - k) / (k + 1)."""
+    first = max(1, words_needed(n_item, min_words, similarity))
+    lengths = range(first, min(n_item, max(first, 2 * min_words - 1)) + 1)
+    unequal = {n: int((1 - similarity) * n + 1e-9) for n in lengths}
+    if sum(comb(n, k) for n, k in unequal.items()) <= _MAX_PATTERNS and lengths[-1] < 62:
+        cases = [(n, _patterns(n, k)) for n, k in unequal.items()]
+        inner = ["".join(p) for span in range(min(first, _MAX_SPAN) - 1) for p in product("10", repeat=span)]
+        masks = ["1", *("1" + p + "1" for p in inner)]
+        masks = [m for m in masks if len(m) <= first and m.count("1") <= _MAX_WEIGHT]
+        for mask in sorted(masks, key=lambda m: (-m.count("1"), "0" not in m, len(m), m)):
+            if all(_fits(mask, n, p) for n, p in cases):
+                return (mask,)
+    runs = [-(-(n - k) // (k + 1)) for n, k in ((n, int((1 - similarity) * n + 1e-9)) for n in range(first, n_item + 1))]
+    return ("1" * max(1, min(runs)),)
 
 
 def seeds(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -188,13 +218,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, sim
     overlap (most equal words, then first; start and lengths in words of the document).
 
     Words are runs of letters, digits and code points from 128 on, A-Z lower-cased.  Null
-    and empty texts overlap with nothing; items with a null id are left out.  Repeated rows are reported each, and items
-    repeated under one id are reported together; an empty side gives an empty result.
+    and empty texts overlap with nothing, texts of any length are read whole.  Items with a
+    null id are told apart by their texts and reported with a null item.  Repeated rows are
+    reported each; an empty side gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     schema = "id long, th long, item long, start long, n_words long, n_equal long"
     rows, out = with_keys(docs, id_col, text_col), None
-    for block in item_blocks(benchmark.filter(F.col(item_col).isNotNull()), block_bytes, item_col, text_col):
+    for block in item_blocks(benchmark, block_bytes, item_col, text_col):
         shared = spark.sparkContext.broadcast(Items(block, min_words, similarity).tables)
 
         def run(batches, shared=shared):
@@ -215,7 +246,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, si
                   block_bytes: int = 4 << 20, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``docs`` without the documents that overlap with a benchmark item: the decision is
     taken where a document is read, so no row is shuffled or joined back.  Items with a null
-    id count like the others."""
+    id count like the others.  Null and empty texts stay, texts of any length are read whole,
+    repeated rows are judged each; other columns come back as they were, whatever their names;
+    an empty table stays empty, an empty benchmark removes nothing."""
     at = docs.columns.index(text_col)
     for block in item_blocks(benchmark, block_bytes, item_col, "text"):
         shared = docs.sparkSession.sparkContext.broadcast(Items(block, min_words, similarity).tables)

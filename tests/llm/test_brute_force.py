@@ -229,6 +229,7 @@ def test_decontamination(spark, block_bytes):
     got = {(r.doc_id, r.item) for r in decontam.contaminated(frame(spark, rows), bench, block_bytes=block_bytes)
            .select(doc_id_of(F.col("id")).alias("doc_id"), "item").collect()}
     want = {(k, i) for k, w in enumerate(texts) for i, item in enumerate(items[:8]) if naive_overlaps(w, item, 13, 0.8)} | {(None, 0)}
+    want |= {(k, None) for k, i in want if i == 1}          # the item without an id
     assert got == want and len(want) > 20
     clean = decontam.decontaminate(frame(spark, rows), bench, block_bytes=block_bytes)
     assert sorted(r.doc_id for r in clean.filter("doc_id is not null").collect()) == sorted({k for k, _, _ in rows if k is not None} - {k for k, _ in want})
@@ -283,6 +284,20 @@ def test_longest_overlap_by_brute_force():
         assert decontam.longest_overlap(np.array(same), similarity) == want
 
 
+def test_masks_are_spaced_and_lose_nothing():
+    """Every way to place the unequal words, for items long enough and for shorter ones."""
+    assert decontam.masks_for(40, 13, 0.8) == decontam.masks_for(400, 13, 0.8) == ("10111",)
+    for n_item in range(1, 40):
+        masks = decontam.masks_for(n_item, 13, 0.8)
+        if n_item >= 9:
+            assert all("0" in m for m in masks), (n_item, masks)
+        for n in range(decontam.words_needed(n_item, 13, 0.8), min(n_item, 19) + 1):
+            for places in itertools.combinations(range(n), n // 5):
+                free = [i not in places for i in range(n)]
+                assert any(all(free[s + i] for i, c in enumerate(m) if c == "1") for m in masks for s in range(n - len(m) + 1)), (n_item, n, places)
+    assert decontam.masks_for(60, 30, 0.5) == ("1",)           # too many places to try
+
+
 def test_items_without_an_id_decontaminate(spark):
     item = " ".join(f"a{i}" for i in range(20))
     bench = spark.createDataFrame([(None, item), (1, "other words"), (None, None)], "item_id long, text string")
