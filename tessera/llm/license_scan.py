@@ -1,7 +1,7 @@
 """License scan: fixed phrases, and an exact set-similarity join with notice templates.
 
-Text is cut into blocks of ``block_words`` words, half overlapping, so any passage of half a
-block lies whole in one.  Block B meets template T if they share at least
+Text is cut into blocks of words, half overlapping, so any passage of half a block lies whole
+in one.  Block B meets template T if they share at least
 ceil(threshold * |T|) of T's distinct words (containment).  Words are ordered by their
 frequency in the whole corpus, rarest first:
 
@@ -13,13 +13,23 @@ frequency in the whole corpus, rarest first:
 The filters drop no pair that meets the threshold; what passes is counted exactly.  Words of
 no template can't be shared, so B keeps only template words.  The templates are a parameter
 and are broadcast: their size does not depend on the corpus.
+
+A license may have several templates.  ``tell_apart`` is for templates so alike that the
+threshold alone takes one license for another (CC BY-NC for CC BY-SA, say):
+
+* a template of fewer than ``SHORT`` distinct words must be met by all of them;
+* in a block, a template gives way to one of another license that shares so many words with
+  it that its own text meets it, if that one is met better, or as well and is the larger
+  (LGPL holds all words of GPL), unless the block has all words of the smaller one twice;
+* templates share a block size only with others of their length, so a short notice is not
+  put together from words far apart.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, with_keys
 
+SHORT = 16
 #: A-Z to a-z, other ASCII than letters and digits to space; bytes of other code points stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -39,14 +50,20 @@ def tokens(text: bytes) -> list[bytes]:
 class Templates:
     """Prefix index of the templates under a word order."""
 
-    def __init__(self, templates: Mapping[str, str], threshold: float, frequency: Mapping[bytes, int]):
-        words = {label: set(tokens(t.encode())) for label, t in templates.items()}
-        vocabulary = sorted(set().union(*words.values()), key=lambda w: (frequency.get(w, 0), w))
+    def __init__(self, templates: Sequence[tuple[str, frozenset]], threshold: float, frequency: Mapping[bytes, int],
+                 tell_apart: bool = False):
+        """``templates``: (label, words)."""
+        vocabulary = sorted(set().union(*(w for _, w in templates)), key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(vocabulary)}
-        self.labels = sorted(label for label in words if words[label])
-        self.sets = [frozenset(self.rank[w] for w in words[label]) for label in self.labels]
+        self.labels = [label for label, _ in templates]
+        self.sets = [frozenset(self.rank[w] for w in words) for _, words in templates]
         # the product may lie a rounding error above a whole number
         self.need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
+        self.near: list[list[int]] = [[] for _ in templates]
+        if tell_apart:
+            for t, s in enumerate(self.sets):
+                self.near[t] = [u for u, o in enumerate(self.sets) if self.labels[u] != self.labels[t] and len(s & o) >= self.need[t]]
+            self.need = [len(s) if len(s) < SHORT else n for s, n in zip(self.sets, self.need)]
         self.index: dict[int, list[tuple[int, int]]] = {}
         for t, (s, need) in enumerate(zip(self.sets, self.need)):
             for i, r in enumerate(sorted(s)[:len(s) - need + 1]):
@@ -73,6 +90,15 @@ class Templates:
                     out.append((t, got / len(self.sets[t])))
         return out
 
+    def gives_way(self, t: int, met: dict[int, float], counts: Counter) -> bool:
+        """Whether a template that is met is taken for a better one of another license."""
+        for u in self.near[t]:
+            if u in met and met[u] > met[t]:
+                return True
+            if u in met and met[u] == met[t] and len(self.sets[u]) > len(self.sets[t]) and any(counts[r] == 1 for r in self.sets[t]):
+                return True
+        return False
+
 
 def scan(words: list[bytes], templates: Templates, block_words: int) -> list[tuple[int, int, float]]:
     """(template, first word of the block, containment) of every block that meets a template,
@@ -89,18 +115,21 @@ def scan(words: list[bytes], templates: Templates, block_words: int) -> list[tup
                 blocks.add(last)
     found = []
     for b in blocks:
-        own = {templates.rank[w] for w in words[b * step:b * step + block_words] if w in templates.rank}
-        found += [(t, b * step, c) for t, c in templates.meets(sorted(own))]
+        n = Counter(templates.rank[w] for w in words[b * step:b * step + block_words] if w in templates.rank)
+        met = dict(templates.meets(sorted(n)))
+        found += [(t, b * step, c) for t, c in met.items() if not templates.gives_way(t, met, n)]
     return sorted(found)
 
 
-def best_blocks(found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """Of each template's blocks the one with the largest containment (first of equals)."""
-    best: dict[int, tuple[int, int, float]] = {}
-    for t, at, c in found:
-        if t not in best or c > best[t][2]:
-            best[t] = (t, at, c)
-    return list(best.values())
+def best_of(found: list[tuple[str, int, float, int]], key) -> list[tuple[str, int, float, int]]:
+    """(label, first word, containment, template words): of those with one ``key`` the one with
+    the largest containment, then of the largest template, then the first."""
+    best: dict = {}
+    for f in found:
+        k = key(f)
+        if k not in best or (f[2], f[3], -f[1]) > (best[k][2], best[k][3], -best[k][1]):
+            best[k] = f
+    return sorted(best.values())
 
 
 def phrase_places(words: list[bytes], phrases: list[tuple[tuple[bytes, ...], str]], starts: frozenset) -> list[tuple[int, str]]:
@@ -128,35 +157,50 @@ def word_frequency(rows: DataFrame, vocabulary: frozenset) -> dict[bytes, int]:
     return {bytes(w): n for w, n in counts.collect()}
 
 
-def license_scan(docs: DataFrame, phrases: Mapping[str, str], templates: Mapping[str, str], threshold: float = 0.8,
-                 block_words: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def indexes(templates: Mapping[str, str | Sequence[str]], threshold: float, block_words: int, tell_apart: bool,
+            frequency: Mapping[bytes, int]) -> list[tuple[int, Templates]]:
+    """(block size, its templates): one size for all, or with ``tell_apart`` sizes doubling from
+    ``block_words`` on, at least twice the words of a template."""
+    listed = [(label, tokens(t.encode())) for label, ts in sorted(templates.items()) for t in ([ts] if isinstance(ts, str) else ts)]
+    groups: dict[int, list] = {}
+    longest = max((len(words) for _, words in listed), default=0)
+    for label, words in listed:
+        if words:
+            block = block_words if tell_apart else max(block_words, 2 * longest)
+            while block < 2 * len(words):
+                block *= 2
+            groups.setdefault(block, []).append((label, frozenset(words)))
+    return [(block, Templates(g, threshold, frequency, tell_apart)) for block, g in sorted(groups.items())]
+
+
+def license_scan(docs: DataFrame, phrases: Mapping[str, str], templates: Mapping[str, str | Sequence[str]], threshold: float = 0.8,
+                 block_words: int = 48, tell_apart: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, n_words, places, notices, blocks) per input row.
 
     places: array of (word, label), every place of a phrase (phrase -> label); notices: array of
-    (label, word, containment), each template found with its best block (first of equals);
-    blocks: the same of every block that meets a template, by label and word.
-    Null text is empty and has none.  Repeated rows are scanned each; an empty table
-    gives an empty result; other columns are not read.
+    (label, word, containment), each license found with its best block (of the largest
+    containment, then of the largest template, then the first); blocks: the best of every
+    block that meets a template of a label, by label and word.
+    Null text is empty and has none; texts of any length are scanned whole.  Repeated rows
+    are scanned each; an empty table gives an empty result; other columns are not read.
     """
     rows = with_keys(docs, id_col, text_col)
     flat = [(tuple(tokens(p.encode())), label) for p, label in sorted(phrases.items())]
     starts = frozenset(p[0] for p, _ in flat if p)
-    longest = max((len(tokens(t.encode())) for t in templates.values()), default=0)
-    block = max(block_words, 2 * longest)
-    vocabulary = frozenset(w for t in templates.values() for w in tokens(t.encode()))
-    index = Templates(templates, threshold, word_frequency(rows, vocabulary))
+    vocabulary = frozenset(w for ts in templates.values() for t in ([ts] if isinstance(ts, str) else ts) for w in tokens(t.encode()))
+    index = indexes(templates, threshold, block_words, tell_apart, word_frequency(rows, vocabulary))
 
     def run(c):
         def rows_of(found):
-            return [{"label": index.labels[k], "word": i, "containment": x} for k, i, x in found]
+            return [{"label": label, "word": i, "containment": x} for label, i, x, _ in found]
         n, places, notices, blocks = [], [], [], []
         for t in c["text"].to_pylist():
             w = tokens(t)
             n.append(len(w))
             places.append([{"word": i, "label": x} for i, x in phrase_places(w, flat, starts)])
-            found = scan(w, index, block)
-            notices.append(rows_of(best_blocks(found)))
-            blocks.append(rows_of(found))
+            found = [(x.labels[k], i, c, len(x.sets[k])) for block, x in index for k, i, c in scan(w, x, block)]
+            notices.append(rows_of(best_of(found, lambda f: f[0])))
+            blocks.append(rows_of(best_of(found, lambda f: f[:2])))
         kind = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("containment", pa.float64())]))
         return {"id": c["id"], "th": c["th"], "n_words": pa.array(n, pa.int64()),
                 "places": pa.array(places, pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))),

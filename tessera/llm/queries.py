@@ -65,25 +65,67 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.with_doc_id(rows)
 
 
-#: Phrases of the base labels, and the notices the join looks for.
+#: Phrases of the base labels, and the notices the join looks for, as their
+#: licenses word them: the short reference first, then the notice for source files.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 NOTICES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-           "that the following conditions are met",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
-    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "mit": "Released under the MIT License",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-                 "associated documentation files, to deal in the Software without restriction",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "public-domain": "This is free and unencumbered software released into the public domain",
+    "apache-2.0": [
+        "Licensed under the Apache License, Version 2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
+        "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+        "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License."],
+    "bsd": [
+        "Released under the BSD License",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution."],
+    "cc-by-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
+    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0",
+                     "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "cc-by-nd-4.0": ["Licensed under CC BY-ND 4.0",
+                     "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0",
+                     "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "gpl-2.0": [
+        "This work is licensed under the GNU General Public License, version 2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later "
+        "version."],
+    "gpl-3.0": [
+        "This work is licensed under the GNU General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+        "version."],
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+           "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "lgpl-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+        "later version."],
+    "mit": [
+        "Released under the MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice "
+        "and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "mpl-2.0": [
+        "Licensed under the Mozilla Public License, Version 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+                 "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+                 "for any purpose, commercial or non-commercial, and by any means.",
 }
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = license_scan.license_scan(documents(spark, sf_dir), PHRASES, NOTICES, threshold=0.8)
+    out = license_scan.license_scan(documents(spark, sf_dir), PHRASES, NOTICES, threshold=0.8, tell_apart=True)
     found = out.select(
         doc_id_of(F.col("id")).alias("doc_id"), "n_words", F.size("places").cast("long").alias("n_base"),
         F.array_min("places.word").alias("first_word"), F.array_max("places.word").alias("last_word"),

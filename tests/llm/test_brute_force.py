@@ -602,6 +602,70 @@ def test_license_scan_finds_every_notice(spark):
     assert all(any(at <= word + 12 and word <= at + 5 for _, word, _ in spots) for at in (5, 60, 140))
 
 
+def found_labels(spark, texts, templates, **kw):
+    out = license_scan.license_scan(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), {}, templates, **kw)
+    return {r.id: [x.label for x in r.notices] for r in out.collect()}
+
+
+def test_every_notice_names_its_own_license_only(spark):
+    """Each registered notice alone, within prose, and with a word in five of a long one changed."""
+    from tessera.llm.queries import NOTICES
+    rnd = random.Random(15)
+    notices = [(label, t) for label, ts in NOTICES.items() for t in ([ts] if isinstance(ts, str) else ts)]
+    texts, want = [], []
+    for label, t in notices:
+        damaged = t.split()
+        if len(damaged) > 40:
+            for i in rnd.sample(range(len(damaged)), len(damaged) // 15):
+                damaged[i] = "qux"
+        for text in (t, f"{letters(rnd, 60)}\n# {t.upper()}\n{letters(rnd, 60)}", " ".join(damaged)):
+            texts.append(text)
+            want.append(label)
+    for label, others in (("none", ["Licensed under terms of our own", "Released under the same roof", "version 2 of the story"]),
+                          ("none", [f"Released {letters(rnd, 100)} under {letters(rnd, 100)} the MIT {letters(rnd, 100)} License"])):
+        texts += others
+        want += [label] * len(others)
+    got = found_labels(spark, texts, NOTICES, tell_apart=True)
+    for i, label in enumerate(want):
+        if label == "none":
+            assert got[i] == [], texts[i]
+        else:
+            assert label in got[i] and len(got[i]) == 1, (label, got[i], texts[i])
+    both = found_labels(spark, ["Licensed under CC BY 4.0. Licensed under CC BY-SA 4.0."], NOTICES, tell_apart=True)
+    assert both[0] == ["cc-by-4.0", "cc-by-sa-4.0"]
+    # what the threshold alone can't tell apart
+    loose = found_labels(spark, ["Licensed under CC BY-SA 4.0"], {"nc": "Licensed under CC BY-NC 4.0", "sa": "Licensed under CC BY-SA 4.0"})
+    assert loose[0] == ["nc", "sa"]
+
+
+def test_telling_apart_by_brute_force(spark, monkeypatch):
+    """``tell_apart`` against its definition, block by block."""
+    monkeypatch.setattr(license_scan, "SHORT", 4)
+    rnd = random.Random(16)
+    v = [f"w{i}" for i in range(12)]
+    templates = {f"l{k}": [" ".join(rnd.sample(v, rnd.randint(2, 9))) for _ in range(rnd.randint(1, 3))] for k in range(7)}
+    flat = [(label, set(t.split()), next(s for s in (8, 16, 32) if s >= 2 * len(t.split()))) for label, ts in templates.items() for t in ts]
+    texts = [" ".join(rnd.choice(v + ["qux"] * 3) for _ in range(rnd.randint(0, 70))) for _ in range(120)]
+    want, gone = {}, 0
+    for i, text in enumerate(texts):
+        w, best = text.split(), {}
+        for size in (8, 16, 32):
+            for b in range(max(0, -(-(len(w) - size) // (size // 2))) + 1):
+                n = Counter(w[b * size // 2:b * size // 2 + size])
+                met = [(label, t, len(t & set(n)) / len(t)) for label, t, own in flat if own == size
+                       and len(t & set(n)) >= (len(t) if len(t) < 4 else math.ceil(0.7 * len(t) - 1e-9))]
+                for label, t, c in met:
+                    near = [(o, d) for other, o, d in met if other != label and len(t & o) >= math.ceil(0.7 * len(t) - 1e-9)]
+                    if any(d > c or d == c and len(o) > len(t) and any(n[x] == 1 for x in t) for o, d in near):
+                        gone += 1
+                    else:
+                        best[label] = max(best.get(label, 0), round(c, 9))
+        want[i] = sorted(best.items())
+    assert gone > 20
+    out = license_scan.license_scan(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), {}, templates, 0.7, block_words=8, tell_apart=True)
+    assert {r.id: sorted((x.label, round(x.containment, 9)) for x in r.notices) for r in out.collect()} == want
+
+
 # ---------------------------------------------------------------- 10 chat
 
 def test_reply_trees(spark):
