@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -229,6 +232,26 @@ def _move(r: int) -> str:
      (select c, list(((s - ((s % n + n) % n)) // n)::bigint order by i) as q from s{r} group by c) as m using (c))"""
 
 
+def _notices_sql(threshold: float = 0.8, short: int = 16) -> tuple[str, str, str]:
+    """VALUES of the templates (tid, label, words, block size, need), pairs of neighbours, and phrases."""
+    def words(t):
+        return re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+    listed = [(label, words(t)) for label, ts in NOTICES.items() for t in ([ts] if isinstance(ts, str) else ts)]
+    rows, sets = [], []
+    for tid, (label, w) in enumerate(listed):
+        size = next(s for s in (48 * 2 ** k for k in range(20)) if s >= 2 * len(w))
+        least = math.ceil(threshold * len(set(w)) - 1e-9)
+        sets.append((label, set(w), size, least))
+        listing = ", ".join(f"'{x}'" for x in sorted(set(w)))
+        rows.append(f"({tid}, '{label}', [{listing}], {size}, {len(set(w)) if len(set(w)) < short else least})")
+    near = [f"({t}, {u})" for t, (a, s, size, least) in enumerate(sets) for u, (b, o, other, _) in enumerate(sets)
+            if a != b and size == other and len(s & o) >= least]
+    phrases = ", ".join(f"([{', '.join(repr(x) for x in words(p))}], '{label}')" for p, label in PHRASES.items())
+    return ", ".join(rows), ", ".join(near), phrases
+
+
+_TEMPLATES, _NEAR, _PHRASES = _notices_sql()
+
 ORACLE: dict[str, str] = {
     "op5_substring_dedup": rf"""
 with d as (select doc_id, {_WORDS} as w from documents),
@@ -380,4 +403,28 @@ with v as materialized (
 select vec_id, best[2]::int as cluster, best[1]::bigint as distance, e.s::bigint as cluster_inertia,
        (select sum(s) from e)::bigint as inertia, sha256(array_to_string(q, ',')) as centroid_sha256
 from a5 join e on e.c = best[2] join c5 on c5.c = best[2]""",
+    "op9_license_scan": rf"""
+with d as (select row_number() over () as r, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), {_UP}, {_LOW}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+ tm(tid, label, ws, size, need) as (values {_TEMPLATES}),
+ near(t, u) as (values {_NEAR}),
+ ph(p, label) as (values {_PHRASES}),
+ pl as (select r, label, i - 1 as word
+        from (select r, w, unnest(generate_series(1, len(w))) as i from d) x, ph where w[i:i + len(p) - 1] = p),
+ base as (select r, count(*) as n_base, min(word) as first_word, max(word) as last_word, list_distinct(list(label)) as base from pl group by r),
+ blk as (select r, size, b, w[b * (size // 2) + 1:b * (size // 2) + size] as bw
+         from (select r, w, size, unnest(generate_series(0, greatest(0, ceil((len(w) - size) / (size // 2)))::bigint)) as b
+               from d, (select distinct size from tm))),
+ met as (select r, size, b, tid, label, len(list_intersect(ws, bw)) / len(ws) as c, len(ws) as n,
+                len(list_filter(ws, lambda x: len(list_filter(bw, lambda y: y = x)) = 1)) > 0 as once
+         from blk join tm using (size) where len(list_intersect(ws, bw)) >= need),
+ own as (select * from met m where not exists (
+          select 1 from met o join near on near.t = m.tid and near.u = o.tid
+          where o.r = m.r and o.size = m.size and o.b = m.b and (o.c > m.c or (o.c = m.c and o.n > m.n and m.once)))),
+ best as (select r, list_distinct(list(label)) as own, max(c) as c from own group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word,
+       last_word::bigint as last_word, array_to_string(list_sort(coalesce(base, [])), ',') as base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(own, [])))), ',') as labels,
+       case when n_base > 0 then 1.0 else coalesce(c, 0.0) end::double as score
+from d left join base using (r) left join best using (r)""",
 }
