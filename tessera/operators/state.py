@@ -92,25 +92,31 @@ def _differs(low: str, high: str, key: str) -> Column:
 
 
 def cell_hits(actors: DataFrame, projectiles: DataFrame, damage: int) -> DataFrame:
-    """(id, hit, win): per actor whether a projectile of another owner is in its cell, and
-    per owner whether one of its projectiles is in the cell of another actor whose hp is at
-    0 or below after this batch's damage.
-
-    No projectile x actor pairs: in a cell only the smallest and the largest owner, and the
-    smallest and largest dead actor, matter.  Projectiles become one row per (cell, owner),
-    and both extremes are partial aggregates per cell, joined back to the rows, so a cell
-    that holds a third of all actors is no group in one task: its rows are reduced before
-    the exchange and the join of its one row can be split.  A NULL owner never hits."""
-    p = spatial.with_cell(projectiles).filter("owner is not null").select("cx", "cy", "owner").distinct()
+    """(id, hit, win) per actor: whether a projectile of another owner is in its cell, and
+    whether one of its own projectiles is in the cell of another actor whose hp is at 0 or
+    below after this batch's damage.
+
+    No projectile x actor pairs: of a cell only the smallest and the largest owner matter to
+    an actor, and to a projectile the smallest and largest actor with at most ``damage`` hp
+    (the projectile itself hits it).  Projectiles are read once: each gives a row keyed by its
+    cell and one keyed by its owner to one aggregate, and actors look up both.  All are
+    partial aggregates, so a cell or an owner with a third of all rows is no group in one
+    task, and the join to its one row can be split.  A NULL owner never hits."""
     a = spatial.with_cell(actors).select("cx", "cy", "id", "hp")
-    owners = _extremes(p, "owner")
-    shot = _differs("_lo", "_hi", "id")
-    a = _with_cells(a, owners).select("cx", "cy", "id", "hp", shot.alias("hit"))
-    dead = _extremes(a.filter(F.col("hp") - F.when(F.col("hit"), damage).otherwise(0) <= 0), "id")
-    wins = _with_cells(p, dead, "inner").filter(_differs("_lo", "_hi", "owner")).select(
-        F.col("owner").alias("id"), F.lit(False).alias("hit"), F.lit(True).alias("win"))
-    return (a.select("id", "hit", F.lit(False).alias("win")).unionByName(wins)
-            .groupBy("id").agg(F.max("hit").alias("hit"), F.max("win").alias("win")))
+    weak = _extremes(a.filter(F.col("hp") <= damage), "id")
+    p = spatial.with_cell(projectiles).filter("owner is not null").select("cx", "cy", "owner")
+    p = _with_cells(p, weak).select("cx", "cy", "owner", _differs("_lo", "_hi", "owner").alias("win"))
+
+    def keyed(rows, key, *cols):
+        at = F.array(F.struct(F.lit(0).alias("k"), F.col("cx").alias("k1"), F.col("cy").alias("k2")),
+                     F.struct(F.lit(1).alias("k"), F.col(key).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2")))
+        return rows.select(F.inline(at), *cols)
+    shots = (keyed(p, "owner", "owner", "win").groupBy(F.col("k").alias("_k"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+             .agg(F.min("owner").alias("_lo"), F.max("owner").alias("_hi"), F.max("win").alias("_win")))
+    j = keyed(a, "id", "id").join(shots, F.expr("k = _k AND k1 = _k1 AND k2 = _k2"), "left")
+    cell_row = F.col("k") == 0
+    return j.groupBy("id").agg(F.max(cell_row & _differs("_lo", "_hi", "id")).alias("hit"),
+                               F.max(~cell_row & F.coalesce("_win", F.lit(False))).alias("win"))
 
 
 def _extremes(rows: DataFrame, key: str) -> DataFrame:

@@ -198,12 +198,15 @@ class _Camera:
     def nearest(self):
         return self.c.nearest_pixel(self.occluded())
 
-    def with_top(self, view):
+    def with_top(self, view, crowded=False):
         """Views with their nearest target pixels; the rows of ``view_rows`` hide those
-        behind the column's occluder.  The views are computed once and written, as they also
-        tell which targets stand behind walls and need no pixels."""
-        view = staged(view, "views")
-        shown = self.c.unhidden(self.lod, self.w.stamps(), view, self.w.vp, catalogue_rows=self.catalogue_rows)
+        behind the column's occluder.  ``crowded``: the views are written first and tell which
+        targets stand behind walls and need no pixels; worth it where an observer has many
+        targets near, and a second slower where it has few."""
+        shown = None
+        if crowded:
+            view = staged(view, "views")
+            shown = self.c.unhidden(self.lod, self.w.stamps(), view, self.w.vp, catalogue_rows=self.catalogue_rows)
         none = F.create_map().cast("map<int,array<struct<px:int,ch:string,depth:double>>>")
         top = self.c.top_pixels(self.c.nearest_pixel(self.pixels(shown)))
         return view.join(top, "id", "left").withColumn("top", F.coalesce("top", none))
@@ -247,6 +250,14 @@ def q_c_lod(spark, sf):
     return _Camera(spark, sf).lod.select("obs_id", "target_id", F.col("eff_stamp").alias("stamp_id"))
 
 
+@query
+def q_c_unhidden(spark, sf):
+    """Targets of which an observer may see a pixel: not wholly behind a wall."""
+    cam = _Camera(spark, sf)
+    view = cam.c.observer_view(cam.w.actors(), cam.grid, cam.w.vp)
+    return cam.c.unhidden(cam.lod, cam.w.stamps(), view, cam.w.vp, catalogue_rows=cam.catalogue_rows).select("obs_id", "target_id")
+
+
 @query
 def q_c_lod_table(spark, sf):
     """Stamps from a table with a threshold per part, instead of three fixed ones."""

@@ -57,6 +57,14 @@ oracle("c_observer_frame",
 oracle("c_project",
        f"SELECT obs_id, target_id, screen_x, screen_y, {q6('depth')} AS depth FROM screen", "screen")
 oracle("c_lod", "SELECT obs_id, target_id, eff_stamp AS stamp_id FROM lodsel", "lodsel")
+oracle("c_unhidden", f"""
+SELECT DISTINCT t.obs_id, t.target_id
+FROM (SELECT l.*, screen_x - round_even(s.w / 2 * sc, 0) AS ax, ceil(s.w * sc) AS cols
+      FROM (SELECT *, ({d(VP.projection_factor)} * world_w / depth) AS size FROM lodsel) l
+      JOIN stamps s ON s.stamp_id = l.eff_stamp, LATERAL (SELECT l.size / s.w AS sc) z) t
+JOIN rays r ON r.id = t.obs_id AND r.col BETWEEN greatest(t.ax, 0) AND least(t.ax + t.cols + 1, {VP.view_w - 1})
+LEFT JOIN extent e ON e.id = r.id AND e.col = r.col
+WHERE t.depth < coalesce(e.extent, {d(VP.max_steps * VP.step)})""", "lodsel", "stamps", "rays", "extent")
 oracle("c_lod_table", f"""
 WITH lod AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'bullet' ELSE 'player' END AS kind,
                     ((p_partkey * 6151) % 1200) / {d(100.0)} AS min_depth, CAST(p_partkey % 5 AS INTEGER) AS stamp_id FROM part)

@@ -546,6 +546,9 @@ def test_targets_behind_walls_become_no_pixels(spark):
     assert _same_rows(cam.c.occlude(cam.pixels(shown), sight.ray_extent(cam.rays), cam.w.vp).select(*top.columns), top)
     assert top.select("obs_id", "target_id").distinct().exceptAll(shown.select("obs_id", "target_id")).count() == 0
     assert shown.count() < cam.lod.count()
+    from tessera.operators import report
+    drawn = report.lines(cam.with_top(view, crowded=True), cam.row_array(), out="row", first=0)
+    assert _same_rows(drawn, cam.rows())
 
 
 def test_sums_before_once(spark):
