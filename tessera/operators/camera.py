@@ -259,12 +259,14 @@ def top_pixels(nearest: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("py", "row"))).alias("top"))
 
 
-def view_rows(vp: ViewParams = ViewParams()) -> Column:
-    """The raster rows of a view (columns cols, top), top to bottom, as an array of strings."""
+def view_rows(vp: ViewParams = ViewParams(), by_row: bool = False) -> Column:
+    """The raster rows of a view (columns cols, top), top to bottom, as an array of strings.
+    ``top``: an array of (px, py, ch, depth), or with ``by_row`` the map of ``top_pixels``."""
     last, h = (vp.view_h if vp.inclusive_edge else vp.view_h - 1), vp.view_h
     base = (f"array_join(transform(cols, c -> CASE WHEN y < ({h} - c.height) DIV 2 THEN '{SKY}' "
             f"WHEN y >= ({h} + c.height) DIV 2 THEN '{GROUND}' ELSE c.band END), '')")
-    patch = "filter(coalesce(top[y], array()), p -> p.depth < get(cols, p.px).extent)"
+    own = "coalesce(top[y], array())" if by_row else "filter(top, p -> p.py = y)"
+    patch = f"filter({own}, p -> p.depth < get(cols, p.px).extent)"
     return F.expr(f"transform(sequence(0, {last}), y -> aggregate({patch}, {base}, "
                   "(acc, p) -> overlay(acc PLACING p.ch FROM p.px + 1 FOR 1)))")
 

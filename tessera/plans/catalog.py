@@ -215,7 +215,7 @@ class _Camera:
         return self.with_top(self.c.observer_view(self.w.actors(), self.grid, self.w.vp))
 
     def row_array(self):
-        return self.c.view_rows(self.w.vp)
+        return self.c.view_rows(self.w.vp, by_row=True)
 
     def rows(self):
         from tessera.operators import report
