@@ -23,7 +23,7 @@ SF = "/root/testdata/sf0.001"
 def test_registered():
     got = entry.queries()
     assert set(QUERIES) | {"pipeline"} <= set(got)
-    assert {int(m[1]) for k in got if (m := re.match(r"op(\d+)_", k))} == set(range(1, 11))
+    assert {int(m[1]) for k in got if (m := re.match(r"op(\d+)_", k))} == set(range(1, 14))
     assert set(ORACLE) <= set(entry.oracle_sql())
 
 
@@ -31,7 +31,7 @@ def test_registered():
 def test_query(key, spark, duck):
     df = QUERIES[key](spark, SF)
     got = [tuple(r) for r in df.collect()]
-    table = {"op2": "pages", "op10": "conversations"}.get(key.split("_")[0], "documents")
+    table = {"op2": "pages", "op10": "conversations", "op12": "embeddings"}.get(key.split("_")[0], "documents")
     assert got and len(got) <= 1 + spark.read.parquet(f"{SF}/{table}.parquet").count()
     if key in ORACLE:
         res = duck.sql(ORACLE[key])
