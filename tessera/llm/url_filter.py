@@ -3,7 +3,7 @@
 Features of a URL: lengths, depth, digit ratio, character entropy, counts of hyphens, dots
 and parameters, and two suffix statistics (how many labelled URLs its domain suffix has and
 their share of blocked ones, smoothed).  The statistics are aggregates over all labelled
-URLs.  The trees are fitted on a bounded sample of them (``per_class`` URLs of each label,
+URLs; for fitting they leave out the fold of the URL's host, so no label explains itself.  The trees are fitted on a bounded sample of them (``per_class`` URLs of each label,
 chosen by hash); every URL is judged.
 """
 
@@ -86,20 +86,40 @@ def lexical_udf(urls: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([tuple(map(float, lexical(u))) for u in urls], columns=list(LEXICAL))
 
 
-def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """(suffix, suffix_urls, suffix_blocked) over all labelled (url, blocked)."""
-    return (labelled.groupBy(suffix_of(host_of(F.col("url"))).alias("suffix"))
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("blocked").cast("long")).alias("b"))
-            .select("suffix", F.log2(F.col("n") + F.lit(1.0)).alias("suffix_urls"),
+FOLDS = 5
+
+
+def fold_of(host: Column) -> Column:
+    """Hosts are dealt whole, so no label of a host counts in the statistics its URLs are fitted with."""
+    return F.pmod(F.xxhash64(host), F.lit(FOLDS)).cast("int")
+
+
+def suffix_statistics(labelled: DataFrame, out_of_fold: bool = False) -> DataFrame:
+    """(suffix, suffix_urls, suffix_blocked) over all labelled (url, blocked); with
+    ``out_of_fold`` a row per (suffix, fold), over the hosts of all other folds."""
+    host = host_of(F.col("url"))
+    one, bad = F.lit(1).alias("n"), F.col("blocked").cast("long").alias("b")
+    rows = labelled.select(suffix_of(host).alias("suffix"), fold_of(host).alias("own"), one, bad)
+    keys = ["suffix"]
+    if out_of_fold:
+        rows = rows.groupBy("suffix", "own").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+        others = F.filter(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda f: f != F.col("own"))
+        rows, keys = rows.select("suffix", "n", "b", F.explode(others).alias("fold")), ["suffix", "fold"]
+    return (rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+            .select(*keys, F.log2(F.col("n") + F.lit(1.0)).alias("suffix_urls"),
                     ((F.col("b") + 1.0) / (F.col("n") + 2.0)).alias("suffix_blocked")))
 
 
 def with_features(urls: DataFrame, stats: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(*keep, url, features): the columns ``keep`` of ``urls``, which has no others but ``url``
     that a step here could meet; a suffix without statistics is neutral."""
-    s = stats.select(F.col("suffix").alias("of_suffix"), *SUFFIX)
+    host = host_of(F.col("url"))
+    on = suffix_of(host) == F.col("of_suffix")
+    s = stats.withColumnRenamed("suffix", "of_suffix")
+    if "fold" in stats.columns:
+        on = on & (fold_of(host) == F.col("fold"))
     out = urls.select(*keep, "url", lexical_udf(F.coalesce("url", F.lit(""))).alias("lex"))
-    out = out.join(s, suffix_of(host_of(F.col("url"))) == F.col("of_suffix"), "left")
+    out = out.join(s, on, "left")
     out = out.select(*keep, "url", *[F.col(f"lex.{n}") for n in LEXICAL],
                      F.coalesce("suffix_urls", F.lit(0.0)).alias("suffix_urls"),
                      F.coalesce("suffix_blocked", F.lit(0.5)).alias("suffix_blocked"))
@@ -117,7 +137,7 @@ def fit(labelled: DataFrame, per_class: int = 5000, trees: int = 15, depth: int
     if not all(sizes):
         return stats, 1.0 if sizes[0] else 0.0
     # one sorted partition: sums in a fixed order, so reruns give the same trees
-    train = (with_features(few[0].union(few[1]), stats, ["blocked"])
+    train = (with_features(few[0].union(few[1]), suffix_statistics(known, out_of_fold=True), ["blocked"])
              .select("url", "features", F.col("blocked").cast("double").alias("label"))
              .coalesce(1).sortWithinPartitions(F.xxhash64("url"), "url").select("features", "label"))
     gbt = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, subsamplingRate=1.0, seed=seed,

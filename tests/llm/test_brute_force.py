@@ -156,6 +156,25 @@ def test_url_model_on_held_out_hosts(spark):
     assert odd.count() == 3 and odd.filter("url_verdict is null").count() == 0
 
 
+def test_suffix_statistics_out_of_fold(spark):
+    """No label of a host counts where its URLs are fitted; in all, every label counts."""
+    rnd = random.Random(21)
+    rows = [(f"http://{rnd.choice('abcdefgh')}.{rnd.choice(['x', 'y'])}.{rnd.choice(['org', 'net'])}/{i}", rnd.random() < 0.4) for i in range(200)]
+    df = spark.createDataFrame(rows, "url string, blocked boolean")
+    fold = {r.url: r.f for r in df.select("url", url_filter.fold_of(url_filter.host_of(F.col("url"))).alias("f")).collect()}
+    suffix = {u: ".".join(u.split("/")[2].split(".")[-2:]) for u, _ in rows}
+
+    def stats(part):
+        n, b = Counter(suffix[u] for u, _ in part), Counter(suffix[u] for u, x in part if x)
+        return {s: (math.log2(n[s] + 1), (b[s] + 1) / (n[s] + 2)) for s in n}
+    got = {r.suffix: (r.suffix_urls, r.suffix_blocked) for r in url_filter.suffix_statistics(df).collect()}
+    assert got.keys() == stats(rows).keys() and all(got[k] == pytest.approx(v) for k, v in stats(rows).items())
+    out = {(r.suffix, r.fold): (r.suffix_urls, r.suffix_blocked) for r in url_filter.suffix_statistics(df, out_of_fold=True).collect()}
+    want = {(s, f): v for f in range(url_filter.FOLDS) for s, v in stats([r for r in rows if fold[r[0]] != f]).items()}
+    assert out.keys() == want.keys() and all(out[k] == pytest.approx(v) for k, v in want.items())
+    assert len({fold[u] for u, _ in rows}) > 2
+
+
 # ---------------------------------------------------------------- 3 token counts
 
 def naive_pieces(w, first, rest):
