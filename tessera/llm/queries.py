@@ -204,6 +204,7 @@ _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 _WS = r"[\x20\x09-\x0D]"
 _KEY = rf"translate(regexp_replace(line, '^{_WS}+|{_WS}+$', '', 'g'), {_UP}, {_LOW})"
 _NORM = rf"regexp_replace(regexp_replace({_KEY}, '{_WS}+', ' ', 'g'), '[0-9]+', '0', 'g')"
+_TOKENS = rf"regexp_extract_all(translate(coalesce(text, ''), {_UP}, {_LOW}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -253,6 +254,22 @@ def _notices_sql(threshold: float = 0.8, short: int = 16) -> tuple[str, str, str
 _TEMPLATES, _NEAR, _PHRASES = _notices_sql()
 
 ORACLE: dict[str, str] = {
+    "op4_decontaminate": rf"""
+with dw as (select row_number() over () as r, doc_id, {_TOKENS} as w from documents),
+ iw as (select row_number() over () as q, item_id, {_TOKENS} as w from benchmark),
+ d as (select r, unnest(w) as x, unnest(range(0, len(w))) as p from dw),
+ i as (select q, least(13, ceil(0.8 * len(w) - 1e-9)) as need, unnest(w) as x, unnest(range(0, len(w))) as p from iw),
+ -- equal words by alignment; an overlap that counts has 0.8 of its words equal
+ al as (select r, q, d.p - i.p as shift, any_value(need) as need, list(d.p order by d.p) as ps
+        from d join i using (x) group by r, q, d.p - i.p having count(*) >= ceil(0.8 * any_value(need) - 1e-9)),
+ ends as (select r, q, shift, need, ps, unnest(range(1, len(ps) + 1)) as a from al),
+ st as (select r, q, shift, need, ps[a] as start, ps[b] - ps[a] + 1 as n_words, b - a + 1 as n_equal
+        from (select *, unnest(range(a, len(ps) + 1)) as b from ends) where b - a + 1 >= 0.8 * (ps[b] - ps[a] + 1) - 1e-9),
+ longest as (select * from st qualify row_number() over (partition by r, q, shift order by n_words desc, start) = 1),
+ best as (select * from longest where n_words >= need
+          qualify row_number() over (partition by r, q order by n_equal desc, start, n_words desc) = 1)
+select doc_id, item_id, start::bigint as start, n_words::bigint as n_words, n_equal::bigint as n_equal
+from best join dw using (r) join iw using (q)""",
     "op5_substring_dedup": rf"""
 with d as (select doc_id, {_WORDS} as w from documents),
  win as (select doc_id, i, array_to_string(w[i:i + 49], ' ') as g
@@ -405,7 +422,7 @@ select vec_id, best[2]::int as cluster, best[1]::bigint as distance, e.s::bigint
 from a5 join e on e.c = best[2] join c5 on c5.c = best[2]""",
     "op9_license_scan": rf"""
 with d as (select row_number() over () as r, doc_id,
-             regexp_extract_all(translate(coalesce(text, ''), {_UP}, {_LOW}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+             {_TOKENS} as w from documents),
  tm(tid, label, ws, size, need) as (values {_TEMPLATES}),
  near(t, u) as (values {_NEAR}),
  ph(p, label) as (values {_PHRASES}),
