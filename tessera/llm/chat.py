@@ -145,8 +145,8 @@ def format_trees(messages: DataFrame, tree: str, node: str, parent: str, score:
     """Formats the top_k branches of every reply tree: (tree, branch, n_turns, formatted,
     loss).  ``tree`` and ``node`` are longs; a null tree is a tree of its own, rows with a null
     node are left out.  Of rows that repeat a node, the smallest parent, the largest score
-    and the smallest (role, text) hold.  Null roles and texts are empty; an empty table
-    gives an empty result."""
+    and the smallest (role, text) hold.  Null roles and texts are empty, texts of any length
+    are formatted whole; an empty table gives an empty result; other columns are not read."""
     m = messages.select(key_id(F.col(tree)).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("parent"),
                         F.col(score).alias("score"), F.col(role).alias("role"),
                         F.col(text).alias("text")).filter("node is not null")
@@ -168,7 +168,8 @@ def as_trees(rows: DataFrame) -> DataFrame:
 
 
 def conversations(rows: DataFrame) -> DataFrame:
-    """Formats whole conversations: conv_id, n_turns, formatted, loss."""
+    """Formats whole conversations: conv_id, n_turns, formatted, loss.  Nulls, long texts and an
+    empty table as in ``format_trees``; repeated rows are turns of their own."""
     trees = as_trees(rows.select("conv_id", "turn", "role", "text"))
     out = format_trees(trees, "conv_id", "node", "parent", "score")
     return out

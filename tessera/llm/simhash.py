@@ -318,7 +318,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col
     """One row per input row: (id, th, fp, root, component_id); root is the smallest
     fingerprint of the component.
 
-    Null or wordless text has fingerprint zero and is linked like any other.  A null id
+    Null or wordless text has fingerprint zero and is linked like any other; texts of any
+    length are read whole.  A null id
     keeps its row but is never the smallest id of a component (which is null if no
     member has an id).  Repeated rows share fingerprint and component.  An empty table
     gives an empty result; other columns of ``docs`` are not read.

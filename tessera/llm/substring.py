@@ -215,7 +215,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, gram: int = 8, hot_rows:
     """(id, th, n_words, n_removed, kept) per input row; kept: the words left, joined by one
     space.  Windows are judged on the input, not on what is left.
 
-    Null and empty texts have no words.  A row without an id is no document before or after
+    Null and empty texts have no words, texts of any length are read whole.  A row without an id is no document before or after
     another and keeps all its words.  Rows that share an id are the same document: they do
     not repeat each other, and each loses what a smaller id has.  An empty table gives an
     empty result; other columns are not read.

@@ -126,8 +126,9 @@ def token_counts(docs: DataFrame, automaton: LongestMatch, prefix: bytes = b"",
 
     Words are runs of other bytes than space and 9 to 13; ``prefix`` is put before each, as in
     vocabularies whose word-initial pieces begin with a space.  A word that can't be split is
-    one unknown token.  Null and empty texts have no words; repeated rows are counted
-    each.  The automaton is broadcast: its size is the vocabulary's, not the data's.
+    one unknown token.  Null and empty texts have no words; texts and words of any length are
+    read whole; repeated rows are counted each; an empty table gives an empty result; other
+    columns are not read.  The automaton is broadcast: its size is the vocabulary's, not the data's.
     """
     shared = docs.sparkSession.sparkContext.broadcast(automaton.tables)
     held: list[_Lengths] = []
