@@ -44,52 +44,69 @@ def held_of_pairs(pairs: DataFrame) -> DataFrame:
 # ---- release: event-time timer ---------------------------------------------------------
 
 RELEASE_OUT = "key long, action string, pressed long, released long, presses long"
-RELEASE_STATE = "pressed array<long>, last array<long>, presses array<long>"
+RELEASE_STATE = "key array<long>, no_key array<boolean>, action array<string>, pressed array<long>, last array<long>, presses array<long>"
+RELEASE_BUCKETS = 2048
 
 
-def merge_presses(first: np.ndarray, last: np.ndarray, n: np.ndarray, hold_us: int):
+def merge_presses(first: np.ndarray, last: np.ndarray, n: np.ndarray, hold_us: int, group: np.ndarray | None = None):
     """Intervals (first, last, number of presses) joined where the next one begins at most
-    ``hold_us`` after all before have ended."""
-    order = np.argsort(first, kind="stable")
-    first, last, n = first[order], last[order], n[order]
-    reach = np.maximum.accumulate(last)
-    new = np.flatnonzero(np.concatenate([[True], first[1:] - reach[:-1] > hold_us]))
-    return first[new], np.maximum.reduceat(last, new), np.add.reduceat(n, new)
+    ``hold_us`` after all before have ended.  With ``group`` (numbers) only those of one group
+    are joined, and the place of an interval of the group is given, too."""
+    of = np.zeros(len(first), np.int64) if group is None else group
+    order = np.lexsort((first, of))
+    first, last, n, of = first[order], last[order], n[order], of[order]
+    reach = pd.Series(last).groupby(of, sort=False).cummax().to_numpy()
+    new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (first[1:] - reach[:-1] > hold_us)]))
+    merged = first[new], np.maximum.reduceat(last, new), np.add.reduceat(n, new)
+    return merged if group is None else (*merged, order[new])
 
 
 def _release_fn(hold_us: int):
-    def fn(key, pdfs, state):
+    names = ["key", "no_key", "action", "first", "last", "n"]
+
+    def fn(_, pdfs, state):
         mark = state.getCurrentWatermarkMs() * 1000
-        cols = [np.array(c, np.int64) for c in state.get] if state.exists else [np.empty(0, np.int64)] * 3
+        parts = [pd.DataFrame(dict(zip(names, map(list, state.get))))] if state.exists else []
         if not state.hasTimedOut:
-            us = np.concatenate([p["us"].to_numpy(np.int64) for p in pdfs])
-            us = us[us >= mark]                     # late: its interval may have been given already
-            cols = [np.concatenate([c, x]) for c, x in zip(cols, (us, us, np.ones(len(us), np.int64)))]
-        if not len(cols[0]):
+            for p in pdfs:
+                p = p[p["us"] >= mark]              # late: its interval may have been given already
+                parts.append(p[["key", "no_key", "action"]].assign(first=p["us"], last=p["us"], n=1))
+        rows = pd.concat([p for p in parts if len(p)], ignore_index=True) if any(map(len, parts)) else None
+        if rows is None:
             return
-        first, last, n = merge_presses(*cols, hold_us)
+        group = rows.groupby(names[:3], sort=False, dropna=False).ngroup().to_numpy()
+        first, last, n, at = merge_presses(*(rows[c].to_numpy(np.int64) for c in names[3:]), hold_us, group)
+        rows = rows[names[:3]].iloc[at].assign(first=first, last=last, n=n)
         closed = last + hold_us < mark              # nothing that is not late can reach it
         if closed.all():
             state.remove()
         else:
-            state.update(tuple(c[~closed].tolist() for c in (first, last, n)))
+            state.update(tuple(rows[c][~closed].tolist() for c in names))
             state.setTimeoutTimestamp(int((last[~closed].min() + hold_us) // 1000))
         if closed.any():
-            m = int(closed.sum())
-            yield pd.DataFrame({"key": pd.array([key[0]] * m, dtype="Int64"), "action": [key[1]] * m, "pressed": first[closed],
-                                "released": last[closed] + hold_us, "presses": n[closed]})
+            out = rows[closed]
+            key = pd.arrays.IntegerArray(out["key"].to_numpy(np.int64), out["no_key"].to_numpy(bool))
+            yield pd.DataFrame({"key": key, "action": out["action"].to_numpy(), "pressed": out["first"].to_numpy(),
+                                "released": out["last"].to_numpy() + hold_us, "presses": out["n"].to_numpy()})
     return fn
 
 
-def release_intervals(actions: DataFrame, hold_us: int = 100_000, delay: str = "1 hour") -> DataFrame:
+def release_intervals(actions: DataFrame, hold_us: int = 100_000, delay: str = "1 hour", buckets: int = RELEASE_BUCKETS) -> DataFrame:
     """(key, action, pressed, released, presses): from the first press to ``hold_us`` after the
     last one of a run of presses, each at most ``hold_us`` after the one before; given when the
-    watermark has passed ``released``.  The state of a key are its open intervals, which lie
-    within the delay; rows of a micro-batch may come in any order.  Rows behind the
-    watermark, and rows without a time, are left out."""
+    watermark has passed ``released``.  Rows of a micro-batch may come in any order.  Rows
+    behind the watermark, and rows without a time, are left out.
+
+    Keys are dealt over ``buckets`` by a hash, and a bucket is folded at once, so Python is
+    called for buckets and not for keys, however many there are.  The state of a bucket are
+    the open intervals of its keys, which lie within the delay.  A stream that goes on from
+    a checkpoint keeps its number of buckets."""
+    # a NULL key travels as a flag: pandas would make the column one of doubles
     src = (actions.filter("ets is not null").withWatermark("ets", delay)
-           .select("key", "action", "ets", F.unix_micros("ets").alias("us")))
-    return src.groupBy("key", "action").applyInPandasWithState(
+           .select(F.coalesce(F.col("key").cast("long"), F.lit(0).cast("long")).alias("key"), F.col("key").isNull().alias("no_key"),
+                   "action", "ets", F.unix_micros("ets").alias("us"),
+                   F.pmod(F.xxhash64("key", "action"), F.lit(buckets)).alias("bucket")))
+    return src.groupBy("bucket").applyInPandasWithState(
         _release_fn(int(hold_us)), RELEASE_OUT, RELEASE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
