@@ -45,3 +45,25 @@ def test_merge_presses_by_group():
     first = np.array([0, 0, 3, 20, 30])
     f, last, n, i = keys.merge_presses(first, first, np.ones(5, np.int64), 5, group)
     assert sorted(zip(group[i].tolist(), f.tolist(), last.tolist(), n.tolist())) == [(0, 0, 0, 1), (0, 20, 20, 1), (1, 0, 3, 2), (1, 30, 30, 1)]
+
+
+def test_shots_only_where_actors_look(spark):
+    """5,000 projectiles over 5,000 cells and owners, three of them in an actor's cell."""
+    actors = spark.createDataFrame([(1, 0.0, 0.0, 10), (2, 9000.0, 0.0, 100)], "id long, x double, y double, hp int")
+    far = spark.range(5000).select((F.col("id") + 100).alias("owner"), (F.col("id") + 10.0).alias("x"), F.lit(3.0).alias("y"))
+    near = spark.createDataFrame([(2, 0.0, 0.0), (1, 0.0, 0.0), (7, 9000.0, 0.0)], "owner long, x double, y double")
+    shots = state.cell_shots(actors, far.unionByName(near), 50)
+    got = {(r["_k"], r["_k1"], r["_k2"]): (r["_lo"], r["_hi"], r["_win"]) for r in shots.collect()}
+    assert got[0, 0, 0] == (1, 2, True) and got[0, 9000, 0][:2] == (7, 7) and got[1, 2, 0][2] is True and len(got) == 3
+    hits = {r.id: (r.hit, r.win) for r in state.cell_hits(actors, far.unionByName(near), 50).collect()}
+    assert hits == {1: (True, False), 2: (True, True)}
+
+
+def test_the_packed_grid_is_never_broadcast(spark):
+    w = World(spark, SF_SMALL)
+    looked_up = w.packed().lookup(w.targets().withColumns({"cx": F.col("x").cast("long"), "cy": F.col("y").cast("long")}))
+    near = sight.neighbourhood(w.actors(), w.packed(), w.vp)
+    for df in (looked_up, near):
+        joins = [p for p in plan(df).splitlines() if "_gw" in p and "Join" in p or "SortMergeJoin LeftOuter" in p]
+        assert joins and not any("Broadcast" in p for p in joins)
+    assert "BroadcastHashJoin LeftOuter" not in plan(looked_up)
