@@ -67,3 +67,10 @@ def test_the_packed_grid_is_never_broadcast(spark):
         joins = [p for p in plan(df).splitlines() if "_gw" in p and "Join" in p or "SortMergeJoin LeftOuter" in p]
         assert joins and not any("Broadcast" in p for p in joins)
     assert "BroadcastHashJoin LeftOuter" not in plan(looked_up)
+
+
+def test_rectangles_are_dealt_over_tasks_before_their_rows(spark):
+    """One task reads the table; the rows of its rectangles are added up by several."""
+    r = spark.range(0, 100, 1, 1).selectExpr("id AS x1", "id + 3 AS x2", "0L AS y1", "50L AS y2")
+    assert "RoundRobinPartitioning(8)" in plan(raster.overlap_counts(r))
+    assert raster.overlap_counts(r).agg(F.sum("n")).first()[0] == 100 * 4 * 51
