@@ -69,6 +69,12 @@ def test_the_packed_grid_is_never_broadcast(spark):
     assert "BroadcastHashJoin LeftOuter" not in plan(looked_up)
 
 
+def test_march_rows_are_not_sorted(spark):
+    w = World(spark, SF_SMALL)
+    for df in (sight.ray_march(w.actors(), w.packed(), w.vp), sight.visible_entries(w.actors(), w.packed(), w.vp)):
+        assert "Window" not in plan(df)
+
+
 def test_rectangles_are_dealt_over_tasks_before_their_rows(spark):
     """One task reads the table; the rows of its rectangles are added up by several."""
     r = spark.range(0, 100, 1, 1).selectExpr("id AS x1", "id + 3 AS x2", "0L AS y1", "50L AS y2")
