@@ -142,33 +142,40 @@ def enforce_keys(rows: DataFrame, name: str, key: list[str], time: str, delay: s
     spark = rows.sparkSession
     good, bad = sinks or (scratch_path(spark, f"{name}-accepted"), scratch_path(spark, f"{name}-rejected"))
     cols = [c for c in rows.columns if c != "_row"]
-    null = F.lit(False)
-    for c in (*key, *required, time):
-        null = null | F.col(c).isNull()
-    checked, rule = rows.withColumn("_null", null), F.when(F.col("_null"), F.lit("not_null"))
-    for i, (parent, child_cols, table, parent_cols) in enumerate(parents):
-        known = table.select(*[F.col(p).alias(f"_p{i}_{j}") for j, p in enumerate(parent_cols)]).distinct().withColumn(f"_ok{i}", F.lit(True))
-        on = [F.col(c) == F.col(f"_p{i}_{j}") for j, c in enumerate(child_cols)]
-        checked = checked.join(known, on, "left")
-        refers = F.lit(True)
-        for c in child_cols:
-            refers = refers & F.col(c).isNotNull()
-        rule = rule.when(refers & F.col(f"_ok{i}").isNull(), F.lit(parent))
-    checked = checked.select(*cols, "_row", rule.alias("rule"))
-    at = checked.schema[time].dataType.typeName()
-    stamp = F.timestamp_micros(epoch_micros(time)) if at == "timestamp_ntz" else F.col(time).cast("timestamp")
-    accepted = (checked.filter("rule IS NULL").withColumn("_ets", stamp).withWatermark("_ets", delay)
-                .dropDuplicatesWithinWatermark(key).select(*cols, "_row", "rule", F.lit(True).alias("_accepted")))
-    both = checked.withColumn("_accepted", F.lit(False)).unionByName(accepted)
+    schema = rows.select(*cols).schema
+
+    def with_rule(df: DataFrame) -> DataFrame:
+        """Adds the first rule but ``pk`` that a row breaks."""
+        null = F.lit(False)
+        for c in (*key, *required, time):
+            null = null | F.col(c).isNull()
+        checked, rule = df.withColumn("_null", null), F.when(F.col("_null"), F.lit("not_null"))
+        for i, (parent, child_cols, table, parent_cols) in enumerate(parents):
+            known = table.select(*[F.col(p).alias(f"_p{i}_{j}") for j, p in enumerate(parent_cols)]).distinct().withColumn(f"_ok{i}", F.lit(True))
+            on = [F.col(c) == F.col(f"_p{i}_{j}") for j, c in enumerate(child_cols)]
+            checked = checked.join(known, on, "left")
+            refers = F.lit(True)
+            for c in child_cols:
+                refers = refers & F.col(c).isNotNull()
+            rule = rule.when(refers & F.col(f"_ok{i}").isNull(), F.lit(parent))
+        return checked.select(*df.columns, rule.alias("rule"))
+    stamp = F.timestamp_micros(epoch_micros(time)) if schema[time].dataType.typeName() == "timestamp_ntz" else F.col(time).cast("timestamp")
+    # of the accepted rows only ``_row`` is taken, so the joins and the state move what the
+    # rules read; the whole rows come straight from the source
+    accepted = (with_rule(rows).filter("rule IS NULL").withColumn("_ets", stamp).withWatermark("_ets", delay)
+                .dropDuplicatesWithinWatermark(key).select("_row", F.lit(True).alias("_accepted")))
+    both = rows.select(*cols, "_row", F.lit(False).alias("_accepted")).unionByName(accepted, allowMissingColumns=True)
 
     def apply(batch: DataFrame, number: int) -> None:
         # one evaluation: the state moves on once per micro-batch
         got = staged(batch, f"{name}-batch")
-        ok = got.filter("_accepted")
-        refused = got.filter("NOT _accepted").join(ok.select("_row"), "_row", "left_anti")
-        ok.select(*cols).write.mode("overwrite").parquet(f"{good}/batch={number}")
+        ok = got.filter("_accepted").select(F.col("_row").alias("_ok_row"))
+        whole = got.filter("NOT _accepted").join(ok, F.col("_row") == F.col("_ok_row"), "left")
+        # whole rows move once, to both sinks
+        whole = staged(whole.select(*cols, F.col("_ok_row").isNotNull().alias("_accepted")), f"{name}-judged")
+        whole.filter("_accepted").select(*cols).write.mode("overwrite").parquet(f"{good}/batch={number}")
+        refused = with_rule(whole.filter("NOT _accepted").select(*cols))
         refused.select(*cols, F.coalesce("rule", F.lit("pk")).alias("rule")).write.mode("overwrite").parquet(f"{bad}/batch={number}")
     run_batches(both, name, apply, ckpt)
-    schema = checked.select(*cols).schema
     return (spark.read.schema(schema).parquet(good).select(*cols),
             spark.read.schema(schema.add("rule", "string")).parquet(bad).select(*cols, "rule"))

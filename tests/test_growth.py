@@ -80,3 +80,21 @@ def test_rectangles_are_dealt_over_tasks_before_their_rows(spark):
     r = spark.range(0, 100, 1, 1).selectExpr("id AS x1", "id + 3 AS x2", "0L AS y1", "50L AS y2")
     assert "RoundRobinPartitioning(8)" in plan(raster.overlap_counts(r))
     assert raster.overlap_counts(r).agg(F.sum("n")).first()[0] == 100 * 4 * 51
+
+
+def test_accepted_rows_carry_no_payload(spark, monkeypatch):
+    """The joins with the parents and the state read the columns of the rules only."""
+    d = tempfile.mkdtemp(prefix="tessera-narrow-")
+    rows = [(i // 2, i % 2, at(i), "x" * 50) for i in range(20)] + [(0, 0, at(1), "again"), (99, 0, at(2), "orphan"), (1, None, at(3), "null")]
+    pq.write_table(spark.createDataFrame(rows, "k long, n int, ts timestamp_ntz, payload string").toArrow(), os.path.join(d, "t.parquet"), coerce_timestamps="us")
+    seen, run = [], keys.run_batches
+    monkeypatch.setattr(keys, "run_batches", lambda df, *a: (seen.append(plan(df.filter("_accepted"))), run(df, *a))[1])
+    parent = spark.range(10).withColumnRenamed("id", "p")
+    good, bad = keys.enforce_keys(keys.row_stream(spark, d, "t"), "t-narrow", ["k", "n"], "ts", "1 hour", parents=[("fk", ["k"], parent, ["p"])])
+    assert {r.payload for r in good.collect()} <= {"x" * 50, "again"}
+    assert good.count() == 20 and good.filter("payload IS NULL").count() == 0
+    assert sorted((r.payload, r.rule) for r in bad.collect() if r.rule != "pk") == [("null", "not_null"), ("orphan", "fk")]
+    assert bad.filter("rule = 'pk'").count() == 1
+    lines = seen[0].splitlines()
+    read = [lines[i + 1] for i, p in enumerate(lines) if p.endswith(") StreamingDeduplicateWithinWatermark")]
+    assert read and "Input" in read[0] and "payload" not in read[0]
