@@ -98,3 +98,19 @@ def test_accepted_rows_carry_no_payload(spark, monkeypatch):
     lines = seen[0].splitlines()
     read = [lines[i + 1] for i, p in enumerate(lines) if p.endswith(") StreamingDeduplicateWithinWatermark")]
     assert read and "Input" in read[0] and "payload" not in read[0]
+
+
+def test_words_of_the_grid_are_made_by_several_tasks(spark):
+    """One file of 5,000 parts in 25 bands: no task has the words of all bands."""
+    d = tempfile.mkdtemp(prefix="tessera-bands-")
+    parts = spark.range(0, 5000, 1, 1).selectExpr("id AS p_partkey", "CAST(id % 40 AS INT) AS p_size")
+    pq.write_table(parts.toArrow(), os.path.join(d, "part.parquet"))
+    w = World(spark, d)
+    for df in (w.grid_rows(), *(layer for layer, _ in w.layers())):
+        tasks = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct(F.floor(F.col("y") / w.wp.tile_h)).alias("n")).collect()
+        assert len(tasks) > 4 and max(t.n for t in tasks) < 13 and sum(t.n for t in tasks) == 25
+    assert w.grid().exceptAll(w.grid_by_overlay()).count() == 0 and w.grid().count() == 25 * w.wp.tile_h * w.wp.tile_w
+
+
+def test_parts_are_not_broadcast_for_actors(spark):
+    assert "Broadcast" not in plan(World(spark, SF_SMALL).actors())
