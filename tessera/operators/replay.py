@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.joins import by_merge
 from tessera.functions.num import cell, epoch_micros
 from tessera.functions.ranking import add_prefix_sums, with_bucket
 from tessera.operators import sight
@@ -162,14 +163,14 @@ def _round(rest, front, grid, sp, window, reach, number):
     one = F.struct("i", "vx", "vy", "is_move", "gx", "gy")
     next_ = (q.filter(f"i >= r AND i < r + {window}").groupBy("_k").agg(F.sort_array(F.collect_list(one)).alias("steps")))
     k_type = first.schema["_k"].dataType.simpleString()
-    folded = _by_key(next_, near, "inner").select("_k", "px", "py", "_x0", "_y0", "_near", "steps").mapInArrow(
+    folded = _by_key(next_, by_merge(near), "inner").select("_k", "px", "py", "_x0", "_y0", "_near", "steps").mapInArrow(
         _window_fold(reach, sight.longs_per_row(box), reach - 1),
         f"_k {k_type}, e long, ex long, ey long, egx long, egy long, stuck boolean, "
         "done array<struct<i:long,px:long,py:long,moved:boolean>>")
     folded = staged(folded, f"replay-{number}-folded")
     walked = folded.select("_k", F.inline("done")).withColumnsRenamed({"_k": "w_k", "i": "w_i"})
     walked = (p.select("_k", "i", "key", "ts", "seq", "action", "dir")
-              .join(walked, (F.col("_k") == F.col("w_k")) & (F.col("i") == F.col("w_i"))).select(*_OUT))
+              .join(by_merge(walked), (F.col("_k") == F.col("w_k")) & (F.col("i") == F.col("w_i"))).select(*_OUT))
 
     # the stuck run: the nine cells around the place
     state = folded.select("_k", "e", "ex", "ey", "egx", "egy", "stuck")

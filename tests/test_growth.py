@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from tessera.operators import raster, sight, state
+from tessera.operators import raster, replay, sight, state
 from tessera.sources.world import World
 from tessera.streaming import jobs, keys
 from tests.conftest import SF_SMALL
@@ -114,3 +114,20 @@ def test_words_of_the_grid_are_made_by_several_tasks(spark):
 
 def test_parts_are_not_broadcast_for_actors(spark):
     assert "Broadcast" not in plan(World(spark, SF_SMALL).actors())
+
+
+def test_replay_sends_no_walked_steps_to_the_driver(spark, monkeypatch):
+    """The cells around a key, and the steps folded over them, are merged with."""
+    plans, staged = [], replay.staged
+    monkeypatch.setattr(replay, "staged", lambda df, name: (plans.append((name, plan(df))), staged(df, name))[1])
+    acts = [(k, T0 + dt.timedelta(seconds=i), i, "w") for k in (1, 2) for i in range(40)]
+    acts = spark.createDataFrame(acts, "key long, ts timestamp_ntz, seq long, action string")
+    starts = spark.createDataFrame([(1, 2.0, 2.0, 0.0), (2, 2.0, 3.0, 0.0)], "id long, x double, y double, dir double")
+    cells = spark.range(0, 64).selectExpr("id % 8 AS x", "id div 8 AS y")
+    grid = raster.PackedGrid.from_layers([(cells.limit(0), "R"), (cells, ".")], 64, spark.range(8).selectExpr("id AS y"))
+    out, _ = replay.replay(starts, acts, grid)
+    assert out.filter("moved").count() == 2 * 18 and out.count() == 80
+    folded = [p for name, p in plans if name.endswith("-folded")]
+    assert folded and not any("Broadcast" in p.split("MapInArrow")[-1] for p in folded)
+    walked = [p for p in plan(out).split("\n\n") if "w_i" in p and "Join" in p.splitlines()[0]]
+    assert walked and not any("Broadcast" in p for p in walked)
