@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from tessera.operators import raster, replay, sight, state
+from tessera.operators import camera, raster, replay, sight, state
 from tessera.sources.world import World
 from tessera.streaming import jobs, keys
 from tests.conftest import SF_SMALL
@@ -116,6 +116,15 @@ def test_parts_are_not_broadcast_for_actors(spark):
     assert "Broadcast" not in plan(World(spark, SF_SMALL).actors())
 
 
+def test_targets_are_dealt_before_they_become_pixels(spark):
+    w = World(spark, SF_SMALL)
+    lod = spark.range(0, 64, 1, 1).selectExpr("7L AS obs_id", "id AS target_id", "64 AS screen_x", "32 AS screen_y", "2.0D AS depth",
+                                              "1.0D AS world_w", "1.0D AS world_h", "2 AS eff_stamp")
+    pixels = camera.span_pixels(camera.stamp_spans(camera.stamp_expand(lod, w.stamps(), w.stamp_pixels(), w.vp, catalogue_rows=1000), w.vp))
+    tasks = pixels.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("target_id").alias("n")).collect()
+    assert len(tasks) > 4 and max(t.n for t in tasks) < 32 and sum(t.n for t in tasks) == 64
+
+
 def test_replay_sends_no_walked_steps_to_the_driver(spark, monkeypatch):
     """The cells around a key, and the steps folded over them, are merged with."""
     plans, staged = [], replay.staged
