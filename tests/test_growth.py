@@ -4,13 +4,14 @@ import contextlib
 import datetime as dt
 import io
 import os
+import re
 import tempfile
 
 import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from tessera.operators import camera, raster, replay, sight, state
+from tessera.operators import camera, raster, replay, sight, spatial, state
 from tessera.sources.world import World
 from tessera.streaming import jobs, keys
 from tests.conftest import SF_SMALL
@@ -140,3 +141,39 @@ def test_replay_sends_no_walked_steps_to_the_driver(spark, monkeypatch):
     assert folded and not any("Broadcast" in p.split("MapInArrow")[-1] for p in folded)
     walked = [p for p in plan(out).split("\n\n") if "w_i" in p and "Join" in p.splitlines()[0]]
     assert walked and not any("Broadcast" in p for p in walked)
+
+
+def test_projectiles_are_not_sorted_for_walls_or_cells(spark):
+    """The words and the actors' cells are hashed; the projectiles, which outnumber them, pass by."""
+    w = World(spark, SF_SMALL)
+    p = w.projectiles()
+    for df, joins in ((spatial.unblocked(p, w.packed()), 1), (spatial.blocked(p, w.packed()), 1),
+                      (state.expire_hits(p, w.actors()), 1), (state.cell_shots(w.actors(), spatial.unblocked(p, w.packed()), 50), 2)):
+        steps = [re.sub(r"^[\s:+|-]*(\* )?", "", line) for line in plan(df).split("\n\n")[0].splitlines()]
+        assert sum(s.startswith("ShuffledHashJoin") and "BuildRight" in s for s in steps) == joins
+        # the streamed side is the first below a join: from the last join down to the table, nothing sorts
+        last = max(i for i, s in enumerate(steps) if s.startswith("ShuffledHashJoin"))
+        down = steps[last:next(i for i, s in enumerate(steps) if i > last and s.startswith("Scan"))]
+        assert not any(s.startswith(("Sort", "Broadcast")) for s in down)
+
+
+def test_hits_over_hashed_sides_are_those_of_the_definition(spark):
+    """Repeated and NULL owners, places on, between and off the cells."""
+    cells = spark.range(0, 64).selectExpr("id % 8 AS x", "id div 8 AS y")
+    rows = spark.range(8).selectExpr("id AS y")
+    floor = cells.filter("(x + y) % 3 <> 0")
+    packed = raster.PackedGrid.from_layers([(cells.limit(0), "R"), (floor, ".")], 8, rows)
+    shots = spark.range(400).selectExpr("IF(id % 13 = 0, NULL, id % 5) AS owner", "IF(id % 29 = 0, NULL, (id * 7 % 100) / 10.0D - 1) AS x",
+                                        "(id * 11 % 90) / 10.0D AS y")
+    shots = shots.unionByName(shots.filter("owner = 3"))
+    walls = {(r.x, r.y) for r in packed.cells().filter("tile = '#'").collect()}
+    want = sum(None in (r.x, r.y) or (round(r.x), round(r.y)) not in walls for r in shots.collect())
+    live = spatial.unblocked(shots, packed)
+    assert live.count() == want and live.count() + spatial.blocked(shots, packed).count() == shots.count()
+    actors = spark.createDataFrame([(0, 1.0, 1.0), (1, 1.2, 0.9), (3, 4.0, 4.0), (3, 4.0, 4.0), (4, None, 2.0)], "id long, x double, y double")
+    at_cell = {}
+    for a in actors.collect():
+        if a.x is not None:
+            at_cell.setdefault((round(a.x), round(a.y)), set()).add(a.id)
+    stay = sum(r.owner is None or r.x is None or not at_cell.get((round(r.x), round(r.y)), set()) - {r.owner} for r in live.collect())
+    assert state.expire_hits(live, actors).count() == stay < live.count()
